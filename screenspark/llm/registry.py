@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from screenspark.llm.chat_events import conversation_digests, written_conversations
+from screenspark.llm.packing import pack_documents
+from screenspark.llm.pivot_dedup import embedding_components
+from screenspark.llm.seekable_tokens import read_token_files, write_token_files
+from screenspark.llm.simhash_dedup import simhash_components
 from screenspark.llm.token_counts import token_counts
 from screenspark.plans.tables import table
 
@@ -20,3 +26,36 @@ def query(fn):
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", window=4096, end_id=2)
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to seekable token files and read back."""
+    manifest = write_token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
+    return read_token_files(manifest, with_ids=False)
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicate classes of all documents."""
+    return simhash_components(table(spark, sf_dir, "documents"), max_bits=3, shingle=3).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that holds control strings, from the rendered output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return conversation_digests(written_conversations(rows.unionByName(hard)))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings at cosine 0.95."""
+    return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
