@@ -1,10 +1,57 @@
-"""Corpus pipeline: language ID, toxicity, near-duplicates, packing."""
+"""Corpus pipeline over ``documents``: language ID, toxicity, near-duplicates, packing.
+
+Each stage works on all that its predecessor kept, is written as Parquet in the
+shared folder and read again.  All stages but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from screenspark.llm.byte_cnn_lang import identify_languages
+from screenspark.llm.packing import pack_documents
+from screenspark.llm.simhash_dedup import simhash_components
+from screenspark.llm.toxicity import score_toxicity, train_toxicity
+from screenspark.plans.staging import stage
+from screenspark.plans.tables import table
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network learned; texts without a letter go."""
+    return identify_languages(docs).filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network, learned from labels of documents still here, does not reject."""
+    net = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, net).filter("tox_pred = 0").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class: that with the smallest doc_id."""
+    classes = simhash_components(docs.select("doc_id", "text"))
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_key").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")).distinct()
+    marked = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_hash"] == kept["_hash"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, in windows of 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("language_id", keep_languages), ("toxicity", drop_toxic), ("simhash_dedup", drop_near_duplicates), ("packing", pack)]
+
+#: Trained networks and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, fn in STAGES:
+        docs = stage(fn(spark, docs, sf_dir), name)
+    return docs

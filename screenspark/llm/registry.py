@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenspark.llm.byte_cnn_lang import predict_language, train_language_model
 from screenspark.llm.chat_events import conversation_digests, written_conversations
+from screenspark.llm.mih_search import nearest_neighbours
 from screenspark.llm.packing import pack_documents
+from screenspark.llm.piece_nbest import segment_texts
 from screenspark.llm.pivot_dedup import embedding_components
 from screenspark.llm.seekable_tokens import read_token_files, write_token_files
 from screenspark.llm.simhash_dedup import simhash_components
 from screenspark.llm.token_counts import token_counts
+from screenspark.llm.toxicity import score_toxicity, train_toxicity
 from screenspark.plans.tables import table
 
 QUERIES: dict = {}
@@ -59,3 +63,31 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all embeddings at cosine 0.95."""
     return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query
+def op7_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation and 4-best scores of all documents."""
+    return segment_texts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", with_ids=False)
+
+
+@query
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all embeddings."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a network learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", F.col("tox_score").alias("score"), F.col("tox_pred").alias("predicted"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by a network learned from languages that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs.select("doc_id", "text"), train_language_model(docs))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
