@@ -1,16 +1,18 @@
 """Token ids of whole texts by the tokenizers library, with a cache of the chunks between spaces.
 
 For a tokenizer that drops white space, the ids of a text are the ids of its
-chunks between spaces, tabs and line feeds, one after the other: no pre-token,
-normalisation or special string crosses one of these.  So each distinct chunk is
-encoded once and texts are put together from the cache.  Any other tokenizer
-encodes whole texts.
+pre-tokens, one after the other, so each distinct one is encoded once and texts
+are put together from the cache.  Texts of plain Latin letters, which are in normal
+form, are cut into pre-tokens by Arrow; any other text is cut between
+spaces, tabs and line feeds, which no normalisation or special string crosses, and
+the library encodes these chunks.  Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,12 @@ import pyarrow.compute as pc
 
 from screenspark.llm.token_counts import byte_letters, public_path
 
-#: The cache is emptied when it would hold more chunks than this.
-CACHE_CHUNKS = 600_000
-CACHE_PIECES = 300_000
+#: When the cache would hold more than this, what the texts at hand do not need is dropped.
+CACHE_KEYS = 600_000
+#: Letters and marks below U+0180 that no normalisation changes; other texts, and those with "<|", are odd.
+ODD = r"[^\t\n -~\x{a1}-\x{12f}\x{131}-\x{17f}]|<\|"
+#: Put before a chunk in the cache, to tell it from a pre-token.
+CHUNK = "\x00"
 
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
@@ -32,10 +37,14 @@ def encoder(name: str) -> "TextEncoder":
     return _ENCODERS[name]
 
 
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions of all runs of n places from starts, one after the other."""
+    stop = np.cumsum(n)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts - (stop - n), n)
+
+
 class TextEncoder:
     def __init__(self, name: str):
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,11 +58,8 @@ class TextEncoder:
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_chunk = norm == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["use_regex"]
         if self.by_chunk:
-            self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
-            # Chunks of these letters are in normal form already and hold no white space.
-            self.simple = regex.compile(r"[!-~¡-įı-ſ]*")
+            self.cut = f"({pre[0]['pattern']['Regex']})"
             self.letters = dict(enumerate(byte_letters()))
-            self.pieces: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -63,43 +69,66 @@ class TextEncoder:
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _piece(self, text: str) -> list[int]:
-        if (ids := self.pieces.get(text)) is None:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize(raw)]
-        return ids
-
-    def _chunk(self, text: str) -> list[int] | None:
-        """Ids of a plain chunk; None if it needs the library's normalisation or special strings."""
-        if "<|" in text or not self.simple.fullmatch(text):
-            return None
-        found = self.pattern.findall(text.lower())
-        if len(found) == 1:
-            return self._piece(found[0])
-        return [i for p in found for i in self._piece(p)]
-
-    def _add(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 8192):
-            part = chunks[at : at + 8192]
-            encoded = [self._chunk(c) for c in part]
-            if rest := [i for i, e in enumerate(encoded) if e is None]:
-                for i, e in zip(rest, self.tokenizer.encode_batch_fast([part[i] for i in rest], add_special_tokens=False), strict=True):
-                    encoded[i] = e.ids
+    def _learn(self, keys: list[str]) -> None:
+        """Add the ids of new pre-tokens and chunks to the cache."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for at in range(0, len(keys), 8192):
+            part = keys[at : at + 8192]
+            if part[0].startswith(CHUNK) or part[-1].startswith(CHUNK):
+                rest = [k for k in part if k.startswith(CHUNK)]
+                chunks = dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast([k[1:] for k in rest], add_special_tokens=False)), strict=True))
+            else:
+                chunks = {}
+            encoded = [chunks[k] if k in chunks else [t.id for t in tokenize(k if k.isascii() else k.encode().decode("latin-1").translate(letters))] for k in part]
             n = np.fromiter(map(len, encoded), np.int64, len(part))
-            flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(n.sum()))
-            first, k = len(self.index), len(part)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + k > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.starts[first : first + k] = self.used + np.cumsum(n) - n
-            self.lengths[first : first + k] = n
-            self.used += len(flat)
-            self.index.update(zip(part, range(first, first + k), strict=True))
+            self._store(part, np.fromiter(chain.from_iterable(encoded), np.uint32, int(n.sum())), n)
+
+    def _store(self, keys: list[str], flat: np.ndarray, n: np.ndarray) -> None:
+        first, k = len(self.index), len(keys)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + k > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[first : first + k] = self.used + np.cumsum(n) - n
+        self.lengths[first : first + k] = n
+        self.used += len(flat)
+        self.index.update(zip(keys, range(first, first + k), strict=True))
+
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Cache places of distinct keys."""
+        new = [k for k in keys if k not in self.index]
+        if self.index and len(self.index) + len(new) > CACHE_KEYS:
+            kept = [k for k in keys if k in self.index]
+            at = np.fromiter(map(self.index.__getitem__, kept), np.int64, len(kept))
+            n = self.lengths[at]
+            flat = self.ids[_ranges(self.starts[at], n)]
+            self._clear()
+            self._store(kept, flat, n)
+        self._learn(new)
+        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+
+    def _joined(self, texts: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, and where each text's ids stop."""
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
+        chunks = lists.flatten().dictionary_encode()
+        if plain:  # distinct chunks are put together from their pre-tokens
+            cut = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(chunks.dictionary, self.cut, "\\1 "), " "), " ")
+            keys = cut.flatten().dictionary_encode()
+            at = self._places(keys.dictionary.to_pylist())[keys.indices.to_numpy(zero_copy_only=False)]
+            n = self.lengths[at]
+            ids = self.ids[_ranges(self.starts[at], n)]
+            last = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
+            stop = np.append(0, np.cumsum(n))[last]
+            start = np.append(0, stop[:-1])[: len(stop)]
+        else:
+            at = self._places([CHUNK + c for c in chunks.dictionary.to_pylist()])
+            ids, start, stop = self.ids, self.starts[at], self.starts[at] + self.lengths[at]
+        codes = chunks.indices.to_numpy(zero_copy_only=False)
+        n = (stop - start)[codes]
+        per_text = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        return ids[_ranges(start[codes], n)], np.append(0, np.cumsum(n))[per_text]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of a string array, and where each text's ids stop.
@@ -112,21 +141,18 @@ class TextEncoder:
             stops = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
             flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(stops[-1]) if len(stops) else 0)
             return self._ended(flat, stops, end)
-        chunks = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
-        words = chunks.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.index]
-        if self.index and len(self.index) + len(new) > CACHE_CHUNKS:
-            self._clear()
-            new = distinct
-        self._add(new)
-        place = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
-        at = place[words.indices.to_numpy(zero_copy_only=False)]
-        n = self.lengths[at]
-        stop = np.cumsum(n)
-        flat = self.ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.starts[at] - (stop - n), n)]
-        per_text = np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64))
-        return self._ended(flat, np.append(0, stop)[per_text], end)
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = texts.filter(pc.invert(odd))
+        flat, stops = self._joined(pc.utf8_lower(plain), True)
+        if len(plain) < len(texts):
+            flat2, stops2 = self._joined(texts.filter(odd), False)
+            is_odd = odd.to_numpy(zero_copy_only=False)
+            n = np.zeros(len(texts), np.int64)
+            start = np.zeros(len(texts), np.int64)
+            n[~is_odd], n[is_odd] = np.diff(np.append(0, stops)), np.diff(np.append(0, stops2))
+            start[~is_odd], start[is_odd] = np.append(0, stops[:-1])[: len(stops)], len(flat) + np.append(0, stops2[:-1])
+            flat, stops = np.concatenate([flat, flat2])[_ranges(start, n)], np.cumsum(n)
+        return self._ended(flat, stops, end)
 
     @staticmethod
     def _ended(flat: np.ndarray, stops: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
