@@ -26,13 +26,26 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def long_counts(sql: str) -> str:
+    """``count_if(...)`` cast to BIGINT, the type that Spark gives it."""
+    out, at = "", 0
+    while (i := sql.find("count_if(", at)) >= 0:
+        j, depth = i + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += f"{sql[at:i]}CAST({sql[i:j]} AS BIGINT)"
+        at = j
+    return out + sql[at:]
+
+
 def register(name: str, sql: str | None = None):
     """Register a query (spark, sf_dir) -> DataFrame, and the SQL with the same result."""
 
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir))
         if sql:
-            SQL[name] = sql
+            SQL[name] = long_counts(sql)
         return fn
 
     return add
@@ -44,4 +57,4 @@ def select_sql(source: str, keys: str, doubles: str = "", tail: str = "") -> str
     return f"SELECT {', '.join(parts)} FROM {source} {tail}"
 
 
-from screenspark.plans import queries_scoring  # noqa: E402, F401
+from screenspark.plans import queries_consensus, queries_scoring  # noqa: E402, F401
