@@ -8,14 +8,16 @@ from screenspark.operators import consensus as c
 from screenspark.operators import decisions, scoring
 from screenspark.plans import views as v
 from screenspark.plans.registry import register, select_sql
+from screenspark.plans.staging import stage
 
 WEIGHTS_B = (0.25, 0.50, 0.20, 0.05)
 _COLS = ["score", "rank", "std", "overwide", "mean_site_hit_fraction", "mean_anchor_hit_fraction", "mean_mouth_occlusion", "mean_overwide"]
 
 
-def ranking(spark, sf_dir, weights=(0.50, 0.25, 0.20, 0.15), gaps=False):
+def ranking(spark, sf_dir, weights=(0.50, 0.25, 0.20, 0.15), gaps=False, variants=None):
     """One of the two rankings; with gaps, some candidates are missing."""
-    d = scoring.rollup_candidates(scoring.rollup_variants(scoring.rule_score(scoring.keep_ok(v.items(spark, sf_dir)))), weights)
+    variants = variants or scoring.rollup_variants(scoring.rule_score(scoring.keep_ok(v.items(spark, sf_dir))))
+    d = scoring.rollup_candidates(variants, weights)
     if gaps:
         d = d.filter(F.col("candidate") % 10 != 3)
     d = scoring.assign_rank(d, [F.desc_nulls_last("final_score"), F.desc_nulls_last("best_variant_score"), F.asc("candidate")])
@@ -23,12 +25,14 @@ def ranking(spark, sf_dir, weights=(0.50, 0.25, 0.20, 0.15), gaps=False):
 
 
 def both(spark, sf_dir):
-    return ranking(spark, sf_dir), ranking(spark, sf_dir, WEIGHTS_B, True)
+    """Two rankings over variants that are rolled up once; both are tables of candidate size."""
+    variants = stage(scoring.rollup_variants(scoring.rule_score(scoring.keep_ok(v.items(spark, sf_dir)))), "variants")
+    return stage(ranking(spark, sf_dir, variants=variants), "ranking"), stage(ranking(spark, sf_dir, WEIGHTS_B, True, variants), "ranking")
 
 
 def reviewed(spark, sf_dir):
     a, b = both(spark, sf_dir)
-    return c.review_fields(c.score_gaps(c.consensus(a, b, c.qc_by_candidate(v.items(spark, sf_dir)))))
+    return stage(c.review_fields(c.score_gaps(c.consensus(a, b, c.qc_by_candidate(v.items(spark, sf_dir))))), "consensus")
 
 
 _SIDE = "candidate, final_score AS score, rank, std_variant_score AS std, mean_overwide AS overwide, mean_site_hit_fraction, mean_anchor_hit_fraction, mean_mouth_occlusion, mean_overwide"
