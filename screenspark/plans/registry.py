@@ -57,4 +57,4 @@ def select_sql(source: str, keys: str, doubles: str = "", tail: str = "") -> str
     return f"SELECT {', '.join(parts)} FROM {source} {tail}"
 
 
-from screenspark.plans import queries_consensus, queries_metrics, queries_scoring  # noqa: E402, F401
+from screenspark.plans import queries_consensus, queries_metrics, queries_scoring, queries_sets  # noqa: E402, F401
