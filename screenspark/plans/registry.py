@@ -57,4 +57,12 @@ def select_sql(source: str, keys: str, doubles: str = "", tail: str = "") -> str
     return f"SELECT {', '.join(parts)} FROM {source} {tail}"
 
 
-from screenspark.plans import queries_consensus, queries_metrics, queries_quality, queries_scoring, queries_sets  # noqa: E402, F401
+from screenspark.plans import (  # noqa: E402, F401
+    queries_consensus,
+    queries_metrics,
+    queries_model,
+    queries_quality,
+    queries_scoring,
+    queries_sets,
+    queries_streaming,
+)
