@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from screenspark.llm.token_counts import byte_letters, public_path
 
 #: When the cache would hold more than this, what the texts at hand do not need is dropped.
-CACHE_KEYS = 600_000
+CACHE_KEYS = 400_000
 #: Letters and marks below U+0180 that no normalisation changes; other texts, and those with "<|", are odd.
 ODD = r"[^\t\n -~\x{a1}-\x{12f}\x{131}-\x{17f}]|<\|"
 #: Put before a chunk in the cache, to tell it from a pre-token.

@@ -25,7 +25,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: White space next to a space, or at the edge: there, cutting at single spaces would not be exact.
 SPACE = r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 RUN = rf"  |[{SPACE}] | [{SPACE}]|\A | \z"
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 800_000
 #: Symbols merged at once.
 MERGE_SYMBOLS = 2_000_000
 

@@ -32,7 +32,7 @@ SAMPLE_PER_LABEL = 1500
 SAMPLE_CHARS = 20_000
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>*_-"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -107,10 +107,10 @@ class GatedNet:
         """What the inputs of words add to the gates of both layers; the last row is padding."""
         return {s: np.concatenate([x @ self.p[f"in_{s}"] + self.p[f"bias_{s}"], np.zeros((1, 3 * HIDDEN), np.float32)]).astype(np.float32) for s in "fb"}
 
-    def forward(self, table: dict[str, np.ndarray], index: np.ndarray, keep: bool = False):
-        """Logits of windows; ``index`` (n x width) points into the table, its last row is padding."""
+    def forward(self, table: dict[str, np.ndarray], index: np.ndarray, keep: bool = False, pad: int | None = None):
+        """Logits of windows; ``index`` (n x width) points into the table, whose row ``pad`` (default: the last) is padding."""
         n, width = index.shape
-        h2, pad = HIDDEN, len(table["f"]) - 1
+        h2, pad = HIDDEN, len(table["f"]) - 1 if pad is None else pad
         real = (index != pad).T[:, :, None]
         states = np.zeros((width, n, 2 * h2), np.float32)
         saved: dict = {"real": real, "steps": {}}
@@ -289,34 +289,41 @@ class Scorer:
     """Scores texts with a network; the gate inputs of distinct words are kept between batches."""
 
     def __init__(self, net: GatedNet):
-        self.net, self.index = net, {}
-        self.tables = {s: np.zeros((0, 3 * HIDDEN), np.float32) for s in "fb"}
+        self.net = net
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        #: Row 0 is padding.
+        self.tables = {s: np.zeros((1 << 12, 3 * HIDDEN), np.float32) for s in "fb"}
 
     def _places(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.index]
         if self.index and len(self.index) + len(new) > CACHE_WORDS:
-            self.index, new = {}, words
-            self.tables = {s: t[:0] for s, t in self.tables.items()}
-        if new:
-            made = self.net.table(self.net.inputs(*word_features(new)))
-            base = len(self.index)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            self.tables = {s: np.concatenate([t, made[s][:-1]]) for s, t in self.tables.items()}
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-    def score(self, texts: pa.Array, block: int = 4096) -> np.ndarray:
+            self._clear()
+            new = words
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            made = self.net.table(self.net.inputs(*word_features(part)))
+            base = len(self.index) + 1
+            while base + len(part) > len(self.tables["f"]):
+                self.tables = {s: np.concatenate([t, np.zeros_like(t)]) for s, t in self.tables.items()}
+            for s in "fb":
+                self.tables[s][base : base + len(part)] = made[s][:-1]
+            self.index.update(zip(part, range(base, base + len(part)), strict=True))
+        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+
+    def score(self, texts: pa.Array, block: int = 1024) -> np.ndarray:
         """Probability of label 1 of each text, from its worst window."""
         codes, stops, words = word_lists(texts)
-        codes = self._places(words)[codes].astype(np.int64) if len(codes) else codes
-        table = {s: np.concatenate([t, np.zeros((1, 3 * HIDDEN), np.float32)]) for s, t in self.tables.items()}
-        pad = len(table["f"]) - 1
+        codes = self._places(words)[codes] if len(codes) else codes
         start, length, text = window_index(stops)
         worst = np.full(len(stops), -np.inf)
         place = np.arange(WIDTH)
         for a in range(0, len(start), block):
             s, n = start[a : a + block, None], length[a : a + block, None]
-            idx = np.where(place < n, codes[np.minimum(s + place, len(codes) - 1)], pad) if len(codes) else np.full((len(s), WIDTH), pad)
-            np.maximum.at(worst, text[a : a + block], self.net.forward(table, idx))
+            idx = np.where(place < n, codes[np.minimum(s + place, len(codes) - 1)], 0) if len(codes) else np.zeros((len(s), WIDTH), np.int32)
+            np.maximum.at(worst, text[a : a + block], self.net.forward(self.tables, idx, pad=0))
         return sigmoid(worst)
 
 
@@ -360,7 +367,7 @@ def score_toxicity(docs: DataFrame, net: GatedNet | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scorer = Scorer(net) if net is not None else None
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in slices(batch, "text", 2_000_000):
                 score = scorer.score(part.column("text")).astype(np.float64) if scorer else np.zeros(part.num_rows)
                 yield {c: part.column(c) for c in names} | {"tox_score": score}
 
