@@ -200,3 +200,33 @@ def headline(ranked: DataFrame) -> DataFrame:
         F.min_by("candidate", F.struct(F.when(F.col("decision_tier") == "priority", 0).when(F.col("decision_tier") == "review", 1).otherwise(2), "consensus_rank")).alias("next_to_test"),
     )
     return picks
+
+
+def candidate_cards(ranked: DataFrame, items: DataFrame, wins: DataFrame, score: str = "rule_score", n: int = 3) -> DataFrame:
+    """Card of each candidate: its QC counts, best items by score, and how many pair comparisons it leads or trails."""
+    w = Window.partitionBy("candidate").orderBy(F.desc_nulls_last(F.round(score, 9)), "item")
+    top = items.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).groupBy("candidate").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"]).alias("top_items"))
+    led = wins.groupBy(F.col("left").alias("candidate")).agg(F.count("*").alias("n_ahead"))
+    lost = wins.groupBy(F.col("right").alias("candidate")).agg(F.count("*").alias("n_behind"))
+    d = ranked.select("candidate", "consensus_rank", "decision_tier", "n_rows", "n_failed", "n_warning").join(top, "candidate", "left").join(led, "candidate", "left").join(lost, "candidate", "left")
+    return d.withColumn("n_ahead", F.coalesce("n_ahead", F.lit(0))).withColumn("n_behind", F.coalesce("n_behind", F.lit(0)))
+
+
+def batch_decision(gate_status: DataFrame, evidence_status: DataFrame, picks: DataFrame) -> DataFrame:
+    """One row: what the batch's quality and evidence allow, and the candidate to look at next."""
+    d = gate_status.select(F.col("status").alias("quality")).join(evidence_status.select(F.col("status").alias("evidence")), how="full", on=F.lit(True)).join(picks.select("next_to_test"), how="left", on=F.lit(True))
+    tier = F.when(F.col("quality") == "FAIL", "fix_inputs_first").when(F.col("quality") == "WARN", "review_before_experiment").when(F.col("quality") == "PASS", "ready_for_candidate_review").otherwise("unknown_quality_status")
+    note = F.when(F.col("quality") == "FAIL", "rerun_after_fix").when(F.col("evidence").isin("WARN", "FAIL"), "follow_evidence_action").when(F.col("evidence") == "PASS", "evidence_sufficient").otherwise("none")
+    return d.withColumn("decision_tier", tier).withColumn("evidence_note", note)
+
+
+def recommend_penalty(rows: DataFrame, best: DataFrame, min_structures: int = 3, min_methods: int = 3, min_each_class: int = 2) -> DataFrame:
+    """Whether a default over-wide penalty is backed by enough structures, classes and methods; else the blockers.
+
+    ``rows`` has structure, method, proxy, risk (boolean); ``best`` one row with threshold.
+    """
+    a = rows.agg(F.countDistinct("structure").alias("n_structures"), F.countDistinct("method").alias("n_methods"), F.count_if("risk").alias("n_risk"), F.count_if(~F.col("risk")).alias("n_clear"), F.count("proxy").alias("n_proxy"), F.count("*").alias("n_rows"))
+    b = flags(("few_structures", F.col("n_structures") < min_structures), ("small_class", F.least("n_risk", "n_clear") < min_each_class), ("few_methods", F.col("n_methods") < min_methods), ("missing_proxy", F.col("n_proxy") < F.col("n_rows")))
+    d = a.withColumn("blockers", b).join(best.select("threshold"), how="left", on=F.lit(True))
+    ok = F.size("blockers") == 0
+    return d.withColumn("policy", F.when(ok, "enable_small_penalty_after_review").otherwise("keep_default_penalty_off")).withColumn("weight", F.when(ok, 0.10).otherwise(0.0))

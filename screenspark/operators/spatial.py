@@ -129,3 +129,48 @@ def split_roles(points: DataFrame, max_partner: int = 220) -> DataFrame:
     g = g.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("n").over(w)).withColumn("_c", F.count("*").over(all_)).withColumn("_min", F.min("n").over(all_)).withColumn("_second", F.max(F.when(F.col("_r") == 1, F.col("_next"))).over(all_))
     known = (F.col("_c") == 2) | (F.col("_c") > 2) & (F.col("_min") <= max_partner) & (F.col("_min") <= F.round(0.75 * F.col("_second")))
     return g.select("structure", "chain", "n", F.when(~known, "unknown").when(F.col("_r") == 1, "partner").otherwise("target").alias("role"))
+
+
+def ligand_clash(ligand: DataFrame, partner: DataFrame, threshold: float = 2.8) -> DataFrame:
+    """Clashing ligand points (structure, id) of each structure, and soft overlap with the partner (1.2 beyond the threshold)."""
+    near = nearest_join(ligand, partner, "id", "pid")
+    d = ligand.select("structure", "id").join(near.select("structure", "id", "dist"), ["structure", "id"], "left")
+    soft = F.coalesce(clip(1 - F.col("dist") / (threshold + 1.2), 0, 1), F.lit(0.0))
+    g = d.groupBy("structure").agg(F.count("*").alias("n_ligand"), F.count_if(F.col("dist") <= threshold).alias("n_clash"), F.avg(soft).alias("overlap_score"))
+    return g.withColumn("clash_fraction", F.col("n_clash") / F.col("n_ligand"))
+
+
+def mouth_residues(site: DataFrame, context: DataFrame, share: float = 0.30, radius: float = 7.5, exposure_radius: float = 8.0, k: int = 24) -> DataFrame:
+    """The site points (structure, id) nearest the mouth: far from the centre, few site neighbours, exposed.
+
+    ``context`` has the target's points (structure, cid).  The top share by score is
+    selected, one at least; ties go to the smaller id.
+    """
+    w = Window.partitionBy("structure")
+    c = site.groupBy("structure").agg(*(F.avg(x).alias(f"c{x}") for x in "xyz"))
+    d = site.join(c, "structure").withColumn("_r", F.round(F.sqrt(sum((F.pow(F.col(x) - F.col(f"c{x}"), 2) for x in "xyz"), F.lit(0.0))), 9))
+    n = F.count("*").over(w)
+    d = d.withColumn("n", n).withColumn("radial", F.when(F.col("n") > 1, (F.row_number().over(w.orderBy("_r", "id")) - 1) / (F.col("n") - 1)).otherwise(0.0))
+    other = site.select("structure", F.col("id").alias("oid"), "x", "y", "z")
+    near = distance_join(site, other, radius, ["id"], ["oid"]).filter("dist > 1e-8").groupBy("structure", "id").agg(F.count("*").alias("_k"))
+    d = d.join(near, ["structure", "id"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    d = d.withColumn("surface", 1 - F.col("_k") / F.greatest(F.max("_k").over(w), F.lit(1)))
+    crowd = distance_join(site, context, exposure_radius, ["id"], ["cid"])
+    crowd = crowd.withColumn("_o", F.row_number().over(Window.partitionBy("structure", "id").orderBy("dist", "cid"))).groupBy("structure", "id").agg(F.count("*").alias("_c"), F.avg(F.when(F.col("_o") <= k, F.col("dist"))).alias("_knn"))
+    d = d.join(crowd, ["structure", "id"], "left")
+    exposed = 0.55 * clip(F.coalesce("_knn", F.lit(float(exposure_radius))) / exposure_radius, 0, 1) + 0.45 / (1 + 32 * F.coalesce("_c", F.lit(0)) / exposure_radius**3)
+    d = d.withColumn("mouth_score", 0.50 * F.col("radial") + 0.30 * F.col("surface") + 0.20 * exposed)
+    place = F.row_number().over(w.orderBy(F.desc(F.round("mouth_score", 9)), "id"))
+    return d.withColumn("_p", place).select("structure", "id", "radial", "surface", "mouth_score", (F.col("_p") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n")))).alias("selected"))
+
+
+def shell_evidence(target: DataFrame, anchor: DataFrame, tiers: tuple[tuple[float, float], ...] = ((4.0, 0.65), (6.0, 0.45), (8.0, 0.25))) -> DataFrame:
+    """Evidence rows of shells around anchors: each target point once, by the smallest radius that covers it; anchors themselves are left out.
+
+    Returns structure, key, method, weight, distance.
+    """
+    far = max(r for r, _ in tiers)
+    d = distance_join(target, anchor, far, ["id"], ["aid"]).groupBy("structure", "id").agg(F.min("dist").alias("distance"))
+    d = d.join(anchor.select("structure", F.col("aid").alias("id")), ["structure", "id"], "left_anti")
+    pick = F.coalesce(*(F.when(F.col("distance") <= r, F.struct(F.format_string("anchor_shell_%.0f", F.lit(r)).alias("method"), F.lit(w).alias("weight"))) for r, w in sorted(tiers)))
+    return d.withColumn("_t", pick).select("structure", F.col("id").alias("key"), "_t.method", "_t.weight", "distance")

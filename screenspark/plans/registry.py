@@ -59,6 +59,7 @@ def select_sql(source: str, keys: str, doubles: str = "", tail: str = "") -> str
 
 from screenspark.plans import (  # noqa: E402, F401
     queries_consensus,
+    queries_extra,
     queries_metrics,
     queries_model,
     queries_quality,
