@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from screenspark.llm.byte_cnn_lang import identify_languages
 from screenspark.llm.packing import pack_documents
-from screenspark.llm.simhash_dedup import simhash_components
+from screenspark.llm.shingle_dedup import shingle_components
 from screenspark.llm.toxicity import score_toxicity, train_toxicity
 from screenspark.plans.staging import stage
 from screenspark.plans.tables import table
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: that with the smallest doc_id."""
-    classes = simhash_components(docs.select("doc_id", "text"))
+    """One document of each class of 5-word shingles at similarity 0.8: that with the smallest doc_id."""
+    classes = shingle_components(docs.select("doc_id", "text"), threshold=0.8, shingle=5)
     kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_key").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")).distinct()
     marked = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
     found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_hash"] == kept["_hash"]), "left_semi")
