@@ -8,9 +8,15 @@ index.  Two codes within radius r agree in some substring up to floor(r / m) bit
 the radius; the codes found are checked and reranked by the inner products of the
 original vectors, in double precision.
 
+Inner products are angles first: each candidate gets a coordinate
+sqrt(max_norm^2 - norm^2) and each query a zero there, so that the greatest inner
+product is the least angle, whatever the norms.
+
 Queries in blocks meet shards of the index; every task returns the best of its
-cell, and the best over the shards are kept.  A query that finds fewer than k
-codes in a shard probes on with a larger radius, up to all bits.
+cell, and the best over the shards are kept.  A query first probes with a small
+radius, which grows until k codes are found; the angle of its k-th score then
+gives the radius that it must cover: the bits expected at this angle and MARGIN
+standard deviations, up to all bits.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from screenspark.llm.batches import as_array, map_batches
-from screenspark.llm.pivot_dedup import matrix, unit_rows, usable_vectors
+from screenspark.llm.pivot_dedup import matrix, usable_vectors
 from screenspark.plans.staging import stage
 
 #: Vectors that the rotations are learned from, those with the smallest hashes.
@@ -34,14 +40,51 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 4096
 #: Queries probed at once.
 PROBE = 256
+#: Standard deviations of the bits in which two vectors of one angle differ, beyond their mean.
+MARGIN = 2.5
+#: Radii are rounded up to so many bits, so that queries are probed together.
+STEP = 8
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Norms of rows, without overflow of the squares."""
+    top = np.abs(x).max(axis=1)
+    return top * np.linalg.norm(x / np.where(top > 0, top, 1.0)[:, None], axis=1)
+
+
+def greatest_norm(vectors: DataFrame) -> float:
+    """The greatest norm of usable vectors of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            if b.num_rows:
+                yield {"norm": [float(lengths(matrix(b.column("embedding")).astype(np.float64)).max())]}
+
+    return map_batches(vectors.select("embedding"), run, StructType([StructField("norm", DoubleType())])).agg(F.max("norm")).first()[0]
 
 
-def learn_rotations(vectors: DataFrame, bits: int, sample: int = LEARN_SAMPLE, rounds: int = 15, seed: int = 7) -> np.ndarray:
+def as_candidates(x: np.ndarray, max_norm: float) -> np.ndarray:
+    """Unit rows whose angles to queries order the inner products."""
+    y = x / max_norm
+    return np.concatenate([y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))[:, None]], axis=1)
+
+
+def as_queries(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x / lengths(x)[:, None], np.zeros((len(x), 1))], axis=1)
+
+
+def needed_radius(score: np.ndarray, norm: np.ndarray, max_norm: float, bits: int) -> np.ndarray:
+    """Bits within which the codes at the angle of ``score`` lie, with the margin."""
+    p = np.arccos(np.clip(score / norm / max_norm, -1.0, 1.0)) / np.pi
+    r = bits * p + MARGIN * np.sqrt(bits * p * (1 - p))
+    return np.minimum(bits, np.ceil(r / STEP) * STEP).astype(np.int64)
+
+
+def learn_rotations(vectors: DataFrame, bits: int, max_norm: float, sample: int = LEARN_SAMPLE, rounds: int = 15, seed: int = 7) -> np.ndarray:
     """Directions (d x bits) whose signs are the code."""
     rows = vectors.orderBy(F.xxhash64("embedding"), "vec_id").limit(sample).select("embedding").collect()
     x = np.array([r[0] for r in rows], np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = as_candidates(x, max_norm)
     rng = np.random.default_rng(seed)
     parts, d = [], x.shape[1]
     while sum(p.shape[1] for p in parts) < bits:
@@ -83,43 +126,52 @@ class SubstringIndex:
         return np.nonzero(hit & (apart <= radius))
 
 
-def search_cell(table: pa.Table, k: int, radius: int) -> dict:
+def search_cell(table: pa.Table, k: int, radius: int, max_norm: float) -> dict:
     """The k best of one shard for each query of one block."""
     asks = table.column("asks").to_numpy(zero_copy_only=False)
     rows, ids, x = table.column("row").to_numpy(), table.column("vec_id").to_numpy(zero_copy_only=False), matrix(table.column("embedding")).astype(np.float64)
     codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
+    bits = 8 * codes.shape[1]
     q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
     out: dict = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []}
     if not len(q) or not len(c):
         return out
     null = np.array([i is None for i in ids]) if ids.dtype == object else np.isnan(ids) if ids.dtype.kind == "f" else np.zeros(len(ids), bool)
     tie = np.where(null, np.iinfo(np.int64).max, np.where(null, 0, ids).astype(np.int64))
+    norm = lengths(x)
     index = SubstringIndex(np.ascontiguousarray(codes[c]))
     for at in range(0, len(q), PROBE):
-        todo, r = q[at : at + PROBE], radius
+        todo = q[at : at + PROBE]
+        reach = np.full(len(todo), radius)
         while len(todo):
-            i, j = index.within(np.ascontiguousarray(codes[todo]), r)
-            i, j = todo[i], c[j]
+            r = int(reach.min())
+            now, todo_later, reach_later = todo[reach == r], todo[reach > r], reach[reach > r]
+            i, j = index.within(np.ascontiguousarray(codes[now]), r)
+            i, j = now[i], c[j]
             other = rows[i] != rows[j]
             i, j = i[other], j[other]
-            seen = np.bincount(i, minlength=len(rows))
-            ready = (seen[todo] >= min(k, len(c) - 1)) | (r >= 8 * codes.shape[1])
-            final = np.zeros(len(rows), bool)
-            final[todo[ready]] = True
-            i, j = i[final[i]], j[final[i]]
             score = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65_536]], x[j[s : s + 65_536]]) for s in range(0, len(i), 65_536)] or [np.zeros(0)])
             order = np.lexsort((rows[j], tie[j], -score, i))
             i, j, score = i[order], j[order], score[order]
             first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
             place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            i, j, score = i[place < k], j[place < k], score[place < k]
+            seen = np.bincount(i, minlength=len(rows))[now]
+            # Too few: a larger radius.  Else the radius that the k-th score asks for; a greater score asks for no more.
+            kth = np.full(len(rows), np.nan)
+            kth[i[place == k - 1]] = score[place == k - 1]
+            need = np.where(seen >= k, needed_radius(np.nan_to_num(kth[now]), norm[now], max_norm, bits), min(bits, r + 2 * STEP))
+            ready = (need <= r) | (r >= bits)
+            final = np.zeros(len(rows), bool)
+            final[now[ready]] = True
+            take = final[i] & (place < k)
+            i, j, score = i[take], j[take], score[take]
             for name, values in (("query_row", rows[i]), ("query_id", tie[i]), ("row", rows[j]), ("vec_id", tie[j]), ("score", score)):
                 out[name].append(values)
-            todo, r = todo[~ready], r + codes.shape[1] * 2
+            todo, reach = np.append(todo_later, now[~ready]), np.append(reach_later, need[~ready])
     return {n: np.concatenate(v) if v else v for n, v in out.items()}
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 256, radius: int = 112, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 256, radius: int = 96, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k nearest found for each query row, by inner product.
 
     ``vectors`` has vec_id and embedding; the rows where ``is_query`` holds are the
@@ -127,7 +179,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits:
     rank, vec_id, score``; ties go to the smaller vec_id (a null one last).
     Vectors that are null, zero or hold null or non-finite components, and those of
     another length than most, take no part.  Repeated rows are candidates of their
-    own.  All candidates are returned if there are fewer than k; an empty table
+    own.  ``radius`` is only where the probing begins.  All candidates are returned if there are fewer than k; an empty table
     gives no rows; other columns are not read.
     """
     good = usable_vectors(vectors)
@@ -136,27 +188,29 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits:
     spark = vectors.sparkSession
     if not usual:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    turn = learn_rotations(good, bits)
+    max_norm = greatest_norm(good)
+    turn = learn_rotations(good, bits, max_norm)
     numbered = good.withColumn("row", F.monotonically_increasing_id()).withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    kept = StructType([StructField("row", LongType()), StructField("asks", numbered.schema["asks"].dataType), StructField("vec_id", LongType()), StructField("code", BinaryType()), numbered.schema["embedding"]])
+    kept = StructType([StructField("row", LongType()), StructField("asks", numbered.schema["asks"].dataType), StructField("vec_id", LongType()), StructField("code", BinaryType()), StructField("ask", BinaryType()), numbered.schema["embedding"]])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             if b.num_rows:
-                code = np.packbits(unit_rows(b.column("embedding")) @ turn > 0, axis=1)
-                yield {n: b.column(n) for n in ("row", "asks", "vec_id", "embedding")} | {"code": [c.tobytes() for c in code]}
+                x = matrix(b.column("embedding")).astype(np.float64)
+                code, ask = (np.packbits(y @ turn > 0, axis=1) for y in (as_candidates(x, max_norm), as_queries(x)))
+                yield {n: b.column(n) for n in ("row", "asks", "vec_id", "embedding")} | {"code": [c.tobytes() for c in code], "ask": [c.tobytes() for c in ask]}
 
     coded = stage(map_batches(numbered, encode, kept), "codes")
     queries = coded.filter("asks").count()
     shards, blocks = max(1, math.ceil(usual["count"] / shard_rows)), max(1, math.ceil(queries / query_rows))
     shard, block = F.pmod(F.xxhash64("row"), F.lit(shards)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    index = coded.withColumn("asks", F.lit(False)).withColumn("shard", shard).withColumn("block", every(blocks))
-    asked = coded.filter("asks").withColumn("block", block).withColumn("shard", every(shards))
+    index = coded.drop("ask").withColumn("asks", F.lit(False)).withColumn("shard", shard).withColumn("block", every(blocks))
+    asked = coded.filter("asks").withColumn("code", F.col("ask")).drop("ask").withColumn("block", block).withColumn("shard", every(shards))
     found = StructType([StructField(n, DoubleType() if n == "score" else LongType()) for n in ("query_row", "query_id", "row", "vec_id", "score")])
 
     def cell(table: pa.Table) -> pa.Table:
-        best = search_cell(table.combine_chunks(), k, radius)
+        best = search_cell(table.combine_chunks(), k, radius, max_norm)
         return pa.table({n: as_array(best[n], pa.float64() if n == "score" else pa.int64()) for n in best})
 
     cells = index.unionByName(asked).groupBy("shard", "block").applyInArrow(cell, found)
