@@ -2,7 +2,7 @@
 
 Bytes are embedded; filters of several widths run over fixed-length windows, the
 maximum of each over the window goes to a softmax.  The network is trained in
-numpy by Adam on windows of a bounded sample of labelled documents.  A document is
+numpy by Adam on all windows of a bounded sample of labelled documents.  A document is
 scored over all its windows: the class probabilities are averaged.
 """
 
@@ -16,15 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from screenspark.llm.batches import map_batches, slices
 from screenspark.llm.sampling import held_out, labelled_sample
 
 WINDOW = 256
-#: Bound of the training sample: documents of a language, and windows of a document.
-SAMPLE_PER_LANG = 600
-SAMPLE_WINDOWS = 6
+#: Bound of the training sample: documents of a language, and of all languages.
+SAMPLE_PER_LANG = 400
+SAMPLE_TOTAL = 12_000
 LETTER = r"\p{L}"
 
 
@@ -116,47 +116,35 @@ class ByteCNN:
         return self
 
 
-def train_language_model(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, sample_windows: int = SAMPLE_WINDOWS, epochs: int = 5) -> ByteCNN | None:
-    """A network learned from a bounded sample of labelled documents that are not held out; None without labels.
+def train_language_model(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, total: int = SAMPLE_TOTAL, epochs: int = 5) -> ByteCNN | None:
+    """A network learned from whole texts of a bounded sample of labelled documents that are not held out; None without labels.
 
-    Only windows of the sampled texts, at even distances over the whole text, come
-    to the driver: ``per_lang * sample_windows`` of each of the 64 most frequent
-    languages.
+    Every language is learned: the driver gets at most ``per_lang`` documents of each
+    and ``total`` in all (one of each, if there are more languages than that).
     """
     labelled = docs.select("doc_id", docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    rows = labelled_sample(labelled, "lang", per_lang)
-    schema = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()), StructField("windows", StringType())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            chosen = []
-            for text in b.column("text").to_pylist():
-                w = windows_of(text.encode(), WINDOW, 3)
-                chosen.append(np.ascontiguousarray(w[np.unique(np.linspace(0, len(w) - 1, sample_windows).astype(int))]).tobytes().hex())
-            yield {"doc_id": b.column("doc_id"), "lang": b.column("lang"), "windows": chosen}
-
-    found = sorted(map_batches(rows.withColumn("doc_id", F.col("doc_id").cast("long")), cut, schema).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["windows"]))
+    found = sorted(((r["lang"], r["text"]) for r in labelled_sample(labelled, "lang", per_lang, total).select("lang", "text").collect()))
     if not found:
         return None
-    classes = sorted({r["lang"] for r in found})
-    x = [np.frombuffer(bytes.fromhex(r["windows"]), np.uint8).reshape(-1, WINDOW) for r in found]
-    y = np.repeat([classes.index(r["lang"]) for r in found], [len(a) for a in x])
+    classes = sorted({lang for lang, _ in found})
+    x = [windows_of(text.encode(), WINDOW, 3) for _, text in found]
+    y = np.repeat([classes.index(lang) for lang, _ in found], [len(a) for a in x])
     return ByteCNN(classes).fit(np.concatenate(x), y, epochs=epochs)
 
 
-def predict_language(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """All columns of ``docs`` with ``held_out``, ``lang_pred`` and ``lang_score``, no shuffle.
+def predict_language(docs: DataFrame, model: ByteCNN | None, out: tuple[str, str, str] = ("held_out", "lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``docs`` with ``held_out``, ``lang_pred`` and ``lang_score`` (or the names in ``out``), no shuffle.
 
     The score is the mean probability of the predicted language over all windows
     of the whole text.  A null text, or one without a letter, is ``und`` with score
     0; so is every text if no model could be trained.  Ties go to the first
     language by name; columns of ``docs`` with these names are replaced.
     """
-    base = docs.drop("lang_pred", "lang_score", "held_out")
+    base = docs.drop(*out)
     if base.schema["text"].dataType != StringType():
         base = base.withColumn("text", F.col("text").cast("string"))
     names = base.columns
-    schema = StructType([*base.schema, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    schema = StructType([*base.schema, StructField(out[1], StringType()), StructField(out[2], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -172,11 +160,7 @@ def predict_language(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
                     mean = np.add.reduceat(prob.astype(np.float64), np.cumsum(n) - n, axis=0) / n[:, None]
                     best = mean.argmax(axis=1)
                     pred[rows], score[rows] = np.array(model.classes, object)[best], np.minimum(1.0, mean[np.arange(len(best)), best])
-                yield {c: part.column(c) for c in names} | {"lang_pred": pred, "lang_score": score}
+                yield {c: part.column(c) for c in names} | {out[1]: pred, out[2]: score}
 
-    return map_batches(base, run, schema).withColumn("held_out", held_out())
+    return map_batches(base, run, schema).withColumn(out[0], held_out())
 
-
-def identify_languages(docs: DataFrame, **training) -> DataFrame:
-    """:func:`predict_language` with a network trained on the labelled rows of ``docs`` itself."""
-    return predict_language(docs, train_language_model(docs, **training))

@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenspark.plans.staging import stage
+
+#: A table of labels of at most so many rows is broadcast.
+BROADCAST_LABELS = 10_000
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that nothing is learned from: crc32 of the id's text is divisible by 5 (a null id: none)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(labelled: DataFrame, label: str, per_label: int, labels: int = 64) -> DataFrame:
-    """At most ``per_label`` rows of each of the ``labels`` most frequent labels, by the smallest hashes of doc_id.
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores behind those that are among ``columns`` (whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def under_share(h: Column, wanted: Column, rows: Column) -> Column:
+    """Whether a signed 64-bit hash lies in the lowest ``wanted / rows`` of all; every row where that is 1 or more."""
+    return h.cast("double") / F.lit(2.0**64) + 0.5 <= wanted / rows
+
+
+def labelled_sample(labelled: DataFrame, label: str, per_label: int, total: int | None = None) -> DataFrame:
+    """At most ``per_label`` rows of every label (rows without one: none), those with the smallest hashes of the whole row.
 
-    The hash bound of each label comes from its share of the table, so texts are
-    neither sorted nor shuffled; the expected number is exact and the spread that
-    of a random sample.
+    With ``total``, at most so many rows in all as long as there are fewer labels
+    than that: the number for each label is lowered alike, to one at least.  A bound
+    on the hash, from the count of the label and with room to spare, leaves few rows
+    to the exact cut, so texts are neither sorted nor shuffled as a whole.  Repeated
+    rows and null ids count like any other.
     """
-    counts = labelled.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
-    keep = F.lit(False)
-    for row in counts:
-        share = min(1.0, per_label / row["count"])
-        keep = keep | ((F.col(label) == F.lit(row[label])) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
-    return labelled.filter(keep)
+    marked = labelled.filter(F.col(label).isNotNull())
+    h, n, place = fresh(labelled.columns, "hash", "label_rows", "place")
+    marked = marked.withColumn(h, F.xxhash64(*labelled.columns))
+    counts = stage(marked.groupBy(label).agg(F.count("*").alias(n)), "label-counts")
+    labels = counts.count()
+    keep = per_label if total is None else max(1, min(per_label, total // max(1, labels)))
+    spare = keep + math.ceil(6 * math.sqrt(keep)) + 20
+    some = marked.join(F.broadcast(counts) if labels <= BROADCAST_LABELS else counts, label).filter(under_share(F.col(h), F.lit(float(spare)), F.col(n)))
+    cut = some.withColumn(place, F.row_number().over(Window.partitionBy(label).orderBy(h))).filter(F.col(place) <= keep)
+    return cut.select(*labelled.columns)

@@ -1,18 +1,14 @@
-"""Near-duplicate classes by word shingles: all pairs of a Jaccard similarity, exactly.
-
-A 64-bit SimHash cannot carry a similarity of 0.8: such pairs differ in about ten
-bits, and a trie join of that budget meets nearly all pairs.  Here each text puts
-the first shingles of its set, in one order that holds for all texts, into an
-index; two sets of similarity t share one of their first n - ceil(t n) + 1
-(prefix filter), so no pair is lost.  Shingles that are frequent in a sample come
-last in the order; the order decides the cost, never the result.
-
-Candidates come in two rounds, so that a dense group stays linear: first every
-text with one text of its list and length class, then the pairs of a list that
-are not yet in one class.  Each text has a bitmap of the parities of its shingles in
-BITS cells; two sets differ in at least as many shingles as their bitmaps in bits,
-so most candidates fall without their texts and no true pair does.  All that are
-left are verified on the whole sets.
+"""Word-shingle sets, their shared lists and the verification of pairs on whole sets.
+
+Each text puts the first shingles of its set, in one order that holds for all
+texts, into an inverted index; two sets of similarity t share one of their first
+n - ceil(t n) + 1 (prefix filter), so no pair is lost.  Shingles that are frequent
+in a sample come last in the order; the order decides the cost, never the result.
+
+How many of these first shingles two sets share bounds their similarity: all other
+common shingles lie behind the first ones of one of the two.  Most pairs that meet
+by a shared passage fall to this bound, without their texts and without losing a
+true pair.  All that are left are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -22,21 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from screenspark.llm.batches import map_batches, slices
-from screenspark.llm.components import components
-from screenspark.plans.staging import stage
+from screenspark.plans.staging import discard, stage
 
 #: One text of so many shows which shingles are frequent: those in so many of its texts, the most frequent ones.
 SAMPLE_ONE_IN = 16
 FREQUENT = 4
 MOST_FREQUENT = 300_000
 CACHE_WORDS = 500_000
-TASK_ROWS = 500_000
-BITS = 1024
+#: Lists of more texts than this are united by stars before their pairs are looked at.
+DENSE = 32
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -55,8 +50,8 @@ class Words(dict):
 WORDS = Words()
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word shingles of a text; fewer words are one shingle, none are none."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """64-bit hashes of the word shingles of a text in order, repeats included; fewer words are one shingle, none are none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII spaces
     h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     width = min(shingle, len(h))
@@ -66,18 +61,12 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     for i in range(width):
         out = (out ^ h[i : len(h) - width + 1 + i]) * np.uint64(MIX)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
 
 
-def parities(s: np.ndarray) -> bytes:
-    """Bitmap of the parities of the shingles in BITS cells."""
-    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
-
-
-def may_be_similar(a: pa.Array, b: pa.Array, n: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether bitmaps of sets of ``n`` shingles in sum leave room for the similarity."""
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (a, b))
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n * (1 - threshold) / (1 + threshold) + 1e-9
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of a text."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -103,10 +92,10 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _prefixes(docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """``doc_id, text_hash, key`` (of the shingle set), ``n``, ``bits`` and ``prefix`` of each row, no shuffle."""
+def described(docs: DataFrame, threshold: float, shingle: int, bits) -> DataFrame:
+    """``doc_id, text_hash, key`` (of the shingle set), ``n``, ``fp`` (``bits`` of its hashes) and ``prefix`` of each row, no shuffle."""
     often, counts = _frequent(docs, shingle)
-    schema = StructType([docs.select("doc_id").schema[0], StructField("text_hash", LongType()), StructField("key", LongType()), StructField("n", IntegerType()), StructField("bits", BinaryType()), StructField("prefix", ArrayType(LongType()))])
+    schema = StructType([docs.select("doc_id").schema[0], StructField("text_hash", LongType()), StructField("key", LongType()), StructField("n", IntegerType()), StructField("fp", LongType()), StructField("prefix", ArrayType(LongType()))])
 
     def prefix(s: np.ndarray) -> np.ndarray:
         take = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1 if len(s) else 0
@@ -120,75 +109,94 @@ def _prefixes(docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
+                hashes = [shingle_hashes(t, shingle) for t in part.column("text").to_pylist()]
+                fp = np.array([bits(h) for h in hashes], np.uint64)
+                sets = [np.unique(h) for h in hashes]
                 key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
                 first = [prefix(s) for s in sets]
                 ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 flat = np.concatenate(first or [np.zeros(0, np.int64)])
-                yield {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "key": key.view(np.int64), "n": [len(s) for s in sets], "bits": [parities(s) for s in sets], "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+                yield {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "key": key.view(np.int64), "n": [len(s) for s in sets], "fp": fp.view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
     return map_batches(docs, run, schema)
 
 
-def _shared(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows ``h, key, n`` of lists of two different texts or more, and ``first``: a text of the list and length class."""
+def shared_lists(rows: DataFrame) -> DataFrame:
+    """The rows ``h, key`` of lists of two different texts or more, each once.
 
-    def lists(table: pa.Table) -> dict:
-        h, n, key = (table.column(c).to_numpy() for c in ("h", "n", "key"))
-        new = np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (key[1:] != key[:-1]))  # exact copies once
-        h, n, key = h[new], n[new], key[new]
-        start = np.append(True, h[1:] != h[:-1])
-        size = np.diff(np.append(np.flatnonzero(start), len(h)))
-        keep = np.repeat(size > 1, size)
-        h, n, key = h[keep], n[keep], key[keep]
-        kind = np.floor(np.log(np.maximum(n, 1)) / -math.log(threshold))
-        begin = np.append(True, (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]))[: len(h)]
-        return {"h": h, "key": key, "n": n, "first": key[np.flatnonzero(begin)[np.cumsum(begin) - 1]] if len(h) else key}
+    A task streams over its lists and holds one row beside the batch, however long
+    a list is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[pa.RecordBatch] = []
+        last, passed = None, False  # the last row, and whether it was passed on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= TASK_ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                h = table.column("h").to_numpy()
-                cut = int(np.argmax(h == h[-1]))  # the last list may go on in the next batch
-                if cut:
-                    yield lists(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield lists(pa.Table.from_batches(held).combine_chunks())
-
-    schema = StructType([StructField("h", LongType()), StructField("key", LongType()), StructField("n", IntegerType()), StructField("first", LongType())])
-    return map_batches(rows.repartition("h").sortWithinPartitions("h", "n", "key"), run, schema)
-
-
-def _possible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``u, v`` that their bitmaps do not rule out."""
-    sides = [nodes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "uv"]
-    both = pairs.join(sides[0], "u").join(sides[1], "v")
+            now = np.stack([batch.column("h").to_numpy(), batch.column("key").to_numpy()], axis=1)
+            old = last is not None
+            if old:
+                now = np.concatenate([last, now])
+            now = now[np.append(True, (now[1:] != now[:-1]).any(axis=1))]  # exact copies once
+            like = now[1:, 0] == now[:-1, 0]
+            keep = np.append(False, like) | np.append(like, False)
+            keep[0] &= not (old and passed)
+            passed = bool(like[-1]) if len(like) else passed
+            last = now[-1:]
+            yield {"h": now[keep, 0], "key": now[keep, 1]}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            if b.num_rows:
-                n = b.column("n_u").to_numpy().astype(np.int64) + b.column("n_v").to_numpy()
-                keep = pa.array(may_be_similar(b.column("bits_u"), b.column("bits_v"), n, threshold))
-                yield {c: b.column(c).filter(keep) for c in "uv"}
+    schema = StructType([StructField("h", LongType()), StructField("key", LongType())])
+    return map_batches(rows.repartition("h").sortWithinPartitions("h", "key"), run, schema)
+
+
+def with_roots(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``h, key, n, root`` of the lists whose texts are not yet of one class."""
+    known = nodes.select("key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = lists.join(known, "key")
+    mixed = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a <> b").select("h", "size")
+    return rows.join(mixed, "h")
 
-    return map_batches(both, run, StructType([StructField("u", LongType()), StructField("v", LongType())]))
 
+def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair ``u, v`` for each text of a dense list: with the centre that it shares most lists with."""
+    dense = rows.filter(F.col("size") > DENSE)
+    centre = dense.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "root")).alias("c")).select("h", F.col("c.key").alias("v"), F.col("c.root").alias("root_v"))
+    met = dense.join(centre, "h").filter("root <> root_v").groupBy(F.col("key").alias("u"), "v").count()
+    return met.groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """The pairs ``u, v`` whose whole sets are similar."""
-    pairs = stage(_possible(pairs, nodes, threshold), "pairs")
+
+def _first(n: Column, threshold: float) -> Column:
+    return n - F.ceil(n * threshold - 1e-9) + 1
+
+
+def possible_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``u, v`` of different classes in one list that may be similar.
+
+    In each list the members outside its largest class meet all others, so a list
+    that is nearly of one class costs little.
+    """
+    largest = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+    rows = rows.join(largest, "h").withColumn("minor", F.col("root") != F.col("major"))
+    a, b = (rows.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "root", "minor"))) for s in "uv")
+    once = ~F.col("minor_v") | (F.col("key_u") < F.col("key_v"))
+    close = F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold - 1e-9
+    met = a.filter("minor_u").join(b, "h").filter((F.col("root_u") != F.col("root_v")) & once & close)
+    u, v = F.least("key_u", "key_v").alias("u"), F.greatest("key_u", "key_v").alias("v")
+    sizes = F.struct(F.least("n_u", "n_v").alias("lo"), F.greatest("n_u", "n_v").alias("hi"))
+    met = met.groupBy(u, v).agg(F.count("*").alias("shared"), F.any_value(sizes).alias("n"))
+    rest = F.greatest(*(F.col(f"n.{c}") - _first(F.col(f"n.{c}"), threshold) for c in ("lo", "hi")))
+    need = F.ceil((F.col("n.lo") + F.col("n.hi")) * (threshold / (1 + threshold)) - 1e-9)
+    return met.filter(F.col("shared") + rest >= need).select("u", "v")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """The pairs ``u, v`` whose whole sets are similar, as a table in the shared folder."""
+    pairs = stage(pairs, "pairs")
     keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
     wanted = nodes.join(keys, "key", "left_semi").select("key", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
     found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["text_hash"] == wanted["_hash"]))
     texts = stage(found.select("key", "text").dropDuplicates(["key"]), "texts")
     sides = [texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
-    both = pairs.join(sides[0], "u").join(sides[1], "v").sortWithinPartitions("v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         last, held = None, None
@@ -201,35 +209,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
             yield {"u": batch.column("u"), "v": batch.column("v"), "near": near}
 
     schema = StructType([StructField("u", LongType()), StructField("v", LongType()), StructField("near", BooleanType())])
-    return map_batches(both.select("u", "v", "text_u", "text_v"), run, schema).filter("near").select("u", "v")
-
-
-def shingle_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Near-duplicate class of each row of ``docs`` (doc_id, text): texts linked by a Jaccard similarity of ``threshold`` or more.
-
-    Returns ``doc_id, component_id`` (the smallest doc_id in the class),
-    ``component_key`` (one value for each class) and ``text_hash``.  Null, empty and
-    blank texts are one class.  Repeated rows stay; null ids count only if a class
-    has no other.  An empty table gives no rows; other columns are not read.
-    """
-    docs = docs.select("doc_id", docs["text"].cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    marked = stage(_prefixes(docs, threshold, shingle), "prefixes")
-    shared = stage(_shared(marked.select(F.explode("prefix").alias("h"), "n", "key"), threshold), "lists")
-    one = F.struct("doc_id", "text_hash")
-    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(one).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    star = shared.filter("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v")).distinct()
-    first = stage(components(_verified(star, nodes, docs, threshold, shingle)), "roots")
-    classed = shared.select("h", "key", "n").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classed = stage(classed, "classed")
-    open_lists = classed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("h")
-    left = classed.join(open_lists, "h", "left_semi")
-    a, b = (left.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "root"))) for s in "uv")
-    close = F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold - 1e-9
-    pairs = a.join(b, "h").filter((F.col("root_u") < F.col("root_v")) & close)
-    rest = pairs.select(F.col("key_u").alias("u"), F.col("key_v").alias("v")).distinct()
-    edges = _verified(rest, nodes, docs, threshold, shingle).unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    roots = components(edges).select(F.col("node").alias("key"), "root")
-    classes = nodes.select("key", "low").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stage(classes.select("key", "root").join(lows, "root"), "classes")
-    return marked.select("doc_id", "text_hash", "key").join(named, "key").select("doc_id", "component_id", F.col("root").alias("component_key"), "text_hash")
+    both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "text_u", "text_v")
+    out = stage(map_batches(both, run, schema).filter("near").select("u", "v"), "near")
+    discard(texts)
+    discard(pairs)
+    return out

@@ -4,12 +4,18 @@ Fingerprints that differ in at most ``max_bits`` bits agree on one of
 ``max_bits + 1`` blocks of bits.  Each distinct fingerprint is rotated so that
 each block in turn comes first, and the nodes under one block value are one
 trie.  In a trie, pairs of nodes are traversed together from the block down:
-differing bits add up, and a pair is dropped once they exceed the budget.  A trie
-with very many fingerprints is dealt out as pairs of its nodes eight levels
-further down, again within the budget.
+differing bits add up, and a pair is dropped once they exceed the budget.  A pair
+of nodes with very many fingerprints is dealt out as the pairs of their nodes eight
+levels further down, again within the budget, until every pair is small.
 
 A task passes on a spanning forest of the links that it finds, not the links, so
 that dense groups stay linear; components join the forests.
+
+Two rules decide what is near.  ``simhash_components`` goes by bits alone.
+``similar_components`` goes by the Jaccard similarity of word shingles: the trie
+join gives the first links, which are verified, and the texts that share first
+shingles of their sets and are not yet in one class are compared after it, as a
+similarity of 0.8 means about ten of 64 bits, a budget that prunes no trie.
 """
 
 from __future__ import annotations
@@ -23,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from screenspark.llm.batches import map_batches, slices
+from screenspark.llm import shingle_dedup
 from screenspark.llm.components import Forest, components
 from screenspark.plans.staging import stage
 
-#: A trie with more fingerprints than this is dealt out as pairs of nodes.
+#: A pair of nodes with more fingerprints than this is dealt out as pairs of nodes below.
 TRIE_LEAVES = 20_000
 SPLIT_BITS = 8
 #: Rows that a task gathers before it traverses their tries, and pairs compared at once.
@@ -50,12 +57,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         spans = zip((stop - n)[: 1 - shingle].tolist(), stop[shingle - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_digest
     h = np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in spans]), np.uint8).reshape(-1, 8)
+    return majority_bits(h)
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that are set in over half the rows of eight big-endian bytes; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint_of_hashes(h: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes."""
+    return majority_bits(h.astype(">u8").view(np.uint8).reshape(-1, 8))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (signed long) and ``text_hash`` for each row of ``docs``, no shuffle."""
     schema = StructType([docs.select("doc_id").schema[0], StructField("fp", LongType()), StructField("text_hash", LongType())])
@@ -135,29 +152,63 @@ def trie_links(tree: np.ndarray, key: np.ndarray, side: np.ndarray | None, depth
     compare(a0, a1, b0, b1)
 
 
-def fingerprint_links(nodes: DataFrame, max_bits: int = 3, leaves: int = TRIE_LEAVES) -> DataFrame:
-    """Edges ``u, v`` that connect the distinct fingerprints ``fp`` within ``max_bits`` bits."""
+def node_pairs(nodes: DataFrame, max_bits: int, leaves: int) -> DataFrame:
+    """``block, depth, a, b, side, r``: fingerprints by pairs (a, b) of trie nodes within the budget.
+
+    First every trie is one pair of a node with itself.  While a pair has more than
+    ``leaves`` fingerprints, it is replaced by the pairs of nodes SPLIT_BITS further
+    down whose bits still fit the budget; at full depth a pair has two.
+    """
     blocks = max_bits + 1
     width = 64 // blocks
     turned = F.array(*(F.struct(F.lit(i).alias("block"), _rotated(F.col("fp"), i * width).alias("r")) for i in range(blocks)))
-    rows = nodes.select(F.explode(turned).alias("x")).select("x.block", "x.r").withColumn("value", F.shiftrightunsigned("r", 64 - width))
-    hot = rows.groupBy("block", "value").count().filter(F.col("count") > leaves).select("block", "value", F.lit(True).alias("hot"))
-    near = [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= max_bits]
-    prefix = F.shiftrightunsigned("r", 64 - width - SPLIT_BITS).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
-    other = F.transform(F.array(*map(F.lit, near)), lambda m: F.col("p").bitwiseXOR(m))
-    whole = F.array(F.struct(F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("side")))
-    split = F.transform(other, lambda q: F.struct((F.least(F.col("p"), q) * 256 + F.greatest(F.col("p"), q)).alias("pair"), F.when(F.col("p") > q, 1).otherwise(0).alias("side")))
-    rows = rows.join(hot, ["block", "value"], "left").withColumn("p", prefix)
-    rows = rows.withColumn("y", F.explode(F.when(F.col("hot"), split).otherwise(whole))).select("block", "value", "y.pair", "y.side", "r")
+    rows = nodes.select(F.explode(turned).alias("x")).select("x.block", "x.r")
+    value = F.shiftrightunsigned("r", 64 - width)
+    open_rows = rows.select("block", F.lit(width).alias("depth"), value.alias("a"), value.alias("b"), F.lit(0).alias("side"), F.lit(0).alias("diff"), "r")
+    masks = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("bits")) for m in range(1 << SPLIT_BITS) if m.bit_count() <= max_bits))
+    done = None
+    while True:
+        by = ["block", "depth", "a", "b"]
+        hot = open_rows.groupBy(*by).count().filter(F.col("count") > leaves).select(*by)
+        hot = stage(hot, "hot")
+        cold = open_rows.join(hot, by, "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        if hot.isEmpty():
+            return done.select(*by, "side", "r")
+        depth = hot.first()["depth"]
+        step = min(SPLIT_BITS, 64 - depth)
+        p = F.shiftrightunsigned("r", 64 - depth - step).bitwiseAND(F.lit((1 << step) - 1))
+        fits = F.filter(masks, lambda x: (x["bits"] + F.col("diff") <= max_bits) & (x["m"] < F.lit(1 << step)))
+        met = open_rows.join(hot, by, "left_semi").withColumn("p", p).withColumn("x", F.explode(fits)).withColumn("q", F.col("p").bitwiseXOR(F.col("x.m")))
+        self_pair = F.col("a") == F.col("b")
+        below = lambda node, bits: F.shiftleft(F.col(node), step).bitwiseOR(bits)
+        left = F.when(self_pair, F.least("p", "q")).when(F.col("side") == 0, F.col("p")).otherwise(F.col("q"))
+        right = F.when(self_pair, F.greatest("p", "q")).when(F.col("side") == 0, F.col("q")).otherwise(F.col("p"))
+        side = F.when(self_pair, (F.col("p") > F.col("q")).cast("int")).otherwise(F.col("side"))
+        open_rows = stage(met.select("block", F.lit(depth + step).alias("depth"), below("a", left).alias("a"), below("b", right).alias("b"), side.alias("side"), (F.col("diff") + F.col("x.bits")).alias("diff"), "r"), "node-pairs")
+
+
+def fingerprint_links(nodes: DataFrame, max_bits: int = 3, leaves: int = TRIE_LEAVES) -> DataFrame:
+    """Edges ``u, v`` that connect the distinct fingerprints ``fp`` within ``max_bits`` bits."""
+    width = 64 // (max_bits + 1)
+    cell = ["block", "depth", "a", "b"]
+    rows = node_pairs(nodes, max_bits, leaves)
     # Unsigned order of r within a side.
-    rows = rows.withColumn("o", F.col("r").bitwiseXOR(F.lit(-(2**63)))).repartition("block", "value", "pair").sortWithinPartitions("block", "value", "pair", "side", "o")
+    rows = rows.withColumn("o", F.col("r").bitwiseXOR(F.lit(-(2**63)))).repartition(*cell).sortWithinPartitions(*cell, "side", "o")
 
     def links(table: pa.Table) -> dict:
-        block, value, pair = (table.column(c).to_numpy() for c in ("block", "value", "pair"))
+        block, *where = (table.column(c).to_numpy() for c in cell)
         r = table.column("r").to_numpy().view(np.uint64)
-        key = np.cumsum(np.append(True, (block[1:] != block[:-1]) | (value[1:] != value[:-1]) | (pair[1:] != pair[:-1])))
+        key = np.cumsum(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (block, *where)])))
+        side = table.column("side").to_numpy()
+        first = np.flatnonzero(np.diff(key, prepend=0))
+        alone = np.minimum.reduceat(side, first) == np.maximum.reduceat(side, first)
+        alone &= where[1][first] != where[2][first]  # two nodes, of which one is empty
+        some = ~alone[key - 1]
+        block, r, key, side = block[some], r[some], key[some], side[some]
         forest = Forest(len(r))
-        trie_links(r, key, table.column("side").to_numpy(), width, max_bits, forest)
+        if len(r):
+            trie_links(r, key, side, width, max_bits, forest)
         back = (block.astype(np.uint64) * np.uint64(width)) % np.uint64(64)
         fp = np.where(back == 0, r, (r >> back) | (r << ((np.uint64(64) - back) % np.uint64(64)))).view(np.int64)
         child = np.flatnonzero(forest.label != np.arange(len(r)))
@@ -169,16 +220,15 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 3, leaves: int = TRIE_LE
             held.append(batch)
             if sum(b.num_rows for b in held) >= TASK_ROWS:
                 table = pa.Table.from_batches(held).combine_chunks()
-                last = [table.column(c)[-1].as_py() for c in ("block", "value", "pair")]
-                same = np.logical_and.reduce([table.column(c).to_numpy() == x for c, x in zip(("block", "value", "pair"), last, strict=True)])
-                cut = int(np.argmax(same))  # the last trie may go on in the next batch
+                same = np.logical_and.reduce([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in cell])
+                cut = int(np.argmax(same))  # the last pair of nodes may go on in the next batch
                 if cut:
                     yield links(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
         if held:
             yield links(pa.Table.from_batches(held).combine_chunks())
 
-    return map_batches(rows.select("block", "value", "pair", "side", "r"), run, StructType([StructField("u", LongType()), StructField("v", LongType())]))
+    return map_batches(rows.select(*cell, "side", "r"), run, StructType([StructField("u", LongType()), StructField("v", LongType())]))
 
 
 def simhash_components(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> DataFrame:
@@ -198,3 +248,40 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, shingle: int = 3) ->
     lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
     found = stage(classed.select("fp", "root").join(lows, "root"), "classes")
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("component_key"), "text_hash")
+
+
+def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, max_bits: int = 3, turns: int = 2) -> DataFrame:
+    """Near-duplicate class of each row of ``docs`` (doc_id, text): texts linked by a Jaccard similarity of ``threshold`` or more of their word shingles.
+
+    Returns ``doc_id, component_id`` (the smallest doc_id in the class),
+    ``component_key`` (one value for each class) and ``text_hash``, a hash of the
+    text, or the caller's column of that name that tells rows of one id apart.  Null,
+    empty and blank texts are one class.  Repeated rows stay; null ids count only if a class
+    has no other.  An empty table gives no rows; other columns are not read.
+
+    All pairs are found: the trie join and ``turns`` rounds of stars over dense lists
+    only unite classes early, and every pair of two classes that shares a first
+    shingle is then held against the bound of its shared ones and verified.
+    """
+    own = F.col("text_hash").cast("long") if "text_hash" in docs.columns else F.xxhash64("text")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), own.alias("text_hash"))
+    marked = stage(shingle_dedup.described(docs, threshold, shingle, fingerprint_of_hashes), "shingles")
+    one = F.struct("doc_id", "text_hash")
+    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(one).alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    lists = stage(shingle_dedup.shared_lists(marked.select(F.explode("prefix").alias("h"), "key")), "lists")
+    by_fp = stage(nodes.groupBy("fp").agg(F.min("key").alias("rep")), "fingerprints")
+    ends = [by_fp.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "uv"]
+    near = fingerprint_links(by_fp, max_bits).join(ends[0], "u").join(ends[1], "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
+    near = near.unionByName(nodes.join(by_fp, "fp").filter("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))).distinct()
+    check = lambda pairs: shingle_dedup.verified(pairs, nodes, docs, threshold, shingle)
+    edges = check(near)
+    for turn in range(turns):
+        rows = shingle_dedup.with_roots(lists, nodes, stage(components(edges), "roots"))
+        edges = edges.unionByName(check(shingle_dedup.star_pairs(rows, turn)))
+    rows = stage(shingle_dedup.with_roots(lists, nodes, stage(components(edges), "roots")), "open-lists")
+    edges = edges.unionByName(check(shingle_dedup.possible_pairs(rows, threshold)))
+    roots = components(edges).select(F.col("node").alias("key"), "root")
+    classes = nodes.select("key", "low").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stage(classes.select("key", "root").join(lows, "root"), "classes")
+    return marked.select("doc_id", "text_hash", "key").join(named, "key").select("doc_id", "component_id", F.col("root").alias("component_key"), "text_hash")

@@ -21,15 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from screenspark.llm.batches import map_batches, slices
 from screenspark.llm.sampling import held_out, labelled_sample
 
 WIDTH, STEP = 32, 16
-#: Bound of the training sample: documents of a label, and characters of a document (in windows spread over it).
+#: Bound of the training sample: documents of a label.
 SAMPLE_PER_LABEL = 1500
-SAMPLE_CHARS = 20_000
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>*_-"
 CACHE_WORDS = 200_000
@@ -327,40 +326,34 @@ class Scorer:
         return sigmoid(worst)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, sample_chars: int = SAMPLE_CHARS, **fit) -> GatedNet | None:
-    """A network learned from a bounded sample of labelled documents that are not held out.
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, **fit) -> GatedNet | None:
+    """A network learned from whole texts of a bounded sample of labelled documents that are not held out.
 
     None if fewer than two labels are there.  The driver gets at most ``per_label``
-    texts of each label, in expectation, of ``sample_chars`` characters: of a longer
-    text, ten pieces at even distances.
+    documents of each label; where a doc_id stands for several texts, one of them is
+    learned from, and where it has several labels, the greatest counts.
     """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = labelled_sample(marks, "label", per_label)  # bounded by per_label
+    ids = docs.filter(F.col("text").isNotNull()).select("doc_id").distinct()
+    chosen = labelled_sample(marks.join(ids, "doc_id", "left_semi"), "label", per_label)  # 2 * per_label rows at most
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    schema = StructType([StructField("doc_id", LongType()), StructField("label", LongType()), StructField("text", StringType())])
+    one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = sorted((r["doc_id"], r["text"], r["label"]) for r in one.collect())
+    y = np.array([r[2] for r in found])
+    return train_net([r[1] for r in found], y, **fit) if len(set(y.tolist())) == 2 else None
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        piece = sample_chars // 10
-        for b in batches:
-            out = [t if len(t) <= sample_chars else " ".join(t[s : s + piece] for s in np.linspace(0, len(t) - piece, 10).astype(int)) for t in b.column("text").to_pylist()]
-            yield {"doc_id": b.column("doc_id"), "label": b.column("label"), "text": out}
 
-    found = sorted(map_batches(texts.withColumn("doc_id", F.col("doc_id").cast("long")), shorten, schema).collect(), key=lambda r: (r["doc_id"], r["text"]))
-    y = np.array([r["label"] for r in found])
-    return train_net([r["text"] for r in found], y, **fit) if len(set(y.tolist())) == 2 else None
-
-
-def score_toxicity(docs: DataFrame, net: GatedNet | None) -> DataFrame:
-    """All columns of ``docs`` with ``held_out``, ``tox_score`` (0 to 1) and ``tox_pred`` (score >= 0.5), no shuffle.
+def score_toxicity(docs: DataFrame, net: GatedNet | None, out: tuple[str, str, str] = ("held_out", "tox_score", "tox_pred")) -> DataFrame:
+    """All columns of ``docs`` with ``held_out``, ``tox_score`` (0 to 1) and ``tox_pred`` (score >= 0.5), or the names in ``out``, no shuffle.
 
     All overlapping windows of the whole text count.  A null or empty text has one
     empty window; without a network every score is 0.  Columns of ``docs`` with
     these names are replaced; repeated rows and null ids get a score each.
     """
-    base = docs.drop("held_out", "tox_score", "tox_pred")
+    base = docs.drop(*out)
     if base.schema["text"].dataType != StringType():
         base = base.withColumn("text", F.col("text").cast("string"))
-    schema = StructType([*base.schema, StructField("tox_score", DoubleType())])
+    schema = StructType([*base.schema, StructField(out[1], DoubleType())])
 
     names = base.columns
 
@@ -369,6 +362,6 @@ def score_toxicity(docs: DataFrame, net: GatedNet | None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 score = scorer.score(part.column("text")).astype(np.float64) if scorer else np.zeros(part.num_rows)
-                yield {c: part.column(c) for c in names} | {"tox_score": score}
+                yield {c: part.column(c) for c in names} | {out[1]: score}
 
-    return map_batches(base, run, schema).withColumn("held_out", held_out()).withColumn("tox_pred", (F.col("tox_score") >= 0.5).cast("int"))
+    return map_batches(base, run, schema).withColumn(out[0], held_out()).withColumn(out[2], (F.col(out[1]) >= 0.5).cast("int"))

@@ -195,7 +195,7 @@ def test_language_held_out_accuracy_and_edge_rows(spark, docs, no_docs):
     edge = byte_cnn_lang.predict_language(docs, model).collect()
     assert len(edge) == len(ROWS) and all(0 <= r.lang_score <= 1 for r in edge)
     assert {r.lang_pred for r in edge if r.doc_id in (3, 4, 7)} == {"und"}
-    assert byte_cnn_lang.identify_languages(no_docs).count() == 0
+    assert byte_cnn_lang.predict_language(no_docs, byte_cnn_lang.train_language_model(no_docs)).count() == 0
 
 
 def test_toxicity_held_out_accuracy_and_edge_rows(spark, docs, no_docs):
