@@ -1,4 +1,4 @@
-"""SentencePiece N-best segmentation and decoding over the piece lattice of a vocabulary.
+"""SentencePiece N-best segmentation, encoding and decoding over the piece lattice of a vocabulary.
 
 Method: forward Viterbi scores of the lattice are exact heuristics for an A-star
 search that goes backward from its end, so the first N complete paths that it pops
@@ -6,8 +6,14 @@ are the N best.  A text is cut before each run of word marks, which no piece
 spans after other characters, and between characters that no piece has next to each
 other; the lattices of these parts are independent, so each distinct part is
 searched once, many of one length side by side in numpy, and the N best of a text
-follow from those of its parts.  A path's score is the sum of the scores of its
-pieces.
+follow from those of its parts.
+
+The vocabulary is one of merges: its scores are ranks of merges, and summed alone
+they favour fragments.  So the nodes of the lattice are pieces at their places, and a
+junction of two pieces that the merges would not leave side by side costs BREAK,
+which is more than any sum of scores.  Exactly one path has no such junction, the
+library's encoding, which is thus the best; the others follow by their numbers of
+broken junctions, then by the scores of their pieces.
 """
 
 from __future__ import annotations
@@ -20,33 +26,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from screenspark.llm.batches import map_batches, slices
 from screenspark.llm.token_counts import public_path
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_UNITS = 600_000
+CACHE_UNITS = 300_000
 #: Score of a character without a piece, below that of any piece; its bytes are the tokens.
 UNKNOWN_MARGIN = 10.0
 
-#: Fixed value: scores at or below this mark pieces that stand outside the merges, such as runs of spaces.
+#: Fixed value: scores at or below this mark pieces that are merged after all others, such as runs of spaces.
 UNUSED = -1e8
-CACHE_PARTS = 400_000
-#: Parts searched side by side, and the most characters of such a part.
-SIDE_BY_SIDE = 2048
+CACHE_PARTS = 300_000
+CACHE_JUNCTIONS = 2_000_000
+#: Cost of a junction that the merges would not leave.
+BREAK = 1e12
+#: Cells of the lattices searched side by side, and the most characters of such a part.
+CELLS = 4_000_000
 LONGEST_ROW = 64
 HASH = 0x9E3779B97F4A7C15
+NO_RANK = 1 << 40
 
 _MODELS: dict[str, "PieceLattice"] = {}
 
 
-def lattice(name: str) -> "PieceLattice":
-    if name not in _MODELS:
-        _MODELS[name] = PieceLattice(name)
-    return _MODELS[name]
+def lattice(name: str, n: int = 4) -> "PieceLattice":
+    if (name, n) not in _MODELS:
+        _MODELS[name, n] = PieceLattice(name, n)
+    return _MODELS[name, n]
 
 
 def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -55,29 +66,47 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts - (stop - n), n)
 
 
-class Ragged:
-    """Growing rows of ids with a score and what the other N best lose."""
+class Paths:
+    """The N best paths of each of a growing number of strings: ids, and what each loses against the best (inf: none)."""
 
     def __init__(self, n: int):
-        self._flat, self._used, self._rows = np.zeros(1 << 16, np.int32), 0, 0
-        self._start, self._length, self._score, self._loss = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12), np.zeros((1 << 12, n - 1))
+        self.n, self.flat, self._used, self.rows = n, np.zeros(1 << 16, np.int32), 0, 0
+        self.start, self.length = np.zeros((1 << 12, n), np.int64), np.zeros((1 << 12, n), np.int64)
+        self.score, self.loss = np.zeros(1 << 12), np.zeros((1 << 12, n))
 
     def add(self, flat: np.ndarray, length: np.ndarray, score: np.ndarray, loss: np.ndarray) -> None:
-        while self._used + len(flat) > len(self._flat):
-            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        a, b = self._rows, self._rows + len(length)
-        while b > len(self._start):
-            self._start, self._length, self._score, self._loss = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._length, self._score, self._loss))
-        self._flat[self._used : self._used + len(flat)] = flat
-        self._start[a:b], self._length[a:b] = self._used + np.cumsum(length) - length, length
-        self._score[a:b], self._loss[a:b] = score, loss
-        self._used, self._rows = self._used + len(flat), b
-
-    flat = property(lambda self: self._flat)
-    start = property(lambda self: self._start)
-    length = property(lambda self: self._length)
-    score = property(lambda self: self._score)
-    loss = property(lambda self: self._loss)
+        """Rows of n paths each: all ids, path after path, and their lengths (0 where there is no path)."""
+        while self._used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        a, b = self.rows, self.rows + len(score)
+        while b > len(self.score):
+            self.start, self.length, self.score, self.loss = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.score, self.loss))
+        self.flat[self._used : self._used + len(flat)] = flat
+        each = length.ravel()
+        self.start[a:b], self.length[a:b] = (self._used + np.cumsum(each) - each).reshape(length.shape), length
+        self.score[a:b], self.loss[a:b] = score, loss
+        self._used, self.rows = self._used + len(flat), b
+
+    def ids(self, row: int, place: int) -> np.ndarray:
+        at = self.start[row, place]
+        return self.flat[at : at + self.length[row, place]]
+
+
+def least_sums(losses: list[list[float]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The n least sums of one loss from each list (the first is 0), with the places that differ from the first: (list, choice).
+
+    Only the n lists with the least second losses matter.
+    """
+    if len(losses) > n:
+        some = heapq.nsmallest(n, range(len(losses)), key=lambda i: (losses[i][1], i))
+    else:
+        some = range(len(losses))
+    sums: list[tuple[float, tuple]] = [(0.0, ())]
+    for i in sorted(some):
+        row = losses[i]
+        if row[1] < np.inf:
+            sums = heapq.nsmallest(n, [(s + x, how + ((i, k),) if k else how) for s, how in sums for k, x in enumerate(row) if x < np.inf])
+    return sums
 
 
 class PieceLattice:
@@ -87,10 +116,11 @@ class PieceLattice:
         model = sentencepiece.SentencePieceProcessor(model_file=name if "/" in name else public_path(name))
         self.model, self.n = model, n
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        scored = [s for s in map(model.get_score, plain) if s > UNUSED]
+        raw = {model.id_to_piece(i): model.get_score(i) for i in plain}
+        scored = [s for s in raw.values() if s > UNUSED]
         self.low = min(scored) - UNKNOWN_MARGIN
-        # Pieces outside the merges (marks alone) count as the last of all.
-        self.pieces = {model.id_to_piece(i): (model.get_score(i) if model.get_score(i) > UNUSED else min(scored) - 1, i) for i in plain}
+        # As parts of a path, pieces that are merged after all others count as the last of all.
+        self.pieces = {model.id_to_piece(i): (raw[model.id_to_piece(i)] if raw[model.id_to_piece(i)] > UNUSED else min(scored) - 1, i) for i in plain}
         self.bytes = {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.piece_of = {i: p for p, (_, i) in self.pieces.items()}
@@ -103,6 +133,8 @@ class PieceLattice:
             raise ValueError("two pieces have the same hash")
         values = list(self.pieces.values())
         self.hash_scores, self.hash_ids = np.array([v[0] for v in values], np.float64)[order], np.array([v[1] for v in values], np.int64)[order]
+        names = list(self.pieces)
+        self._learn_merges(raw, [names[i] for i in order])
         self._clear()
         self._clear_parts()
 
@@ -113,46 +145,130 @@ class PieceLattice:
             h = (h * HASH + ord(c) + 1) & (2**64 - 1)
         return h
 
+    def _learn_merges(self, raw: dict[str, float], names: list[str]) -> None:
+        """Rank, halves and length of each piece, in the order of the hashes; a piece that its own merges do not make is broken.
+
+        The last merge of a piece is of two shorter pieces that stay apart until its
+        own rank, so the halves are found by rising length.
+        """
+        count = len(names)
+        score = np.array([raw[p] for p in names])
+        self.size = np.array([len(p) for p in names], np.int64)
+        self.power = np.array([pow(HASH, k, 2**64) for k in range(self.longest + 1)], np.uint64)
+        merged = self.size > 1
+        levels = np.unique(-score[merged])
+        self.rank = np.where(merged, np.searchsorted(levels, -score), -1)
+        self.depth_rank, self.whole = np.full(count, -1, np.int64), ~merged
+        self.left, self.right = np.full(count, -1, np.int64), np.full(count, -1, np.int64)
+        for length in range(2, self.longest + 1):
+            rows = np.flatnonzero(self.size == length)
+            codes = np.frombuffer("".join(names[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), length).astype(np.uint64) + np.uint64(1)
+            heads, tails = np.zeros((length + 1, len(rows)), np.uint64), np.zeros((length + 1, len(rows)), np.uint64)
+            for k in range(length):
+                heads[k + 1] = heads[k] * np.uint64(HASH) + codes[:, k]
+                tails[k + 1] = tails[k] + codes[:, length - 1 - k] * self.power[k]
+            for k in range(1, length):
+                (l, has_l), (r, has_r) = self._found(heads[k]), self._found(tails[length - k])
+                some = np.flatnonzero(has_l & has_r & self.whole[l] & self.whole[r] & ~self.whole[rows])
+                some = some[self.kept_apart(l[some], r[some], self.rank[rows[some]])]
+                i = rows[some]
+                self.whole[i], self.depth_rank[i], self.left[i], self.right[i] = True, self.rank[i], l[some], r[some]
+
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
+    def kept_apart(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether the merges (those ``before`` a rank, if given) leave pieces a and b (places) side by side.
+
+        The symbols on both sides of the junction are followed from the whole pieces
+        back to characters; the pieces are apart if no two of these symbols would have
+        been merged before one of them went into its own piece.
+        """
+        a, b = a.copy(), b.copy()
+        ok, live = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), NO_RANK) if before is None else before.copy()
+        while len(live):
+            x, y = a[live], b[live]
+            size = self.size[x] + self.size[y]
+            at, hit = self._found(self.hashes[x] * self.power[self.size[y]] + self.hashes[y])
+            hit &= size <= self.longest
+            cross = hit & (self.rank[at] < limit[live])
+            ok[live[cross]] = False
+            later = self.depth_rank[x] > self.depth_rank[y]
+            done = cross | (~later & (self.depth_rank[y] < 0))
+            step = live[~done & later]
+            limit[step] = self.depth_rank[a[step]]
+            a[step] = self.right[a[step]]
+            step = live[~done & ~later]
+            limit[step] = self.depth_rank[b[step]] + 1
+            b[step] = self.left[b[step]]
+            live = live[~done]
+        return ok
+
+    def breaks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Cost of each junction of two places; what is found is kept."""
+        key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        keys, back = np.unique(key, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.seen, keys), max(0, len(self.seen) - 1))
+        known = self.seen[at] == keys if len(self.seen) else np.zeros(len(keys), bool)
+        cost = np.zeros(len(keys))
+        cost[known] = self.seen_cost[at[known]]
+        new = keys[~known]
+        cost[~known] = np.where(self.kept_apart((new >> np.uint64(32)).astype(np.int64), (new & np.uint64(0xFFFFFFFF)).astype(np.int64)), 0.0, BREAK)
+        if len(self.seen) + len(new) > CACHE_JUNCTIONS:
+            self.seen, self.seen_cost = np.zeros(0, np.uint64), np.zeros(0)
+        merged = np.concatenate([self.seen, new])
+        order = np.argsort(merged, kind="stable")
+        self.seen, self.seen_cost = merged[order], np.concatenate([self.seen_cost, cost[~known]])[order]
+        return cost[back]
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.unit = Ragged(self.n)
+        self.unit = Paths(self.n)
 
     def _clear_parts(self) -> None:
         self.part_index: dict[str, int] = {}
-        self.part = Ragged(self.n)
-
-    def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a unit, best first; equal scores in the order in which they are reached."""
-        size, get = len(unit), self.pieces.get
-        best = [0.0] + [-np.inf] * size
-        into: list[list] = [[] for _ in range(size + 1)]
-        for a in range(size):
-            base = best[a]
-            for b in range(a + 1, min(size, a + self.longest) + 1):
-                if found := get(unit[a:b]):
-                    into[b].append((a, found[0], (found[1],)))
-                    if base + found[0] > best[b]:
-                        best[b] = base + found[0]
-            if unit[a] not in self.pieces:
-                into[a + 1].append((a, self.low, tuple(self.bytes[x] for x in unit[a].encode())))
-                if base + self.low > best[a + 1]:
-                    best[a + 1] = base + self.low
-        push, pop = heapq.heappush, heapq.heappop
-        heap: list = [(-best[size], 0, size, 0.0, None)]
-        out, made = [], 0
+        self.part = Paths(self.n)
+        self.seen, self.seen_cost = np.zeros(0, np.uint64), np.zeros(0)
+
+    def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best (score, ids) of a part, best first; equal scores in the order in which they are reached."""
+        size = len(part)
+        # Nodes: (begin, end, score, ids, place); place -1 is a character without a piece, which merges with nothing.
+        nodes: list[tuple] = []
+        ending: list[list[int]] = [[] for _ in range(size + 1)]
+        for b in range(1, size + 1):
+            for a in range(max(0, b - self.longest), b):
+                if found := self.pieces.get(part[a:b]):
+                    at = int(self._found(np.array([self._hash(part[a:b])], np.uint64))[0][0])
+                    ending[b].append(len(nodes))
+                    nodes.append((a, b, found[0] - (0.0 if self.whole[at] else BREAK), (found[1],), at))
+            if part[b - 1] not in self.pieces:
+                ending[b].append(len(nodes))
+                nodes.append((b - 1, b, self.low, tuple(self.bytes[x] for x in part[b - 1].encode()), -1))
+        joints = [(i, j) for j, node in enumerate(nodes) for i in ending[node[0]] if nodes[i][4] >= 0 and node[4] >= 0]
+        cost = dict(zip(joints, self.breaks(np.array([nodes[i][4] for i, _ in joints], np.int64), np.array([nodes[j][4] for _, j in joints], np.int64)).tolist(), strict=True)) if joints else {}
+        best: list[float] = []
+        for j, (a, _, score, _, _) in enumerate(nodes):
+            best.append(score + (max((best[i] - cost.get((i, j), 0.0) for i in ending[a]), default=-np.inf) if a else 0.0))
+        heap: list = [(-best[j], j, j, 0.0, None) for j in ending[size]]
+        heapq.heapify(heap)
+        out, made = [], len(nodes)
         while heap and len(out) < n:
-            f, _, at, tail, path = pop(heap)
-            if not at:
-                ids: list[int] = []
+            f, _, j, tail, path = heapq.heappop(heap)
+            a, _, score, ids, _ = nodes[j]
+            if not a:
+                found_ids: list[int] = list(ids)
                 while path:
-                    ids += path[0]
+                    found_ids += path[0]
                     path = path[1]
-                out.append((-f, tuple(ids)))
+                out.append((-f, tuple(found_ids)))
                 continue
-            for a, score, piece in into[at]:
+            for i in ending[a]:
                 made += 1
-                after = score + tail
-                push(heap, (-(best[a] + after), made, a, after, (piece, path)))
+                after = score - cost.get((i, j), 0.0) + tail
+                heapq.heappush(heap, (-(best[i] + after), made, i, after, (ids, path)))
         return out
 
     def search_many(self, parts: list[str]) -> None:
@@ -161,88 +277,99 @@ class PieceLattice:
         for p in parts:
             by_length.setdefault(len(p), []).append(p)
         for n, group in by_length.items():
-            for at in range(0, len(group), SIDE_BY_SIDE):
-                rows = group[at : at + SIDE_BY_SIDE]
+            deep = min(n, self.longest)
+            side = max(16, CELLS // ((n + 1) * deep * deep))
+            for at in range(0, len(group), side):
+                rows = group[at : at + side]
                 if n > LONGEST_ROW:
-                    odd, scores, flat, lengths = np.ones(len(rows), bool), np.full((len(rows), self.n), -np.inf), np.zeros(0, np.int64), np.zeros(len(rows), np.int64)
+                    odd = np.ones(len(rows), bool)
                 else:
                     odd, scores, flat, lengths = self._search_rows(np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32).reshape(len(rows), n).astype(np.uint64))
-                plain = [r for r, o in zip(rows, odd.tolist(), strict=True) if not o]
-                base = len(self.part_index)
-                self.part_index.update(zip(plain, range(base, base + len(plain)), strict=True))
-                best = scores[~odd, 0]
-                self.part.add(flat, lengths[~odd], best, best[:, None] - scores[~odd, 1:])
+                    plain = [r for r, o in zip(rows, odd.tolist(), strict=True) if not o]
+                    base = len(self.part_index)
+                    self.part_index.update(zip(plain, range(base, base + len(plain)), strict=True))
+                    self.part.add(flat, lengths, scores[:, 0], scores[:, :1] - scores)
                 for r, o in zip(rows, odd.tolist(), strict=True):
-                    if o:  # characters without a piece
+                    if o:  # characters without a piece, or a very long part
                         paths = self.search(r, self.n)
-                        loss = [paths[0][0] - s for s, _ in paths[1:]] + [np.inf] * (self.n - len(paths))
+                        loss = [paths[0][0] - s for s, _ in paths] + [np.inf] * (self.n - len(paths))
+                        lengths = [len(ids) for _, ids in paths] + [0] * (self.n - len(paths))
                         self.part_index[r] = len(self.part_index)
-                        self.part.add(np.array(paths[0][1], np.int64), np.array([len(paths[0][1])]), np.array([paths[0][0]]), np.array([loss]))
+                        self.part.add(np.array([i for _, ids in paths for i in ids], np.int64), np.array([lengths]), np.array([paths[0][0]]), np.array([loss]))
 
     def _search_rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """N-best search of parts of one length, given as code points.
 
-        Returns which parts have a character without a piece (not searched), the N
-        best scores of each part, the ids of the best paths of the others, flat, and
-        their lengths.
+        Returns which parts have a character without a piece (not searched), and of
+        the others the N best scores, the ids of these paths, flat, and their lengths.
         """
         m, n = codes.shape
         deep = min(n, self.longest)
-        score, ids = np.full((m, n + 1, deep), -np.inf), np.zeros((m, n + 1, deep), np.int32)
+        score, ids, place = np.full((m, n + 1, deep), -np.inf), np.zeros((m, n + 1, deep), np.int32), np.zeros((m, n + 1, deep), np.int32)
         h = np.zeros((m, n), np.uint64)
         for k in range(1, deep + 1):  # pieces of k characters, by their ends
             h = h[:, : n - k + 1] * np.uint64(HASH) + codes[:, k - 1 :] + np.uint64(1)
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            score[:, k:, k - 1] = np.where(hit, self.hash_scores[at], -np.inf)
-            ids[:, k:, k - 1] = self.hash_ids[at]
+            at, hit = self._found(h)
+            score[:, k:, k - 1] = np.where(hit, self.hash_scores[at] - np.where(self.whole[at], 0.0, BREAK), -np.inf)
+            ids[:, k:, k - 1], place[:, k:, k - 1] = self.hash_ids[at], at
         odd = np.isneginf(score[:, 1:, 0]).any(axis=1)
-        forward = np.zeros((m, n + 1))
+        score, ids, place = score[~odd], ids[~odd], place[~odd]
+        m = len(score)
+        # joint[:, b, k, j]: cost between the piece of k + 1 characters that ends at b and one of j + 1 characters before it.
+        joint = np.zeros((m, n + 1, deep, deep))
+        there = score > -np.inf
+        for k in range(1, deep):
+            r, b, j = np.nonzero(there[:, k:, k - 1, None] & there[:, : n + 1 - k, :])
+            joint[r, b + k, k - 1, j] = self.breaks(place[r, b, j], place[r, b + k, k - 1])
+        forward = np.full((m, n + 1, deep), -np.inf)
         for b in range(1, n + 1):
-            k = min(b, deep)
-            forward[:, b] = (score[:, b, :k] + forward[:, b - k : b][:, ::-1]).max(axis=1)
-        best, path = np.full((m, self.n), -np.inf), np.full((m, n), -1, np.int64)
-        alive = np.flatnonzero(~odd)
-        score, ids, forward = score[alive], ids[alive], forward[alive]
-        # Nodes of the search: estimate, place, score of the path behind it, parent node and piece.
-        room = 1 + 8 * deep
-        f, tail = np.full((len(alive), room), -np.inf), np.zeros((len(alive), room))
-        place, parent, piece = (np.zeros((len(alive), room), np.int32) for _ in range(3))
-        f[:, 0], place[:, 0], piece[:, 0] = forward[:, n], n, -1
-        used, found = 1, np.zeros(len(alive), np.int64)
-        back = np.arange(1, deep + 1)
+            for k in range(1, min(b, deep) + 1):
+                before = (forward[:, b - k] - joint[:, b, k - 1]).max(axis=1) if b > k else 0.0
+                forward[:, b, k - 1] = score[:, b, k - 1] + before
+        # Nodes of the search: estimate, end and size of the piece, score of the path behind it, parent node.
+        room = 8 * deep
+        best, path, steps = np.full((m, self.n), -np.inf), np.zeros((m, self.n, n), np.int64), np.zeros((m, self.n), np.int64)
+        alive = np.arange(m)
+        f, tail = np.full((m, room), -np.inf), np.zeros((m, room))
+        end, size, parent = (np.zeros((m, room), np.int32) for _ in range(3))
+        f[:, :deep], end[:, :deep], size[:, :deep], parent[:, :deep] = forward[:, n], n, np.arange(deep), -1
+        used, found = deep, np.zeros(m, np.int64)
         while len(alive):
             r = np.arange(len(alive))
             j = f[:, :used].argmax(axis=1)
-            v, b = f[r, j], place[r, j]
+            v, b, k = f[r, j], end[r, j], size[r, j]
             f[r, j] = -np.inf
             live = (v > -np.inf) & (found < self.n)
-            done = np.flatnonzero(live & (b == 0))
+            begin = b - k - 1
+            done = np.flatnonzero(live & (begin == 0))
             if len(done):
-                best[alive[done], found[done]] = v[done]
-                first = done[found[done] == 0]
-                slot = j[first]
-                for step in range(n):
-                    path[alive[first], step] = piece[first, slot]
-                    slot = np.where(piece[first, slot] >= 0, parent[first, slot], slot)
+                rank, row, slot = found[done], alive[done], j[done]
+                best[row, rank] = v[done]
+                for _ in range(n):
+                    going = slot >= 0
+                    if not going.any():
+                        break
+                    d, w, q, t = done[going], row[going], rank[going], slot[going]
+                    path[w, q, steps[w, q]] = ids[d, end[d, t], size[d, t]]
+                    steps[w, q] += 1
+                    slot = np.where(going, parent[done, slot], -1)
                 found[done] += 1
-            grow = np.flatnonzero(live & (b > 0))
+            grow = np.flatnonzero(live & (begin > 0))
             if used + deep > f.shape[1]:
                 more = ((0, 0), (0, 8 * deep))
                 f = np.pad(f, more, constant_values=-np.inf)
-                tail, place, parent, piece = (np.pad(x, more) for x in (tail, place, parent, piece))
-            end = b[grow]
-            start = end[:, None] - back
-            total = score[grow, end] + tail[grow, j[grow]][:, None]
-            inside = np.maximum(start, 0)
+                tail, end, size, parent = (np.pad(x, more) for x in (tail, end, size, parent))
+            gb, gk, gj, at = b[grow], k[grow], j[grow], begin[grow]
+            after = (score[grow, gb, gk] + tail[grow, gj])[:, None] - joint[grow, gb, gk]
             block = slice(used, used + deep)
-            f[grow, block] = np.where(start >= 0, forward[grow[:, None], inside] + total, -np.inf)
-            place[grow, block], tail[grow, block], parent[grow, block], piece[grow, block] = inside, total, j[grow][:, None], ids[grow, end]
+            f[grow, block] = forward[grow, at] + after
+            end[grow, block], size[grow, block], tail[grow, block], parent[grow, block] = at[:, None], np.arange(deep), after, gj[:, None]
             used += deep
             keep = live & (found < self.n)
             if keep.sum() < 0.7 * len(keep):
-                alive, found, score, ids, forward, f, tail, place, parent, piece = (x[keep] for x in (alive, found, score, ids, forward, f, tail, place, parent, piece))
-        return odd, best, path[~odd][path[~odd] >= 0], (path >= 0).sum(axis=1)
+                alive, found, score, ids, forward, joint, f, tail, end, size, parent = (x[keep] for x in (alive, found, score, ids, forward, joint, f, tail, end, size, parent))
+        flat = path[np.arange(n) < steps[:, :, None]]
+        return odd, best, flat, steps
 
     def units(self, texts: pa.Array) -> pa.Array:
         """Units of each text: its words with the spaces before them, as marks."""
@@ -283,41 +410,38 @@ class PieceLattice:
         self.search_many([p for p in new if p])
         if "" in new:
             self.part_index[""] = len(self.part_index)
-            self.part.add(np.zeros(0, np.int64), np.array([0]), np.zeros(1), np.full((1, self.n - 1), np.inf))
+            self.part.add(np.zeros(0, np.int64), np.zeros((1, self.n), np.int64), np.zeros(1), np.array([[0.0] + [np.inf] * (self.n - 1)]))
         at = np.fromiter(map(self.part_index.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy(zero_copy_only=False)]
         if (n == 0).any():
             order = np.insert(np.arange(len(parts) - 1), np.searchsorted(ends[:-1], starts[n == 0]), place)
             at, count = at[order], np.where(n == 0, 1, count)
         p = self.part
         first = np.cumsum(count) - count
-        length = p.length[at]
-        flat = p.flat[_ranges(p.start[at], length)]
-        score = np.add.reduceat(p.score[at], first)
-        sums = np.concatenate([np.zeros((len(units), 1)), p.loss[at[first]]], axis=1)
-        for k in range(1, int(count.max())):
-            if k > 16:
-                break
-            u = np.flatnonzero((count > k) & (count <= 17))
-            if not len(u):
-                continue
-            following = np.concatenate([np.zeros((len(u), 1)), p.loss[at[first[u] + k]]], axis=1)
-            sums[u] = np.sort((sums[u][:, :, None] + following[:, None, :]).reshape(len(u), -1), axis=1)[:, : self.n]
-        for u in np.flatnonzero(count > 17):
-            s = [-x for x in self._combine(0.0, p.loss[at[first[u] : first[u] + count[u]]])]
-            sums[u] = s + [np.inf] * (self.n - len(s))
+        length, loss = np.zeros((len(units), self.n), np.int64), np.full((len(units), self.n), np.inf)
+        pieces: list[np.ndarray] = []
+        one = count == 1
+        length[one], loss[one] = p.length[at[first[one]]], p.loss[at[first[one]]]
+        for u in np.flatnonzero(~one):
+            rows = at[first[u] : first[u] + count[u]]
+            best = [p.ids(r, 0) for r in rows]
+            for k, (lost, how) in enumerate(least_sums(p.loss[rows].tolist(), self.n)):
+                chosen = list(best)
+                for i, other in how:
+                    chosen[i] = p.ids(rows[i], other)
+                pieces += chosen
+                length[u, k], loss[u, k] = sum(map(len, chosen)), lost
+        # All ids, unit after unit and path after path: those of one part are copied from it.
+        total = length.sum(axis=1)
+        flat, stop = np.zeros(int(total.sum()), np.int64), np.cumsum(total)
+        each = length[one]
+        flat[_ranges((stop - total)[one], total[one])] = p.flat[_ranges(p.start[at[first[one]]].ravel(), each.ravel())]
+        flat[_ranges((stop - total)[~one], total[~one])] = np.concatenate(pieces or [np.zeros(0, np.int64)])
         base = len(self.index)
         self.index.update(zip(units, range(base, base + len(units)), strict=True))
-        self.unit.add(flat, np.add.reduceat(length, first), score, sums[:, 1:])
-
-    def _sums(self, losses: list[list[float]]) -> list[float]:
-        """N least sums of one loss, or none, from each list."""
-        sums = [0.0]
-        for row in losses:
-            sums = sorted(s + x for s in sums for x in [0.0, *row] if x < np.inf)[: self.n]
-        return sums
+        self.unit.add(flat, length, np.add.reduceat(p.score[at], first), loss)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-        """Ids of the best segmentations, where each text's ids stop, and each text's N best scores."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, np.ndarray]]]]:
+        """Ids of the best segmentations, where each text's ids stop, and each text's N best (score, ids)."""
         lists = self.units(texts)
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
@@ -326,23 +450,31 @@ class PieceLattice:
             self._clear()
             new = distinct
         self._learn(new)
-        place = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
-        at = place[words.indices.to_numpy(zero_copy_only=False)]
+        row = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        at = row[words.indices.to_numpy(zero_copy_only=False)]
         u = self.unit
-        n = u.length[at]
+        n = u.length[at, 0]
         stop = np.cumsum(n)
-        flat = u.flat[_ranges(u.start[at], n)].astype(np.uint32)
+        flat = u.flat[_ranges(u.start[at, 0], n)].astype(np.uint32)
+        begins = np.append(0, stop)
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-        score, loss = u.score[at], u.loss[at]
-        nbest = [self._combine(float(score[a:b].sum()), loss[a:b]) for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
-        return flat, np.append(0, stop)[ends], nbest
-
-    def _combine(self, best: float, losses: np.ndarray) -> list[float]:
-        """N best sums of one alternative for each unit; only the N units with the least first losses matter."""
-        n = self.n
-        if len(losses) > n:
-            losses = losses[np.argpartition(losses[:, 0], n - 1)[:n]]
-        return [best - s for s in self._sums(losses.tolist())]
+        score, second = u.score[at], u.loss[at, 1] if self.n > 1 else np.full(len(at), np.inf)
+        out = []
+        for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            ids, best = flat[begins[a] : begins[b]], float(score[a:b].sum())
+            some = np.arange(a, b)
+            if b - a > self.n:
+                some = np.sort(a + np.argpartition(second[a:b], self.n - 1)[: self.n])
+            found = [(best, ids)]
+            for lost, how in least_sums(u.loss[at[some]].tolist(), self.n)[1:] if self.n > 1 else ():
+                cut, parts = begins[a], []
+                for i, k in how:
+                    w = some[i]
+                    parts += [flat[cut : begins[w]], u.ids(at[w], k).astype(np.uint32)]
+                    cut = begins[w + 1]
+                found.append((best - lost, np.concatenate([*parts, flat[cut : begins[b]]])))
+            out.append(found)
+        return flat, begins[ends], out
 
     def segment(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text."""
@@ -353,6 +485,10 @@ class PieceLattice:
             paths = heapq.nlargest(n, [(a + b, p + list(q)) for a, p in paths for b, q in found], key=lambda x: x[0])
         return paths
 
+    def strings(self) -> np.ndarray:
+        """The bytes of each id; ids outside the text, such as begin and end, have none."""
+        return np.array([bytes([self.byte_of[i]]) if i in self.byte_of else self.piece_of.get(i, "").encode() for i in range(self.model.get_piece_size())], dtype=object)
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids; bytes that are not UTF-8 become the replacement character."""
         out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.piece_of.get(i, "").encode() for i in ids)
@@ -360,36 +496,57 @@ class PieceLattice:
         return text[1:] if text.startswith(" ") else text
 
 
-def segment_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", with_ids: bool = True) -> DataFrame:
-    """Best segmentation and N best scores of each row of ``docs`` (doc_id, text), no shuffle.
+def segment_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", n: int = 4, with_ids: bool = True) -> DataFrame:
+    """The N best segmentations of each row of ``docs`` (doc_id, text), no shuffle.
 
-    Returns ``doc_id, n_pieces, ids_crc32, nbest_scores`` (4 at most, best first),
-    ``round_trip`` (the ids decode to the text, with word marks read as spaces) and,
-    on demand, ``ids``.  A null or empty text has no pieces and one segmentation of
-    score zero.  Characters without a piece become bytes.  Repeated rows and null
-    ids give a row each; other columns are not read.
+    Returns ``doc_id, n_pieces, ids_crc32`` (of the best, which is the library's
+    encoding), ``nbest_scores`` and ``nbest_crc32`` (at most ``n``, best first; a
+    score is the sum of the pieces' scores less BREAK for each junction that the
+    merges would not leave), ``round_trip`` (the best ids decode to the text, with
+    word marks read as spaces) and, on demand, ``nbest``, an array of (score, ids).
+    A null or empty text has no pieces and one segmentation of score zero.
+    Characters without a piece become bytes.  Repeated rows and null ids give a row
+    each; other columns are not read.
     """
-    fields = [docs.select("doc_id").schema[0], StructField("n_pieces", LongType()), StructField("ids_crc32", LongType()), StructField("nbest_scores", ArrayType(DoubleType())), StructField("round_trip", BooleanType())]
+    fields = [docs.select("doc_id").schema[0], StructField("n_pieces", LongType()), StructField("ids_crc32", LongType()), StructField("nbest_scores", ArrayType(DoubleType())), StructField("nbest_crc32", ArrayType(LongType())), StructField("round_trip", BooleanType())]
     if with_ids:
-        fields.append(StructField("ids", ArrayType(IntegerType())))
+        fields.append(StructField("nbest", ArrayType(StructType([StructField("score", DoubleType()), StructField("ids", ArrayType(IntegerType()))]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        pieces = lattice(model)
-        table = pieces.piece_of
-        strings = np.array([bytes([pieces.byte_of[i]]) if i in pieces.byte_of else table.get(i, "").encode() for i in range(pieces.model.get_piece_size())], dtype=object)
+        pieces = lattice(model, n)
+        strings = pieces.strings()
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, stops, nbest = pieces.encode(part.column("text"))
                 begins = np.append(0, stops[:-1])
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc, same = [], []
+                crc = [[zlib.crc32(x.astype("<u4").tobytes()) for _, x in found] for found in nbest]
+                same = []
                 for a, b, text in zip(begins.tolist(), stops.tolist(), part.column("text").to_pylist(), strict=True):
-                    crc.append(zlib.crc32(raw[4 * a : 4 * b]))
                     back = b"".join(strings[ids[a:b]].tolist()).decode("utf-8", "replace").replace(MARK, " ")
                     same.append(back[1:] == (text or "").replace(MARK, " ") if text else not back)
-                out = {"doc_id": part.column("doc_id"), "n_pieces": stops - begins, "ids_crc32": crc, "nbest_scores": nbest, "round_trip": same}
+                out = {"doc_id": part.column("doc_id"), "n_pieces": stops - begins, "ids_crc32": [c[0] for c in crc], "nbest_scores": [[s for s, _ in found] for found in nbest], "nbest_crc32": crc, "round_trip": same}
                 if with_ids:
-                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    out["nbest"] = [[{"score": s, "ids": x.astype(np.int32)} for s, x in found] for found in nbest]
                 yield out
 
     return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text")), run, StructType(fields))
+
+
+def decode_ids(rows: DataFrame, ids: str | Column = "ids", model: str = "piece_bpe_32k.model", out: str = "decoded") -> DataFrame:
+    """``rows`` with the text of an array of ids, no shuffle.
+
+    Null ids give null, no ids the empty text; ids outside the vocabulary, null ones
+    and control ids are passed over; bytes that are not UTF-8 become the replacement
+    character.  A column of the name ``out`` is replaced.
+    """
+    base = rows.drop(out).withColumn("_ids_to_text", (F.col(ids) if isinstance(ids, str) else ids).cast("array<int>"))
+    names = [c for c in base.columns if c != "_ids_to_text"]
+    schema = StructType([f for f in base.schema if f.name != "_ids_to_text"] + [StructField(out, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        pieces = lattice(model)
+        for batch in batches:
+            texts = [None if x is None else pieces.decode(i for i in x if i is not None) for x in batch.column("_ids_to_text").to_pylist()]
+            yield {c: batch.column(c) for c in names} | {out: texts}
+
+    return map_batches(base, run, schema)

@@ -67,8 +67,8 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best segmentation and 4-best scores of all documents."""
-    return segment_texts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", with_ids=False)
+    """The 4 best segmentations of all documents, as scores and checksums; the best is the library's encoding."""
+    return segment_texts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", n=4, with_ids=False)
 
 
 @query
