@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from screenspark.llm.batches import map_batches, slices
-from screenspark.llm.sampling import held_out, labelled_sample
+from screenspark.llm.sampling import fitted, held_out, labelled_sample
 
 WINDOW = 256
 #: Bound of the training sample: documents of a language, and of all languages.
@@ -119,17 +119,20 @@ class ByteCNN:
 def train_language_model(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, total: int = SAMPLE_TOTAL, epochs: int = 5) -> ByteCNN | None:
     """A network learned from whole texts of a bounded sample of labelled documents that are not held out; None without labels.
 
-    Every language is learned: the driver gets at most ``per_lang`` documents of each
-    and ``total`` in all (one of each, if there are more languages than that).
+    Every language is learned: the task that trains gets at most ``per_lang`` documents
+    of each and ``total`` in all (one of each, if there are more languages than that).
     """
     labelled = docs.select("doc_id", docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    found = sorted(((r["lang"], r["text"]) for r in labelled_sample(labelled, "lang", per_lang, total).select("lang", "text").collect()))
-    if not found:
-        return None
-    classes = sorted({lang for lang, _ in found})
-    x = [windows_of(text.encode(), WINDOW, 3) for _, text in found]
-    y = np.repeat([classes.index(lang) for lang, _ in found], [len(a) for a in x])
-    return ByteCNN(classes).fit(np.concatenate(x), y, epochs=epochs)
+
+    def fit(rows: list[tuple[str, str]]) -> ByteCNN | None:
+        if not rows:
+            return None
+        classes = sorted({lang for lang, _ in rows})
+        x = [windows_of(text.encode(), WINDOW, 3) for _, text in rows]
+        y = np.repeat([classes.index(lang) for lang, _ in rows], [len(a) for a in x])
+        return ByteCNN(classes).fit(np.concatenate(x), y, epochs=epochs)
+
+    return fitted(labelled_sample(labelled, "lang", per_lang, total).select("lang", "text"), fit)
 
 
 def predict_language(docs: DataFrame, model: ByteCNN | None, out: tuple[str, str, str] = ("held_out", "lang_pred", "lang_score")) -> DataFrame:

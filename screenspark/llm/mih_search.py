@@ -2,21 +2,23 @@
 
 Vectors become binary codes: the signs after several rotations, each learned on a
 bounded sample by alternating codes and rotations (the quantisation error never
-grows).  A code is split into 8-bit substrings, each of which has an inverted
+grows).  A code is split into 16-bit substrings, each of which has an inverted
 index.  Two codes within radius r agree in some substring up to floor(r / m) bits
-(m substrings), so probing these buckets of every index finds every code within
-the radius; the codes found are checked and reranked by the inner products of the
-original vectors, in double precision.
+(m substrings), so probing the buckets up to that reach in every index finds every
+code within the radius.  Only codes found by a probe are looked at: their bits are
+compared, and those near enough are reranked by the inner products of the original
+vectors, in double precision.
 
 Inner products are angles first: each candidate gets a coordinate
 sqrt(max_norm^2 - norm^2) and each query a zero there, so that the greatest inner
 product is the least angle, whatever the norms.
 
 Queries in blocks meet shards of the index; every task returns the best of its
-cell, and the best over the shards are kept.  A query first probes with a small
-radius, which grows until k codes are found; the angle of its k-th score then
-gives the radius that it must cover: the bits expected at this angle and MARGIN
-standard deviations, up to all bits.
+cell, and the best over the shards are kept.  A query's reach grows bit by bit: the
+angle of its k-th score gives the chance that a neighbour at this angle lies in a
+probed bucket, and the probing ends once it is RECALL (nearer ones are found more
+surely).  Where a reach would meet over half of all codes (neighbours near a right
+angle, or few vectors), all codes of the shard are compared.
 """
 
 from __future__ import annotations
@@ -36,14 +38,15 @@ from screenspark.plans.staging import stage
 
 #: Vectors that the rotations are learned from, those with the smallest hashes.
 LEARN_SAMPLE = 8192
-SHARD_ROWS = 16_384
-QUERY_ROWS = 4096
-#: Queries probed at once.
-PROBE = 256
+SHARD_ROWS = 65_536
+QUERY_ROWS = 8192
+#: Blocks of queries are smaller in small tables, so that there are so many, of so many queries at least.
+BLOCKS, SMALL_BLOCK = 12, 128
+SUB = 16
+#: Chance at which a neighbour at the angle of the k-th score must be in a probed bucket.
+RECALL = 0.95
 #: Standard deviations of the bits in which two vectors of one angle differ, beyond their mean.
 MARGIN = 2.5
-#: Radii are rounded up to so many bits, so that queries are probed together.
-STEP = 8
 
 
 def lengths(x: np.ndarray) -> np.ndarray:
@@ -73,11 +76,20 @@ def as_queries(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x / lengths(x)[:, None], np.zeros((len(x), 1))], axis=1)
 
 
-def needed_radius(score: np.ndarray, norm: np.ndarray, max_norm: float, bits: int) -> np.ndarray:
-    """Bits within which the codes at the angle of ``score`` lie, with the margin."""
-    p = np.arccos(np.clip(score / norm / max_norm, -1.0, 1.0)) / np.pi
-    r = bits * p + MARGIN * np.sqrt(bits * p * (1 - p))
-    return np.minimum(bits, np.ceil(r / STEP) * STEP).astype(np.int64)
+def angle_share(score: float, norm: float, max_norm: float) -> float:
+    """The share of bits in which codes at the angle of a score differ."""
+    return math.acos(max(-1.0, min(1.0, score / norm / max_norm))) / math.pi
+
+
+def needed_radius(p: float, bits: int) -> int:
+    """Bits within which the codes at an angle lie, with the margin."""
+    return min(bits, math.ceil(bits * p + MARGIN * math.sqrt(bits * p * (1 - p))))
+
+
+def found_share(p: float, reach: int, substrings: int) -> float:
+    """The chance that codes that differ in a share ``p`` of bits agree in some substring up to ``reach`` bits."""
+    one = sum(math.comb(SUB, i) * p**i * (1 - p) ** (SUB - i) for i in range(reach + 1))
+    return 1 - (1 - min(1.0, one)) ** substrings
 
 
 def learn_rotations(vectors: DataFrame, bits: int, max_norm: float, sample: int = LEARN_SAMPLE, rounds: int = 15, seed: int = 7) -> np.ndarray:
@@ -98,123 +110,144 @@ def learn_rotations(vectors: DataFrame, bits: int, max_norm: float, sample: int
 
 
 class SubstringIndex:
-    """Inverted lists of a set of codes (n x m bytes), one index for each byte."""
+    """Inverted lists of a set of codes (n x bytes), one index for each substring."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.words = codes.view(np.uint64)
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.starts = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order, strict=True)]
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, code) positions of all codes within ``radius`` bits."""
-        m = self.codes.shape[1]
-        reach = radius // m
-        masks = np.array([v for v in range(256) if v.bit_count() <= reach])
-        hit = np.zeros((len(queries), len(self.codes)), bool)
-        for j in range(m):
-            order, starts = self.order[j], self.starts[j]
-            for value in np.unique(queries[:, j]):
-                probes = value ^ masks
-                found = np.concatenate([order[starts[p] : starts[p + 1]] for p in probes.tolist()])
-                for q in np.flatnonzero(queries[:, j] == value):
-                    hit[q, found] = True
-        words = queries.view(np.uint64)
-        apart = np.zeros(hit.shape, np.uint16)
-        for w in range(words.shape[1]):
-            apart += np.bitwise_count(words[:, w, None] ^ self.words[None, :, w])
-        return np.nonzero(hit & (apart <= radius))
-
-
-def search_cell(table: pa.Table, k: int, radius: int, max_norm: float) -> dict:
+        self.words, sub = codes.view(np.uint64), codes.view(np.uint16)
+        self.n, self.m = sub.shape
+        self.order = np.concatenate([np.argsort(c, kind="stable") for c in sub.T]) if self.m else np.zeros(0, np.int64)
+        sizes = np.stack([np.bincount(c, minlength=1 << SUB) for c in sub.T]) if self.m else np.zeros((0, 1 << SUB), np.int64)
+        self.starts = np.append(0, np.cumsum(sizes.ravel()))
+        self.offset = np.arange(self.m)[:, None] << SUB
+
+    def probe(self, code: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """Positions of codes in the buckets that differ from a code's substrings by one of the masks; they may repeat."""
+        bucket = ((code.view(np.uint16)[:, None] ^ masks).astype(np.int64) + self.offset).ravel()
+        lo = self.starts[bucket]
+        n = self.starts[bucket + 1] - lo
+        lo, n = lo[n > 0], n[n > 0]
+        stop = np.cumsum(n)
+        return self.order[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(lo - (stop - n), n)]
+
+    def apart(self, code: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Bits in which a code differs from those at ``rows``."""
+        return np.bitwise_count(self.words[rows] ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+_ALL = np.arange(1 << SUB, dtype=np.uint16)
+#: Masks by their number of bits.
+SHELLS = [_ALL[np.bitwise_count(_ALL) == e] for e in range(SUB + 1)]
+
+
+def best_codes(index: SubstringIndex, code: np.ndarray, query: np.ndarray, x: np.ndarray, own: int, k: int, norm: float, max_norm: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Positions of candidates among which the k best of a query are, their scores, and the share of codes that were looked at.
+
+    ``own`` is the position of the query itself, -1 if it is not in this index.
+    """
+    bits, met, rows, apart = SUB * index.m, np.zeros(index.n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    others = index.n - (own >= 0)
+    if own >= 0:
+        met[own] = True
+    for reach in range(SUB + 1):
+        everything = not index.m or found_share(0.5, reach, index.m) > 0.5
+        met_before = met.copy()
+        if everything:
+            met[:] = True
+        else:
+            met[index.probe(code, SHELLS[reach])] = True
+        new = np.flatnonzero(met & ~met_before)
+        rows, apart = np.append(rows, new), np.append(apart, index.apart(code, new))
+        if len(rows) == others <= k:
+            return rows, x[rows] @ query, 1.0
+        if len(rows) <= k:
+            continue
+        near = np.argpartition(apart, k - 1)[:k]
+        p = angle_share(float((x[rows[near]] @ query).min()), norm, max_norm)
+        some = rows[apart <= max(needed_radius(p, bits), int(apart[near].max()))]
+        score = x[some] @ query
+        p = angle_share(float(np.partition(score, len(score) - k)[len(score) - k]), norm, max_norm)
+        if everything or found_share(p, reach, index.m) >= RECALL:
+            return some, score, len(rows) / max(1, others)
+    return rows, x[rows] @ query, 1.0
+
+
+def search_cell(table: pa.Table, k: int, max_norm: float) -> dict:
     """The k best of one shard for each query of one block."""
     asks = table.column("asks").to_numpy(zero_copy_only=False)
     rows, ids, x = table.column("row").to_numpy(), table.column("vec_id").to_numpy(zero_copy_only=False), matrix(table.column("embedding")).astype(np.float64)
-    codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
-    bits = 8 * codes.shape[1]
+    codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)  # of no bytes: vectors that are compared whole
     q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-    out: dict = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []}
+    out: dict = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": [], "probed": []}
     if not len(q) or not len(c):
         return out
     null = np.array([i is None for i in ids]) if ids.dtype == object else np.isnan(ids) if ids.dtype.kind == "f" else np.zeros(len(ids), bool)
     tie = np.where(null, np.iinfo(np.int64).max, np.where(null, 0, ids).astype(np.int64))
-    norm = lengths(x)
-    index = SubstringIndex(np.ascontiguousarray(codes[c]))
-    for at in range(0, len(q), PROBE):
-        todo = q[at : at + PROBE]
-        reach = np.full(len(todo), radius)
-        while len(todo):
-            r = int(reach.min())
-            now, todo_later, reach_later = todo[reach == r], todo[reach > r], reach[reach > r]
-            i, j = index.within(np.ascontiguousarray(codes[now]), r)
-            i, j = now[i], c[j]
-            other = rows[i] != rows[j]
-            i, j = i[other], j[other]
-            score = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65_536]], x[j[s : s + 65_536]]) for s in range(0, len(i), 65_536)] or [np.zeros(0)])
-            order = np.lexsort((rows[j], tie[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
-            place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            seen = np.bincount(i, minlength=len(rows))[now]
-            # Too few: a larger radius.  Else the radius that the k-th score asks for; a greater score asks for no more.
-            kth = np.full(len(rows), np.nan)
-            kth[i[place == k - 1]] = score[place == k - 1]
-            need = np.where(seen >= k, needed_radius(np.nan_to_num(kth[now]), norm[now], max_norm, bits), min(bits, r + 2 * STEP))
-            ready = (need <= r) | (r >= bits)
-            final = np.zeros(len(rows), bool)
-            final[now[ready]] = True
-            take = final[i] & (place < k)
-            i, j, score = i[take], j[take], score[take]
-            for name, values in (("query_row", rows[i]), ("query_id", tie[i]), ("row", rows[j]), ("vec_id", tie[j]), ("score", score)):
-                out[name].append(values)
-            todo, reach = np.append(todo_later, now[~ready]), np.append(reach_later, need[~ready])
+    norm = lengths(x[q])
+    index, y = SubstringIndex(np.ascontiguousarray(codes[c])), np.ascontiguousarray(x[c])
+    place = {int(r): i for i, r in enumerate(rows[c])}
+    for i, n in zip(q.tolist(), norm.tolist(), strict=True):
+        some, score, share = best_codes(index, np.ascontiguousarray(codes[i]), x[i], y, place.get(int(rows[i]), -1), k, n, max_norm)
+        j = c[some]
+        score = np.einsum("j,ij->i", x[i], x[j]) if len(j) <= k else score
+        best = np.lexsort((rows[j], tie[j], -score))[:k]
+        j = j[best]
+        score = np.einsum("j,ij->i", x[i], x[j])
+        for name, values in (("query_row", np.full(len(j), rows[i])), ("query_id", np.full(len(j), tie[i])), ("row", rows[j]), ("vec_id", tie[j]), ("score", score), ("probed", np.full(len(j), share))):
+            out[name].append(values)
     return {n: np.concatenate(v) if v else v for n, v in out.items()}
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 256, radius: int = 96, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 512, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k nearest found for each query row, by inner product.
 
     ``vectors`` has vec_id and embedding; the rows where ``is_query`` holds are the
     queries, and every other row than itself is a candidate.  Returns ``query_id,
-    rank, vec_id, score``; ties go to the smaller vec_id (a null one last).
-    Vectors that are null, zero or hold null or non-finite components, and those of
-    another length than most, take no part.  Repeated rows are candidates of their
-    own.  ``radius`` is only where the probing begins.  All candidates are returned if there are fewer than k; an empty table
+    rank, vec_id, score, probed``; ties go to the smaller vec_id (a null one last),
+    ``probed`` is the share of its shard's codes that the query looked at.  Vectors
+    that are null, zero or hold null or non-finite components take no part.  Vectors
+    of one length are candidates of each other; the index is built for the commonest
+    length, and blocks of others are compared whole.  Repeated rows are candidates of
+    their own.  All candidates are returned if there are fewer than k; an empty table
     gives no rows; other columns are not read.
     """
-    good = usable_vectors(vectors)
-    usual = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = good.filter(F.size("embedding") == (usual["d"] if usual else 0))
+    every = usable_vectors(vectors).withColumn("d", F.size("embedding"))
+    usual = every.groupBy("d").count().orderBy(F.desc("count"), "d").first()
     spark = vectors.sparkSession
     if not usual:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, probed double")
+    d, good = usual["d"], every.filter(F.col("d") == usual["d"])
     max_norm = greatest_norm(good)
     turn = learn_rotations(good, bits, max_norm)
-    numbered = good.withColumn("row", F.monotonically_increasing_id()).withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    kept = StructType([StructField("row", LongType()), StructField("asks", numbered.schema["asks"].dataType), StructField("vec_id", LongType()), StructField("code", BinaryType()), StructField("ask", BinaryType()), numbered.schema["embedding"]])
+    numbered = every.withColumn("row", F.monotonically_increasing_id()).withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    kept = StructType([StructField("row", LongType()), numbered.schema["asks"], numbered.schema["d"], StructField("vec_id", LongType()), StructField("code", BinaryType()), StructField("ask", BinaryType()), numbered.schema["embedding"]])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column("embedding")).astype(np.float64)
-                code, ask = (np.packbits(y @ turn > 0, axis=1) for y in (as_candidates(x, max_norm), as_queries(x)))
-                yield {n: b.column(n) for n in ("row", "asks", "vec_id", "embedding")} | {"code": [c.tobytes() for c in code], "ask": [c.tobytes() for c in ask]}
+                code, ask = np.full(b.num_rows, b"", object), np.full(b.num_rows, b"", object)
+                at = np.flatnonzero(b.column("d").to_numpy() == d)
+                if len(at):
+                    x = matrix(b.column("embedding").take(pa.array(at))).astype(np.float64)
+                    for out, y in ((code, as_candidates(x, max_norm)), (ask, as_queries(x))):
+                        out[at] = [c.tobytes() for c in np.packbits(y @ turn > 0, axis=1)]
+                yield {n: b.column(n) for n in ("row", "asks", "d", "vec_id", "embedding")} | {"code": code, "ask": ask}
 
     coded = stage(map_batches(numbered, encode, kept), "codes")
     queries = coded.filter("asks").count()
-    shards, blocks = max(1, math.ceil(usual["count"] / shard_rows)), max(1, math.ceil(queries / query_rows))
+    shards = max(1, math.ceil(usual["count"] / shard_rows))
+    blocks = max(1, math.ceil(queries / query_rows), min(math.ceil(BLOCKS / shards), queries // SMALL_BLOCK))
     shard, block = F.pmod(F.xxhash64("row"), F.lit(shards)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    index = coded.drop("ask").withColumn("asks", F.lit(False)).withColumn("shard", shard).withColumn("block", every(blocks))
-    asked = coded.filter("asks").withColumn("code", F.col("ask")).drop("ask").withColumn("block", block).withColumn("shard", every(shards))
-    found = StructType([StructField(n, DoubleType() if n == "score" else LongType()) for n in ("query_row", "query_id", "row", "vec_id", "score")])
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    index = coded.drop("ask").withColumn("asks", F.lit(False)).withColumn("shard", shard).withColumn("block", all_of(blocks))
+    asked = coded.filter("asks").withColumn("code", F.col("ask")).drop("ask").withColumn("block", block).withColumn("shard", all_of(shards))
+    found = StructType([StructField(n, DoubleType() if n in ("score", "probed") else LongType()) for n in ("query_row", "query_id", "row", "vec_id", "score", "probed")])
 
     def cell(table: pa.Table) -> pa.Table:
-        best = search_cell(table.combine_chunks(), k, radius, max_norm)
-        return pa.table({n: as_array(best[n], pa.float64() if n == "score" else pa.int64()) for n in best})
+        best = search_cell(table.combine_chunks(), k, max_norm)
+        return pa.table({n: as_array(best[n], pa.float64() if n in ("score", "probed") else pa.int64()) for n in best})
 
-    cells = index.unionByName(asked).groupBy("shard", "block").applyInArrow(cell, found)
+    cells = index.unionByName(asked).groupBy("d", "shard", "block").applyInArrow(cell, found)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     best = cells.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     last = F.lit(2**63 - 1)
-    return best.select(F.when(F.col("query_id") != last, F.col("query_id")).alias("query_id"), "rank", F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score")
+    return best.select(F.when(F.col("query_id") != last, F.col("query_id")).alias("query_id"), "rank", F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score", "probed")

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from screenspark.llm.batches import map_batches
 from screenspark.plans.staging import stage
 
 #: A table of labels of at most so many rows is broadcast.
@@ -53,3 +59,14 @@ def labelled_sample(labelled: DataFrame, label: str, per_label: int, total: int
     some = marked.join(F.broadcast(counts) if labels <= BROADCAST_LABELS else counts, label).filter(under_share(F.col(h), F.lit(float(spare)), F.col(n)))
     cut = some.withColumn(place, F.row_number().over(Window.partitionBy(label).orderBy(h))).filter(F.col(place) <= keep)
     return cut.select(*labelled.columns)
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
+    """What ``fit`` makes of all rows of a bounded sample, sorted; it runs in one task, and only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield {"model": [pickle.dumps(fit(rows))]}
+
+    made = map_batches(sample.repartition(1), run, StructType([StructField("model", BinaryType())])).collect()
+    return pickle.loads(made[0]["model"]) if made else None

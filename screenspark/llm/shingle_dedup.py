@@ -30,8 +30,12 @@ SAMPLE_ONE_IN = 16
 FREQUENT = 4
 MOST_FREQUENT = 300_000
 CACHE_WORDS = 500_000
+#: Candidate pairs up to which the ids of their texts are broadcast (two ids and hashes a pair, some MB); beyond, the tables are shuffled.
+BROADCAST_PAIRS = 200_000
 #: Lists of more texts than this are united by stars before their pairs are looked at.
 DENSE = 32
+#: Hashes of sets that a task keeps while it verifies.
+CACHE_HASHES = 3_000_000
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -170,7 +174,7 @@ def _first(n: Column, threshold: float) -> Column:
 
 
 def possible_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``u, v`` of different classes in one list that may be similar.
+    """Pairs ``u, v`` of different classes in one list that may be similar, with how many first shingles they ``shared``.
 
     In each list the members outside its largest class meet all others, so a list
     that is nearly of one class costs little.
@@ -186,27 +190,54 @@ def possible_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     met = met.groupBy(u, v).agg(F.count("*").alias("shared"), F.any_value(sizes).alias("n"))
     rest = F.greatest(*(F.col(f"n.{c}") - _first(F.col(f"n.{c}"), threshold) for c in ("lo", "hi")))
     need = F.ceil((F.col("n.lo") + F.col("n.hi")) * (threshold / (1 + threshold)) - 1e-9)
-    return met.filter(F.col("shared") + rest >= need).select("u", "v")
+    return met.filter(F.col("shared") + rest >= need).select("u", "v", "shared")
+
+
+def open_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose texts are not yet in one class."""
+    for c in "uv":
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "shared")
+
+
+def closest_pairs(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each text, the one that shares most."""
+    ends = pairs.select("u", "v", "shared").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "shared"))
+    best = ends.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs ``u, v`` whose whole sets are similar, as a table in the shared folder."""
     pairs = stage(pairs, "pairs")
     keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    wanted = nodes.join(keys, "key", "left_semi").select("key", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["text_hash"] == wanted["_hash"]))
+    few = pairs.count() <= BROADCAST_PAIRS
+    wanted = nodes.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("key", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    found = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["text_hash"] == wanted["_hash"]))
     texts = stage(found.select("key", "text").dropDuplicates(["key"]), "texts")
     sides = [texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        last, held = None, None
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def known(key: int, text: str) -> np.ndarray:
+            nonlocal held
+            if key not in sets:
+                if held > CACHE_HASHES:
+                    sets.clear()
+                    held = 0
+                sets[key] = shingle_set(text, shingle)
+                held += len(sets[key])
+            return sets[key]
+
         for batch in batches:
+            u, v, text_u, text_v = (batch.column(c) for c in ("u", "v", "text_u", "text_v"))
             near = []
-            for u, v, v_key in zip(batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                if held is None or v_key != last:
-                    last, held = v_key, shingle_set(v, shingle)
-                near.append(similarity(shingle_set(u, shingle), held) >= threshold - 1e-12)
-            yield {"u": batch.column("u"), "v": batch.column("v"), "near": near}
+            for i, (a, b) in enumerate(zip(u.to_pylist(), v.to_pylist(), strict=True)):
+                x, y = (sets[k] if k in sets else known(k, t[i].as_py()) for k, t in ((a, text_u), (b, text_v)))
+                near.append(similarity(x, y) >= threshold - 1e-12)
+            yield {"u": u, "v": v, "near": near}
 
     schema = StructType([StructField("u", LongType()), StructField("v", LongType()), StructField("near", BooleanType())])
     both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "text_u", "text_v")

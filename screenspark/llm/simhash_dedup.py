@@ -259,9 +259,10 @@ def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     empty and blank texts are one class.  Repeated rows stay; null ids count only if a class
     has no other.  An empty table gives no rows; other columns are not read.
 
-    All pairs are found: the trie join and ``turns`` rounds of stars over dense lists
-    only unite classes early, and every pair of two classes that shares a first
-    shingle is then held against the bound of its shared ones and verified.
+    All pairs are found: the trie join, the stars over dense lists and ``turns`` rounds
+    of each text's closest pair only unite classes early; every pair of two classes
+    that shares a first shingle is held against the bound of its shared ones and, if
+    they are still two, verified.
     """
     own = F.col("text_hash").cast("long") if "text_hash" in docs.columns else F.xxhash64("text")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), own.alias("text_hash"))
@@ -274,12 +275,16 @@ def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     near = fingerprint_links(by_fp, max_bits).join(ends[0], "u").join(ends[1], "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
     near = near.unionByName(nodes.join(by_fp, "fp").filter("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))).distinct()
     check = lambda pairs: shingle_dedup.verified(pairs, nodes, docs, threshold, shingle)
-    edges = check(near)
-    for turn in range(turns):
-        rows = shingle_dedup.with_roots(lists, nodes, stage(components(edges), "roots"))
-        edges = edges.unionByName(check(shingle_dedup.star_pairs(rows, turn)))
+    alone = by_fp.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
+    edges = check(near.unionByName(shingle_dedup.star_pairs(shingle_dedup.with_roots(lists, nodes, alone), 0)).distinct())
     rows = stage(shingle_dedup.with_roots(lists, nodes, stage(components(edges), "roots")), "open-lists")
-    edges = edges.unionByName(check(shingle_dedup.possible_pairs(rows, threshold)))
+    pairs = stage(shingle_dedup.possible_pairs(rows, threshold), "possible")
+    closest = shingle_dedup.closest_pairs(pairs)
+    for _ in range(turns):
+        edges = edges.unionByName(check(closest))
+        pairs = stage(shingle_dedup.open_pairs(pairs, components(edges)), "open")
+        closest = shingle_dedup.closest_pairs(pairs)
+    edges = edges.unionByName(check(pairs.select("u", "v")))
     roots = components(edges).select(F.col("node").alias("key"), "root")
     classes = nodes.select("key", "low").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from screenspark.llm.batches import map_batches, slices
-from screenspark.llm.sampling import held_out, labelled_sample
+from screenspark.llm.sampling import fitted, held_out, labelled_sample
 
 WIDTH, STEP = 32, 16
 #: Bound of the training sample: documents of a label.
@@ -326,21 +326,24 @@ class Scorer:
         return sigmoid(worst)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, **fit) -> GatedNet | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, **training) -> GatedNet | None:
     """A network learned from whole texts of a bounded sample of labelled documents that are not held out.
 
-    None if fewer than two labels are there.  The driver gets at most ``per_label``
-    documents of each label; where a doc_id stands for several texts, one of them is
-    learned from, and where it has several labels, the greatest counts.
+    None if fewer than two labels are there.  The task that trains gets at most
+    ``per_label`` documents of each label; where a doc_id stands for several texts, one
+    of them is learned from, and where it has several labels, the greatest counts.
     """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = docs.filter(F.col("text").isNotNull()).select("doc_id").distinct()
     chosen = labelled_sample(marks.join(ids, "doc_id", "left_semi"), "label", per_label)  # 2 * per_label rows at most
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = sorted((r["doc_id"], r["text"], r["label"]) for r in one.collect())
-    y = np.array([r[2] for r in found])
-    return train_net([r[1] for r in found], y, **fit) if len(set(y.tolist())) == 2 else None
+
+    def fit(rows: list[tuple[int, str, int]]) -> GatedNet | None:
+        y = np.array([label for _, _, label in rows])
+        return train_net([text for _, text, _ in rows], y, **training) if len(set(y.tolist())) == 2 else None
+
+    return fitted(one.select("doc_id", "text", "label"), fit)
 
 
 def score_toxicity(docs: DataFrame, net: GatedNet | None, out: tuple[str, str, str] = ("held_out", "tox_score", "tox_pred")) -> DataFrame:

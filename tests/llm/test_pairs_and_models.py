@@ -123,6 +123,58 @@ def test_nearest_neighbours_recall_and_order(spark):
     assert nearest_neighbours(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_embeddings_of_other_lengths_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    x = [float(v) for v in rng.normal(size=8)]
+    y = [float(v) for v in rng.normal(size=8)]
+    rows = [(1, x, "a"), (2, y, "b"), (2, y, "b"), (None, x, "c"), (4, [1.0, 2.0], "d"), (5, [1.0, 2.0], "e"), (6, [1.0, 2.1], "f"), (7, [2.0, -1.0], "g"), (8, [3.0], "h"), (None, [5.0, 1.0, 1.0], "i")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string")
+    got = sorted(((r.vec_id is None, r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in embedding_components(df, block=2).collect())
+    assert got == [((False, 1), 1, 1, True), ((False, 2), 1, 2, True), ((False, 2), 1, 2, True), ((False, 4), 2, 4, True), ((False, 5), 2, 4, False), ((False, 6), 2, 4, False), ((False, 7), 0, 7, True), ((False, 8), 0, 8, True), ((True, 0), 0, None, False), ((True, 0), 1, 1, False)]
+
+
+def test_pairs_at_the_threshold_are_verified_in_double_precision(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(60, 32))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = 0.95 + np.linspace(-1e-3, 1e-3, 60)
+    other = cos[:, None] * base + np.sqrt(1 - cos**2)[:, None] * side
+    x = np.concatenate([base, other])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = {r.vec_id: r.n_links for r in embedding_components(df, pivots=8, prefix=8).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [links[i] for i in range(120)] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+def test_neighbours_of_ties_repeats_null_ids_lengths_and_clashes(spark):
+    rows = [(0, [1.0, 0.0], 9), (0, [1.0, 0.0], 9), (1, [0.5, 0.0], 9), (2, [0.5, 0.0], 9), (None, [0.5, 0.0], 9), (20, [2.0], 9), (21, [3.0], 9), (22, None, 9), (40, [1.0, 2.0, 3.0], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int")
+    found = nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=3).collect()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found if r.query_id == 0)
+    assert got == [(0, 1, 0, 1.0), (0, 1, 0, 1.0), (0, 2, 1, 0.5), (0, 2, 1, 0.5), (0, 3, 2, 0.5), (0, 3, 2, 0.5)]
+    assert [(r["rank"], r.vec_id, r.score) for r in found if r.query_id == 20] == [(1, 21, 6.0)]
+    assert not [r for r in found if r.query_id == 40] and nearest_neighbours(df.filter("vec_id = 22"), F.lit(True)).count() == 0
+
+
+def test_probes_reach_every_code_within_the_radius():
+    from screenspark.llm import mih_search
+
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (4000, 64), dtype=np.uint8)
+    index, query = mih_search.SubstringIndex(codes), codes[0].copy()
+    for i in range(1, 200):  # near codes of 40 to 127 bits apart
+        flip = np.zeros(512, np.uint8)
+        flip[rng.choice(512, int(rng.integers(40, 128)), replace=False)] = 1
+        codes[i] = query ^ np.packbits(flip)
+    index = mih_search.SubstringIndex(codes)
+    found = np.concatenate([index.probe(query, mih_search.SHELLS[e]) for e in range(4)])
+    apart = index.apart(query, np.arange(4000))
+    assert set(np.flatnonzero(apart < 32 * 4).tolist()) <= set(found.tolist()) and len(set(found.tolist())) < 0.45 * 4000
+
+
 def fold(events):
     """Plain replay of one conversation's log."""
     messages = []
