@@ -147,24 +147,24 @@ def compare_pairs(ranked: DataFrame, mode: str = "adjacent", top_n: int = 20, cl
 
 def tradeoffs(ranked: DataFrame) -> DataFrame:
     """Strengths and risks of each candidate of a reviewed consensus."""
-    strong = flags(("high_consensus", F.col("consensus_score") >= 0.75), ("high_confidence", F.col("confidence_score") >= 0.75), ("rank_agreement", F.col("rank_agreement") >= 0.85), ("score_alignment", F.col("score_alignment") >= 0.85), ("low_qc_risk", F.col("qc_risk") < 0.20))
+    strong = flags(("high_consensus", F.round("consensus_score", 9) >= 0.75), ("high_confidence", F.round("confidence_score", 9) >= 0.75), ("rank_agreement", F.round("rank_agreement", 9) >= 0.85), ("score_alignment", F.round("score_alignment", 9) >= 0.85), ("low_qc_risk", F.round("qc_risk", 9) < 0.20))
     return ranked.select("candidate", "consensus_rank", strong.alias("strengths"), F.col("review_flags").alias("risks"), "nearest_gap", "close_competition")
 
 
 def explain(ranked: DataFrame, n: int = 4) -> DataFrame:
     """Up to ``n`` reason codes for each candidate's score, in order; a fallback if none holds."""
     codes = flags(
-        ("site_coverage_high", F.col("a_mean_site_hit_fraction") >= 0.5), ("anchor_contact_high", F.col("a_mean_anchor_hit_fraction") >= 0.05), ("mouth_occlusion_high", F.col("a_mean_mouth_occlusion") >= 0.5),
-        ("variants_stable", F.col("instability") < 0.05), ("rankers_agree", F.col("rank_agreement") >= 0.8), ("qc_risk_low", F.col("qc_risk") < 0.2), ("overwide_site", F.col("overwide_warning")),
+        ("site_coverage_high", F.round("a_mean_site_hit_fraction", 9) >= 0.5), ("anchor_contact_high", F.round("a_mean_anchor_hit_fraction", 9) >= 0.05), ("mouth_occlusion_high", F.round("a_mean_mouth_occlusion", 9) >= 0.5),
+        ("variants_stable", F.round("instability", 9) < 0.05), ("rankers_agree", F.round("rank_agreement", 9) >= 0.8), ("qc_risk_low", F.round("qc_risk", 9) < 0.2), ("overwide_site", F.col("overwide_warning")),
     )
     return ranked.select("candidate", F.when(F.size(codes) == 0, F.array(F.lit("no_dominant_reason"))).otherwise(F.slice(codes, 1, n)).alias("reasons"))
 
 
 def score_cards(ranked: DataFrame) -> DataFrame:
     """Band, up to five positive factors and six risks, recommended action and agreement note."""
-    band = F.when(F.col("consensus_score") >= 0.75, "strong").when(F.col("consensus_score") >= 0.60, "good").when(F.col("consensus_score") >= 0.45, "fair").otherwise("weak")
-    good = flags(("consensus", F.col("consensus_score") >= 0.60), ("confidence", F.col("confidence_score") >= 0.65), ("agreement", F.col("rank_agreement") >= 0.80), ("alignment", F.col("score_alignment") >= 0.80), ("coverage", F.col("source_coverage") >= 1), ("low_risk", F.col("qc_risk") < 0.20))
-    action = F.when(F.col("decision_tier") == "priority", "validate").when(F.col("qc_risk") >= 0.40, "check_quality").when(F.col("disagreement"), "compare_rankers").when(F.col("decision_tier") == "review", "manual_review").otherwise("keep")
+    band = F.when(F.round("consensus_score", 9) >= 0.75, "strong").when(F.round("consensus_score", 9) >= 0.60, "good").when(F.round("consensus_score", 9) >= 0.45, "fair").otherwise("weak")
+    good = flags(("consensus", F.round("consensus_score", 9) >= 0.60), ("confidence", F.round("confidence_score", 9) >= 0.65), ("agreement", F.round("rank_agreement", 9) >= 0.80), ("alignment", F.round("score_alignment", 9) >= 0.80), ("coverage", F.col("source_coverage") >= 1), ("low_risk", F.round("qc_risk", 9) < 0.20))
+    action = F.when(F.col("decision_tier") == "priority", "validate").when(F.round("qc_risk", 9) >= 0.40, "check_quality").when(F.col("disagreement"), "compare_rankers").when(F.col("decision_tier") == "review", "manual_review").otherwise("keep")
     note = F.when(F.col("source") != "both", "single_source").when(F.col("disagreement"), "disagree").otherwise("agree")
     return ranked.select("candidate", band.alias("band"), F.slice(good, 1, 5).alias("positives"), F.slice("review_flags", 1, 6).alias("risks"), action.alias("action"), note.alias("agreement"))
 

@@ -6,23 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.columns import ratio
+from screenspark.operators.quantiles import exact_quantiles
+from screenspark.plans.staging import stage
 
 
-def _window(by: list[str]) -> Window:
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+#: Slices of a value range, in which running counts are taken side by side.
+SLICES = 32
+
+
+def running_counts(counts: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """``counts`` (by, value, _n) with ``_below``, the rows of lesser values in the group, and ``_total``.
+
+    The values are cut into slices at approximate quantiles; sums of slices, which are
+    few, give what lies before a slice, and each slice is summed by itself.
+    """
+    by = list(by)
+    counts = stage(counts, "counts")
+    cuts = counts.agg(F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 1000)).first()[0] or []
+    place = F.lit(0)
+    for cut in sorted(set(cuts)):
+        place = place + (F.col(value) >= F.lit(cut)).cast("int")
+    cut_up = counts.withColumn("_slice", place)
+    one = Window.partitionBy(*(by or [F.lit(0)]))
+    sums = cut_up.groupBy(*by, "_slice").agg(F.sum("_n").alias("_s"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(one.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_s").over(one)).drop("_s")
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    joined = cut_up.join(sums.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_slice").alias("_at"), "_before", "_total"), on=[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_slice") == F.col("_at")])
+    return joined.withColumn("_below", F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_slice", "_at", "_before", *(f"_by_{c}" for c in by))
 
 
 def value_ranks(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """``by, value, _avg_rank, _min_rank_desc``: ranks of the distinct values, from counts of each value.
 
-    The window runs over distinct values, not rows, and counts are combined before
-    the shuffle.
+    Counts are combined before the shuffle, and the running sums go by slices of the
+    values, so no task holds all of them.
     """
-    c = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    up = _window(list(by)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = F.sum("_n").over(_window(list(by)))
-    below = F.coalesce(F.sum("_n").over(up), F.lit(0))
-    return c.withColumn("_below", below).withColumn("_total", all_rows).select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias("_avg_rank"), (F.col("_total") - F.col("_below") - F.col("_n") + 1).alias("_min_rank_desc"), "_total")
+    c = running_counts(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), value, by)
+    return c.select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias("_avg_rank"), (F.col("_total") - F.col("_below") - F.col("_n") + 1).alias("_min_rank_desc"), "_total")
 
 
 def min_rank(df: DataFrame, value: str, out: str = "min_rank", by: list[str] = ()) -> DataFrame:
@@ -40,8 +60,7 @@ def auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums with mean ranks on ties; NULL without both classes."""
     d = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull())
     c = d.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count("*").alias("_n"))
-    up = _window(list(by)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_r", F.coalesce(F.sum("_n").over(up), F.lit(0)) + (F.col("_n") + 1) / 2)
+    c = running_counts(c, score, by).withColumn("_r", F.col("_below") + (F.col("_n") + 1) / 2)
     out = c.groupBy(*by).agg(F.sum(F.col("_p") * F.col("_r")).alias("_s"), F.sum("_p").alias("n_pos"), (F.sum("_n") - F.sum("_p")).alias("n_neg"))
     area = (F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
     return out.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), area)).drop("_s")
@@ -160,7 +179,7 @@ def interpret(metrics: DataFrame, lower_is_better: list[str], eps: float = 1e-9)
 def derive_labels(items: DataFrame, threshold: float = 0.5, label: str = "label") -> DataFrame:
     """Candidate labels from item labels: mean at the threshold; if all alike, above the median; if still alike, upper half of mean ranks."""
     m = items.groupBy("candidate").agg(F.avg(label).alias("mean_label"), F.max(label).alias("max_label"))
-    m = m.crossJoin(F.broadcast(m.agg(F.median("mean_label").alias("_med"))))
+    m = m.withColumn("_med", F.lit(exact_quantiles(m, ["mean_label"], [0.5])["mean_label"][0]))
     m = avg_rank(m, "mean_label", "_r")
     m = m.withColumn("_a", (F.col("mean_label") >= threshold).cast("int")).withColumn("_b", (F.col("mean_label") > F.col("_med")).cast("int")).withColumn("_c", (F.col("_r_pct") >= 0.5).cast("int"))
     pick = m.agg(F.countDistinct("_a").alias("_na"), F.countDistinct("_b").alias("_nb"))

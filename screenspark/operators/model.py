@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenspark.operators import metrics, scoring
+from screenspark.operators.quantiles import exact_quantiles
 from screenspark.plans.staging import stage
 
 #: Sign and weight of each feature of the pseudo label.
@@ -23,19 +24,19 @@ def pseudo_labels(items: DataFrame, mode: str = "top_fraction", value: float = 0
     """``pseudo_score`` and ``pseudo_label``: the top share by mean ranks, a fixed threshold, or a quantile."""
     d = scoring.rule_score(items, PSEUDO_FEATURES, "pseudo_score")
     if mode == "top_fraction":
-        d = metrics.avg_rank(d.withColumn("pseudo_score", F.round("pseudo_score", 9)), "pseudo_score", "_r")
-        return d.withColumn("pseudo_label", F.when(F.col("_r_pct") >= 1 - value, 1.0).otherwise(0.0)).drop("_r", "_r_pct")
+        d = metrics.avg_rank(d.withColumn("_score", F.round("pseudo_score", 9)), "_score", "_r")
+        return d.withColumn("pseudo_label", F.when(F.col("_r_pct") >= 1 - value, 1.0).otherwise(0.0)).drop("_score", "_r", "_r_pct")
     if mode == "quantile":
-        d = d.crossJoin(F.broadcast(d.agg(F.percentile("pseudo_score", F.lit(value)).alias("_t"))))
-        return d.withColumn("pseudo_label", F.when(F.col("pseudo_score") >= F.col("_t"), 1.0).otherwise(0.0)).drop("_t")
+        (cut,) = exact_quantiles(d, ["pseudo_score"], [value])["pseudo_score"]
+        return d.withColumn("pseudo_label", F.when(F.col("pseudo_score") >= F.lit(cut), 1.0).otherwise(0.0))
     return d.withColumn("pseudo_label", F.when(F.col("pseudo_score") >= value, 1.0).otherwise(0.0))
 
 
 def fit_prep(train: DataFrame, cols: list[str]) -> DataFrame:
     """Medians, means and sample deviations of the training rows, as one row."""
-    med = train.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(f"md_{c}") for c in cols))
-    filled = train.crossJoin(F.broadcast(med)).select(*(F.coalesce(c, f"md_{c}").alias(c) for c in cols))
-    return metrics.zscore_fit(filled, cols, sample=True).crossJoin(med)
+    med = {c: q[0] if q[0] is not None else 0.0 for c, q in exact_quantiles(train, cols, [0.5]).items()}
+    filled = train.select(*(F.coalesce(c, F.lit(med[c])).alias(c) for c in cols))
+    return metrics.zscore_fit(filled, cols, sample=True).select("*", *(F.lit(med[c]).alias(f"md_{c}") for c in cols))
 
 
 def apply_prep(df: DataFrame, fitted: DataFrame, cols: list[str]) -> DataFrame:
@@ -59,7 +60,9 @@ def train(prepared: DataFrame, cols: list[str], label: str = "label", soft: str
         d = d.filter(F.col(label).isin(0, 1)).select("features", F.col(label).cast("double").alias("y"), F.lit(1.0).alias("w"))
     total = d.agg(F.sum(F.when(F.col("y") == 1, F.col("w"))).alias("_p"), F.sum("w").alias("_t"))
     d = d.crossJoin(F.broadcast(total)).withColumn("w", F.when(F.col("y") == 1, F.col("w") * F.greatest(F.lit(1.0), (F.col("_t") - F.col("_p")) / F.col("_p"))).otherwise(F.col("w")))
-    if kind == "perceptron":
+    if kind == "perceptron":  # takes no weights: positive rows count as often as their weight says
+        copies = F.floor("w") + (F.pmod(F.xxhash64("features", F.lit(seed)), F.lit(1_000_000)) < (F.col("w") - F.floor("w")) * 1_000_000).cast("long")
+        d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), copies).cast("int"))))
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[len(cols), 128, 64, 2], seed=seed, maxIter=50).fit(d)
     return LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1e-3, maxIter=50).fit(d)
 
@@ -83,7 +86,7 @@ def cross_validate(items: DataFrame, cols: list[str], label: str = "label", n: i
     Spark.
     """
     folds = metrics.group_folds(items, n, seed, label=label)
-    d = stage(items.join(F.broadcast(folds), "candidate"), "folds")
+    d = stage(items.join(folds, "candidate"), "folds")
     out = None
     for k in range(n):
         tr, te = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.columns import clip, severity, weighted_available_mean
+from screenspark.operators.quantiles import exact_quantiles
+from screenspark.plans.staging import stage
 
 KEYS = ("candidate", "variant", "item")
 #: Sign (+1 larger is better, -1 smaller is better) and weight of each rule feature.
@@ -36,45 +38,52 @@ def detect_numeric_columns(df: DataFrame, hints: tuple[str, ...] = (), exclude:
 
 def keep_ok(df: DataFrame, status: str = "status") -> DataFrame:
     """Rows with status ok if there is any such row, else all rows."""
-    any_ok = df.agg(F.coalesce(F.bool_or(F.col(status) == "ok"), F.lit(False)).alias("_any"))
-    return df.crossJoin(F.broadcast(any_ok)).filter(~F.col("_any") | (F.col(status) == "ok")).drop("_any")
+    ok = df.filter(F.col(status) == "ok")
+    return df if ok.isEmpty() else ok
 
 
-def robust_bounds(df: DataFrame, cols: list[str], lq: float = 0.01, uq: float = 0.99, approx: int | None = None) -> DataFrame:
-    """One row with the lower and upper quantile of every column, in one pass.
+def robust_bounds(df: DataFrame, cols: list[str], lq: float = 0.01, uq: float = 0.99, approx: int | None = None) -> dict[str, tuple[float | None, float | None]]:
+    """The lower and upper quantile of every column, as scalars.
 
-    ``approx`` switches to approximate quantiles of that accuracy, for very many
-    distinct values.
+    ``approx`` switches to approximate quantiles of that accuracy.
     """
-    q = [F.percentile(c, F.array(F.lit(lq), F.lit(uq))) if approx is None else F.percentile_approx(c, [lq, uq], approx) for c in cols]
-    return df.agg(*(x.alias(f"_q_{c}") for c, x in zip(cols, q, strict=True)))
+    if approx is None:
+        return {c: tuple(q) for c, q in exact_quantiles(df, cols, [lq, uq]).items()}
+    row = df.agg(*(F.percentile_approx(c, [lq, uq], approx).alias(str(i)) for i, c in enumerate(cols))).first()
+    return {c: tuple(q) if q else (None, None) for c, q in zip(cols, row, strict=True)}
 
 
-def scaled(c: str) -> Column:
-    """Robust min-max of a column given its ``_q_`` bounds; a constant column is 0.5, NULL stays NULL."""
-    lo, hi = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
-    return F.when(F.col(c).isNull(), None).when(hi - lo < 1e-12, 0.5).otherwise(clip((F.col(c) - lo) / (hi - lo), 0, 1))
+def scaled(c: str, lo: float | None, hi: float | None) -> Column:
+    """Robust min-max of a column; a constant column is 0.5, NULL stays NULL."""
+    if lo is None or hi is None:
+        return F.lit(None).cast("double")
+    if hi - lo < 1e-12:
+        return F.when(F.col(c).isNotNull(), 0.5)
+    return clip((F.col(c) - lo) / (hi - lo), 0, 1)
 
 
 def robust_scale(df: DataFrame, cols: list[str], lq: float = 0.01, uq: float = 0.99, approx: int | None = None) -> DataFrame:
-    """``df`` with ``s_<col>`` for every column; the bounds are one broadcast row."""
-    if not cols:
-        return df
-    out = df.crossJoin(F.broadcast(robust_bounds(df, cols, lq, uq, approx)))
-    return out.select(*(c for c in df.columns if c[2:] not in cols or not c.startswith("s_")), *(scaled(c).alias(f"s_{c}") for c in cols))
+    """``df`` with ``s_<col>`` for every column; the bounds are scalars in the plan, so nothing is joined."""
+    bounds = robust_bounds(df, cols, lq, uq, approx) if cols else {}
+    return df.select(*(c for c in df.columns if c[2:] not in cols or not c.startswith("s_")), *(scaled(c, *bounds[c]).alias(f"s_{c}") for c in cols))
 
 
 def rule_score(items: DataFrame, features: dict[str, tuple[int, float]] = RULE_FEATURES, out: str = "rule_score") -> DataFrame:
     """Sign-aligned, robust-scaled, weighted mean over the features that a row has.
 
     Rows without any feature get the median of the scores (0.5 if there is none).
+    The rows are staged once, as bounds, median and scores are passes over them.
     """
+    items = stage(items, "items")
     cols = [c for c in features if c in items.columns]
     df = robust_scale(items, cols)
     aligned = [(F.col(f"s_{c}") if features[c][0] > 0 else 1 - F.col(f"s_{c}"), features[c][1]) for c in cols]
     df = df.withColumn("_raw", weighted_available_mean(aligned) if aligned else F.lit(None).cast("double"))
-    df = df.crossJoin(F.broadcast(df.agg(F.coalesce(F.median("_raw"), F.lit(0.5)).alias("_median"))))
-    return df.withColumn(out, clip(F.coalesce("_raw", "_median"), 0, 1)).drop("_raw", "_median")
+    median = 0.5
+    if not df.filter(F.col("_raw").isNull()).isEmpty():
+        (found,) = exact_quantiles(df, ["_raw"], [0.5])["_raw"]
+        median = 0.5 if found is None else found
+    return df.withColumn(out, clip(F.coalesce("_raw", F.lit(median)), 0, 1)).drop("_raw")
 
 
 def top_components(parts: dict[str, Column], k: int = 3) -> Column:
@@ -90,20 +99,25 @@ def select_topk(df: DataFrame, k: int = 3, score: str = "rule_score", selection:
     missing energy last; a group without energies goes by score.  ``score``: by
     score.  Any other column: that column, ascending.  Ties go by score, then item.
     """
-    w = Window.partitionBy(*keys)
+    cols = [c for c in energies if c in df.columns] if selection == "auto" else [] if selection == "score" else [selection]
+    parts = []
+    for i, c in enumerate(cols or [None]):  # the first k of each order, which is cut down before the shuffle
+        value = F.col(c).asc_nulls_last() if c else F.lit(None).asc_nulls_last()
+        order = Window.partitionBy(*keys).orderBy(value, F.col(score).desc_nulls_last(), item)
+        part = df.withColumn("topk_position", F.row_number().over(order)).filter(F.col("topk_position") <= k)
+        parts.append(part.withColumn("_order", F.lit(i)).withColumn("_has", F.col(c).isNotNull() if c else F.lit(False)))
+    top = parts[0]
+    for part in parts[1:]:
+        top = top.unionByName(part)
+    # The first order whose best row has a value; without any, all orders are that of the score.
+    best = F.min(F.when((F.col("topk_position") == 1) & F.col("_has"), F.col("_order"))).over(Window.partitionBy(*keys))
+    top = top.withColumn("_best", best).filter(F.col("_order") == F.coalesce("_best", F.lit(0)))
     if selection == "auto":
-        cols = [c for c in energies if c in df.columns]
-        pick = F.coalesce(*(F.when(F.count(c).over(w) > 0, F.lit(c)) for c in cols), F.lit("")) if cols else F.lit("")
-        df = df.withColumn("selection_column", pick)
-        value = F.coalesce(*(F.when(F.col("selection_column") == c, F.col(c)) for c in cols), F.lit(None).cast("double")) if cols else F.lit(None).cast("double")
-        mode = F.when(F.col("selection_column") == "", "score_desc").otherwise("energy_asc")
-    elif selection == "score":
-        df, value, mode = df.withColumn("selection_column", F.lit(score)), F.lit(None).cast("double"), F.lit("score_desc")
+        names = F.coalesce(*(F.when(F.col("_best") == i, F.lit(c)) for i, c in enumerate(cols)), F.lit(score)) if cols else F.lit(score)
+        top = top.withColumn("selection_column", names).withColumn("selection_mode", F.when(F.col("_best").isNull(), "score_desc").otherwise("energy_asc"))
     else:
-        df, value, mode = df.withColumn("selection_column", F.lit(selection)), F.col(selection), F.lit("custom_asc")
-    df = df.withColumn("_value", value).withColumn("selection_mode", mode).withColumn("selection_column", F.when(F.col("selection_column") == "", score).otherwise(F.col("selection_column")))
-    order = w.orderBy(F.col("_value").asc_nulls_last(), F.col(score).desc_nulls_last(), item)
-    return df.withColumn("topk_position", F.row_number().over(order)).filter(F.col("topk_position") <= k).drop("_value")
+        top = top.withColumn("selection_column", F.lit(score if selection == "score" else selection)).withColumn("selection_mode", F.lit("score_desc" if selection == "score" else "custom_asc"))
+    return top.drop("_order", "_has", "_best")
 
 
 def rollup_variants(df: DataFrame, k: int = 3, score: str = "rule_score", selection: str = "auto", geo_weight: float = 0.15, penalty_weight: float = 0.0, overwide: str | None = "overwide", threshold: float = 0.55) -> DataFrame:

@@ -143,12 +143,12 @@ def flags_sql(pairs: list[tuple[str, str]]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in pairs) + "], lambda x: x IS NOT NULL)"
 
 
-@register("fl6_tradeoffs", v.with_sql(*CONSENSUS, select="SELECT candidate, consensus_rank, array_to_string(" + flags_sql([("high_consensus", "consensus_score >= 0.75"), ("high_confidence", "confidence_score >= 0.75"), ("rank_agreement", "rank_agreement >= 0.85"), ("score_alignment", "score_alignment >= 0.85"), ("low_qc_risk", "qc_risk < 0.20")]) + ", '|') AS strengths, array_to_string(review_flags, '|') AS risks, round(nearest_gap, 6) AS nearest_gap, close_competition FROM cons"))
+@register("fl6_tradeoffs", v.with_sql(*CONSENSUS, select="SELECT candidate, consensus_rank, array_to_string(" + flags_sql([("high_consensus", "round(consensus_score, 9) >= 0.75"), ("high_confidence", "round(confidence_score, 9) >= 0.75"), ("rank_agreement", "round(rank_agreement, 9) >= 0.85"), ("score_alignment", "round(score_alignment, 9) >= 0.85"), ("low_qc_risk", "round(qc_risk, 9) < 0.20")]) + ", '|') AS strengths, array_to_string(review_flags, '|') AS risks, round(nearest_gap, 6) AS nearest_gap, close_competition FROM cons"))
 def fl6_tradeoffs(spark, sf_dir):
     return c.tradeoffs(reviewed(spark, sf_dir))
 
 
-_CODES = flags_sql([("site_coverage_high", "a_mean_site_hit_fraction >= 0.5"), ("anchor_contact_high", "a_mean_anchor_hit_fraction >= 0.05"), ("mouth_occlusion_high", "a_mean_mouth_occlusion >= 0.5"), ("variants_stable", "instability < 0.05"), ("rankers_agree", "rank_agreement >= 0.8"), ("qc_risk_low", "qc_risk < 0.2"), ("overwide_site", "overwide_warning")])
+_CODES = flags_sql([("site_coverage_high", "round(a_mean_site_hit_fraction, 9) >= 0.5"), ("anchor_contact_high", "round(a_mean_anchor_hit_fraction, 9) >= 0.05"), ("mouth_occlusion_high", "round(a_mean_mouth_occlusion, 9) >= 0.5"), ("variants_stable", "round(instability, 9) < 0.05"), ("rankers_agree", "round(rank_agreement, 9) >= 0.8"), ("qc_risk_low", "round(qc_risk, 9) < 0.2"), ("overwide_site", "overwide_warning")])
 
 
 @register("fl4_explain", v.with_sql(*CONSENSUS, select=f"SELECT candidate, CASE WHEN len(k) = 0 THEN 'no_dominant_reason' ELSE array_to_string(k[1:4], '|') END AS reasons FROM (SELECT candidate, {_CODES} AS k FROM cons)"))
@@ -156,11 +156,11 @@ def fl4_explain(spark, sf_dir):
     return c.explain(reviewed(spark, sf_dir))
 
 
-_GOOD = flags_sql([("consensus", "consensus_score >= 0.60"), ("confidence", "confidence_score >= 0.65"), ("agreement", "rank_agreement >= 0.80"), ("alignment", "score_alignment >= 0.80"), ("coverage", "source_coverage >= 1"), ("low_risk", "qc_risk < 0.20")])
+_GOOD = flags_sql([("consensus", "round(consensus_score, 9) >= 0.60"), ("confidence", "round(confidence_score, 9) >= 0.65"), ("agreement", "round(rank_agreement, 9) >= 0.80"), ("alignment", "round(score_alignment, 9) >= 0.80"), ("coverage", "source_coverage >= 1"), ("low_risk", "round(qc_risk, 9) < 0.20")])
 
 
-@register("fl5_score_cards", v.with_sql(*CONSENSUS, select=f"""SELECT candidate, CASE WHEN consensus_score >= 0.75 THEN 'strong' WHEN consensus_score >= 0.60 THEN 'good' WHEN consensus_score >= 0.45 THEN 'fair' ELSE 'weak' END AS band, array_to_string(({_GOOD})[1:5], '|') AS positives, array_to_string(review_flags[1:6], '|') AS risks,
-CASE WHEN decision_tier = 'priority' THEN 'validate' WHEN qc_risk >= 0.40 THEN 'check_quality' WHEN disagreement THEN 'compare_rankers' WHEN decision_tier = 'review' THEN 'manual_review' ELSE 'keep' END AS action, CASE WHEN source <> 'both' THEN 'single_source' WHEN disagreement THEN 'disagree' ELSE 'agree' END AS agreement FROM cons"""))
+@register("fl5_score_cards", v.with_sql(*CONSENSUS, select=f"""SELECT candidate, CASE WHEN round(consensus_score, 9) >= 0.75 THEN 'strong' WHEN round(consensus_score, 9) >= 0.60 THEN 'good' WHEN round(consensus_score, 9) >= 0.45 THEN 'fair' ELSE 'weak' END AS band, array_to_string(({_GOOD})[1:5], '|') AS positives, array_to_string(review_flags[1:6], '|') AS risks,
+CASE WHEN decision_tier = 'priority' THEN 'validate' WHEN round(qc_risk, 9) >= 0.40 THEN 'check_quality' WHEN disagreement THEN 'compare_rankers' WHEN decision_tier = 'review' THEN 'manual_review' ELSE 'keep' END AS action, CASE WHEN source <> 'both' THEN 'single_source' WHEN disagreement THEN 'disagree' ELSE 'agree' END AS agreement FROM cons"""))
 def fl5_score_cards(spark, sf_dir):
     return c.score_cards(reviewed(spark, sf_dir))
 

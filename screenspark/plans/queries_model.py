@@ -14,7 +14,7 @@ _W = {"site_hit_fraction": (1, 0.16), "anchor_hit_fraction": (1, 0.14), "mouth_o
 _RAW = v.mean_sql([(f"s_{c}" if s > 0 else f"1 - s_{c}", w) for c, (s, w) in _W.items()])
 
 
-@register("ml1_pseudo_labels", v.with_sql(v.ITEMS, v.scaled_ctes("items", "z", list(_W)), f"p AS (SELECT item, round(greatest(0, least(1, {_RAW})), 9) AS s FROM z)", select="SELECT item, round(s, 6) AS pseudo_score, CASE WHEN (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2) / count(*) OVER () >= 0.7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pseudo_label FROM p"))
+@register("ml1_pseudo_labels", v.with_sql(v.ITEMS, v.scaled_ctes("items", "z", list(_W)), f"p AS (SELECT item, greatest(0, least(1, {_RAW})) AS raw, round(greatest(0, least(1, {_RAW})), 9) AS s FROM z)", select="SELECT item, round(raw, 6) AS pseudo_score, CASE WHEN (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2) / count(*) OVER () >= 0.7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pseudo_label FROM p"))
 def ml1_pseudo_labels(spark, sf_dir):
     return m.pseudo_labels(v.items(spark, sf_dir), "top_fraction", 0.3).select("item", "pseudo_score", "pseudo_label")
 
