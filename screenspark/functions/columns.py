@@ -74,3 +74,9 @@ def severity(c: Column | str, threshold: float) -> Column:
     """How far a proxy is over its threshold, 0 to 1; NULL counts as 0."""
     t = min(max(threshold, 0.0), 0.99)
     return F.when(col(c).isNull() | (col(c) <= t), 0.0).otherwise(clip((col(c) - t) / (1 - t), 0, 1))
+
+
+def count_map(df, by: list[str], value: str, out: str):
+    """``by`` and a map from each value to its number of rows; a null value is left out."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return counted.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "_n")))).alias(out))

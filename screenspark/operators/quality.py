@@ -101,7 +101,8 @@ def lineage_groups(runs: DataFrame, hashes: list[str]) -> DataFrame:
     for h in hashes:
         w = Window.partitionBy(h)
         known = F.coalesce(F.col(h), F.lit("")) != ""
-        runs = runs.withColumn(f"{h}_previous", F.when(known, F.lag("run").over(w.orderBy("started_at", "run")))).withColumn(f"{h}_size", F.when(known, F.count("*").over(w)))
+        grouped = runs.filter(known).withColumn(f"{h}_previous", F.lag("run").over(w.orderBy("started_at", "run"))).withColumn(f"{h}_size", F.count("*").over(w))
+        runs = grouped.unionByName(runs.filter(~known), allowMissingColumns=True)
     return runs
 
 
@@ -152,3 +153,17 @@ def result_panel(spark, path: str) -> DataFrame:
     """Per-result JSON summaries (metrics and counts structs) as rows."""
     d = spark.read.option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
     return d.select("file", *(f"{s}.*" for s in ("metrics", "counts") if s in d.columns))
+
+
+def run_archive(runs: DataFrame, metrics: list[str], artefacts: DataFrame, expected: list[str], order: str = "started_at") -> DataFrame:
+    """One row for each run and metric that it has: value, that of the run before, their difference and trend, and which artefacts are there.
+
+    ``runs`` has run, the order and the metrics; ``artefacts`` run and artefact.
+    """
+    long = runs.select("run", order, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")).select("run", order, "x.metric", "x.value").filter("value IS NOT NULL")
+    w = Window.partitionBy("metric").orderBy(order, "run")
+    d = long.withColumn("previous", F.lag("value").over(w)).withColumn("delta", F.col("value") - F.col("previous"))
+    d = d.withColumn("trend", F.when(F.col("delta").isNull(), "first").when(F.col("delta") > 1e-9, "up").when(F.col("delta") < -1e-9, "down").otherwise("same"))
+    here = artefacts.groupBy("run").agg(*(F.bool_or(F.col("artefact") == a).alias(f"has_{a}") for a in expected))
+    d = d.join(here, "run", "left").drop(order)
+    return d.select(*(c for c in d.columns if c[4:] not in expected), *(F.coalesce(f"has_{a}", F.lit(False)).alias(f"has_{a}") for a in expected))

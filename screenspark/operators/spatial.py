@@ -7,10 +7,13 @@ exact distance; nothing is compared across distant cells.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.columns import clip, ratio
+from screenspark.plans.staging import stage
 
 
 def distance(a: str = "a", b: str = "b") -> Column:
@@ -31,15 +34,29 @@ def distance_join(a: DataFrame, b: DataFrame, cutoff: float, keep_a: list[str],
 def nearest_join(a: DataFrame, b: DataFrame, id_a: str, id_b: str, radius: float | None = None) -> DataFrame:
     """The nearest point of ``b`` in the structure for every point of ``a``: ``structure, id_a, id_b, dist``; ties to the smaller id.
 
-    With ``radius``, the grid finds those within it first, and only points without
-    one are compared with their whole structure.
+    The grid is searched at a radius that doubles, each time only for the points that
+    found nothing yet, so no structure is compared as a whole; the first radius is
+    given or follows from the density of ``b``.
     """
     best = lambda d: d.groupBy("structure", id_a).agg(F.min(F.struct("dist", id_b)).alias("_m")).select("structure", id_a, F.col(f"_m.{id_b}").alias(id_b), F.col("_m.dist").alias("dist"))
-    whole = lambda x: x.alias("a").join(b.alias("b"), "structure").select("structure", F.col(f"a.{id_a}"), F.col(f"b.{id_b}"), distance().alias("dist"))
+    b = stage(b.select("structure", id_b, *"xyz"), "points")
+    left = stage(a.select("structure", id_a, *"xyz").join(b.select("structure").distinct(), "structure", "left_semi"), "points")
+    sides = [f(f"{c}") for c in "xyz" for f in (F.min, F.max)]
+    box = b.select("structure", *"xyz").unionByName(left.select("structure", *"xyz")).agg(*sides, F.countDistinct("structure")).first()
+    widths = [(box[2 * i + 1] or 0.0) - (box[2 * i] or 0.0) for i in range(3)]
+    across = max(1e-6, math.sqrt(sum(w * w for w in widths)))
     if radius is None:
-        return best(whole(a))
-    near = best(distance_join(a, b, radius, [id_a], [id_b]))
-    return near.unionByName(best(whole(a.join(near, ["structure", id_a], "left_anti"))))
+        radius = max(1e-6, across / max(1.0, (b.count() / max(1, box[6])) ** (1 / 3)))
+    found = None
+    while True:
+        near = stage(best(distance_join(left, b, radius, [id_a], [id_b])), "near")
+        found = near if found is None else found.unionByName(near)
+        if radius >= across:
+            return found
+        left = stage(left.join(near, ["structure", id_a], "left_anti"), "points")
+        if left.isEmpty():
+            return found
+        radius *= 2
 
 
 def site_contact(site: DataFrame, partner: DataFrame, cutoff: float = 4.5) -> DataFrame:

@@ -58,11 +58,13 @@ def select_sql(source: str, keys: str, doubles: str = "", tail: str = "") -> str
 
 
 from screenspark.plans import (  # noqa: E402, F401
+    queries_cavity,
     queries_consensus,
     queries_extra,
     queries_metrics,
     queries_model,
     queries_quality,
+    queries_readers,
     queries_scoring,
     queries_sets,
     queries_streaming,

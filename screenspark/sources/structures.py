@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenspark.functions.columns import flags
 from screenspark.operators.residues import residue_struct
+from screenspark.operators.spatial import distance_join
 
 FLOAT = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 #: Water residues, left out of atom tables.
@@ -224,3 +225,19 @@ def ligand_classes(atoms: DataFrame) -> DataFrame:
     ion, glycan, solvent = ("NA", "CL", "MG", "CA", "ZN", "K", "MN", "FE"), ("NAG", "MAN", "BMA", "FUC", "GAL"), ("GOL", "EDO", "PEG", "SO4", "PO4", "ACT", "DMS")
     c = F.when(F.col("resname").isin(*ion), "ion").when(F.col("resname").isin(*glycan), "glycan").when(F.col("resname").isin(*solvent), "solvent").otherwise("ligand_like")
     return g.withColumn("class", c).withColumn("flags", flags(("small", F.col("n_atoms") < 6)))
+
+
+def scan_ligands(atoms: DataFrame, truth: DataFrame, cutoff: float = 4.5) -> DataFrame:
+    """Hetero residues with class, residues of the chains in contact, how many of them are true site keys, and a recommendation.
+
+    ``truth`` has structure and key.  Ions, glycans and solvents are excluded; the
+    others are recommended with a true contact and left to review with any.
+    """
+    het = atoms.filter("record = 'HETATM'").select("structure", F.struct("chain", "resname", "resseq").alias("residue"), "x", "y", "z")
+    chains = atoms.filter("record = 'ATOM'").select("structure", atom_key().alias("key"), "x", "y", "z")
+    near = distance_join(het, chains, cutoff, ["residue"], ["key"]).select("structure", "residue", "key").distinct()
+    near = near.join(truth.select("structure", "key", F.lit(True).alias("true")).distinct(), ["structure", "key"], "left")
+    met = near.groupBy("structure", "residue.chain", "residue.resname", "residue.resseq").agg(F.count("*").alias("n_contacts"), F.count("true").alias("n_truth"))
+    d = ligand_classes(atoms).join(met, ["structure", "chain", "resname", "resseq"], "left").fillna(0, ["n_contacts", "n_truth"])
+    pick = F.when(F.col("class") != "ligand_like", "exclude").when(F.col("n_truth") > 0, "recommended").when(F.col("n_contacts") > 0, "review").otherwise("no_contact")
+    return d.withColumn("recommendation", pick)
