@@ -199,7 +199,7 @@ def label_coverage(df: DataFrame, label: str, least: int = 8) -> DataFrame:
 def group_folds(df: DataFrame, n: int, seed: int = 7, group: str = "candidate", label: str = "label") -> DataFrame:
     """Folds of groups, dealt 0..n-1, n-1..0 by label mean, rows and a seeded hash."""
     g = df.groupBy(group).agg(F.avg(label).alias("_m"), F.count("*").alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("_m"), F.desc("_n"), F.xxhash64(group, F.lit(seed)))
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("_m"), F.desc("_n"), F.md5(F.concat_ws(":", group, F.lit(seed))))
     g = g.withColumn("_p", F.row_number().over(w) - 1).withColumn("_i", F.col("_p") % (2 * n))
     return g.select(group, F.when(F.col("_i") < n, F.col("_i")).otherwise(2 * n - 1 - F.col("_i")).cast("int").alias("fold"))
 
@@ -208,7 +208,7 @@ def group_split(df: DataFrame, share: float, seed: int = 7, group: str = "candid
     """Groups for training or validation: the first by hash validate, one at least and not all."""
     g = df.select(group).distinct()
     n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    p = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(group, F.lit(seed)), group))
+    p = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.md5(F.concat_ws(":", group, F.lit(seed))), group))
     g = g.withColumn("_n", n).withColumn("_p", p)
     k = F.least(F.greatest(F.lit(1), F.round(F.col("_n") * share)), F.col("_n") - 1)
     return g.select(group, F.when(F.col("_p") <= k, "validation").otherwise("train").alias("side"))

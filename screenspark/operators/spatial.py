@@ -191,3 +191,20 @@ def shell_evidence(target: DataFrame, anchor: DataFrame, tiers: tuple[tuple[floa
     d = d.join(anchor.select("structure", F.col("aid").alias("id")), ["structure", "id"], "left_anti")
     pick = F.coalesce(*(F.when(F.col("distance") <= r, F.struct(F.format_string("anchor_shell_%.0f", F.lit(r)).alias("method"), F.lit(w).alias("weight"))) for r, w in sorted(tiers)))
     return d.withColumn("_t", pick).select("structure", F.col("id").alias("key"), "_t.method", "_t.weight", "distance")
+
+
+#: Evidence weights by kind.
+EVIDENCE = {"curated": 0.95, "key_residue": 0.90, "ligand_contact": 0.75, "tool_first": 0.55, "tool_second": 0.50, "model_prior": 0.45}
+
+
+def build_evidence(kinds: dict[str, DataFrame], shells: DataFrame | None = None, core: tuple[str, ...] = ("curated", "key_residue")) -> DataFrame:
+    """Evidence rows structure, key, method, weight of all kinds (structure, key); a shell row of a core key is left out."""
+    out = None
+    for kind, keys in kinds.items():
+        part = keys.select("structure", "key").distinct().withColumn("method", F.lit(kind)).withColumn("weight", F.lit(EVIDENCE[kind]))
+        out = part if out is None else out.unionByName(part)
+    if shells is not None:
+        known = out.filter(F.col("method").isin(*core)).select("structure", "key").distinct()
+        rest = shells.select("structure", "key", "method", "weight").join(known, ["structure", "key"], "left_anti")
+        out = rest if out is None else out.unionByName(rest)
+    return out

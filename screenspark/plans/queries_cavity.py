@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from screenspark.operators import cavity as k
+from screenspark.operators import search
 from screenspark.operators import spatial as g
 from screenspark.plans import views as v
 from screenspark.plans.queries_sets import _D, ATOMS, _parts
@@ -126,3 +127,39 @@ def ag26_annotation_summary(spark, sf_dir):
     d, site, t, p = _parts(spark, sf_dir)
     points = g.annotate(d.select("structure", "id", "role", "x", "y", "z"), site, THRESHOLD)
     return k.annotation_summary(points, g.distance_join(t, p, THRESHOLD, ["id"], ["pid"]), THRESHOLD)
+
+
+_SHELL = "m AS (SELECT a.structure, a.id AS key, min(" + _D + ") AS distance FROM target a JOIN anchor b ON a.structure = b.structure WHERE a.label <> 0 GROUP BY ALL)"
+_LIGAND = "lc AS (SELECT a.structure, a.id AS key, min(" + _D + ") AS value FROM target a JOIN (SELECT * FROM partner WHERE label = 5) b ON a.structure = b.structure GROUP BY ALL)"
+
+
+@register("ge17_build_evidence", v.with_sql(ATOMS, _SHELL, _LIGAND, select="""SELECT structure, id AS key, 'curated' AS method, 0.95::DOUBLE AS weight FROM target WHERE label = 0 UNION ALL SELECT structure, id, 'key_residue', 0.90 FROM target WHERE label = 1 AND id % 2 = 0
+UNION ALL SELECT structure, key, 'ligand_contact', 0.75 FROM lc WHERE value <= 1 UNION ALL SELECT structure, id, 'tool_first', 0.55 FROM target WHERE id % 7 = 0 UNION ALL SELECT structure, id, 'tool_second', 0.50 FROM target WHERE id % 11 = 0 UNION ALL SELECT structure, id, 'model_prior', 0.45 FROM target WHERE id % 13 = 0
+UNION ALL SELECT m.structure, key, CASE WHEN distance <= 1 THEN 'anchor_shell_1' WHEN distance <= 2 THEN 'anchor_shell_2' ELSE 'anchor_shell_3' END, CASE WHEN distance <= 1 THEN 0.65 WHEN distance <= 2 THEN 0.45 ELSE 0.25 END FROM m JOIN target t ON m.structure = t.structure AND m.key = t.id WHERE distance <= 3 AND NOT (t.label = 1 AND t.id % 2 = 0)"""))
+def ge17_build_evidence(spark, sf_dir):
+    d, _, t, p = _parts(spark, sf_dir)
+    t = t.withColumn("key", F.col("id"))
+    near = g.contact_site(p.filter("label = 5").withColumn("lid", F.col("id")), t, [1.0])
+    shells = g.shell_evidence(t, d.filter("label = 0").withColumn("aid", F.col("id")), ((1.0, 0.65), (2.0, 0.45), (3.0, 0.25)))
+    kinds = {"curated": t.filter("label = 0"), "key_residue": t.filter("label = 1 AND id % 2 = 0"), "ligand_contact": near, "tool_first": t.filter("id % 7 = 0"), "tool_second": t.filter("id % 11 = 0"), "model_prior": t.filter("id % 13 = 0")}
+    return g.build_evidence(kinds, shells)
+
+
+_ACCURACY = "SELECT structure, parameter, n_truth, n_predicted, n_hit, round(n_hit / n_truth, 6) AS coverage, round(CASE WHEN n_predicted > 0 THEN n_hit / n_predicted END, 6) AS precision, round(n_hit / (n_predicted + n_truth - n_hit), 6) AS jaccard, round(2 * n_hit / (n_predicted + n_truth), 6) AS f1 FROM (SELECT structure, parameter, any_value(nt) AS n_truth, count(key) AS n_predicted, count_if(hit) AS n_hit FROM (SELECT s.structure, parameter, nt, p.key, EXISTS (SELECT 1 FROM tru WHERE tru.structure = p.structure AND tru.key = p.key) AS hit FROM (SELECT structure, count(*) AS nt FROM tru GROUP BY 1) s CROSS JOIN (SELECT unnest({grid}::DOUBLE[]) AS parameter) g LEFT JOIN {pred} p ON p.structure = s.structure AND p.value <= parameter) GROUP BY ALL)"
+
+
+@register("sc5_cutoff_sweep", v.with_sql(ATOMS, _LIGAND, "tru AS (SELECT structure, id AS key FROM target WHERE label IN (1, 2))", select=_ACCURACY.format(grid="[0.25, 0.5, 1.0, 2.0]", pred="lc")))
+def sc5_cutoff_sweep(spark, sf_dir):
+    """Contact cutoffs against the truth; the least distance of each key is computed once."""
+    _, _, t, p = _parts(spark, sf_dir)
+    t = t.withColumn("key", F.col("id"))
+    near = g.contact_site(p.filter("label = 5").withColumn("lid", F.col("id")), t, [2.0]).select("structure", "key", F.col("dist").alias("value"))
+    return search.site_sweep(near, t.filter("label IN (1, 2)"), [0.25, 0.5, 1.0, 2.0])
+
+
+@register("sc5_rank_sweep", v.with_sql(ATOMS, "pred AS (SELECT structure, id AS key, min(1 + id % 4)::DOUBLE AS value FROM target GROUP BY ALL)", "tru AS (SELECT structure, id AS key FROM target WHERE label IN (1, 2))", select=_ACCURACY.format(grid="[1, 2, 3]", pred="pred")))
+def sc5_rank_sweep(spark, sf_dir):
+    """Prediction ranks against the truth: a key counts from the best rank that has it."""
+    _, _, t, _ = _parts(spark, sf_dir)
+    ranked = t.groupBy("structure", F.col("id").alias("key")).agg(F.min(1 + F.col("id") % 4).cast("double").alias("value"))
+    return search.site_sweep(ranked, t.filter("label IN (1, 2)").withColumn("key", F.col("id")), [1.0, 2.0, 3.0])

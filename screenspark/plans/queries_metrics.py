@@ -9,6 +9,7 @@ from screenspark.operators import scoring, search
 from screenspark.plans import views as v
 from screenspark.plans.queries_consensus import CONSENSUS, both, ranking, reviewed
 from screenspark.plans.registry import register, select_sql
+from screenspark.plans.staging import stage
 from screenspark.plans.tables import table
 
 SCORED = [v.ITEMS, v.SCORED]
@@ -188,15 +189,15 @@ def ag12_derive_labels(spark, sf_dir):
     return m.derive_labels(v.items(spark, sf_dir))
 
 
-@register("wn10_group_folds")
+@register("wn10_group_folds", v.with_sql(v.ITEMS, "g AS (SELECT candidate, avg(label) AS a, count(*) AS n FROM items GROUP BY candidate)", "p AS (SELECT candidate, (row_number() OVER (ORDER BY a DESC NULLS LAST, n DESC, md5(candidate || ':7')) - 1) AS p FROM g)", select="SELECT candidate, CAST(CASE WHEN p % 10 < 5 THEN p % 10 ELSE 9 - p % 10 END AS INTEGER) AS fold FROM p"))
 def wn10_group_folds(spark, sf_dir):
-    """Folds with a seeded hash as the last key, which SQL does not have."""
+    """Folds of candidates, dealt in turn up and down."""
     return m.group_folds(v.items(spark, sf_dir), 5)
 
 
-@register("wn11_group_split")
+@register("wn11_group_split", v.with_sql(v.ITEMS, "g AS (SELECT DISTINCT candidate FROM items)", "p AS (SELECT candidate, row_number() OVER (ORDER BY md5(candidate || ':7'), candidate) AS p, count(*) OVER () AS n FROM g)", select="SELECT candidate, CASE WHEN p <= least(greatest(1, round(n * 0.2)), n - 1) THEN 'validation' ELSE 'train' END AS side FROM p"))
 def wn11_group_split(spark, sf_dir):
-    """Group split by a seeded hash, which SQL does not have."""
+    """Candidates for training or validation by a seeded hash."""
     return m.group_split(v.items(spark, sf_dir), 0.2)
 
 
@@ -246,3 +247,56 @@ def sc8_aggregation_search(spark, sf_dir):
 def sc9_strategy_search(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("trial")).agg(F.avg("l_discount").alias("auc"), F.avg("l_tax").alias("rho"))
     return search.strategy_search(t, [0.25, 0.75], ["auc", "rho"])
+
+
+_BASE = {"site_hit_fraction": 0.5, "anchor_hit_fraction": 0.3, "energy_gb": 0.2}
+_DRAWN = search.draw_trials(list(_BASE.values()), 8)
+
+
+@register("sc7_random_trials", v.with_sql(v.ITEMS, v.scaled_ctes("items", "z", list(_BASE)), f"t AS (SELECT * FROM (VALUES {', '.join(f'({t[0]}, {t[1]!r}::DOUBLE, {t[2]!r}::DOUBLE, {t[3]!r}::DOUBLE)' for t in _DRAWN)}) AS x(trial, w1, w2, w3))",
+    "s AS (SELECT trial, label, round((w1 * s_site_hit_fraction + w2 * s_anchor_hit_fraction + w3 * (1 - s_energy_gb)) / (w1 + w2 + w3), 9) AS x FROM z, t)", "r AS (SELECT trial, label, rank() OVER (PARTITION BY trial ORDER BY x) + (count(*) OVER (PARTITION BY trial, x) - 1) / 2 AS r FROM s)",
+    "g AS (SELECT trial, CAST(sum(label) AS BIGINT) AS n_pos, CAST(count(*) - sum(label) AS BIGINT) AS n_neg, sum(label * r) AS s FROM r GROUP BY trial)", select="SELECT trial, n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg), 6) AS auc FROM g"))
+def sc7_random_trials(spark, sf_dir):
+    """Jittered and drawn weights around the base weights, all scored in one job."""
+    return search.weight_trials(v.items(spark, sf_dir), {"site_hit_fraction": 1, "anchor_hit_fraction": 1, "energy_gb": -1}, _DRAWN, "label")
+
+
+_GRID4 = [(a, b, c, d) for a in (0.4, 0.5, 0.6) for b in (0.15, 0.25) for c in (0.1, 0.2) for d in (0.05, 0.15)]
+_LEAST = {"candidate_auc": 0.45, "rank_consistency": -0.05}
+_TRIED = [
+    v.ITEMS, v.SCORED, v.variants_ctes(), v.candidates_ctes(), f"w AS (SELECT * FROM (VALUES {', '.join(str(tuple(float(x) for x in t)) for t in _GRID4)}) AS x(w1, w2, w3, w4))",
+    "lab AS (SELECT candidate, CASE WHEN avg(label) >= 0.5 THEN 1 ELSE 0 END AS y, round(avg(anchor_hit_fraction), 9) AS ref FROM okitems GROUP BY candidate)",
+    "ia0 AS (SELECT label, rank() OVER (ORDER BY round(rule_score, 9)) + (count(*) OVER (PARTITION BY round(rule_score, 9)) - 1) / 2 AS r FROM scored)", "ia AS (SELECT (sum(label * r) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS item_auc FROM ia0)",
+    "f AS (SELECT w1, w2, w3, w4, y, ref, round(w1 * mean_variant_score + w2 * best_variant_score + w3 * coalesce(consistency, 0) - w4 * std_variant_score, 9) AS s FROM candidates JOIN lab USING (candidate), w)",
+    "rk AS (SELECT *, rank() OVER (PARTITION BY w1, w2, w3, w4 ORDER BY s) + (count(*) OVER (PARTITION BY w1, w2, w3, w4, s) - 1) / 2 AS a, rank() OVER (PARTITION BY w1, w2, w3, w4 ORDER BY ref) + (count(*) OVER (PARTITION BY w1, w2, w3, w4, ref) - 1) / 2 AS b FROM f)",
+    "tr0 AS (SELECT w1, w2, w3, w4, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(y * a) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) END AS candidate_auc, corr(a, b) AS rank_consistency FROM rk GROUP BY ALL)",
+    "tr AS (SELECT *, 0.5 * coalesce(item_auc, 0) + 0.3 * coalesce(candidate_auc, 0) + 0.2 * greatest(0, least(1, (coalesce(rank_consistency, 0) + 1) / 2)) AS objective, coalesce(round(candidate_auc, 9) >= 0.45, FALSE) AND coalesce(round(rank_consistency, 9) >= -0.05, FALSE) AS feasible FROM tr0, ia)",
+]
+_W4 = "CAST(w1 AS DOUBLE) AS w1, CAST(w2 AS DOUBLE) AS w2, CAST(w3 AS DOUBLE) AS w3, CAST(w4 AS DOUBLE) AS w4"
+_PARTS = "round(item_auc, 6) AS item_auc, round(candidate_auc, 6) AS candidate_auc, round(rank_consistency, 6) AS rank_consistency, round(objective, 6) AS objective, feasible"
+
+
+def _tried(spark, sf_dir):
+    d = stage(scored(spark, sf_dir), "scored")
+    cands = stage(scoring.rollup_candidates(scoring.rollup_variants(d)), "candidates")
+    truth = stage(d.groupBy("candidate").agg((F.avg("label") >= 0.5).cast("int").alias("y"), F.round(F.avg("anchor_hit_fraction"), 9).alias("ref")), "truth")
+    area = m.auc(d.withColumn("x", F.round("rule_score", 9)), "label", "x").select(F.col("auc").alias("item_auc"))
+    return stage(search.aggregation_trials(cands, truth.select("candidate", "y"), truth.select("candidate", "ref"), _GRID4, area, least=_LEAST), "trials")
+
+
+@register("sc8_constrained_trials", v.with_sql(*_TRIED, select=f"SELECT {_W4}, {_PARTS} FROM tr"))
+def sc8_constrained_trials(spark, sf_dir):
+    return _tried(spark, sf_dir)
+
+
+@register("sc8_best_trial", v.with_sql(*_TRIED, select=f"SELECT {_W4}, {_PARTS}, (SELECT count_if(feasible) FROM tr) AS n_feasible, (SELECT count(*) FROM tr) AS n_trials, NOT feasible AS fallback FROM (SELECT * FROM tr ORDER BY feasible DESC, round(candidate_auc, 9) DESC NULLS LAST, round(objective, 9) DESC, round(candidate_auc, 9) DESC NULLS LAST, round(item_auc, 9) DESC, round(rank_consistency, 9) DESC NULLS LAST, w1, w2, w3, w4 LIMIT 1)"))
+def sc8_best_trial(spark, sf_dir):
+    return search.best_trial(_tried(spark, sf_dir), ["w1", "w2", "w3", "w4"], "candidate_auc")
+
+
+@register("sc9_guarded_strategies", v.with_sql("t AS (SELECT l_suppkey AS trial, avg(l_discount) * 10 AS item_auc, avg(l_quantity) / 50 AS candidate_auc, avg(l_tax) * 20 - 1 AS rank_consistency FROM lineitem GROUP BY 1)",
+    "g AS (SELECT *, coalesce(round(candidate_auc, 9) >= 0.52 - 0.01 - 1e-12, FALSE) AS feasible, 0.5 * item_auc + 0.3 * candidate_auc + rank_weight * greatest(0, least(1, (rank_consistency + 1) / 2)) AS objective FROM t, (SELECT unnest([0.0, 0.1, 0.3]::DOUBLE[]) AS rank_weight), (SELECT unnest(['objective', 'candidate_auc', 'rank_consistency']) AS selection))",
+    select="SELECT rank_weight, selection, trial, feasible, NOT feasible AS fallback, round(objective, 6) AS objective, round(item_auc, 6) AS item_auc, round(candidate_auc, 6) AS candidate_auc, round(rank_consistency, 6) AS rank_consistency FROM (SELECT *, row_number() OVER (PARTITION BY rank_weight, selection ORDER BY feasible DESC, round(CASE selection WHEN 'objective' THEN objective WHEN 'candidate_auc' THEN candidate_auc ELSE rank_consistency END, 9) DESC, round(objective, 9) DESC, round(candidate_auc, 9) DESC, round(item_auc, 9) DESC, round(rank_consistency, 9) DESC, trial) AS r FROM g) WHERE r = 1"))
+def sc9_guarded_strategies(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("trial")).agg((F.avg("l_discount") * 10).alias("item_auc"), (F.avg("l_quantity") / 50).alias("candidate_auc"), (F.avg("l_tax") * 20 - 1).alias("rank_consistency"))
+    return search.guarded_strategies(t, [0.0, 0.1, 0.3], ["objective", "candidate_auc", "rank_consistency"], baseline={"candidate_auc": 0.52}, tolerance={"candidate_auc": 0.01})

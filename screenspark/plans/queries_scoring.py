@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from screenspark.functions.columns import clean_text, finite, first_nonempty, token
 from screenspark.operators import scoring
+from screenspark.operators.selection import NOT_FEATURES
 from screenspark.plans import views as v
 from screenspark.plans.registry import register, select_sql
 from screenspark.plans.tables import table
@@ -82,10 +83,16 @@ def src1_stable_rows(spark, sf_dir):
     return d.select("o_orderkey", "o_custkey", "o_orderstatus", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("row_index"))
 
 
-@register("src2_numeric_columns", "SELECT unnest(['l_orderkey','l_partkey','l_suppkey','l_linenumber','l_quantity','l_extendedprice','l_discount','l_tax']) AS column_name")
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("src2_numeric_columns", "UNPIVOT (SELECT " + ", ".join(f"count({c}) AS {c}" for c in _NUMERIC) + " FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE n_finite")
 def src2_numeric_columns(spark, sf_dir):
-    names = scoring.detect_numeric_columns(table(spark, sf_dir, "lineitem").drop("l_shipdate"))
-    return table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("column_name"))
+    """The numeric columns of a table whose columns are all text, and how many values each has."""
+    d = table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    text = d.select(*(F.col(c).cast("string").alias(c) for c in d.columns))
+    names = scoring.detect_numeric_columns(text)
+    return text.agg(*(F.count(F.col(c).try_cast("double")).alias(c) for c in names)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_finite")) for c in names))).alias("x")).select("x.*")
 
 
 @register("prj1_clean_text", "SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('nan','none','null','na','n/a') THEN '' ELSE trim(event_type) END AS kind, CASE WHEN user_id % 3 = 0 THEN '' ELSE trim(' x' || user_id || ' ') END AS tag FROM events")
@@ -131,12 +138,18 @@ def prj6_detect_column(spark, sf_dir):
     return p.select("p_partkey", F.lit(name).alias("chosen"), F.col(name).cast("double").alias("value"))
 
 
-@register("prj7_model_features", "SELECT unnest(['anchor_hit_fraction','mouth_occlusion','overwide','site_distance','site_hit_fraction','energy_gb']) AS feature")
+_FEATURES = ["anchor_hit_fraction", "energy_gb", "mouth_occlusion", "overwide", "site_distance", "site_hit_fraction"]
+
+
+@register("prj7_model_features", v.with_sql(v.ITEMS, select=" UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, round(max({c}), 6) AS highest FROM items" for c in _FEATURES)))
 def prj7_model_features(spark, sf_dir):
+    """The columns of the items that a model may learn from, with their number of values and the highest."""
     from screenspark.operators.selection import model_features
 
-    names = model_features(v.items(spark, sf_dir).drop("candidate", "customer", "order_key", "ship_date"))
-    return table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("feature"))
+    d = v.items(spark, sf_dir)
+    names = model_features(d, exclude=(*NOT_FEATURES, "candidate", "customer", "order_key"))
+    a = d.agg(*(F.count(c).alias(f"n_{c}") for c in names), *(F.max(c).alias(f"m_{c}") for c in names))
+    return a.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"m_{c}").alias("highest")) for c in names))).alias("x")).select("x.*")
 
 
 @register("prj8_chain_filter", "SELECT DISTINCT 'B:' || l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' UNION SELECT DISTINCT 'B:' || l_partkey FROM lineitem WHERE FALSE")

@@ -34,14 +34,32 @@ def stream_sessions(events: DataFrame, gap: str, key: str = "candidate", ts: str
     return g.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n_events")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now, to a table in memory, and return it; for results of bounded size."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Run a stream over all that is there now; each batch's rows go to Parquet files, and the last row of each key is returned.
+
+    Only changed rows are written in update mode; ``complete`` is for queries that know
+    no other (sessions), of which the last batch counts.  Nothing is held by the driver.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/b{batch}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(stream.withColumn("_batch", F.lit(0)).schema).option("recursiveFileLookup", True).parquet(path)
+    if mode == "complete":
+        last = rows.agg(F.max("_batch")).first()[0]
+        return rows.filter(F.col("_batch") == F.lit(last)).drop("_batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(*keys, "_s.*").select(*stream.columns)
+
+
+def late_rows(query) -> int:
+    """Rows that a query dropped because its watermark had passed them."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -6,7 +6,12 @@ import os
 import pytest
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["sc1_rank_candidates", "ag1_topk_selection", "ag6_robust_scale", "prj2_finite", "ag16_method_consensus", "ag18_pairwise_jaccard", "ag13_evidence_support", "jn5_distance_join", "jn6_nearest_join", "ge5_site_shape", "jn9_match_residues", "wn6_latest_state", "sc16_infer_validation", "wn8_lineage_groups", "fl2_quality_gate", "mx1_auc", "mx7_reliability", "jn11_coverage"]
+
+
+def names():
+    from screenspark.plans import registry
+
+    return sorted(registry.SQL)
 
 
 def plain(v):
@@ -26,7 +31,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", names())
 def test_query_equals_its_sql(spark, duck, name):
     import __spark_entry__
 
