@@ -123,14 +123,15 @@ class TokenFileReader:
         return np.frombuffer(raw, self.dtype)
 
 
-MANIFEST = StructType([StructField("path", StringType()), StructField("first_id", LongType()), StructField("n_docs", LongType()), StructField("n_ids", LongType())])
+MANIFEST = StructType([StructField("path", StringType()), StructField("first_id", LongType()), StructField("first_place", LongType()), StructField("n_docs", LongType()), StructField("n_ids", LongType())])
 
 
 def write_token_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int | None = 2, folder: str | None = None, width: int = 2) -> DataFrame:
-    """Write the ids of ``docs`` (doc_id, text) and return the manifest: ``path, first_id, n_docs, n_ids, first_token``.
+    """Write the ids of ``docs`` (doc_id, text) and return the manifest: ``path, first_id, first_place, n_docs, n_ids, first_token``.
 
     Documents are in ascending doc_id order within and across files (null ids
-    first; repeated ids by text).  A null text has the end id only.  ``folder``
+    first; rows of one id in the order in which they are read, over several files
+    if they are many).  A null text has the end id only.  ``folder``
     is a URI that the executors reach (default: a new one in the shared folder);
     ``width`` is the bytes of an id in the files, 2 or 4.  An empty table gives
     an empty manifest.
@@ -140,28 +141,29 @@ def write_token_files(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyarrow import fs
 
-        writer = store = path = first = None
+        writer = store = path = first = place = None
         encode = encoder(vocabulary).encode
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, stops = encode(part.column("text"), end_id)
                 if len(ids) and int(ids.max()) >= 1 << (8 * width):
                     raise ValueError(f"an id does not fit {width} bytes")
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True):
+                for i, (doc_id, a, b) in enumerate(zip(part.column("doc_id").to_pylist(), np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True)):
                     if writer is None:
-                        path, first = f"{folder}/{uuid.uuid4().hex}.tokens", doc_id
+                        path, first, place = f"{folder}/{uuid.uuid4().hex}.tokens", doc_id, part.column("place")[i].as_py()
                         store, inner = fs.FileSystem.from_uri(path)
                         store.create_dir(inner.rpartition("/")[0], recursive=True)
                         writer = TokenFileWriter(store.open_output_stream(inner), width)
                     writer.add(doc_id, ids[a:b])
         if writer is not None:
             writer.close()
-            yield {"path": [path], "first_id": [first], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.tokens)]}
+            yield {"path": [path], "first_id": [first], "first_place": [place], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.tokens)]}
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("place", F.monotonically_increasing_id())  # splits the rows of one id, too
+    ordered = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     manifest = stage(map_batches(ordered, run, MANIFEST), "manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_place").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("first_token", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

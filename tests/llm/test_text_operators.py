@@ -208,3 +208,43 @@ def test_segments_edge_rows(docs, no_docs):
     empty = [r for r in rows if r.doc_id in (3, 4)]
     assert all(r.n_pieces == 0 and r.nbest_scores == [0.0] for r in empty)
     assert segment_texts(no_docs).count() == 0
+
+
+def test_rows_of_one_id_go_to_several_files(spark):
+    rows = spark.range(400).select(F.when(F.col("id") >= 100, F.lit(5)).alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = seekable_tokens.write_token_files(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.orderBy(F.col("first_id").asc_nulls_first(), "first_place").collect()
+    assert len(files) > 1 and len({f.first_id for f in files}) < len(files)
+    assert [f.first_token for f in files] == [sum(g.n_ids for g in files[:i]) for i in range(len(files))]
+    back = seekable_tokens.read_token_files(manifest).collect()
+    assert sorted((r.doc_id or 0) for r in back) == [0] * 100 + [5] * 300
+    spans = sorted((r.start, r.start + r.n_tokens, r.doc_id or 0) for r in back)
+    assert all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_training_and_windows_by_brute_force():
+    """A text's toxicity is that of its worst window, its language the mean over all windows."""
+    from screenspark.llm import byte_cnn_lang, toxicity
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 90, 40)]
+    texts = [t + " badword" if i % 2 else t for i, t in enumerate(texts)]
+    net = toxicity.train_net(texts, np.array([i % 2 for i in range(40)]), rounds=1, epochs=1)
+    scorer = toxicity.Scorer(net)
+    whole = scorer.score(pa.array(texts))
+    for text, got in zip(texts, whole, strict=True):
+        parts = text.split()
+        starts = range(0, max(1, len(parts) - 16), 16) if len(parts) > 32 else [0]
+        windows = [" ".join(parts[s : s + 32]) for s in starts]
+        assert got == pytest.approx(max(scorer.score(pa.array([w]))[0] for w in windows), abs=1e-5)
+    model = byte_cnn_lang.ByteCNN(["a", "b"])
+    data = ("text " * 200).encode()
+    windows = byte_cnn_lang.windows_of(data, byte_cnn_lang.WINDOW, 3)
+    alone = [np.frombuffer(data[s : s + 256].ljust(256, b"\0"), np.uint8) for s in range(0, len(data) - 3, 253)]
+    assert (windows == np.array(alone)).all()
+    assert model.probabilities(windows).mean(axis=0) == pytest.approx(np.mean([model.probabilities(w[None])[0] for w in alone], axis=0), abs=1e-6)
