@@ -63,10 +63,15 @@ def late_rows(query) -> int:
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now, in append mode, to Parquet files, and return them."""
+    """Run a stream over all that is there now, in append mode, to Parquet files, and return them.
+
+    The table's ``late_rows`` says how many (pre-aggregated) rows came after their watermark.
+    """
     query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    out = stream.sparkSession.read.schema(stream.schema).parquet(path)
+    out.late_rows = late_rows(query)
+    return out

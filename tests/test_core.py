@@ -150,3 +150,55 @@ def test_any_warning_row_makes_the_gate_warn(spark):
     got = {r.check: r.status for r in quality.quality_gate(d, "f", "overwide", "label").collect()}
     assert got["warning_rows"] == "WARN" and got["failed_rows"] == "PASS"
     assert {r.check: r.status for r in quality.quality_gate(d.limit(0), "f", "overwide", "label").collect()}["row_count"] == "FAIL"
+
+
+def test_flagship_scans_its_staged_rows_twice_at_most(spark):
+    """The items are staged once; the ranking reads them for the top rows and for the sizes."""
+    from screenspark.operators import scoring
+
+    items = spark.range(600).select((F.col("id") % 5).alias("candidate"), (F.col("id") % 3).cast("string").alias("variant"), F.col("id").cast("string").alias("item"), (F.col("id") % 50).cast("double").alias("site_hit_fraction"), (F.col("id") * 7 % 90).cast("double").alias("energy_gb"), F.lit("ok").alias("status"))
+    ranked = scoring.rank_candidates(items)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2 and "Join Inner" in plan and "Cross" not in plan
+    assert ranked.count() == 5
+
+
+def test_quantiles_in_brackets_equal_those_of_all_values(spark):
+    from screenspark.operators.quantiles import exact_quantiles
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, 1.5).when(F.col("id") % 3 == 1, F.col("id") / 7).alias("b"), F.lit(None).cast("double").alias("c"))
+    probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    whole = exact_quantiles(df, ["a", "b", "c"], probs)
+    parts = exact_quantiles(df, ["a", "b", "c"], probs, held=40, accuracy=200)
+    assert whole["c"] == parts["c"] == [None] * 6
+    for c in "ab":
+        assert all(abs(x - y) < 1e-9 for x, y in zip(whole[c], parts[c], strict=True))
+
+
+def test_running_counts_by_slices_equal_plain_ranks(spark):
+    from screenspark.operators import metrics
+
+    df = spark.range(900).select((F.col("id") % 2).alias("g"), (F.col("id") * 31 % 101).cast("double").alias("v"))
+    rows = metrics.avg_rank(df, "v", "r", ["g"]).collect()
+    for g in (0, 1):
+        values = sorted(r.v for r in rows if r.g == g)
+        for r in rows:
+            if r.g == g:
+                low, high = values.index(r.v) + 1, len(values) - values[::-1].index(r.v)
+                assert r.r == (low + high) / 2
+
+
+def test_nearest_by_rings_equals_all_pairs(spark):
+    import itertools
+
+    from screenspark.operators.spatial import nearest_join
+
+    a = [(i % 3, i, float(i * 37 % 100), float(i * 11 % 60), 0.0) for i in range(40)]
+    b = [(i % 2, 1000 + i, float(i * 53 % 90), float(i * 29 % 70), 5.0) for i in range(12)]
+    found = nearest_join(spark.createDataFrame(a, "structure int, id int, x double, y double, z double"), spark.createDataFrame(b, "structure int, pid int, x double, y double, z double"), "id", "pid")
+    want = {}
+    for p, q in itertools.product(a, b):
+        if p[0] == q[0]:
+            d = sum((u - w) ** 2 for u, w in zip(p[2:], q[2:], strict=True)) ** 0.5
+            want[p[1]] = min(want.get(p[1], (9e9, 0)), (d, q[1]))
+    assert {r.id: (round(r.dist, 9), r.pid) for r in found.collect()} == {k: (round(d, 9), pid) for k, (d, pid) in want.items()}

@@ -1,6 +1,7 @@
 """Streams against batch, folds and models."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -19,16 +20,16 @@ def events(spark, tmp_path):
 
 def test_final_state_of_the_stream_is_that_of_the_batch(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
-    got = ledger.run_to_table(ledger.stream_ledger(stream, delay="30 days"), "t_ledger", "complete", str(tmp_path / "c"))
+    got = ledger.run_updates(ledger.stream_ledger(stream, delay="30 days"), str(tmp_path / "o"), str(tmp_path / "c"), ["candidate"])
     want = batch.groupBy("candidate").agg(F.max_by("status", F.struct("ts", -F.col("source_priority"), "event_id")).alias("status"), F.count("*").alias("n"))
     assert {(r.candidate, r.status, r.n_records) for r in got.collect()} == {(r.candidate, r.status, r.n) for r in want.collect()}
 
 
 def test_windows_and_sessions(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
-    qc = ledger.run_to_table(ledger.stream_qc(stream.dropDuplicates(["event_id"]), "1 day", delay="30 days"), "t_qc", "complete", str(tmp_path / "c1"))
+    qc = ledger.run_updates(ledger.stream_qc(stream.dropDuplicates(["event_id"]), "1 day", delay="30 days"), str(tmp_path / "o1"), str(tmp_path / "c1"), ["window_start"])
     assert sorted(r.n_rows for r in qc.collect()) == [3, 3, 4]
-    s = ledger.run_to_table(ledger.stream_sessions(stream, "6 hours", delay="30 days"), "t_s", "complete", str(tmp_path / "c2"))
+    s = ledger.run_updates(ledger.stream_sessions(stream, "6 hours", delay="30 days"), str(tmp_path / "o2"), str(tmp_path / "c2"), ["candidate", "session_start"], "complete")
     assert sum(r.n_events for r in s.collect()) == batch.count() + 1
 
 
@@ -38,6 +39,17 @@ def test_append_mode_emits_only_closed_windows(spark, tmp_path):
     assert {r.window_start.day for r in out} == {1, 2}
 
 
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    day = lambda d, n, i: spark.createDataFrame([(i + k, dt.datetime(2024, 1, d, k), "ok", False) for k in range(n)], "event_id long, ts timestamp, status string, has_warning boolean").coalesce(1)
+    for i, (d, n) in enumerate([(1, 4), (5, 3), (6, 2), (1, 2), (9, 1)]):  # the fourth file comes two batches after its day is closed
+        day(d, n, 10 * i).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = ledger.run_to_parquet(ledger.stream_qc(stream, "1 day", delay="1 hour"), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert {r.window_start.day: r.n_rows for r in out.collect()} == {1: 4, 5: 3, 6: 2}
+    assert out.late_rows >= 1  # counted by groups that are combined before the state
+
+
 def rows(spark):
     data = [(i % 6, "ab"[i % 2], f"i{i}", (i * 37 % 100) / 100, None if i % 9 == 0 else (i * 17 % 50) / 50, float((i * 37 % 100) > 50)) for i in range(180)]
     return spark.createDataFrame(data, "candidate long, variant string, item string, site_hit_fraction double, mouth_occlusion double, label double")
