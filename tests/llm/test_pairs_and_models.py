@@ -70,6 +70,21 @@ def test_components_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_of_many_blocks(spark, monkeypatch):
+    from screenspark.llm import components as module
+
+    monkeypatch.setattr(module, "BLOCK_EDGES", 25)
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))]
+    root = list(range(150))
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    assert found == {i: root[i] for i in touched}
+
+
 def test_pipeline_keeps_one_of_each_class(spark, docs):
     from corpus_pipeline import drop_near_duplicates
 
@@ -221,6 +236,16 @@ def test_chat_digests(spark):
     assert chat_events.conversation_digests(chat_events.written_conversations(df.limit(0))).count() == 0
 
 
+def test_very_long_texts_and_conversations(spark):
+    long = "</s>[INST] words " * 30_000
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", long if i == 1 else f"m{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    (got,) = chat_events.conversation_digests(chat_events.written_conversations(df)).collect()
+    said = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert got.n_turns == 3000 and got.loss_chars == len(said) and got.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows).encode()).hexdigest()
+
+
 WORDS = {"en": ["the", "and", "with", "this"], "de": ["der", "und", "mit", "über"]}
 
 
