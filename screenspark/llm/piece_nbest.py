@@ -218,9 +218,9 @@ class PieceLattice:
         cost[~known] = np.where(self.kept_apart((new >> np.uint64(32)).astype(np.int64), (new & np.uint64(0xFFFFFFFF)).astype(np.int64)), 0.0, BREAK)
         if len(self.seen) + len(new) > CACHE_JUNCTIONS:
             self.seen, self.seen_cost = np.zeros(0, np.uint64), np.zeros(0)
-        merged = np.concatenate([self.seen, new])
-        order = np.argsort(merged, kind="stable")
-        self.seen, self.seen_cost = merged[order], np.concatenate([self.seen_cost, cost[~known]])[order]
+        if len(new):
+            at = np.searchsorted(self.seen, new)
+            self.seen, self.seen_cost = np.insert(self.seen, at, new), np.insert(self.seen_cost, at, cost[~known])
         return cost[back]
 
     def _clear(self) -> None:
@@ -318,8 +318,10 @@ class PieceLattice:
         # joint[:, b, k, j]: cost between the piece of k + 1 characters that ends at b and one of j + 1 characters before it.
         joint = np.zeros((m, n + 1, deep, deep))
         there = score > -np.inf
-        for k in range(1, deep):
-            r, b, j = np.nonzero(there[:, k:, k - 1, None] & there[:, : n + 1 - k, :])
+        met = [np.nonzero(there[:, k:, k - 1, None] & there[:, : n + 1 - k, :]) for k in range(1, deep)]
+        if met:
+            r, b, j = (np.concatenate(x) for x in zip(*met, strict=True))
+            k = np.repeat(np.arange(1, deep), [len(x[0]) for x in met])
             joint[r, b + k, k - 1, j] = self.breaks(place[r, b, j], place[r, b + k, k - 1])
         forward = np.full((m, n + 1, deep), -np.inf)
         for b in range(1, n + 1):
@@ -421,7 +423,21 @@ class PieceLattice:
         pieces: list[np.ndarray] = []
         one = count == 1
         length[one], loss[one] = p.length[at[first[one]]], p.loss[at[first[one]]]
-        for u in np.flatnonzero(~one):
+        two = np.flatnonzero(count == 2)
+        if len(two):  # the n least of all sums of one path of each part
+            left, right = at[first[two]], at[first[two] + 1]
+            sums = (p.loss[left][:, :, None] + p.loss[right][:, None, :]).reshape(len(two), -1)
+            best = np.argsort(sums, axis=1, kind="stable")[:, : self.n]
+            i, j = best // self.n, best % self.n
+            lost = np.take_along_axis(sums, best, axis=1)
+            here = lost < np.inf
+            loss[two] = lost
+            a, b = p.length[left[:, None], i] * here, p.length[right[:, None], j] * here
+            length[two] = a + b
+            starts = np.stack([p.start[left[:, None], i], p.start[right[:, None], j]], axis=2)
+            of_two = p.flat[_ranges(starts.ravel(), np.stack([a, b], axis=2).ravel())]
+        more = np.flatnonzero(count > 2)
+        for u in more:
             rows = at[first[u] : first[u] + count[u]]
             best = [p.ids(r, 0) for r in rows]
             for k, (lost, how) in enumerate(least_sums(p.loss[rows].tolist(), self.n)):
@@ -433,9 +449,11 @@ class PieceLattice:
         # All ids, unit after unit and path after path: those of one part are copied from it.
         total = length.sum(axis=1)
         flat, stop = np.zeros(int(total.sum()), np.int64), np.cumsum(total)
-        each = length[one]
-        flat[_ranges((stop - total)[one], total[one])] = p.flat[_ranges(p.start[at[first[one]]].ravel(), each.ravel())]
-        flat[_ranges((stop - total)[~one], total[~one])] = np.concatenate(pieces or [np.zeros(0, np.int64)])
+        begin = stop - total
+        flat[_ranges(begin[one], total[one])] = p.flat[_ranges(p.start[at[first[one]]].ravel(), length[one].ravel())]
+        if len(two):
+            flat[_ranges(begin[two], total[two])] = of_two
+        flat[_ranges(begin[more], total[more])] = np.concatenate(pieces or [np.zeros(0, np.int64)])
         base = len(self.index)
         self.index.update(zip(units, range(base, base + len(units)), strict=True))
         self.unit.add(flat, length, np.add.reduceat(p.score[at], first), loss)
