@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from screenspark.llm.batches import map_batches
 from screenspark.plans.staging import discard, stage
 
 
+#: Edges of one block, which a task contracts by itself.
+BLOCK_EDGES = 1_000_000
+EDGES = StructType([StructField("u", LongType()), StructField("v", LongType())])
+
+
+def contracted(edges: DataFrame, blocks: int) -> DataFrame:
+    """The edges in blocks, each replaced by stars about the smallest nodes of what it connects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        parts = [np.stack([b.column(c).to_numpy() for c in "uv"]) for b in batches if b.num_rows]
+        if parts:
+            ends = np.concatenate(parts, axis=1)
+            nodes, place = np.unique(ends, return_inverse=True)
+            place = place.reshape(ends.shape)
+            forest = Forest(len(nodes))
+            forest.link(place[0], place[1])
+            child = np.flatnonzero(forest.label != np.arange(len(nodes)))
+            yield {"u": nodes[child], "v": nodes[forest.label[child]]}
+
+    return map_batches(edges.repartition(blocks), run, EDGES)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -30,18 +58,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    out = out.filter("u <> v")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (u, v): the smallest node that it reaches.
 
-    Alternates large and small stars until the edges no longer change; every
-    round is a table in the shared folder.  Loops may be given; an empty table
+    Blocks of edges are contracted to stars first; one block is then done, and more
+    are joined by large and small stars in turn until the edges no longer change.
+    Every round is a table in the shared folder.  Loops may be given; an empty table
     gives an empty table.
     """
-    now = stage(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    state = _state(now)
+    given = stage(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v"), "edges")
+    blocks = max(1, math.ceil(given.count() / BLOCK_EDGES))
+    now = stage(contracted(given, blocks), "edges")
+    discard(given)
+    state = _state(now) if blocks > 1 else (0,)
     while state[0]:
         following = stage(_star(_star(now, True), False), "edges")
         after = _state(following)

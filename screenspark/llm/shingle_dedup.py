@@ -29,11 +29,13 @@ from screenspark.plans.staging import discard, stage
 SAMPLE_ONE_IN = 16
 FREQUENT = 4
 MOST_FREQUENT = 300_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Candidate pairs up to which the ids of their texts are broadcast (two ids and hashes a pair, some MB); beyond, the tables are shuffled.
 BROADCAST_PAIRS = 200_000
 #: Lists of more texts than this are united by stars before their pairs are looked at.
 DENSE = 32
+#: Bits in which the fingerprints of nearly all texts of a similarity of 0.8 differ at most (about ten are expected).
+NEAR_BITS = 17
 #: Hashes of sets that a task keeps while it verifies.
 CACHE_HASHES = 3_000_000
 MIX = 0x9E3779B97F4A7C15
@@ -112,7 +114,7 @@ def described(docs: DataFrame, threshold: float, shingle: int, bits) -> DataFram
         import xxhash
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 3_000_000):
                 hashes = [shingle_hashes(t, shingle) for t in part.column("text").to_pylist()]
                 fp = np.array([bits(h) for h in hashes], np.uint64)
                 sets = [np.unique(h) for h in hashes]
@@ -121,6 +123,7 @@ def described(docs: DataFrame, threshold: float, shingle: int, bits) -> DataFram
                 ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 flat = np.concatenate(first or [np.zeros(0, np.int64)])
                 yield {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "key": key.view(np.int64), "n": [len(s) for s in sets], "fp": fp.view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+        WORDS.clear()  # the worker stays for later tasks
 
     return map_batches(docs, run, schema)
 
@@ -153,20 +156,35 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     return map_batches(rows.repartition("h").sortWithinPartitions("h", "key"), run, schema)
 
 
-def with_roots(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``h, key, n, root`` of the lists whose texts are not yet of one class."""
-    known = nodes.select("key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+def with_roots(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``h, key, n, fp, root, size`` of the lists whose texts are not yet of one class; without roots each text is its own."""
+    known = nodes.select("key", "n", "fp")
+    known = known.withColumn("root", F.col("key")) if roots is None else known.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rows = lists.join(known, "key")
     mixed = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a <> b").select("h", "size")
     return rows.join(mixed, "h")
 
 
+def with_major(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``minor``: whether a text is outside the largest class of its list."""
+    largest = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+    return rows.join(largest, "h").withColumn("minor", F.col("root") != F.col("major"))
+
+
 def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """One pair ``u, v`` for each text of a dense list: with the centre that it shares most lists with."""
+    """Pairs ``u, v`` of the texts of dense lists and two centres of each list, which a later turn takes from its largest class.
+
+    Only pairs of near fingerprints count, as stars merely unite classes early; a
+    text has at most two pairs for each of its lists, whatever their size.
+    """
     dense = rows.filter(F.col("size") > DENSE)
-    centre = dense.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "root")).alias("c")).select("h", F.col("c.key").alias("v"), F.col("c.root").alias("root_v"))
-    met = dense.join(centre, "h").filter("root <> root_v").groupBy(F.col("key").alias("u"), "v").count()
-    return met.groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
+    if turn:
+        dense = with_major(dense)
+    order = F.struct(F.xxhash64("h", "key", F.lit(turn)), F.col("key").alias("v"), F.col("root").alias("root_v"), F.col("fp").alias("fp_v"))
+    held = F.when(~F.col("minor"), order) if turn else order
+    centres = dense.groupBy("h").agg(F.array(F.min(held), F.max(held)).alias("c")).select("h", F.explode("c").alias("c")).select("h", "c.v", "c.root_v", "c.fp_v")
+    met = dense.join(centres, "h").filter((F.col("root") != F.col("root_v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= NEAR_BITS))
+    return met.select(F.least("key", "v").alias("u"), F.greatest("key", "v").alias("v")).distinct()
 
 
 def _first(n: Column, threshold: float) -> Column:
@@ -179,8 +197,7 @@ def possible_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     In each list the members outside its largest class meet all others, so a list
     that is nearly of one class costs little.
     """
-    largest = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
-    rows = rows.join(largest, "h").withColumn("minor", F.col("root") != F.col("major"))
+    rows = with_major(rows)
     a, b = (rows.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "root", "minor"))) for s in "uv")
     once = ~F.col("minor_v") | (F.col("key_u") < F.col("key_v"))
     close = F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold - 1e-9

@@ -250,7 +250,7 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, shingle: int = 3) ->
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("component_key"), "text_hash")
 
 
-def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, max_bits: int = 3, turns: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, max_bits: int = 3, turns: int = 1) -> DataFrame:
     """Near-duplicate class of each row of ``docs`` (doc_id, text): texts linked by a Jaccard similarity of ``threshold`` or more of their word shingles.
 
     Returns ``doc_id, component_id`` (the smallest doc_id in the class),
@@ -259,8 +259,8 @@ def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     empty and blank texts are one class.  Repeated rows stay; null ids count only if a class
     has no other.  An empty table gives no rows; other columns are not read.
 
-    All pairs are found: the trie join, the stars over dense lists and ``turns`` rounds
-    of each text's closest pair only unite classes early; every pair of two classes
+    All pairs are found: the trie join, the stars over dense lists (``turns`` more
+    rounds) and each text's closest pair only unite classes early; every pair of two classes
     that shares a first shingle is held against the bound of its shared ones and, if
     they are still two, verified.
     """
@@ -275,16 +275,17 @@ def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     near = fingerprint_links(by_fp, max_bits).join(ends[0], "u").join(ends[1], "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
     near = near.unionByName(nodes.join(by_fp, "fp").filter("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))).distinct()
     check = lambda pairs: shingle_dedup.verified(pairs, nodes, docs, threshold, shingle)
-    alone = by_fp.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
-    edges = check(near.unionByName(shingle_dedup.star_pairs(shingle_dedup.with_roots(lists, nodes, alone), 0)).distinct())
-    rows = stage(shingle_dedup.with_roots(lists, nodes, stage(components(edges), "roots")), "open-lists")
+    first = check(near.unionByName(shingle_dedup.star_pairs(shingle_dedup.with_roots(lists, nodes, None), 0)).distinct())
+    known = stage(components(first), "roots")
+    stars = lambda roots: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    for turn in range(1, turns + 1):
+        rows = shingle_dedup.with_roots(lists, nodes, known)
+        known = stage(components(stars(known).unionByName(check(shingle_dedup.star_pairs(rows, turn)))), "roots")
+    rows = stage(shingle_dedup.with_roots(lists, nodes, known), "open-lists")
     pairs = stage(shingle_dedup.possible_pairs(rows, threshold), "possible")
-    closest = shingle_dedup.closest_pairs(pairs)
-    for _ in range(turns):
-        edges = edges.unionByName(check(closest))
-        pairs = stage(shingle_dedup.open_pairs(pairs, components(edges)), "open")
-        closest = shingle_dedup.closest_pairs(pairs)
-    edges = edges.unionByName(check(pairs.select("u", "v")))
+    known = stage(components(stars(known).unionByName(check(shingle_dedup.closest_pairs(pairs)))), "roots")
+    pairs = stage(shingle_dedup.open_pairs(pairs, known), "open")
+    edges = stars(known).unionByName(check(pairs.select("u", "v")))
     roots = components(edges).select(F.col("node").alias("key"), "root")
     classes = nodes.select("key", "low").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
