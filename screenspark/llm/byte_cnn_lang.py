@@ -151,7 +151,7 @@ def predict_language(docs: DataFrame, model: ByteCNN | None, out: tuple[str, str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 texts = part.column("text")
                 letters = pc.match_substring_regex(texts, LETTER).fill_null(False).to_numpy(zero_copy_only=False)
                 pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))

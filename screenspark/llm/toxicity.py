@@ -31,7 +31,7 @@ WIDTH, STEP = 32, 16
 SAMPLE_PER_LABEL = 1500
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>*_-"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 
 def word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -47,6 +47,12 @@ def word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes[real], np.append(0, np.cumsum(real))[stops], names
 
 
+def features_of_words(words: list[str], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_features` of many words, in chunks."""
+    parts = [word_features(words[a : a + chunk]) for a in range(0, max(1, len(words)), chunk)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed row of each word; hashed rows of its character n-grams, flat, and how many each has."""
     raw = [w.encode() for w in words]
@@ -97,9 +103,12 @@ class GatedNet:
     def inputs(self, rows: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Word and character vectors of words."""
         total = np.zeros((len(rows), DIM), np.float32)
-        has = np.flatnonzero(n)
-        if len(has):
-            total[has] = np.add.reduceat(self.p["gram"][gram], (np.cumsum(n) - n)[has], axis=0) / n[has][:, None]
+        first = np.cumsum(n) - n
+        for a in range(0, len(rows), 10_000):  # the n-grams of so many words at once
+            has = a + np.flatnonzero(n[a : a + 10_000])
+            if len(has):
+                begin, end = first[has[0]], first[has[-1]] + n[has[-1]]
+                total[has] = np.add.reduceat(self.p["gram"][gram[begin:end]], first[has] - begin, axis=0) / n[has][:, None]
         return np.concatenate([self.p["word"][rows], total], axis=1)
 
     def table(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -196,7 +205,8 @@ def train_net(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int
     """A network for texts with labels 0 and 1, both present."""
     net, rng = GatedNet(seed), np.random.default_rng(seed + 1)
     codes, stops, words = word_lists(pa.array(texts, pa.string()))
-    rows, gram, n = word_features(words)
+    rows, gram, n = features_of_words(words)
+    gram = gram.astype(np.int32)
     start, length, text = window_index(stops)
     y = labels.astype(np.float64)
     # First values: one coordinate of each vector is what the feature alone says.
@@ -363,7 +373,7 @@ def score_toxicity(docs: DataFrame, net: GatedNet | None, out: tuple[str, str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scorer = Scorer(net) if net is not None else None
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 score = scorer.score(part.column("text")).astype(np.float64) if scorer else np.zeros(part.num_rows)
                 yield {c: part.column(c) for c in names} | {out[1]: score}
 
