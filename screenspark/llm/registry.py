@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from screenspark.llm.byte_cnn_lang import predict_language, train_language_model
 from screenspark.llm.chat_events import conversation_digests, written_conversations
 from screenspark.llm.mih_search import nearest_neighbours
+from screenspark.llm.order_minhash import edited_fingerprints
 from screenspark.llm.packing import pack_documents
 from screenspark.llm.piece_nbest import segment_texts
 from screenspark.llm.pivot_dedup import embedding_components
 from screenspark.llm.seekable_tokens import read_token_files, write_token_files
 from screenspark.llm.simhash_dedup import simhash_components
+from screenspark.llm.source_divergence import SQL as DIVERGENCE_SQL
+from screenspark.llm.source_divergence import source_divergence
 from screenspark.llm.token_counts import token_counts
 from screenspark.llm.toxicity import score_toxicity, train_toxicity
+from screenspark.llm.whitening import whiten
 from screenspark.plans.tables import table
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_source_divergence": DIVERGENCE_SQL}
 
 
 def query(fn):
@@ -91,3 +95,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict_language(docs.select("doc_id", "text"), train_language_model(docs))
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of all documents and of their edited texts, with likeness."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of every language, and the terms that tell them apart."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened along their 8 first components."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
