@@ -7,8 +7,6 @@ exact distance; nothing is compared across distant cells.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,43 +18,67 @@ def distance(a: str = "a", b: str = "b") -> Column:
     return F.sqrt(sum((F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), 2) for c in "xyz"), F.lit(0.0)))
 
 
-def distance_join(a: DataFrame, b: DataFrame, cutoff: float, keep_a: list[str], keep_b: list[str]) -> DataFrame:
-    """Pairs of points of one structure within ``cutoff``, with ``dist``; ``b`` is the side whose neighbouring cells are listed."""
-    cell = [F.floor(F.col(c) / cutoff) for c in "xyz"]
-    left = a.select("structure", *keep_a, "x", "y", "z", *(e.alias(f"c{c}") for e, c in zip(cell, "xyz", strict=True)))
+def distance_join(a: DataFrame, b: DataFrame, cutoff: float | str, keep_a: list[str], keep_b: list[str]) -> DataFrame:
+    """Pairs of points of one structure within ``cutoff``, with ``dist``; ``b`` is the side whose neighbouring cells are listed.
+
+    The cutoff is a number, or the name of a column that both sides have and that is
+    one value for each structure.
+    """
+    size = F.lit(float(cutoff)) if not isinstance(cutoff, str) else F.col(cutoff)
+    cell = [F.floor(F.col(c) / size) for c in "xyz"]
+    left = a.select("structure", *keep_a, "x", "y", "z", size.alias("_size"), *(e.alias(f"c{c}") for e, c in zip(cell, "xyz", strict=True)))
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     right = b.select("structure", *keep_b, "x", "y", "z", F.explode(steps).alias("_s"), *(e.alias(f"_c{c}") for e, c in zip(cell, "xyz", strict=True)))
     right = right.select("structure", *keep_b, "x", "y", "z", *((F.col(f"_c{c}") + F.col(f"_s.{s}")).alias(f"c{c}") for c, s in zip("xyz", "ijk", strict=True)))
     p = left.alias("a").join(right.alias("b"), ["structure", "cx", "cy", "cz"])
-    return p.select("structure", *(F.col(f"a.{c}") for c in keep_a), *(F.col(f"b.{c}") for c in keep_b), distance().alias("dist")).filter(F.col("dist") <= cutoff)
+    p = p.select("structure", *(F.col(f"a.{c}") for c in keep_a), *(F.col(f"b.{c}") for c in keep_b), distance().alias("dist"), "_size")
+    return p.filter(F.col("dist") <= F.col("_size")).drop("_size")
+
+
+def staged_points(points: DataFrame, pid: str) -> DataFrame:
+    """Points as a table in the shared folder, for several nearest joins against them."""
+    return stage(points.select("structure", pid, *"xyz"), "points")
+
+
+def search_radii(a: DataFrame, b: DataFrame, radius: float | None) -> DataFrame:
+    """``structure, radius, across`` of structures with points on both sides: where the search begins, and where it has seen all.
+
+    The first radius is given or follows from the density of ``b`` in the middle of
+    its structure (between the tenth and ninetieth percentile of each coordinate), so
+    neither another structure nor a far point of its own widens it.
+    """
+    ends = lambda p: [f(c).alias(f"{p}{c}{n}") for c in "xyz" for n, f in enumerate((F.min, F.max))]
+    middle = [F.percentile_approx(c, [0.1, 0.9]).alias(f"_m{c}") for c in "xyz"]
+    box = b.groupBy("structure").agg(F.count("*").alias("_n"), *ends("b"), *middle).join(a.groupBy("structure").agg(*ends("a")), "structure")
+    span = [F.greatest(f"a{c}1", f"b{c}1") - F.least(f"a{c}0", f"b{c}0") for c in "xyz"]
+    across = F.greatest(F.lit(1e-6), F.sqrt(sum((w * w for w in span), F.lit(0.0))))
+    inner = F.sqrt(sum((F.pow(F.col(f"_m{c}")[1] - F.col(f"_m{c}")[0], 2) for c in "xyz"), F.lit(0.0))) / 0.8
+    first = F.lit(float(radius)) if radius is not None else F.greatest(F.lit(1e-6), across / 2**20, F.least(across, inner) / F.greatest(F.lit(1.0), F.cbrt("_n")))
+    return stage(box.select("structure", first.alias("radius"), across.alias("across")), "radii")
 
 
 def nearest_join(a: DataFrame, b: DataFrame, id_a: str, id_b: str, radius: float | None = None) -> DataFrame:
     """The nearest point of ``b`` in the structure for every point of ``a``: ``structure, id_a, id_b, dist``; ties to the smaller id.
 
-    The grid is searched at a radius that doubles, each time only for the points that
-    found nothing yet, so no structure is compared as a whole; the first radius is
-    given or follows from the density of ``b``.
+    The grid is searched at a radius of each structure, which doubles, each time only
+    for the points that found nothing yet, so no structure is compared as a whole.
+    ``b`` may be what ``staged_points`` gave.  Points without coordinates find nothing.
     """
-    best = lambda d: d.groupBy("structure", id_a).agg(F.min(F.struct("dist", id_b)).alias("_m")).select("structure", id_a, F.col(f"_m.{id_b}").alias(id_b), F.col("_m.dist").alias("dist"))
-    b = stage(b.select("structure", id_b, *"xyz"), "points")
-    left = stage(a.select("structure", id_a, *"xyz").join(b.select("structure").distinct(), "structure", "left_semi"), "points")
-    sides = [f(f"{c}") for c in "xyz" for f in (F.min, F.max)]
-    box = b.select("structure", *"xyz").unionByName(left.select("structure", *"xyz")).agg(*sides, F.countDistinct("structure")).first()
-    widths = [(box[2 * i + 1] or 0.0) - (box[2 * i] or 0.0) for i in range(3)]
-    across = max(1e-6, math.sqrt(sum(w * w for w in widths)))
-    if radius is None:
-        radius = max(1e-6, across / max(1.0, (b.count() / max(1, box[6])) ** (1 / 3)))
-    found = None
+    b = b if getattr(b, "staged_path", None) else staged_points(b, id_b)
+    radii = search_radii(a, b, radius)
+    left = a.select("structure", id_a, *"xyz").join(radii, "structure")
+    found, scale = None, 1.0
     while True:
-        near = stage(best(distance_join(left, b, radius, [id_a], [id_b])), "near")
+        wide = b.join(radii, "structure").withColumn("radius", F.col("radius") * scale)
+        pairs = distance_join(left.withColumn("radius", F.col("radius") * scale), wide, "radius", [id_a], [id_b])
+        best = pairs.groupBy("structure", id_a).agg(F.min(F.struct("dist", id_b)).alias("_m"))
+        met = stage(left.join(best, ["structure", id_a], "left"), "met")
+        near = met.filter("_m IS NOT NULL").select("structure", id_a, F.col(f"_m.{id_b}").alias(id_b), F.col("_m.dist").alias("dist"))
         found = near if found is None else found.unionByName(near)
-        if radius >= across:
-            return found
-        left = stage(left.join(near, ["structure", id_a], "left_anti"), "points")
+        left = met.filter(F.col("_m").isNull() & (F.col("radius") * scale < F.col("across"))).drop("_m")
         if left.isEmpty():
             return found
-        radius *= 2
+        scale *= 2
 
 
 def site_contact(site: DataFrame, partner: DataFrame, cutoff: float = 4.5) -> DataFrame:
@@ -157,28 +179,47 @@ def ligand_clash(ligand: DataFrame, partner: DataFrame, threshold: float = 2.8)
     return g.withColumn("clash_fraction", F.col("n_clash") / F.col("n_ligand"))
 
 
-def mouth_residues(site: DataFrame, context: DataFrame, share: float = 0.30, radius: float = 7.5, exposure_radius: float = 8.0, k: int = 24) -> DataFrame:
-    """The site points (structure, id) nearest the mouth: far from the centre, few site neighbours, exposed.
+def mouth_scores(site: DataFrame, exposed: DataFrame, radius: float = 7.5, middle: DataFrame | None = None) -> DataFrame:
+    """``structure, id, n, radial, surface, mouth_score, place`` of site points: far from the centre, few site neighbours, exposed.
 
-    ``context`` has the target's points (structure, cid).  The top share by score is
-    selected, one at least; ties go to the smaller id.
+    ``exposed`` has structure, id and exposure; ``middle`` (structure, c*) the centres,
+    where these are not the means of the points.  Places go by score; ties to the smaller id.
     """
     w = Window.partitionBy("structure")
-    c = site.groupBy("structure").agg(*(F.avg(x).alias(f"c{x}") for x in "xyz"))
+    c = site.groupBy("structure").agg(*(F.avg(x).alias(f"c{x}") for x in "xyz")) if middle is None else middle
     d = site.join(c, "structure").withColumn("_r", F.round(F.sqrt(sum((F.pow(F.col(x) - F.col(f"c{x}"), 2) for x in "xyz"), F.lit(0.0))), 9))
-    n = F.count("*").over(w)
-    d = d.withColumn("n", n).withColumn("radial", F.when(F.col("n") > 1, (F.row_number().over(w.orderBy("_r", "id")) - 1) / (F.col("n") - 1)).otherwise(0.0))
+    d = d.withColumn("n", F.count("*").over(w)).withColumn("radial", F.when(F.col("n") > 1, (F.row_number().over(w.orderBy("_r", "id")) - 1) / (F.col("n") - 1)).otherwise(0.0))
     other = site.select("structure", F.col("id").alias("oid"), "x", "y", "z")
     near = distance_join(site, other, radius, ["id"], ["oid"]).filter("dist > 1e-8").groupBy("structure", "id").agg(F.count("*").alias("_k"))
     d = d.join(near, ["structure", "id"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
     d = d.withColumn("surface", 1 - F.col("_k") / F.greatest(F.max("_k").over(w), F.lit(1)))
+    d = d.join(exposed.select("structure", "id", "exposure"), ["structure", "id"], "left")
+    d = d.withColumn("mouth_score", 0.50 * F.col("radial") + 0.30 * F.col("surface") + 0.20 * clip("exposure", 0, 1))
+    place = F.row_number().over(w.orderBy(F.desc(F.round("mouth_score", 9)), "id"))
+    return d.select("structure", "id", "n", "radial", "surface", "mouth_score", place.alias("place"))
+
+
+def in_mouth(share: float) -> Column:
+    """Whether a place is among the top share of its structure, one at least."""
+    return F.col("place") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n")))
+
+
+def exposure_score(knn: Column, near: Column, radius: float) -> Column:
+    """How exposed a point is: far nearest neighbours, and few within the radius."""
+    return 0.55 * clip(F.coalesce(knn, F.lit(float(radius))) / radius, 0, 1) + 0.45 / (1 + 32 * F.coalesce(near, F.lit(0)) / radius**3)
+
+
+def mouth_residues(site: DataFrame, context: DataFrame, share: float = 0.30, radius: float = 7.5, exposure_radius: float = 8.0, k: int = 24) -> DataFrame:
+    """The site points (structure, id) nearest the mouth: the top share by score, one at least.
+
+    ``context`` has the target's points (structure, cid), of which those within the
+    radius count for the exposure.
+    """
     crowd = distance_join(site, context, exposure_radius, ["id"], ["cid"])
     crowd = crowd.withColumn("_o", F.row_number().over(Window.partitionBy("structure", "id").orderBy("dist", "cid"))).groupBy("structure", "id").agg(F.count("*").alias("_c"), F.avg(F.when(F.col("_o") <= k, F.col("dist"))).alias("_knn"))
-    d = d.join(crowd, ["structure", "id"], "left")
-    exposed = 0.55 * clip(F.coalesce("_knn", F.lit(float(exposure_radius))) / exposure_radius, 0, 1) + 0.45 / (1 + 32 * F.coalesce("_c", F.lit(0)) / exposure_radius**3)
-    d = d.withColumn("mouth_score", 0.50 * F.col("radial") + 0.30 * F.col("surface") + 0.20 * exposed)
-    place = F.row_number().over(w.orderBy(F.desc(F.round("mouth_score", 9)), "id"))
-    return d.withColumn("_p", place).select("structure", "id", "radial", "surface", "mouth_score", (F.col("_p") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n")))).alias("selected"))
+    exposed = site.select("structure", "id").join(crowd, ["structure", "id"], "left").withColumn("exposure", exposure_score(F.col("_knn"), F.col("_c"), exposure_radius))
+    d = mouth_scores(site, exposed, radius)
+    return d.select("structure", "id", "radial", "surface", "mouth_score", in_mouth(share).alias("selected"))
 
 
 def shell_evidence(target: DataFrame, anchor: DataFrame, tiers: tuple[tuple[float, float], ...] = ((4.0, 0.65), (6.0, 0.45), (8.0, 0.25))) -> DataFrame:
