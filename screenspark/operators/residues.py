@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenspark.functions.columns import col
@@ -31,40 +31,36 @@ def match_residues(keys: DataFrame, residues: DataFrame, max_offset: int = 1) ->
     same number and insertion code, then the same number, in any chain if unique;
     a neighbour in the same chain (lower first; with the insertion code, then
     without).  Returns ``structure, key, matched_key, mode, warning``.
+
+    Every residue is listed under all that it can be looked up by, with the number of
+    residues listed there; every wanted key asks for all of its rules at once, so one
+    join answers them all.
     """
-    w = keys.select("structure", "key", residue_struct("key").alias("w")).distinct()
+    by = lambda chain, number, code: {"key": F.concat_ws(":", chain, number, code), "number": F.concat_ws(":", chain, number), "any_code": F.concat_ws(":", number, code), "any": number.cast("string"), "chain": chain}
+    listed = lambda c: by(F.col(f"{c}.chain"), F.col(f"{c}.resseq"), F.col(f"{c}.icode"))
     r = residues.select("structure", F.col("key").alias("matched_key"), residue_struct("key").alias("r")).distinct()
-    chains = r.select("structure", F.col("r.chain").alias("_chain")).distinct()
-    known = w.join(chains, (w["structure"] == chains["structure"]) & (w["w.chain"] == chains["_chain"]), "left_semi").select("structure", "key").withColumn("_known", F.lit(True))
-    w = w.join(known, ["structure", "key"], "left").withColumn("loose", F.col("_known").isNull() | (F.col("w.chain") == ""))
-
-    def unique_by(*parts: str) -> DataFrame:
-        return r.groupBy("structure", *(F.col(f"r.{p}").alias(f"_{p}") for p in parts)).agg(F.count("*").alias("_n"), F.first("matched_key").alias("matched_key")).filter("_n = 1").drop("_n")
-
-    def rule(level: int, mode: str, side: DataFrame, on: Column, only: Column | None = None) -> DataFrame:
-        left = w if only is None else w.filter(only)
-        return left.alias("w0").join(side.alias("s0"), (F.col("w0.structure") == F.col("s0.structure")) & on).select("w0.structure", "w0.key", F.lit(level).alias("level"), F.lit(mode).alias("mode"), "s0.matched_key")
-
-    exact = r.select("structure", "matched_key", F.col("r.chain").alias("_chain"), F.col("r.resseq").alias("_resseq"), F.col("r.icode").alias("_icode"))
-    found = [
-        rule(0, "exact", exact, (F.col("w.chain") == F.col("_chain")) & (F.col("w.resseq") == F.col("_resseq")) & (F.col("w.icode") == F.col("_icode"))),
-        rule(1, "chain_number", unique_by("chain", "resseq"), (F.col("w.chain") == F.col("_chain")) & (F.col("w.resseq") == F.col("_resseq"))),
-        rule(2, "any_chain_icode", unique_by("resseq", "icode"), (F.col("w.resseq") == F.col("_resseq")) & (F.col("w.icode") == F.col("_icode")), F.col("loose")),
-        rule(3, "any_chain", unique_by("resseq"), F.col("w.resseq") == F.col("_resseq"), F.col("loose")),
-    ]
-    level = 4
-    for step in range(1, max_offset + 1):
-        for sign in (-step, step):
-            same = (F.col("w.chain") == F.col("_chain")) & (F.col("w.resseq") + sign == F.col("_resseq"))
-            found.append(rule(level, f"offset_{sign:+d}", exact, same & (F.col("w.icode") == F.col("_icode"))))
-            found.append(rule(level + 1, f"offset_{sign:+d}", unique_by("chain", "resseq"), same))
-            level += 2
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    best = every.withColumn("_rn", F.row_number().over(Window.partitionBy("structure", "key").orderBy("level", "matched_key"))).filter("_rn = 1").drop("_rn", "level")
-    out = w.select("structure", "key").join(best, ["structure", "key"], "left")
-    return out.withColumn("mode", F.coalesce("mode", F.lit("unmatched"))).withColumn("warning", ~F.col("mode").isin("exact"))
+    r = r.select("structure", "matched_key", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.when((F.lit(k) == "chain") | F.col("r.resseq").isNotNull(), v).alias("lookup")) for k, v in listed("r").items()))).alias("x"))
+    index = r.select("structure", "matched_key", "x.*").groupBy("structure", "kind", "lookup").agg(F.count("*").alias("_n"), F.min("matched_key").alias("matched_key"))
+
+    rules = [("exact", "key", 0, False), ("chain_number", "number", 0, False), ("any_chain_icode", "any_code", 0, True), ("any_chain", "any", 0, True)]
+    rules += [(f"offset_{sign:+d}", kind, sign, False) for step in range(1, max_offset + 1) for sign in (-step, step) for kind in ("key", "number")]
+    w = keys.select("structure", "key", residue_struct("key").alias("w")).distinct()
+
+    def ask(level: int, mode: str, kind: str, shift: int, loose: bool) -> Column:
+        number = F.col("w.resseq") + shift
+        lookup = F.when((F.lit(kind) == "chain") | number.isNotNull(), by(F.col("w.chain"), number, F.col("w.icode"))[kind])
+        return F.struct(F.lit(level).alias("level"), F.lit(mode).alias("mode"), F.lit(kind).alias("kind"), lookup.alias("lookup"), F.lit(loose).alias("loose"))
+
+    asked = [ask(i, *rule) for i, rule in enumerate(rules)] + [ask(len(rules), "chain", "chain", 0, False)]
+    asked = w.select("structure", "key", (F.col("w.chain") == "").alias("blank"), F.explode(F.array(*asked)).alias("x")).select("structure", "key", "blank", "x.*")
+    met = asked.join(index, ["structure", "kind", "lookup"], "left")
+    good = (F.col("kind") != "chain") & F.col("_n").isNotNull() & ((F.col("kind") == "key") | (F.col("_n") == 1))
+    best = lambda only: F.min(F.when(good & only, F.struct("level", "matched_key", "mode")))
+    known = F.bool_or((F.col("kind") == "chain") & F.col("_n").isNotNull() & ~F.col("blank"))
+    g = met.groupBy("structure", "key").agg(best(~F.col("loose")).alias("_own"), best(F.lit(True)).alias("_any"), known.alias("_known"))
+    g = g.select("structure", "key", F.when(F.col("_known"), F.col("_own")).otherwise(F.col("_any")).alias("_b"))
+    out = g.select("structure", "key", "_b.matched_key", F.coalesce("_b.mode", F.lit("unmatched")).alias("mode"))
+    return out.withColumn("warning", F.col("mode") != "exact")
 
 
 def site_summary(matches: DataFrame) -> DataFrame:

@@ -202,3 +202,41 @@ def test_nearest_by_rings_equals_all_pairs(spark):
             d = sum((u - w) ** 2 for u, w in zip(p[2:], q[2:], strict=True)) ** 0.5
             want[p[1]] = min(want.get(p[1], (9e9, 0)), (d, q[1]))
     assert {r.id: (round(r.dist, 9), r.pid) for r in found.collect()} == {k: (round(d, 9), pid) for k, (d, pid) in want.items()}
+
+
+def jobs_of(spark, fn):
+    """How many Spark jobs ``fn`` runs, and what it returns."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        out = fn()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+def test_quantiles_take_as_many_jobs_for_many_columns(spark):
+    from screenspark.operators.quantiles import exact_quantiles
+
+    df = spark.range(3000).select(*((F.col("id") * (7919 + 2 * i) % 3001).cast("double").alias(f"c{i}") for i in range(12))).cache()
+    df.count()
+    few, one_column = jobs_of(spark, lambda: exact_quantiles(df, ["c0"], [0.5], accuracy=300))
+    many, all_columns = jobs_of(spark, lambda: exact_quantiles(df, df.columns, [0.01, 0.5, 0.99], accuracy=300))
+    assert few == many <= 6 and all_columns["c0"][1] == one_column["c0"][0]
+
+
+def test_quantiles_among_ties_and_narrow_brackets(spark):
+    import numpy as np
+
+    from screenspark.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    cols = {"half": np.r_[np.zeros(500), np.ones(500)], "few": rng.integers(0, 5, 1000).astype(float), "long": rng.lognormal(size=1000), "same": np.full(1000, 7.0)}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in cols.values()))), list(cols)).repartition(5)
+    probs = [0.0, 0.25, 0.4995, 0.5, 0.5005, 0.75, 1.0]
+    for held, accuracy in ((500_000, 20_000), (3, 50), (0, 20)):
+        got = exact_quantiles(df, list(cols), probs, held, accuracy)
+        for c, v in cols.items():
+            assert np.allclose(got[c], np.quantile(v, probs)), (c, held)
