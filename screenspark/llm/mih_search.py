@@ -7,7 +7,8 @@ index.  Two codes within radius r agree in some substring up to floor(r / m) bit
 (m substrings), so probing the buckets up to that reach in every index finds every
 code within the radius.  Only codes found by a probe are looked at: their bits are
 compared, and those near enough are reranked by the inner products of the original
-vectors, in double precision.
+vectors, in double precision.  With ``recall`` 1 nothing is left to chance: every code
+is reranked, and the answer is exact.
 
 Inner products are angles first: each candidate gets a coordinate
 sqrt(max_norm^2 - norm^2) and each query a zero there, so that the greatest inner
@@ -16,7 +17,7 @@ product is the least angle, whatever the norms.
 Queries in blocks meet shards of the index; every task returns the best of its
 cell, and the best over the shards are kept.  A query's reach grows bit by bit: the
 angle of its k-th score gives the chance that a neighbour at this angle lies in a
-probed bucket, and the probing ends once it is RECALL (nearer ones are found more
+probed bucket, and the probing ends once it is ``recall`` (nearer ones are found more
 surely).  Where a reach would meet over half of all codes (neighbours near a right
 angle, or few vectors), all codes of the shard are compared.
 """
@@ -81,9 +82,9 @@ def angle_share(score: float, norm: float, max_norm: float) -> float:
     return math.acos(max(-1.0, min(1.0, score / norm / max_norm))) / math.pi
 
 
-def needed_radius(p: float, bits: int) -> int:
+def needed_radius(p: float, bits: int, margin: float = MARGIN) -> int:
     """Bits within which the codes at an angle lie, with the margin."""
-    return min(bits, math.ceil(bits * p + MARGIN * math.sqrt(bits * p * (1 - p))))
+    return min(bits, math.ceil(bits * p + margin * math.sqrt(bits * p * (1 - p))))
 
 
 def found_share(p: float, reach: int, substrings: int) -> float:
@@ -139,7 +140,7 @@ _ALL = np.arange(1 << SUB, dtype=np.uint16)
 SHELLS = [_ALL[np.bitwise_count(_ALL) == e] for e in range(SUB + 1)]
 
 
-def best_codes(index: SubstringIndex, code: np.ndarray, query: np.ndarray, x: np.ndarray, own: int, k: int, norm: float, max_norm: float) -> tuple[np.ndarray, np.ndarray, float]:
+def best_codes(index: SubstringIndex, code: np.ndarray, query: np.ndarray, x: np.ndarray, own: int, k: int, norm: float, max_norm: float, recall: float = RECALL, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray, float]:
     """Positions of candidates among which the k best of a query are, their scores, and the share of codes that were looked at.
 
     ``own`` is the position of the query itself, -1 if it is not in this index.
@@ -148,6 +149,9 @@ def best_codes(index: SubstringIndex, code: np.ndarray, query: np.ndarray, x: np
     others = index.n - (own >= 0)
     if own >= 0:
         met[own] = True
+    if recall >= 1:
+        rows = np.flatnonzero(~met)
+        return rows, x[rows] @ query, 1.0
     for reach in range(SUB + 1):
         everything = not index.m or found_share(0.5, reach, index.m) > 0.5
         met_before = met.copy()
@@ -163,41 +167,42 @@ def best_codes(index: SubstringIndex, code: np.ndarray, query: np.ndarray, x: np
             continue
         near = np.argpartition(apart, k - 1)[:k]
         p = angle_share(float((x[rows[near]] @ query).min()), norm, max_norm)
-        some = rows[apart <= max(needed_radius(p, bits), int(apart[near].max()))]
+        some = rows[apart <= max(needed_radius(p, bits, margin), int(apart[near].max()))]
         score = x[some] @ query
         p = angle_share(float(np.partition(score, len(score) - k)[len(score) - k]), norm, max_norm)
-        if everything or found_share(p, reach, index.m) >= RECALL:
+        if everything or found_share(p, reach, index.m) >= recall:
             return some, score, len(rows) / max(1, others)
     return rows, x[rows] @ query, 1.0
 
 
-def search_cell(table: pa.Table, k: int, max_norm: float) -> dict:
-    """The k best of one shard for each query of one block."""
+def search_cell(table: pa.Table, k: int, max_norm: float, recall: float = RECALL, margin: float = MARGIN) -> dict:
+    """The k best of one shard for each query of one block; ids stay whole numbers with their nulls beside them."""
     asks = table.column("asks").to_numpy(zero_copy_only=False)
-    rows, ids, x = table.column("row").to_numpy(), table.column("vec_id").to_numpy(zero_copy_only=False), matrix(table.column("embedding")).astype(np.float64)
+    rows, x = table.column("row").to_numpy(), matrix(table.column("embedding")).astype(np.float64)
     codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)  # of no bytes: vectors that are compared whole
     q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
     out: dict = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": [], "probed": []}
     if not len(q) or not len(c):
         return out
-    null = np.array([i is None for i in ids]) if ids.dtype == object else np.isnan(ids) if ids.dtype.kind == "f" else np.zeros(len(ids), bool)
-    tie = np.where(null, np.iinfo(np.int64).max, np.where(null, 0, ids).astype(np.int64))
+    ids = table.column("vec_id").cast(pa.int64()).combine_chunks()
+    null, tie = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()  # never as floats: ids may have 64 bits
     norm = lengths(x[q])
     index, y = SubstringIndex(np.ascontiguousarray(codes[c])), np.ascontiguousarray(x[c])
     place = {int(r): i for i, r in enumerate(rows[c])}
     for i, n in zip(q.tolist(), norm.tolist(), strict=True):
-        some, score, share = best_codes(index, np.ascontiguousarray(codes[i]), x[i], y, place.get(int(rows[i]), -1), k, n, max_norm)
+        some, score, share = best_codes(index, np.ascontiguousarray(codes[i]), x[i], y, place.get(int(rows[i]), -1), k, n, max_norm, recall, margin)
         j = c[some]
         score = np.einsum("j,ij->i", x[i], x[j]) if len(j) <= k else score
-        best = np.lexsort((rows[j], tie[j], -score))[:k]
+        best = np.lexsort((rows[j], tie[j], null[j], -score))[:k]
         j = j[best]
         score = np.einsum("j,ij->i", x[i], x[j])
-        for name, values in (("query_row", np.full(len(j), rows[i])), ("query_id", np.full(len(j), tie[i])), ("row", rows[j]), ("vec_id", tie[j]), ("score", score), ("probed", np.full(len(j), share))):
+        for name, values in (("query_row", np.full(len(j), rows[i])), ("query_id", np.full(len(j), i)), ("row", rows[j]), ("vec_id", j), ("score", score), ("probed", np.full(len(j), share))):
             out[name].append(values)
-    return {n: np.concatenate(v) if v else v for n, v in out.items()}
+    found = {n: np.concatenate(v) if v else v for n, v in out.items()}
+    return found | {n: ids.take(pa.array(found[n], pa.int64())) for n in ("query_id", "vec_id")}
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 512, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits: int = 512, recall: float = RECALL, margin: float = MARGIN, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k nearest found for each query row, by inner product.
 
     ``vectors`` has vec_id and embedding; the rows where ``is_query`` holds are the
@@ -208,7 +213,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits:
     of one length are candidates of each other; the index is built for the commonest
     length, and blocks of others are compared whole.  Repeated rows are candidates of
     their own.  All candidates are returned if there are fewer than k; an empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read.  ``recall`` is the chance at which
+    probing ends, ``margin`` the standard deviations of bits by which found codes may
+    lie beyond the k-th; a recall of 1 gives the exact answer.
     """
     every = usable_vectors(vectors).withColumn("d", F.size("embedding"))
     usual = every.groupBy("d").count().orderBy(F.desc("count"), "d").first()
@@ -243,11 +250,10 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, bits:
     found = StructType([StructField(n, DoubleType() if n in ("score", "probed") else LongType()) for n in ("query_row", "query_id", "row", "vec_id", "score", "probed")])
 
     def cell(table: pa.Table) -> pa.Table:
-        best = search_cell(table.combine_chunks(), k, max_norm)
+        best = search_cell(table.combine_chunks(), k, max_norm, recall, margin)
         return pa.table({n: as_array(best[n], pa.float64() if n in ("score", "probed") else pa.int64()) for n in best})
 
     cells = index.unionByName(asked).groupBy("d", "shard", "block").applyInArrow(cell, found)
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     best = cells.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    last = F.lit(2**63 - 1)
-    return best.select(F.when(F.col("query_id") != last, F.col("query_id")).alias("query_id"), "rank", F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score", "probed")
+    return best.select("query_id", "rank", "vec_id", "score", "probed")
