@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.functions.columns import flags, ratio
@@ -149,10 +149,44 @@ def representative_item(items: DataFrame, energy: str) -> DataFrame:
     return items.groupBy("candidate").agg(F.coalesce(F.min_by("item", F.when(F.col(energy).isNotNull(), F.struct(energy, "item"))), F.min("item")).alias("item"))
 
 
-def result_panel(spark, path: str) -> DataFrame:
-    """Per-result JSON summaries (metrics and counts structs) as rows."""
-    d = spark.read.option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
-    return d.select("file", *(f"{s}.*" for s in ("metrics", "counts") if s in d.columns))
+#: Types that count as numbers in a summary: true and false do not.
+NUMBERS = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def read_summaries(spark, path: str) -> DataFrame:
+    """``file, v`` of JSON files of one object each, as VARIANT; NULL where a file is not JSON. Nothing is inferred from the data."""
+    d = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return d.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+
+
+def number_at(v: Column | str, path: str) -> Column:
+    """The number at a path of a VARIANT; NULL where there is none, or something that is not a number."""
+    part = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(part).rlike(NUMBERS), F.try_variant_get(v, path, "double"))
+
+
+def text_at(v: Column | str, path: str) -> Column:
+    """The text or number at a path of a VARIANT as text."""
+    part = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when((part == "STRING") | part.rlike(NUMBERS), F.try_variant_get(v, path, "string"))
+
+
+def result_panel(spark, path: str, numbers: dict[str, str], texts: dict[str, str] | None = None) -> DataFrame:
+    """``file, status`` and one column for each name, from the path given for it, of per-result JSON summaries.
+
+    A path that is nowhere gives NULLs, and so does a value of another type; ``status``
+    is unreadable for files that are not JSON.
+    """
+    d = read_summaries(spark, path)
+    status = F.when(F.col("v").isNull(), "unreadable").otherwise("ok")
+    return d.select("file", status.alias("status"), *(number_at("v", at).alias(n) for n, at in numbers.items()), *(text_at("v", at).alias(n) for n, at in (texts or {}).items()))
+
+
+def summary_values(spark, path: str, section: str = "metrics") -> DataFrame:
+    """``file, metric, value``: every number of a section of the summaries, whatever their names."""
+    d = read_summaries(spark, path).select("file", F.try_variant_get("v", f"$.{section}", "variant").alias("_s"))
+    pairs = d.lateralJoin(spark.tvf.variant_explode(F.col("_s").outer()))
+    return pairs.select("file", F.col("key").alias("metric"), number_at("value", "$").alias("value")).filter("metric IS NOT NULL AND value IS NOT NULL")
 
 
 def run_archive(runs: DataFrame, metrics: list[str], artefacts: DataFrame, expected: list[str], order: str = "started_at") -> DataFrame:

@@ -142,17 +142,17 @@ def rollup_variants(df: DataFrame, k: int = 3, score: str = "rule_score", select
     return rolled.drop(*(f"_aux_{c}" for c in geo)).join(sizes, ["candidate", "variant"])
 
 
-def consistency_parts(threshold: float = 0.5, columns: list[str] | None = None) -> Column:
-    """Weighted hit of a variant over the columns that it has."""
+def consistency_parts(columns: list[str] | None = None) -> Column:
+    """Weighted hit of a variant over the columns that it has, each clipped to 0..1 first."""
     names = columns if columns is not None else list(CONSISTENCY_WEIGHTS)
-    return weighted_available_mean([(F.col(f"mean_{c}"), CONSISTENCY_WEIGHTS[c]) for c in names])
+    return weighted_available_mean([(clip(f"mean_{c}", 0, 1), CONSISTENCY_WEIGHTS[c]) for c in names])
 
 
 def rollup_candidates(variants: DataFrame, weights: tuple[float, float, float, float] = (0.50, 0.25, 0.20, 0.15), hit_threshold: float = 0.5) -> DataFrame:
     """One row for each candidate: mean, best, population deviation, consistency and final score of its variants."""
     w1, w2, w3, w4 = (max(0.0, w) for w in weights)
     names = [c for c in CONSISTENCY_WEIGHTS if f"mean_{c}" in variants.columns]
-    df = variants.withColumn("_hit", consistency_parts(hit_threshold, names))
+    df = variants.withColumn("_hit", consistency_parts(names))
     out = df.groupBy("candidate").agg(
         F.count("*").alias("n_variants"), F.sum("n_items").alias("n_items"), F.avg("variant_score").alias("mean_variant_score"), F.max("variant_score").alias("best_variant_score"),
         F.max_by("variant", F.struct("variant_score", "variant")).alias("best_variant"), F.stddev_pop("variant_score").alias("std_variant_score"),

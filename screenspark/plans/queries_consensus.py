@@ -80,10 +80,10 @@ def jn3_paired_scores(spark, sf_dir):
     return c.merge_rankings(a, b).filter("source = 'both'").select("candidate", (F.col("a_score") - F.col("b_score")).alias("delta"))
 
 
-@register("jn4_merge_predictions", v.with_sql(v.ITEMS, v.SCORED, select="SELECT s.candidate, s.variant, s.item, round(s.rule_score, 6) AS rule_score, round(p.site_hit_fraction / 50, 6) AS pred_prob FROM scored s LEFT JOIN (SELECT * FROM items WHERE label = 1) p USING (candidate, variant, item)"))
+@register("jn4_merge_predictions", v.with_sql(v.ITEMS, v.SCORED, select="SELECT s.candidate, s.variant, s.item, round(s.rule_score, 6) AS rule_score, round(p.site_hit_fraction, 6) AS pred_prob FROM scored s LEFT JOIN (SELECT * FROM items WHERE label = 1) p USING (candidate, variant, item)"))
 def jn4_merge_predictions(spark, sf_dir):
     it = v.items(spark, sf_dir)
-    pred = it.filter("label = 1").select("candidate", "variant", "item", (F.col("site_hit_fraction") / 50).alias("pred_prob"))
+    pred = it.filter("label = 1").select("candidate", "variant", "item", F.col("site_hit_fraction").alias("pred_prob"))
     return c.enrich(scoring.rule_score(scoring.keep_ok(it)).select("candidate", "variant", "item", "rule_score"), pred, ["candidate", "variant", "item"])
 
 

@@ -46,10 +46,10 @@ def ag25_worst_status(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    return v.items(spark, sf_dir).select("candidate", "item", (F.col("site_hit_fraction") / 50).alias("site_hit_fraction"), (F.col("anchor_hit_fraction") * 10).alias("anchor_hit_fraction"), "mouth_occlusion", (F.col("site_distance") * 12).alias("path_score"), (F.col("site_distance") * 100).alias("mouth_clearance"), "overwide")
+    return v.items(spark, sf_dir).select("candidate", "item", F.col("site_hit_fraction").alias("site_hit_fraction"), (F.col("anchor_hit_fraction") * 10).alias("anchor_hit_fraction"), "mouth_occlusion", (F.col("site_distance") * 12).alias("path_score"), (F.col("site_distance") * 100).alias("mouth_clearance"), "overwide")
 
 
-_FEATURES = "ft AS (SELECT candidate, item, site_hit_fraction / 50 AS site, anchor_hit_fraction * 10 AS anchor, mouth_occlusion AS mouth, site_distance * 12 AS path, site_distance * 100 AS clear, overwide FROM items)"
+_FEATURES = "ft AS (SELECT candidate, item, site_hit_fraction AS site, anchor_hit_fraction * 10 AS anchor, mouth_occlusion AS mouth, site_distance * 12 AS path, site_distance * 100 AS clear, overwide FROM items)"
 _FLAGS = """fl AS (SELECT candidate, item, list_filter([CASE WHEN overwide >= 0.55 THEN 'site_overwide' END, CASE WHEN mouth >= 0.6 AND path <= 0.25 THEN 'mouth_high_path_open' END, CASE WHEN path >= 0.6 AND site <= 0.25 THEN 'path_high_site_low' END, CASE WHEN path >= 0.6 AND anchor <= 0.25 THEN 'path_high_anchor_low' END,
 CASE WHEN site >= 0.6 AND anchor >= 0.6 AND NOT coalesce(mouth >= 0.6, FALSE) AND NOT path >= 0.6 THEN 'contact_high_block_low' END, CASE WHEN mouth >= 0.6 AND clear >= 4 THEN 'mouth_high_clearance_open' END,
 CASE WHEN 3 + CASE WHEN mouth IS NULL THEN 0 ELSE 1 END >= 3 AND greatest(site, anchor, mouth, path) - least(site, anchor, mouth, path) >= 0.55 THEN 'core_disagreement' END], lambda x: x IS NOT NULL) AS f FROM ft)"""

@@ -242,17 +242,28 @@ def _summaries(spark, sf_dir) -> str:
     return path
 
 
-@register("fl12_result_panel", "SELECT s_nationkey AS run, round(count_if(s_acctbal > 0) / count(*), 6) AS coverage, count(*) AS n FROM supplier GROUP BY s_nationkey")
+_PANEL = {"run": "$.metrics.run", "coverage": "$.metrics.coverage", "positive": "$.metrics.positive", "n": "$.counts.n", "nowhere": "$.metrics.nowhere"}
+
+
+@register("fl12_result_panel", "SELECT CAST(s_nationkey AS BIGINT) AS run, round(count_if(s_acctbal > 0) / count(*), 6) AS coverage, CASE WHEN count(*) > 2 THEN count_if(s_acctbal > 0) END::DOUBLE AS positive, count(*) AS n, 'ok' AS status FROM supplier GROUP BY s_nationkey")
 def fl12_result_panel(spark, sf_dir):
-    return quality.result_panel(spark, _summaries(spark, sf_dir)).select("run", "coverage", "n")
+    return quality.result_panel(spark, _summaries(spark, sf_dir), _PANEL).select(F.col("run").cast("long").alias("run"), "coverage", "positive", F.col("n").cast("long").alias("n"), "status")
+
+
+@register("fl12_summary_values", "WITH r AS (SELECT s_nationkey AS run, count(*) AS n, count_if(s_acctbal > 0) AS p FROM supplier GROUP BY s_nationkey) SELECT run, metric, round(value, 6) AS value FROM (SELECT run, unnest(['coverage', 'positive', 'run']) AS metric, unnest([p / n, CASE WHEN n > 2 THEN p END, run])::DOUBLE AS value FROM r) WHERE value IS NOT NULL")
+def fl12_summary_values(spark, sf_dir):
+    """Every number of the metrics, whatever its name, beside the run of its file."""
+    d = quality.summary_values(spark, _summaries(spark, sf_dir))
+    runs = d.filter("metric = 'run'").select("file", F.col("value").cast("int").alias("run"))
+    return d.join(runs, "file").select("run", "metric", "value")
 
 
 @register("ln3_run_archive", """WITH r AS (SELECT s_nationkey AS run, count(*) AS n, count_if(s_acctbal > 0) AS p FROM supplier GROUP BY s_nationkey), m AS (SELECT run, unnest(['coverage', 'n', 'positive']) AS metric, unnest([p / n, n, CASE WHEN n > 2 THEN p END])::DOUBLE AS value FROM r), k AS (SELECT * FROM m WHERE value IS NOT NULL), t AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY run) AS previous FROM k)
 SELECT run, metric, round(value, 6) AS value, round(previous, 6) AS previous, round(value - previous, 6) AS delta, CASE WHEN previous IS NULL THEN 'first' WHEN value - previous > 1e-9 THEN 'up' WHEN value - previous < -1e-9 THEN 'down' ELSE 'same' END AS trend, run % 2 = 0 AS has_report FROM t""")
 def ln3_run_archive(spark, sf_dir):
-    found = quality.result_panel(spark, _summaries(spark, sf_dir))
+    found = quality.result_panel(spark, _summaries(spark, sf_dir), _PANEL).withColumn("run", F.col("run").cast("int"))
     files = found.filter(F.col("run") % 2 == 0).select("run", F.lit("report").alias("artefact"))
-    return quality.run_archive(found.withColumn("started_at", F.col("run")), ["coverage", "n", "positive"], files, ["report"])
+    return quality.run_archive(found.withColumn("started_at", F.col("run")), ["coverage", "n", "positive", "nowhere"], files, ["report"])
 
 
 @register("fn_count_map", "SELECT o_custkey AS customer, array_to_string(list_sort(list(o_orderstatus || '=' || n)), '|') AS counts, max(n) FILTER (o_orderstatus = 'F') AS n_f FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey")

@@ -20,7 +20,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("l_suppkey").alias("candidate"), F.concat("l_returnflag", "l_linestatus").alias("variant"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("item"),
-        F.col("l_quantity").alias("site_hit_fraction"), F.col("l_discount").alias("anchor_hit_fraction"),
+        (F.col("l_quantity") / 50).alias("site_hit_fraction"), F.col("l_discount").alias("anchor_hit_fraction"),
         F.when(F.col("l_linenumber") % 7 != 0, F.col("l_quantity") / 50).alias("mouth_occlusion"),
         F.col("l_tax").alias("site_distance"), F.col("l_extendedprice").alias("energy_gb"), (F.col("l_tax") * 10).alias("overwide"),
         F.when(F.col("o_orderstatus") == "P", "failed").otherwise("ok").alias("status"), (F.col("l_linenumber") == 1).alias("has_warning"),
@@ -31,7 +31,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS = """items AS (
   SELECT l_suppkey AS candidate, l_returnflag || l_linestatus AS variant,
     concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS item,
-    l_quantity AS site_hit_fraction, l_discount AS anchor_hit_fraction,
+    l_quantity / 50 AS site_hit_fraction, l_discount AS anchor_hit_fraction,
     CASE WHEN l_linenumber % 7 <> 0 THEN l_quantity / 50 END AS mouth_occlusion,
     l_tax AS site_distance, l_extendedprice AS energy_gb, l_tax * 10 AS overwide,
     CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status, l_linenumber = 1 AS has_warning,
@@ -87,7 +87,7 @@ def variants_ctes(source: str = "scored", score: str = "rule_score", out: str =
 
 def candidates_ctes(source: str = "variants", out: str = "candidates", weights=(0.50, 0.25, 0.20, 0.15)) -> str:
     """CTEs: ``out`` has one ranked row for each candidate of ``source``."""
-    hit = mean_sql([(f"mean_{c}", w) for c, w in _CON.items()])
+    hit = mean_sql([(clip_sql(f"mean_{c}"), w) for c, w in _CON.items()])
     w1, w2, w3, w4 = weights
     return f"""{out}_h AS (SELECT *, {hit} AS hit FROM {source}),
 {out}_a AS (SELECT candidate, count(*) AS n_variants, CAST(sum(n_items) AS BIGINT) AS n_items, avg(variant_score) AS mean_variant_score, max(variant_score) AS best_variant_score,
