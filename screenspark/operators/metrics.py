@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +81,65 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = (), out: str = "spea
     return pearson(avg_rank(avg_rank(d, x, "_rx", by), y, "_ry", by), "_rx", "_ry", by, out)
 
 
-def kendall(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Concordant less discordant pairs over untied pairs; for tables of candidate size."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
-    p, q = d.alias("p"), d.alias("q")
-    s = F.signum(F.col("p.x") - F.col("q.x")) * F.signum(F.col("p.y") - F.col("q.y"))
-    return p.join(q, F.col("p.k") < F.col("q.k")).agg(ratio(F.sum(s), F.count_if(s != 0)).alias("kendall"))
+def slice_of(value: str, cuts: list[float]) -> Column:
+    """Number of a slice of values: 2 n between the cuts n - 1 and n, 2 n + 1 at cut n itself, which is one value."""
+    place = F.lit(0)
+    for cut in cuts:
+        place = place + F.when(F.col(value) > F.lit(cut), 2).when(F.col(value) == F.lit(cut), 1).otherwise(0)
+    return place
+
+
+def inversions(y: np.ndarray, w: np.ndarray) -> int:
+    """Weight of the pairs i < j of a sequence with y[i] > y[j]; halves are counted, sorted and merged."""
+    if len(y) <= 64:
+        return int(np.triu((y[:, None] > y[None, :]) * np.multiply.outer(w.astype(object) if w.max(initial=0) > 2**20 else w, w), 1).sum())
+    half = len(y) // 2
+    left, right = np.argsort(y[:half], kind="stable"), y[half:]
+    below = np.append(0, np.cumsum(w[:half][left]))
+    greater = below[-1] - below[np.searchsorted(y[:half][left], right, side="right")]
+    across = int(greater.astype(object) @ w[half:].astype(object)) if below[-1] > 2**30 else int(greater @ w[half:])
+    return inversions(y[:half], w[:half]) + inversions(right, w[half:]) + across
+
+
+def kendall(df: DataFrame, key: str, x: str, y: str, slice_rows: int = 100_000) -> DataFrame:
+    """Concordant less discordant pairs over the pairs untied in both; NULL without any. Rows with a NULL do not count.
+
+    Equal rows are counted first.  Discordant pairs are inversions of y along x: they
+    are counted within slices of x, within slices of y between rows of different slices
+    of x, and for all other pairs from the sizes of the cells of both, so no pair is
+    ever made.  A value that many rows share is a slice of its own, in which there is
+    nothing to count.  All counts are exact.
+    """
+    counts = stage(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n")), "pairs")
+    rows = counts.count()
+    parts = max(1, min(256, -(-rows // slice_rows)))
+    cuts = {c: sorted(set(counts.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else [] for c in "xy"}
+    cells = counts.withColumn("sx", slice_of("x", cuts["x"])).withColumn("sy", slice_of("y", cuts["y"]))
+
+    def count(order: list[str]):
+        def run(table: pa.Table) -> pa.Table:
+            t = table.sort_by([(c, "ascending") for c in order])
+            return pa.table({"n": [str(inversions(t.column("y").to_numpy(), t.column("n").to_numpy()))]})
+
+        return run
+
+    # Within a slice of x; then within a slice of y, where rows of one slice of x stand in the order of y and so add nothing.
+    inside = [cells.filter("sx % 2 = 0").groupBy("sx").applyInArrow(count(["x", "y"]), "n string"), cells.filter("sy % 2 = 0").groupBy("sy").applyInArrow(count(["sx", "y"]), "n string")]
+    found = sum(int(r["n"]) for part in inside for r in part.collect())
+    grid = np.zeros((2 * parts, 2 * parts), object)
+    for r in cells.groupBy("sx", "sy").agg(F.sum("n").alias("n")).collect():
+        grid[r["sx"], r["sy"]] = r["n"]
+    before = np.zeros(2 * parts, object)  # rows of earlier slices of x, by slice of y
+    for row in grid:
+        greater = np.append(np.cumsum(before[::-1])[::-1][1:], 0)
+        found += int((greater * row).sum())
+        before = before + row
+    exact = lambda c: c.cast("decimal(38,0)")
+    pairs = lambda c: (exact(c) * (exact(c) - 1) / 2).cast("decimal(38,0)")
+    same = [counts.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n")))).first()[0] or 0 for by in ([], ["x"], ["y"], ["x", "y"])]
+    untied = int(same[0] - same[1] - same[2] + same[3])
+    value = (untied - 2 * found) / untied if untied else None
+    return df.sparkSession.range(1).select(F.lit(value).cast("double").alias("kendall"))
 
 
 def confusion(label: Column, predicted: Column) -> list[Column]:

@@ -119,23 +119,31 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def plan_path_repair(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """The best file for every missing reference: by exact name, then stem, then shared trailing path parts.
+    """The best file for every missing reference: by name and as many parts before it as possible, else by stem.
 
-    ``refs`` (ref) and ``files`` (path).  Returns ref, path, confidence, auto (0.70 or more).
+    ``refs`` (ref) and ``files`` (path).  Returns ref, path, confidence, reason,
+    candidates (files of the name, or of the stem) and auto (0.70 or more); references
+    that nothing matches are left out.  Case does not count; ties go to the first path.
+
+    Every file is listed under all of its trailing parts, with the number of files and
+    the first of them there, so a reference meets one row for each of its own trailing
+    parts, however common its name is.
     """
-    name = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
-    stem = lambda c: F.regexp_replace(name(c), r"\.[^.]*$", "")
+    parts = lambda c: F.split(F.lower(F.regexp_replace(c, r"\\", "/")), "/")
+    tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts(c), -n, n), "/").alias("tail")))
+    stem = lambda c: F.struct(F.lit(0).alias("depth"), F.regexp_replace(F.element_at(parts(c), -1), r"(?<=.)\.[^.]*$", "").alias("tail"))
+    listed = lambda c: F.explode(F.concat(F.array(stem(c)), tails(c)))
     lost = refs.select("ref").distinct().join(files.select(F.col("path").alias("ref")), "ref", "left_anti")
-    r = lost.select("ref", name("ref").alias("name"), stem("ref").alias("stem"))
-    f = files.select("path", name("path").alias("_name"), stem("path").alias("_stem"))
-    c = r.join(f, r["stem"] == f["_stem"]).withColumn("exact", F.col("name") == F.col("_name"))
-    same = F.zip_with(F.reverse(F.split(F.lower("ref"), "/")), F.reverse(F.split(F.lower("path"), "/")), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    tail = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, s: F.struct((a["n"] + (a["go"] & s).cast("int")).alias("n"), (a["go"] & s).alias("go")), lambda a: a["n"])
-    n = Window.partitionBy("ref", "exact")
-    c = c.withColumn("tail", tail).withColumn("n_same", F.count("*").over(n))
-    level = F.when(F.col("exact") & (F.col("tail") >= 3), 0.96).when(F.col("exact") & (F.col("n_same") == 1), 0.90).when(F.col("exact") & (F.col("tail") >= 2), 0.78).when(F.col("exact"), 0.62).when(F.col("n_same") == 1, 0.72).when(F.col("tail") >= 1, 0.58).otherwise(0.45)
-    w = Window.partitionBy("ref").orderBy(F.desc("_c"), F.desc("tail"), "path")
-    return c.withColumn("_c", level).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("ref", "path", F.col("_c").alias("confidence"), (F.col("_c") >= 0.70).alias("auto"))
+    index = files.select("path", listed("path").alias("k")).groupBy("k.depth", "k.tail").agg(F.count("*").alias("n"), F.min_by("path", F.struct(F.lower("path"), "path")).alias("path"))
+    met = lost.select("ref", listed("ref").alias("k")).select("ref", "k.*").join(index, ["depth", "tail"])
+    g = met.groupBy("ref").agg(F.max_by(F.struct("depth", "n", "path"), "depth").alias("best"), F.max(F.when(F.col("depth") == 1, F.col("n"))).alias("names"))
+    depth, n, names = F.col("best.depth"), F.col("best.n"), F.col("names")
+    rules = [
+        (names == 1, 0.96, "unique_name"), (names.isNotNull() & (depth >= 2) & (n == 1), 0.90, "name_and_context"), (names.isNotNull() & (n == 1), 0.78, "name_best_context"), (names.isNotNull(), 0.58, "several_names"),
+        (n == 1, 0.72, "unique_stem"),
+    ]
+    found = F.coalesce(*(F.when(cond, F.struct(F.lit(c).alias("c"), F.lit(why).alias("why"))) for cond, c, why in rules), F.struct(F.lit(0.45).alias("c"), F.lit("several_stems").alias("why")))
+    return g.select("ref", F.col("best.path").alias("path"), found.alias("f"), F.coalesce(names, n).alias("candidates")).select("ref", "path", F.col("f.c").alias("confidence"), F.col("f.why").alias("reason"), "candidates", (F.col("f.c") >= 0.70).alias("auto"))
 
 
 def apply_path_repair(df: DataFrame, plan: DataFrame, column: str) -> DataFrame:

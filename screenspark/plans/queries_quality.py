@@ -215,12 +215,25 @@ def ln2_verify_manifest(spark, sf_dir):
     return out.select(F.col("path").cast("long").alias("page_id"), "status")
 
 
-@register("src13_path_repair")
+_NAME = "CASE WHEN page_id % 11 = 0 THEN 'u' || page_id WHEN page_id % 13 = 0 THEN 'Q' ELSE 'p' || page_id % 40 END"
+_TAIL = "CASE WHEN rn <> fn THEN 0 WHEN split_part(r, '/', 3) <> split_part(f, '/', 3) THEN 1 WHEN split_part(r, '/', 2) <> split_part(f, '/', 2) THEN 2 ELSE 3 END"
+
+
+@register("src13_path_repair", f"""WITH n AS (SELECT page_id, {_NAME} AS name FROM pages), r0 AS (SELECT DISTINCT 'old/h' || page_id % 5 || '/d' || page_id % 4 || '/' || name || '.html' AS ref FROM n WHERE page_id % 2 = 0),
+f0 AS (SELECT 'new/H' || page_id % 7 || '/d' || page_id % 6 || '/' || name || CASE WHEN page_id % 40 < 30 THEN '.html' ELSE '.htm' END || CASE WHEN page_id % 29 = 0 THEN '.gz' ELSE '' END AS path FROM n WHERE page_id % 3 <> 0),
+p AS (SELECT ref, path, lower(ref) AS r, lower(path) AS f, split_part(lower(ref), '/', 4) AS rn, split_part(lower(path), '/', 4) AS fn FROM r0 JOIN f0 ON regexp_replace(split_part(lower(ref), '/', 4), '[.][^.]*$', '') = regexp_replace(split_part(lower(path), '/', 4), '[.][^.]*$', '') OR split_part(lower(ref), '/', 4) = split_part(lower(path), '/', 4)),
+t AS (SELECT *, {_TAIL} AS tail, max(rn = fn) OVER (PARTITION BY ref) AS named FROM p), k AS (SELECT * FROM t WHERE NOT named OR rn = fn),
+b AS (SELECT *, count(*) OVER (PARTITION BY ref) AS candidates, max(tail) OVER (PARTITION BY ref) AS best FROM k),
+u AS (SELECT *, count(*) OVER (PARTITION BY ref, tail) AS same, row_number() OVER (PARTITION BY ref ORDER BY tail DESC, f, path) AS o FROM b)
+SELECT ref, path, reason, candidates, CASE reason WHEN 'unique_name' THEN 0.96 WHEN 'name_and_context' THEN 0.90 WHEN 'name_best_context' THEN 0.78 WHEN 'several_names' THEN 0.58 WHEN 'unique_stem' THEN 0.72 ELSE 0.45 END::DOUBLE AS confidence, reason IN ('unique_name', 'name_and_context', 'name_best_context', 'unique_stem') AS auto
+FROM (SELECT *, CASE WHEN named AND candidates = 1 THEN 'unique_name' WHEN named AND best >= 2 AND same = 1 THEN 'name_and_context' WHEN named AND same = 1 THEN 'name_best_context' WHEN named THEN 'several_names' WHEN candidates = 1 THEN 'unique_stem' ELSE 'several_stems' END AS reason FROM u WHERE o = 1)""")
 def src13_path_repair(spark, sf_dir):
-    """Broken references to pages matched to a listing with other folders."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^\w+://", "").alias("u"))
-    refs = p.filter("page_id % 2 = 0").select(F.concat(F.lit("old/"), "u", F.lit("/p"), "page_id", F.lit(".html")).alias("ref"))
-    files = p.select(F.concat(F.lit("new/"), "u", F.lit("/p"), "page_id", F.when(F.col("page_id") % 3 == 0, ".htm").otherwise(".html")).alias("path"))
+    """Broken references to pages matched to a listing with other folders, shared names and other endings."""
+    i = F.col("page_id")
+    name = F.when(i % 11 == 0, F.concat(F.lit("u"), i)).when(i % 13 == 0, F.lit("Q")).otherwise(F.concat(F.lit("p"), i % 40))
+    p = table(spark, sf_dir, "pages").select("page_id", name.alias("name"))
+    refs = p.filter("page_id % 2 = 0").select(F.concat(F.lit("old/h"), i % 5, F.lit("/d"), i % 4, F.lit("/"), "name", F.lit(".html")).alias("ref"))
+    files = p.filter("page_id % 3 <> 0").select(F.concat(F.lit("new/H"), i % 7, F.lit("/d"), i % 6, F.lit("/"), "name", F.when(i % 40 < 30, ".html").otherwise(".htm"), F.when(i % 29 == 0, ".gz").otherwise("")).alias("path"))
     return q.plan_path_repair(refs, files)
 
 

@@ -240,3 +240,34 @@ def test_quantiles_among_ties_and_narrow_brackets(spark):
         got = exact_quantiles(df, list(cols), probs, held, accuracy)
         for c, v in cols.items():
             assert np.allclose(got[c], np.quantile(v, probs)), (c, held)
+
+
+def test_kendall_equals_all_pairs(spark):
+    import numpy as np
+
+    from screenspark.operators import metrics
+
+    rng = np.random.default_rng(3)
+    for n, values, rows in ((120, 1000, 10), (150, 4, 3), (200, 12, 20), (1, 5, 10), (90, 1, 10)):
+        x, y = rng.integers(0, values, n).astype(float), rng.integers(0, values, n).astype(float)
+        x[: n // 3] = x[0]  # a third of the rows share a value
+        s = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+        want = s.sum() / (s != 0).sum() if (s != 0).any() else None
+        df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(n, None, 1.0)], "k int, x double, y double")
+        got = metrics.kendall(df, "k", "x", "y", slice_rows=rows).collect()[0].kendall
+        assert got == want if want is None else abs(got - want) < 1e-12
+    big = np.array([3 * 10**9, 5 * 10**9])
+    assert metrics.inversions(np.array([2.0, 1.0]), big) == 15 * 10**18
+
+
+def test_path_repair_rules(spark):
+    from screenspark.operators import quality
+
+    files = ["x/a/one.pdb", "x/a/two.pdb", "x/b/two.pdb", "x/a/three.pdb", "y/a/three.pdb", "x/q/four.pdb", "y/r/four.pdb", "x/five.cif", "x/six.cif", "y/six.txt", "x/here.pdb"]
+    refs = ["old/one.pdb", "Old/B/TWO.pdb", "x/z/two.pdb", "old/a/three.pdb", "old/four.pdb", "old/five.pdb", "old/six.pdb", "old/none.pdb", "x/here.pdb", "old/one.pdb"]
+    made = quality.plan_path_repair(spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame([(f,) for f in files], "path string"))
+    got = {r.ref: (r.path, r.confidence, r.candidates, r.auto) for r in made.collect()}
+    assert got == {
+        "old/one.pdb": ("x/a/one.pdb", 0.96, 1, True), "Old/B/TWO.pdb": ("x/b/two.pdb", 0.90, 2, True), "x/z/two.pdb": ("x/a/two.pdb", 0.58, 2, False), "old/a/three.pdb": ("x/a/three.pdb", 0.58, 2, False),
+        "old/four.pdb": ("x/q/four.pdb", 0.58, 2, False), "old/five.pdb": ("x/five.cif", 0.72, 1, True), "old/six.pdb": ("x/six.cif", 0.45, 2, False),
+    }
