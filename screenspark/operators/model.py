@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.operators import metrics, scoring
+from screenspark.operators import metrics, network, scoring
 from screenspark.operators.quantiles import exact_quantiles
 from screenspark.plans.staging import stage
 
@@ -50,7 +50,7 @@ def train(prepared: DataFrame, cols: list[str], label: str = "label", soft: str
     """A pose classifier over ``z_<col>``; classes are weighted to balance.
 
     With ``soft``, a row counts for both classes by its soft target.  ``kind`` is
-    ``logistic`` or ``perceptron`` (two hidden layers).
+    ``logistic`` or ``perceptron`` (two hidden layers, weights and all).
     """
     d = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(prepared)
     if soft:
@@ -60,15 +60,15 @@ def train(prepared: DataFrame, cols: list[str], label: str = "label", soft: str
         d = d.filter(F.col(label).isin(0, 1)).select("features", F.col(label).cast("double").alias("y"), F.lit(1.0).alias("w"))
     total = d.agg(F.sum(F.when(F.col("y") == 1, F.col("w"))).alias("_p"), F.sum("w").alias("_t"))
     d = d.crossJoin(F.broadcast(total)).withColumn("w", F.when(F.col("y") == 1, F.col("w") * F.greatest(F.lit(1.0), (F.col("_t") - F.col("_p")) / F.col("_p"))).otherwise(F.col("w")))
-    if kind == "perceptron":  # takes no weights: positive rows count as often as their weight says
-        copies = F.floor("w") + (F.pmod(F.xxhash64("features", F.lit(seed)), F.lit(1_000_000)) < (F.col("w") - F.floor("w")) * 1_000_000).cast("long")
-        d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), copies).cast("int"))))
-        return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[len(cols), 128, 64, 2], seed=seed, maxIter=50).fit(d)
+    if kind == "perceptron":
+        return network.train_network(d.select(vector_to_array("features").alias("x"), "y", "w"), len(cols), seed=seed)
     return LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1e-3, maxIter=50).fit(d)
 
 
 def predict(model, prepared: DataFrame, cols: list[str]) -> DataFrame:
     """``pred_prob`` and, for a logistic model, ``pred_logit`` and the three largest contributions."""
+    if isinstance(model, network.Network):
+        return network.apply_network(model, prepared, [f"z_{c}" for c in cols], "pred_prob")
     d = model.transform(VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(prepared))
     d = d.withColumn("pred_prob", vector_to_array("probability")[1])
     keep = [*prepared.columns, "pred_prob"]

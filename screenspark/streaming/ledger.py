@@ -10,15 +10,23 @@ def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def stream_ledger(events: DataFrame, key: str = "candidate", ts: str = "ts", event_id: str = "event_id", delay: str = "1 day") -> DataFrame:
-    """Latest state of each key from a change feed, repeated events dropped; for update or complete mode.
+def stream_ledger(events: DataFrame, key: str = "candidate", ts: str = "ts", event_id: str = "event_id", delay: str = "1 day", slice_of: str = "1 day") -> DataFrame:
+    """Latest state of each key in every slice of time, from a change feed, repeated events dropped; for update mode.
 
     The latest is that of the greatest event time, source priority (smaller wins)
-    and event id, however events arrive.
+    and event id, however events arrive.  The state holds the slices that the watermark
+    has not passed, not all keys for ever; ``latest_of_slices`` makes the latest state
+    of each key from what the stream has written.
     """
     d = event_time(events, ts, delay).dropDuplicatesWithinWatermark([event_id])
-    order = F.struct(F.col(ts), -F.col("source_priority"), F.col(event_id))
-    return d.groupBy(key).agg(F.max_by("status", order).alias("status"), F.max(ts).alias("last_ts"), F.count("*").alias("n_records"))
+    order = F.struct(F.col(ts).alias("ts"), (-F.col("source_priority")).alias("priority"), F.col(event_id).alias("id"))
+    g = d.groupBy(F.window(ts, slice_of), key).agg(F.max_by("status", order).alias("status"), F.max(order).alias("at"), F.count("*").alias("n_records"))
+    return g.select(F.col("window.start").alias("slice_start"), key, "status", "at", "n_records")
+
+
+def latest_of_slices(slices: DataFrame, key: str = "candidate") -> DataFrame:
+    """``key, status, last_ts, n_records`` over all slices."""
+    return slices.groupBy(key).agg(F.max_by("status", "at").alias("status"), F.max("at.ts").alias("last_ts"), F.sum("n_records").alias("n_records"))
 
 
 def stream_qc(items: DataFrame, size: str, slide: str | None = None, ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -34,27 +42,37 @@ def stream_sessions(events: DataFrame, gap: str, key: str = "candidate", ts: str
     return g.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n_events")
 
 
-def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run a stream over all that is there now; each batch's rows go to Parquet files, and the last row of each key is returned.
+def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode over all that is there now; each batch's changed rows go to Parquet files, and the last row of each key is returned.
 
-    Only changed rows are written in update mode; ``complete`` is for queries that know
-    no other (sessions), of which the last batch counts.  Nothing is held by the driver.
+    Nothing is held by the driver.  The table's ``late_rows`` says how many rows came
+    after their watermark, ``state_rows`` how many rows the state held after each batch.
     """
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/b{batch}")
 
-    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = finished(stream.writeStream.foreachBatch(put).outputMode("update"), checkpoint)
+    rows = stream.sparkSession.read.schema(stream.withColumn("_batch", F.lit(0)).schema).option("recursiveFileLookup", True).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(*keys, "_s.*").select(*stream.columns)
+    return noted(out, query)
+
+
+def finished(writer, checkpoint: str):
+    """The query of a writer, run over all that is there now."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    rows = stream.sparkSession.read.schema(stream.withColumn("_batch", F.lit(0)).schema).option("recursiveFileLookup", True).parquet(path)
-    if mode == "complete":
-        last = rows.agg(F.max("_batch")).first()[0]
-        return rows.filter(F.col("_batch") == F.lit(last)).drop("_batch")
-    rest = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(*keys, "_s.*").select(*stream.columns)
+    return query
+
+
+def noted(out: DataFrame, query) -> DataFrame:
+    out.late_rows = late_rows(query)
+    out.state_rows = [max((int(s["numRowsTotal"]) for s in p["stateOperators"]), default=0) for p in query.recentProgress]
+    return out
 
 
 def late_rows(query) -> int:
@@ -67,11 +85,21 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
     The table's ``late_rows`` says how many (pre-aggregated) rows came after their watermark.
     """
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    out = stream.sparkSession.read.schema(stream.schema).parquet(path)
-    out.late_rows = late_rows(query)
+    query = finished(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
+    return noted(stream.sparkSession.read.schema(stream.schema).parquet(path), query)
+
+
+def run_sessions(events: DataFrame, gap: str, path: str, checkpoint: str, key: str = "candidate", ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """All sessions, with ``closed``: those that the watermark has passed, written once each, and those that are still in the state.
+
+    A session is written when it closes and never again, so a batch costs its own
+    sessions and not all there ever were; the open ones are read from the state of the
+    last batch.
+    """
+    sessions = stream_sessions(events, gap, key, ts, delay)
+    closed = run_to_parquet(sessions, path, checkpoint)
+    state = events.sparkSession.read.format("statestore").load(checkpoint)
+    left = state.select(F.col(f"value.{key}").alias(key), F.col("value.session_window.start").alias("session_start"), F.col("value.session_window.end").alias("session_end"), F.col("value.count").alias("n_events"))
+    out = closed.withColumn("closed", F.lit(True)).unionByName(left.withColumn("closed", F.lit(False)))
+    out.late_rows, out.state_rows = closed.late_rows, closed.state_rows
     return out

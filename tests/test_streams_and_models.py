@@ -20,7 +20,7 @@ def events(spark, tmp_path):
 
 def test_final_state_of_the_stream_is_that_of_the_batch(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
-    got = ledger.run_updates(ledger.stream_ledger(stream, delay="30 days"), str(tmp_path / "o"), str(tmp_path / "c"), ["candidate"])
+    got = ledger.latest_of_slices(ledger.run_updates(ledger.stream_ledger(stream, delay="30 days"), str(tmp_path / "o"), str(tmp_path / "c"), ["slice_start", "candidate"]))
     want = batch.groupBy("candidate").agg(F.max_by("status", F.struct("ts", -F.col("source_priority"), "event_id")).alias("status"), F.count("*").alias("n"))
     assert {(r.candidate, r.status, r.n_records) for r in got.collect()} == {(r.candidate, r.status, r.n) for r in want.collect()}
 
@@ -29,8 +29,25 @@ def test_windows_and_sessions(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
     qc = ledger.run_updates(ledger.stream_qc(stream.dropDuplicates(["event_id"]), "1 day", delay="30 days"), str(tmp_path / "o1"), str(tmp_path / "c1"), ["window_start"])
     assert sorted(r.n_rows for r in qc.collect()) == [3, 3, 4]
-    s = ledger.run_updates(ledger.stream_sessions(stream, "6 hours", delay="30 days"), str(tmp_path / "o2"), str(tmp_path / "c2"), ["candidate", "session_start"], "complete")
-    assert sum(r.n_events for r in s.collect()) == batch.count() + 1
+    s = ledger.run_sessions(stream, "6 hours", str(tmp_path / "o2"), str(tmp_path / "c2"), delay="30 days")
+    assert sum(r.n_events for r in s.collect()) == batch.count() + 1 and not any(r.closed for r in s.collect())
+
+
+def test_state_falls_as_the_watermark_moves_and_sessions_close_once(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    days = [(d, [(100 * d + i, i % 7, t0 + dt.timedelta(days=d, minutes=9 * i), f"s{d}", i % 3, False) for i in range(70)]) for d in (0, 4, 8, 12)]
+    schema = "event_id long, candidate long, ts timestamp, status string, source_priority int, has_warning boolean"
+    for _, rows in days:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    slices = ledger.run_updates(ledger.stream_ledger(stream, delay="1 day"), str(tmp_path / "o"), str(tmp_path / "c"), ["slice_start", "candidate"])
+    batch = spark.read.schema(schema).parquet(str(tmp_path / "in")).groupBy("candidate").agg(F.max_by("status", F.struct("ts", -F.col("source_priority"), "event_id")).alias("status"), F.count("*").alias("n"))
+    assert {(r.candidate, r.status, r.n_records) for r in ledger.latest_of_slices(slices).collect()} == {(r.candidate, r.status, r.n) for r in batch.collect()}
+    assert slices.count() == 4 * 7 and max(slices.state_rows) <= 2 * 70 and slices.state_rows[-1] <= 70  # of 280 events and 28 slices
+    sessions = ledger.run_sessions(stream, "3 hours", str(tmp_path / "o2"), str(tmp_path / "c2"), delay="1 day")
+    rows = sessions.collect()
+    assert len(rows) == 4 * 7 and all(r.n_events == 10 for r in rows) and {(r.session_start.day, r.closed) for r in rows} == {(1, True), (5, True), (9, True), (13, False)}
 
 
 def test_append_mode_emits_only_closed_windows(spark, tmp_path):
@@ -83,3 +100,32 @@ def test_pseudo_labels_share(spark):
 
 def test_shared_folder_is_one_for_the_session(spark):
     assert new_path(spark, "a").rsplit("/", 1)[0] == new_path(spark, "b").rsplit("/", 1)[0]
+
+
+def test_weighted_network_equals_repeated_rows(spark):
+    import numpy as np
+
+    from screenspark.operators import network
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    y, w = (x[:, 0] * x[:, 1] > 0).astype(float), rng.integers(0, 4, 60)
+    rows = [(v.tolist(), float(a), float(b)) for v, a, b in zip(x, y, w, strict=True)]
+    schema = "x array<double>, y double, w double"
+    once, repeated = spark.createDataFrame(rows, schema), spark.createDataFrame([(v, a, 1.0) for v, a, b in rows for _ in range(int(b))], schema)
+    net = network.Network.drawn([3, 5, 4, 1], 1)
+    one, two = network.weighted_sums(once, net), network.weighted_sums(repeated.repartition(3), net)
+    assert np.allclose(one, two)
+    values, step = net.flat(), 1e-6  # the gradient is that of the loss
+    for i in (0, 17, len(values) - 1):
+        ends = [net.filled(values + s * step * np.eye(len(values))[i]).loss_and_gradient(x, y, w.astype(float))[0] for s in (1, -1)]
+        assert abs((ends[0] - ends[1]) / (2 * step) - one[2 + i]) < 1e-4
+    trained = network.train_network(once, 3, steps=80)
+    assert network.weighted_sums(once, trained)[0] < 0.3 * one[0]
+
+
+def test_perceptron_ranks_and_predicts(spark):
+    d, cols = rows(spark), ["site_hit_fraction", "mouth_occlusion"]
+    prepared = model.apply_prep(d, model.fit_prep(d, cols), cols)
+    p = model.predict(model.train(prepared, cols, kind="perceptron"), prepared, cols)
+    assert p.columns == [*prepared.columns, "pred_prob"] and metrics.auc(p, "label", "pred_prob").collect()[0].auc > 0.95
