@@ -14,10 +14,21 @@ WEIGHTS_B = (0.25, 0.50, 0.20, 0.05)
 _COLS = ["score", "rank", "std", "overwide", "mean_site_hit_fraction", "mean_anchor_hit_fraction", "mean_mouth_occlusion", "mean_overwide"]
 
 
+def spread(second: bool):
+    """Scores of the demonstration: every eighth candidate stands apart, some of them only in the first ranking; the others lie close together."""
+    i = F.col("candidate")
+    apart = 0.40 + 0.60 * (F.floor(i / 8) % 13) / 13 + 0.02 * F.col("final_score")
+    return F.when(i % 8 == 0, apart - F.when((i % 24 == 0) & F.lit(second), 0.35).otherwise(0.0)).otherwise(0.7 * F.col("final_score"))
+
+
+def spread_sql(second: bool) -> str:
+    return f"CASE WHEN candidate % 8 = 0 THEN 0.40 + 0.60 * ((candidate // 8) % 13) / 13 + 0.02 * final_score - CASE WHEN candidate % 24 = 0 AND {second} THEN 0.35 ELSE 0 END ELSE 0.7 * final_score END"
+
+
 def ranking(spark, sf_dir, weights=(0.50, 0.25, 0.20, 0.15), gaps=False, variants=None):
     """One of the two rankings; with gaps, some candidates are missing."""
     variants = variants or scoring.rollup_variants(scoring.rule_score(scoring.keep_ok(v.items(spark, sf_dir))))
-    d = scoring.rollup_candidates(variants, weights)
+    d = scoring.rollup_candidates(variants, weights).withColumn("final_score", spread(gaps))
     if gaps:
         d = d.filter(F.col("candidate") % 10 != 3)
     d = scoring.assign_rank(d, [F.desc_nulls_last("final_score"), F.desc_nulls_last("best_variant_score"), F.asc("candidate")])
@@ -35,10 +46,10 @@ def reviewed(spark, sf_dir):
     return stage(c.review_fields(c.score_gaps(c.consensus(a, b, c.qc_by_candidate(v.items(spark, sf_dir))))), "consensus")
 
 
-_SIDE = "candidate, final_score AS score, rank, std_variant_score AS std, mean_overwide AS overwide, mean_site_hit_fraction, mean_anchor_hit_fraction, mean_mouth_occlusion, mean_overwide"
+_SIDE = "candidate, score, rank, std_variant_score AS std, mean_overwide AS overwide, mean_site_hit_fraction, mean_anchor_hit_fraction, mean_mouth_occlusion, mean_overwide"
 RANKINGS = [
     v.ITEMS, v.SCORED, v.variants_ctes(), v.candidates_ctes(), v.candidates_ctes(out="candb", weights=WEIGHTS_B),
-    f"ra AS (SELECT {_SIDE} FROM candidates), rb AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, bv DESC NULLS LAST, candidate) AS INTEGER) AS rank) FROM (SELECT {_SIDE}, best_variant_score AS bv FROM candb WHERE candidate % 10 <> 3))",
+    *(f"r{n} AS (SELECT * EXCLUDE (bv) REPLACE (CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, bv DESC NULLS LAST, candidate) AS INTEGER) AS rank) FROM (SELECT {_SIDE}, best_variant_score AS bv FROM (SELECT *, {spread_sql(n == 'b')} AS score FROM {source}) WHERE {where}))" for n, source, where in (("a", "candidates", "TRUE"), ("b", "candb", "candidate % 10 <> 3"))),
 ]
 QC = """qc AS (SELECT candidate, count(*) AS n_rows, count_if(status <> 'ok') AS n_failed, count_if(has_warning) AS n_warning, avg(overwide) AS qc_mean_overwide, max(overwide) AS qc_max_overwide,
   count_if(status <> 'ok') / count(*) AS failed_fraction, count_if(has_warning) / count(*) AS warning_fraction FROM items GROUP BY candidate)"""

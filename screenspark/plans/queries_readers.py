@@ -122,7 +122,7 @@ def _structure_lines(spark, sf_dir) -> DataFrame:
     xyz = [F.lpad(F.concat(F.floor(F.col("embedding")[k].cast("double") * 20).cast("long"), F.lit(".000")), 8, " ") for k in range(3)]
     line = F.concat(
         F.rpad(F.when(i % 7 == 0, "HETATM").otherwise("ATOM"), 6, " "), F.lpad((i % 100_000).cast("string"), 5, " "), F.lit("  "), F.rpad(pick(["CA", "CB", "N", "H1"], i % 4), 3, " "), pick([" ", "A", "B"], i % 3), F.lpad(pick(_RES, i % 5), 3, " "), F.lit(" "),
-        pick(_CHAIN, F.floor(i / 10) % 3), F.lpad((F.floor(i / 4) % 1000).cast("string"), 4, " "), F.lit("    "), *xyz, F.lpad(F.concat(F.lit("0."), i % 10, F.lit("0")), 6, " "), F.lpad(F.concat((i % 50).cast("string"), F.lit(".00")), 6, " "), F.lit(" " * 10), F.lpad(pick(["C", "C", "N", "H"], i % 4), 2, " "),
+        pick(_CHAIN, F.floor(i / 10) % 3), F.lpad((F.floor(i / 4) % 17).cast("string"), 4, " "), F.lit("    "), *xyz, F.lpad(F.concat(F.lit("0."), i % 10, F.lit("0")), 6, " "), F.lpad(F.concat((i % 50).cast("string"), F.lit(".00")), 6, " "), F.lit(" " * 10), F.lpad(pick(["C", "C", "N", "H"], i % 4), 2, " "),
     )
     d = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select(F.floor(i / 100).alias("file"), (i % 100 * 2).alias("line_no"), line.alias("line"))
     ends = d.select("file").distinct().select("file", F.lit(159).cast("long").alias("line_no"), F.lit("ENDMDL").alias("line"))
@@ -130,7 +130,7 @@ def _structure_lines(spark, sf_dir) -> DataFrame:
 
 
 _NAMES = "['CA', 'CB', 'N', 'H1'][vec_id % 4 + 1]"
-_ATOMS = f"""raw AS (SELECT CAST(vec_id // 100 AS VARCHAR) AS structure, vec_id, vec_id % 100000 AS serial, {_NAMES} AS atom_name, ['', 'A', 'B'][vec_id % 3 + 1] AS altloc, ['GLY', 'ALA', 'HOH', 'LIG', 'SO4'][vec_id % 5 + 1] AS resname, ['A', 'B', 'H'][(vec_id // 10) % 3 + 1] AS chain, (vec_id // 4) % 1000 AS resseq,
+_ATOMS = f"""raw AS (SELECT CAST(vec_id // 100 AS VARCHAR) AS structure, vec_id, vec_id % 100000 AS serial, {_NAMES} AS atom_name, ['', 'A', 'B'][vec_id % 3 + 1] AS altloc, ['GLY', 'ALA', 'HOH', 'LIG', 'SO4'][vec_id % 5 + 1] AS resname, ['A', 'B', 'H'][(vec_id // 10) % 3 + 1] AS chain, (vec_id // 4) % 17 AS resseq,
   floor(CAST(embedding[1] AS DOUBLE) * 20) AS x, floor(CAST(embedding[2] AS DOUBLE) * 20) AS y, floor(CAST(embedding[3] AS DOUBLE) * 20) AS z, (vec_id % 10) / 10 AS occupancy, vec_id % 50 AS bfactor, CASE WHEN vec_id % 7 = 0 THEN 'HETATM' ELSE 'ATOM' END AS record FROM embeddings WHERE embedding IS NOT NULL),
 atoms AS (SELECT * FROM raw WHERE vec_id % 100 < 80 AND resname <> 'HOH' AND atom_name <> 'H1')"""
 _PICK = "picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY structure, chain, resseq, atom_name ORDER BY altloc <> '', occupancy DESC, bfactor, serial) AS r FROM atoms) WHERE r = 1)"
@@ -218,10 +218,10 @@ def src12_rank_outputs(spark, sf_dir):
     return s.rank_output_files(table(spark, sf_dir, "pages").select(name.alias("path")), "toolx")
 
 
-@register("src16_resolve_site", "WITH c AS (SELECT l_suppkey AS structure, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS priority, l_returnflag AS source, CASE WHEN l_partkey % 2 = 0 THEN 'A:' ELSE 'B:' END || l_partkey AS key FROM lineitem WHERE (l_suppkey + l_partkey) % 11 > 3), f AS (SELECT * FROM c WHERE key LIKE 'A:%'), b AS (SELECT structure, min(priority) AS priority FROM f GROUP BY structure) SELECT structure, source, CASE WHEN source IS NULL THEN 'empty_after_filter' WHEN priority = 0 THEN 'explicit' ELSE 'default' END AS mode, CAST(n AS INTEGER) AS n_keys FROM (SELECT DISTINCT structure FROM c) LEFT JOIN (SELECT structure, priority, source, count(DISTINCT key) AS n FROM f JOIN b USING (structure, priority) GROUP BY ALL) USING (structure)")
+@register("src16_resolve_site", "WITH c AS (SELECT l_suppkey AS structure, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS priority, l_returnflag AS source, CASE WHEN l_partkey % 2 = 0 AND l_suppkey % 5 > 0 THEN 'A:' ELSE 'B:' END || l_partkey AS key FROM lineitem WHERE (l_suppkey + l_partkey) % 11 > 3 AND NOT (l_returnflag = 'A' AND l_suppkey % 3 > 0)), f AS (SELECT * FROM c WHERE key LIKE 'A:%'), b AS (SELECT structure, min(priority) AS priority FROM f GROUP BY structure) SELECT structure, source, CASE WHEN source IS NULL THEN 'empty_after_filter' WHEN priority = 0 THEN 'explicit' ELSE 'default' END AS mode, CAST(n AS INTEGER) AS n_keys FROM (SELECT DISTINCT structure FROM c) LEFT JOIN (SELECT structure, priority, source, count(DISTINCT key) AS n FROM f JOIN b USING (structure, priority) GROUP BY ALL) USING (structure)")
 def src16_resolve_site(spark, sf_dir):
     flag = F.col("l_returnflag")
-    c = table(spark, sf_dir, "lineitem").filter((F.col("l_suppkey") + F.col("l_partkey")) % 11 > 3).select(F.col("l_suppkey").alias("structure"), F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("priority"), flag.alias("source"), F.concat(F.when(F.col("l_partkey") % 2 == 0, "A:").otherwise("B:"), "l_partkey").alias("key"))
+    c = table(spark, sf_dir, "lineitem").filter(((F.col("l_suppkey") + F.col("l_partkey")) % 11 > 3) & ~((flag == "A") & (F.col("l_suppkey") % 3 > 0))).select(F.col("l_suppkey").alias("structure"), F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("priority"), flag.alias("source"), F.concat(F.when((F.col("l_partkey") % 2 == 0) & (F.col("l_suppkey") % 5 > 0), "A:").otherwise("B:"), "l_partkey").alias("key"))
     return s.resolve_site(c, chain="A").select("structure", "source", "mode", F.when(F.col("keys").isNotNull(), F.size("keys")).alias("n_keys"))
 
 

@@ -25,9 +25,15 @@ def sc1_rank_candidates(spark, sf_dir):
     return scoring.rank_candidates(v.items(spark, sf_dir)).select("rank", "candidate", "n_variants", "n_items", "best_variant", "mean_variant_score", "best_variant_score", "std_variant_score", "consistency", "final_score")
 
 
-@register("ag1_topk_selection", v.with_sql(v.ITEMS, v.SCORED, select="SELECT candidate, variant, item, CAST(topk_position AS INTEGER) AS topk_position, 'energy_asc' AS selection_mode, 'energy_gb' AS selection_column FROM (SELECT *, row_number() OVER (PARTITION BY candidate, variant ORDER BY energy_gb ASC NULLS LAST, rule_score DESC NULLS LAST, item) AS topk_position FROM scored) WHERE topk_position <= 3"))
+_LACKING = v.ITEMS.replace("l_extendedprice AS energy_gb", "CASE WHEN NOT (l_suppkey % 4 = 0 AND l_returnflag = 'N') THEN l_extendedprice END AS energy_gb")
+
+
+@register("ag1_topk_selection", v.with_sql(_LACKING, v.SCORED, select="SELECT candidate, variant, item, CAST(topk_position AS INTEGER) AS topk_position, CASE WHEN has THEN 'energy_asc' ELSE 'score_desc' END AS selection_mode, CASE WHEN has THEN 'energy_gb' ELSE 'rule_score' END AS selection_column FROM (SELECT *, row_number() OVER (PARTITION BY candidate, variant ORDER BY energy_gb ASC NULLS LAST, rule_score DESC NULLS LAST, item) AS topk_position, max(energy_gb) OVER (PARTITION BY candidate, variant) IS NOT NULL AS has FROM scored) WHERE topk_position <= 3"))
 def ag1_topk_selection(spark, sf_dir):
-    return scoring.select_topk(scoring.rule_score(scoring.keep_ok(v.items(spark, sf_dir)))).select("candidate", "variant", "item", "topk_position", "selection_mode", "selection_column")
+    """Some variants have no energies and go by score."""
+    d = v.items(spark, sf_dir)
+    d = d.withColumn("energy_gb", F.when(~((F.col("candidate") % 4 == 0) & F.col("variant").startswith("N")), F.col("energy_gb")))
+    return scoring.select_topk(scoring.rule_score(scoring.keep_ok(d))).select("candidate", "variant", "item", "topk_position", "selection_mode", "selection_column")
 
 
 @register("ag2_rollup_variants", v.with_sql(*VARIANTS, select=select_sql("variants", "candidate, variant, n_items, top_k_used, topk_items, best_item", "best_score, mean_score, geometry_score, variant_score, mean_overwide")))

@@ -232,6 +232,9 @@ def ag20_near_accuracy(spark, sf_dir):
     return g.near_accuracy(site, d.filter("label IN (1, 2)"), 1.5)
 
 
-@register("ag28_split_roles", "WITH n AS (SELECT l_suppkey AS structure, l_returnflag AS chain, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY structure ORDER BY n, chain) AS r, count(*) OVER (PARTITION BY structure) AS c FROM n), m AS (SELECT structure, min(n) AS mn, max(CASE WHEN r = 2 THEN n END) AS sec FROM r GROUP BY 1) SELECT structure, chain, n, CASE WHEN NOT (c = 2 OR (c > 2 AND mn <= 2000 AND mn <= round(0.75 * sec))) THEN 'unknown' WHEN r = 1 THEN 'partner' ELSE 'target' END AS role FROM r JOIN m USING (structure)")
+@register("ag28_split_roles", "WITH n AS (SELECT l_suppkey AS structure, CASE l_suppkey % 3 WHEN 0 THEN l_linestatus WHEN 1 THEN CASE WHEN l_linenumber >= 6 THEN 'S' ELSE l_returnflag END ELSE l_returnflag END AS chain, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY structure ORDER BY n, chain) AS r, count(*) OVER (PARTITION BY structure) AS c FROM n), m AS (SELECT structure, min(n) AS mn, max(CASE WHEN r = 2 THEN n END) AS sec FROM r GROUP BY 1) SELECT structure, chain, n, CASE WHEN NOT (c = 2 OR (c > 2 AND mn <= 2000 AND mn <= round(0.75 * sec))) THEN 'unknown' WHEN r = 1 THEN 'partner' ELSE 'target' END AS role FROM r JOIN m USING (structure)")
 def ag28_split_roles(spark, sf_dir):
-    return g.split_roles(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("structure"), F.col("l_returnflag").alias("chain")), 2000)
+    """Chains of two, of three with a small one, and of three alike."""
+    kind, flag = F.col("l_suppkey") % 3, F.col("l_returnflag")
+    chain = F.when(kind == 0, F.col("l_linestatus")).when((kind == 1) & (F.col("l_linenumber") >= 6), "S").otherwise(flag)
+    return g.split_roles(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("structure"), chain.alias("chain")), 2000)
