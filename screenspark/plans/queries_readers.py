@@ -72,6 +72,26 @@ def src3_scan_tree(spark, sf_dir):
     return items.unionByName(skipped).select("candidate", "variant", "item", "status", F.element_at(F.split("pdb_path", "/"), -1).alias("name"), F.size("sidecars").alias("n_sidecars"))
 
 
+_TREE = "SELECT CAST(s_nationkey AS VARCHAR) AS candidate, 'tgt_' || s_suppkey % 3 AS variant, 'p' || s_suppkey AS item, s_suppkey % 5 AS kind, 1 + s_suppkey % 4 AS n FROM supplier"
+
+
+@register("src3_read_tree", f"SELECT candidate, variant, item, CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' WHEN 2 THEN 'ambiguous_pdb' WHEN 3 THEN 'missing_pdb' ELSE 'ok' END AS status, CASE WHEN kind >= 3 THEN 1 ELSE 0 END AS n_sidecars, CASE WHEN kind IN (0, 1, 4) THEN n END AS n_atoms, CASE WHEN kind IN (0, 1, 4) THEN (n - 1) / 2 END::DOUBLE AS mean_x FROM ({_TREE})")
+def src3_read_tree(spark, sf_dir):
+    """A result tree written as folders and files, scanned and read back with the atoms of its structures."""
+    i = F.col("s_suppkey")
+    d = table(spark, sf_dir, "supplier").select(F.concat_ws("/", "s_nationkey", F.concat(F.lit("tgt_"), i % 3), F.concat(F.lit("p"), i)).alias("folder"), F.concat(F.lit("p"), i, F.lit(".pdb")).alias("own"), (i % 5).alias("kind"), (1 + i % 4).cast("int").alias("n"))
+    atom = lambda k: F.concat(F.lit("ATOM  "), F.lpad(k.cast("string"), 5, " "), F.lit("  CA  GLY A"), F.lpad(k.cast("string"), 4, " "), F.lit("    "), F.lpad(F.concat(k, F.lit(".000")), 8, " "), F.lit("   0.000   0.000  1.00 10.00           C"))
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), atom), "\n"), F.lit("\nENDMDL\n"), atom(F.lit(9)), F.lit("\n"))
+    names = F.when(F.col("kind") == 0, F.array("own")).when(F.col("kind") == 1, F.array(F.lit("x.pdb"))).when(F.col("kind") == 2, F.array(F.lit("x.pdb"), F.lit("y.pdb"))).when(F.col("kind") == 3, F.array(F.lit("e.txt"))).otherwise(F.array(F.col("own"), F.lit("e.txt")))
+    files = d.select("folder", text.alias("text"), F.explode(names).alias("name"))
+    root = new_path(spark, "tree")
+    s.write_files(files.select(F.concat_ws("/", "folder", "name").alias("path"), F.when(F.col("name").endswith(".pdb"), F.col("text")).otherwise("note").alias("content")), root)
+    items, skipped = s.read_tree(spark, root, "tgt")
+    atoms = s.read_tree_atoms(spark, root, "tgt").groupBy("candidate", "variant", "item").agg(F.count("*").alias("n_atoms"), F.avg("x").alias("mean_x"))
+    found = items.unionByName(skipped).select("candidate", "variant", "item", "status", F.size("sidecars").alias("n_sidecars"))
+    return found.join(atoms, ["candidate", "variant", "item"], "left")
+
+
 def _report(spark, sf_dir) -> DataFrame:
     """Lines of one report for each supplier: totals, differences and other lines with numbers."""
     o = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from screenspark.functions.columns import flags
 from screenspark.operators.residues import residue_struct
 from screenspark.operators.spatial import distance_join
 
+SCHEME = r"^\w+:/*"
 FLOAT = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 #: Water residues, left out of atom tables.
 WATER = ("HOH", "WAT", "DOD", "H2O")
@@ -22,7 +27,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, size`` of all files under a folder, contents not read."""
+    """``path, size`` of all files under a folder but empty ones, which Spark does not list; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
 
 
@@ -37,13 +42,18 @@ def file_manifest(spark: SparkSession, root: str, max_bytes: int | None = None)
     return out
 
 
+def bare(path: Column | str) -> Column:
+    """A path without the scheme before it, which listings write in several ways."""
+    return F.regexp_replace(path, SCHEME, "/")
+
+
 def scan_result_tree(files: DataFrame, root: str, target: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Items and skipped folders of ``root/<candidate>/<target>_<n>/<item>/<item>.pdb``.
 
     ``files`` has ``path``.  The file named like its folder counts; else the only
     structure file (a warning); none or several are skipped.
     """
-    rel = F.split(F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), r"^/+", ""), "/")
+    rel = F.split(F.regexp_replace(F.substring_index(bare("path"), re.sub(SCHEME, "/", root.rstrip("/")) + "/", -1), r"^/+", ""), "/")
     d = files.select("path", rel.alias("p")).filter(F.size("p") == 4)
     d = d.select("path", F.col("p")[0].alias("candidate"), F.col("p")[1].alias("variant"), F.col("p")[2].alias("item"), F.col("p")[3].alias("name"))
     d = d.withColumn("target", F.regexp_extract("variant", r"^([A-Za-z0-9]+)_(\d+)$", 1)).withColumn("target_index", F.regexp_extract("variant", r"^([A-Za-z0-9]+)_(\d+)$", 2).try_cast("int"))
@@ -95,12 +105,21 @@ def decomposition(lines: DataFrame, site: DataFrame | None = None) -> DataFrame:
 
 
 def parse_atoms(lines: DataFrame, hetero: bool = True, hydrogens: bool = False) -> DataFrame:
-    """Atom table of fixed-width structure text: first model only, water left out."""
-    d = lines.withColumn("record", F.rtrim(F.substring("line", 1, 6)))
+    """Atom table of fixed-width structure text in lines: first model only, water left out."""
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_ended", F.coalesce(F.sum(F.when(F.col("record") == "ENDMDL", 1).otherwise(0)).over(w), F.lit(0)))
+    ended = F.coalesce(F.sum(F.when(record() == "ENDMDL", 1).otherwise(0)).over(w), F.lit(0))
+    return atom_columns(lines.withColumn("_ended", ended).filter("_ended = 0"), hetero, hydrogens)
+
+
+def record() -> Column:
+    """The kind of a line of structure text."""
+    return F.rtrim(F.substring("line", 1, 6))
+
+
+def atom_columns(lines: DataFrame, hetero: bool = True, hydrogens: bool = False) -> DataFrame:
+    """Atoms of lines (file, line_no, line) of one model each."""
+    d = lines.withColumn("record", record()).filter(F.col("record").isin("ATOM", "HETATM") if hetero else F.col("record") == "ATOM")
     cut = lambda a, n: F.trim(F.substring("line", a, n))
-    d = d.filter((F.col("_ended") == 0) & F.col("record").isin("ATOM", "HETATM") & (F.col("record") == "ATOM" if not hetero else F.lit(True)))
     name = cut(13, 4)
     d = d.select(
         F.col("file").alias("structure"), "line_no", "record", cut(7, 5).try_cast("int").alias("serial"), name.alias("atom_name"), F.trim(F.substring("line", 17, 1)).alias("altloc"), cut(18, 3).alias("resname"), F.trim(F.substring("line", 22, 1)).alias("chain"),
@@ -111,6 +130,52 @@ def parse_atoms(lines: DataFrame, hetero: bool = True, hydrogens: bool = False)
     return d if hydrogens else d.filter(~F.col("element").isin("H", "D"))
 
 
+def read_atoms(spark: SparkSession, path: str, hetero: bool = True, hydrogens: bool = False, pattern: str = "*.pdb") -> DataFrame:
+    """Atom table of all structure files under a path, in one pass and without a shuffle; ``structure`` is the file.
+
+    The first model is cut off each text before it is split into lines, so lines need
+    no order among files.  Columns that are not asked for are not cut out.
+    """
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("file"), "value")
+    first = F.substring_index(F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")), "\nENDMDL", 1)
+    return atom_columns(texts.select("file", F.posexplode(F.split(F.substring(first, 2, 2**31 - 1), "\n")).alias("line_no", "line")), hetero, hydrogens)
+
+
+def read_tree(spark: SparkSession, root: str, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items and skipped folders of a result tree (see ``scan_result_tree``), from a listing of its files; nothing is read."""
+    return scan_result_tree(list_files(spark, root), root, target)
+
+
+def read_tree_atoms(spark: SparkSession, root: str, target: str | None = None, **settings) -> DataFrame:
+    """Items of a result tree with the atoms of their structures: the tree's keys and ``status`` beside the atom columns."""
+    items, _ = read_tree(spark, root, target)
+    items = items.select("candidate", "variant", "item", "status", bare("pdb_path").alias("_path"))
+    atoms = read_atoms(spark, root, **settings)
+    return atoms.withColumn("_path", bare("structure")).join(items, "_path").drop("_path")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write rows (path, content) as files under a folder; how many there are.  Rows of one path: the last to be written stays.
+
+    Executors write through ``pyarrow.fs``, so the folder must be one that it knows
+    (file, hdfs, s3, gs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                place = f"{base}/{path}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def atom_key() -> Column:
     return F.concat(F.col("chain"), F.lit(":"), F.col("resseq"), F.when(F.col("icode") != "", F.concat(F.lit(":"), F.col("icode"))).otherwise(""))
 
