@@ -73,9 +73,9 @@ def test_tables_and_manifest(spark, tmp_path):
 
 def test_atoms_and_trees_are_read_in_one_pass(spark, tmp_path):
     lines = [atom(1, "CA", "A", 10, 20, 0, 0), atom(2, "CB", "A", 11, 21, 0, 0), "TER", atom(3, "CA", "H", 5, 0, 0, 3.5), "ENDMDL", atom(4, "CA", "A", 99, 0, 0, 0), "END"]
-    files = [("n1/t_1/p1/p1.pdb", "\n".join(lines)), ("n1/t_1/p2/other.pdb", "\r\n".join(lines[:2])), ("n1/t_1/p2/e.txt", "x"), ("n1/t_2/p3/a.pdb", lines[0]), ("n1/t_2/p3/b.pdb", lines[0]), ("n2/t_1/p4/none.txt", None), ("n2/t_1/p5/p5.pdb", "END")]
+    files = [("n1/t_1/p1/p1.pdb", "\n".join(lines)), ("n1/t_1/p2/other.pdb", "\r\n".join(lines[:2])), ("n1/t_1/p2/e.txt", "x"), ("n1/t_2/p3/a.pdb", lines[0]), ("n1/t_2/p3/b.pdb", lines[0]), ("n2/t_1/p4/none.txt", "x"), ("n1/t_1/p1/void.txt", None), ("n2/t_1/p5/p5.pdb", "END")]
     root = f"file://{tmp_path}/run"
-    assert s.write_files(spark.createDataFrame(files, "path string, content string").repartition(3), root) == 7
+    assert s.write_files(spark.createDataFrame(files, "path string, content string").repartition(3), root) == 8
     items, skipped = s.read_tree(spark, root, "T")
     assert {(r.item, r.status) for r in items.collect()} == {("p1", "ok"), ("p2", "warning"), ("p5", "ok")} and {r.item for r in skipped.collect()} == {"p3", "p4"}
     atoms = s.read_tree_atoms(spark, root, "t")
