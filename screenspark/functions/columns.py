@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Forms of times in text.
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 #: Texts that stand for a missing value.
 NULL_TOKENS = ("nan", "none", "null", "na", "n/a")
 
@@ -32,6 +34,12 @@ def clip(c: Column | str, lo: float | Column, hi: float | Column) -> Column:
     return F.when(col(c).isNull(), None).otherwise(F.greatest(lo, F.least(hi, col(c))))
 
 
+def time_or_min(c: Column | str) -> Column:
+    """A time from text; what is missing or no time is the least one, so that it sorts before all others."""
+    t = F.coalesce(*(F.try_to_timestamp(clean_text(c), F.lit(f)) for f in TIME_FORMATS), F.to_timestamp(F.lit("0001-01-01 00:00:00")))
+    return t.cast("timestamp_ntz")
+
+
 def first_nonempty(*cs: Column | str) -> Column:
     """The first non-empty cleaned text, else the empty string."""
     return F.coalesce(*(F.nullif(clean_text(c), F.lit("")) for c in cs), F.lit(""))

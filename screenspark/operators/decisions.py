@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenspark.functions.columns import clean_text, clip, first_nonempty, token
+from screenspark.functions.columns import clean_text, clip, first_nonempty, time_or_min, token
 
 TIERS = ("validate_now", "review_first", "backup")
 
@@ -123,8 +123,11 @@ def latest_state(history: DataFrame, key: str, order: list[Column]) -> DataFrame
 def merge_ledgers(history: DataFrame, aliases: dict[str, list[str]], key: str = "candidate") -> DataFrame:
     """History with alias columns joined into one and override tokens normalised, then the latest state of each key.
 
-    ``history`` has run_time, source_time, source_priority and row_id for the order.
+    ``history`` has run_time, source_time, source_priority and row_id for the order; times
+    in text that are missing or no times count as the least.
     """
+    texts = [f.name for f in history.schema if f.name in ("run_time", "source_time") and f.dataType.simpleString() == "string"]
+    history = history.withColumns({c: time_or_min(c) for c in texts})
     for name, options in aliases.items():
         history = history.withColumn(name, first_nonempty(*(o for o in options if o in history.columns)))
     if "override" in aliases:

@@ -79,22 +79,35 @@ def predict(model, prepared: DataFrame, cols: list[str]) -> DataFrame:
     return d.select(*keep)
 
 
-def cross_validate(items: DataFrame, cols: list[str], label: str = "label", n: int = 3, seed: int = 7) -> DataFrame:
-    """Metrics of every fold of a grouped cross-validation: model and rule AUC and Brier score.
-
-    No candidate is on both sides.  The driver loops over the folds; rows stay in
-    Spark.
+def cross_validate(items: DataFrame, cols: list[str], label: str = "label", n: int = 3, seed: int = 7, fit_on: str = "test", k: int = 3) -> DataFrame:
+    """Metrics of every fold of a grouped cross-validation, of items and of candidates.
+
+    No candidate is on both sides.  Items: AUC of the model and of the rule, and the
+    model's Brier score.  Candidates: both scores are rolled up to candidates (the ``k``
+    top items of a variant), whose AUC is taken against labels from the fold's items.
+    The rule's scaling is fitted on the test rows, as it is in use, or on the training
+    rows (``fit_on`` train).  The driver loops over the folds; rows stay in Spark.
     """
     folds = metrics.group_folds(items, n, seed, label=label)
     d = stage(items.join(folds, "candidate"), "folds")
     out = None
-    for k in range(n):
-        tr, te = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
+    for fold in range(n):
+        tr, te = d.filter(F.col("fold") != fold), d.filter(F.col("fold") == fold)
         fitted = stage(fit_prep(tr, cols), "prep")
         model = train(apply_prep(tr, fitted, cols), cols, label)
-        p = stage(scoring.rule_score(predict(model, apply_prep(te, fitted, cols), cols)), "scored")
-        row = metrics.auc(p, label, "pred_prob").select(F.lit(k).alias("fold"), "n_pos", "n_neg", F.col("auc").alias("model_auc")).join(metrics.auc(p, label, "rule_score").select(F.col("auc").alias("rule_auc"))).join(metrics.brier(p, label, "pred_prob"))
+        p = stage(scoring.rule_score(predict(model, apply_prep(te, fitted, cols), cols), fit_on=tr if fit_on == "train" else None), "scored")
+        row = metrics.auc(p, label, "pred_prob").select(F.lit(fold).alias("fold"), "n_pos", "n_neg", F.col("auc").alias("model_auc")).join(metrics.auc(p, label, "rule_score").select(F.col("auc").alias("rule_auc"))).join(metrics.brier(p, label, "pred_prob"))
+        truth = metrics.derive_labels(p, label=label).select("candidate", F.col("label").alias("truth"))
+        for name, score in (("model", "pred_prob"), ("rule", "rule_score")):
+            ranked = scoring.rollup_candidates(scoring.rollup_variants(p, k, score)).join(truth, "candidate")
+            of = metrics.auc(ranked, "truth", "final_score")
+            row = row.join(of.select(F.col("auc").alias(f"candidate_{name}_auc"), *([(F.col("n_pos") + F.col("n_neg")).alias("n_candidates")] if name == "model" else [])))
         out = row if out is None else out.unionByName(row)
-    return out.withColumn("delta", F.col("model_auc") - F.col("rule_auc"))
+    return out.withColumn("delta", F.col("model_auc") - F.col("rule_auc")).withColumn("candidate_delta", F.col("candidate_model_auc") - F.col("candidate_rule_auc"))
 
 
+def fold_summary(folds: DataFrame) -> DataFrame:
+    """Mean, sample deviation, least and greatest value of every metric over the folds: ``metric, mean, std, min, max``."""
+    names = [c for c in folds.columns if c != "fold"]
+    long = folds.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in names))).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))

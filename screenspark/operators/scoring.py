@@ -62,21 +62,22 @@ def scaled(c: str, lo: float | None, hi: float | None) -> Column:
     return clip((F.col(c) - lo) / (hi - lo), 0, 1)
 
 
-def robust_scale(df: DataFrame, cols: list[str], lq: float = 0.01, uq: float = 0.99, approx: int | None = None) -> DataFrame:
-    """``df`` with ``s_<col>`` for every column; the bounds are scalars in the plan, so nothing is joined."""
-    bounds = robust_bounds(df, cols, lq, uq, approx) if cols else {}
+def robust_scale(df: DataFrame, cols: list[str], lq: float = 0.01, uq: float = 0.99, approx: int | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``s_<col>`` for every column; the bounds, of ``fit_on`` if given, are scalars in the plan, so nothing is joined."""
+    bounds = robust_bounds(df if fit_on is None else fit_on, cols, lq, uq, approx) if cols else {}
     return df.select(*(c for c in df.columns if c[2:] not in cols or not c.startswith("s_")), *(scaled(c, *bounds[c]).alias(f"s_{c}") for c in cols))
 
 
-def rule_score(items: DataFrame, features: dict[str, tuple[int, float]] = RULE_FEATURES, out: str = "rule_score") -> DataFrame:
+def rule_score(items: DataFrame, features: dict[str, tuple[int, float]] = RULE_FEATURES, out: str = "rule_score", fit_on: DataFrame | None = None) -> DataFrame:
     """Sign-aligned, robust-scaled, weighted mean over the features that a row has.
 
     Rows without any feature get the median of the scores (0.5 if there is none).
-    The rows are staged once, as bounds, median and scores are passes over them.
+    The rows are staged once, as bounds, median and scores are passes over them.  The
+    bounds are those of the rows, or of ``fit_on``.
     """
     items = stage(items, "items")
     cols = [c for c in features if c in items.columns]
-    df = robust_scale(items, cols)
+    df = robust_scale(items, cols, fit_on=fit_on)
     aligned = [(F.col(f"s_{c}") if features[c][0] > 0 else 1 - F.col(f"s_{c}"), features[c][1]) for c in cols]
     df = df.withColumn("_raw", weighted_available_mean(aligned) if aligned else F.lit(None).cast("double"))
     median = 0.5

@@ -53,3 +53,9 @@ def ml4_soft_targets(spark, sf_dir):
 @register("ml6_cross_validate")
 def ml6_cross_validate(spark, sf_dir):
     return m.cross_validate(v.items(spark, sf_dir), COLS)
+
+
+@register("ml6_fold_summary")
+def ml6_fold_summary(spark, sf_dir):
+    """Metrics over the folds, with the rule's scaling fitted on the training rows."""
+    return m.fold_summary(m.cross_validate(v.items(spark, sf_dir), COLS, fit_on="train"))

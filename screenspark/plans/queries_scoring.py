@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from screenspark.functions.columns import clean_text, finite, first_nonempty, token
+from screenspark.functions.columns import clean_text, finite, first_nonempty, time_or_min, token
 from screenspark.operators import scoring
 from screenspark.operators.selection import NOT_FEATURES
 from screenspark.plans import views as v
@@ -184,3 +185,12 @@ def wn12_top_components(spark, sf_dir):
     top = scoring.top_components(parts)
     names = F.array_join(F.transform(F.split(top, ";"), lambda x: F.split_part(x, F.lit("="), F.lit(1))), ";")
     return v.items(spark, sf_dir).select("item", names.alias("top"))
+
+
+@register("fn_time_or_min", "SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) THEN CAST(date_trunc('second', ts) AS TIMESTAMP) WHEN event_id % 5 = 1 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) ELSE TIMESTAMP '0001-01-01 00:00:00' END AS t, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 5 IN (0, 2) THEN CAST(date_trunc('second', ts) AS TIMESTAMP) WHEN event_id % 5 = 1 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) ELSE TIMESTAMP '0001-01-01 00:00:00' END, event_id) AS place FROM events")
+def fn_time_or_min(spark, sf_dir):
+    """Times from text of several forms; missing ones and other words come before all others."""
+    i, ts = F.col("event_id") % 5, F.col("ts")
+    text = F.when(i == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(i == 1, F.date_format(ts, " yyyy-MM-dd ")).when(i == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(i == 3, "soon")
+    d = table(spark, sf_dir, "events").select("event_id", "user_id", time_or_min(text).alias("t"))
+    return d.select("event_id", "t", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")).alias("place"))
