@@ -55,3 +55,21 @@ def test_flagship(spark):
 
     if os.path.isdir(FOLDER):
         assert __spark_entry__.entry(spark).count() == 10
+
+
+#: Columns that decide something: on the middle data folder each branch must occur.
+DECISIONS = {
+    "ag1_topk_selection": ["selection_mode"], "ag5_consistency": ["consistency"], "ag28_split_roles": ["role"], "src7_chain_blocks": ["block"], "src16_resolve_site": ["mode", "source"], "wn4_score_gaps": ["close_competition"],
+    "sc10_suggest": ["tier"], "sc11_diversity_group": ["diversity_group"], "sc12_diversify": ["tier", "seen"], "src13_path_repair": ["reason", "auto"], "ge14_item_features": ["status", "warning", "mouth_occlusion"], "sm4_late_events": ["n_failed"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(DECISIONS))
+def test_no_decision_is_constant(spark, name):
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no data folder")
+    rows = __spark_entry__.queries()[name](spark, folder).select(*DECISIONS[name]).distinct().collect()
+    assert all(len({r[c] for r in rows}) > 1 for c in DECISIONS[name])
