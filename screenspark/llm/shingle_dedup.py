@@ -5,10 +5,12 @@ texts, into an inverted index; two sets of similarity t share one of their first
 n - ceil(t n) + 1 (prefix filter), so no pair is lost.  Shingles that are frequent
 in a sample come last in the order; the order decides the cost, never the result.
 
-How many of these first shingles two sets share bounds their similarity: all other
-common shingles lie behind the first ones of one of the two.  Most pairs that meet
-by a shared passage fall to this bound, without their texts and without losing a
-true pair.  All that are left are verified on the whole sets.
+Two bounds keep pairs apart without their texts and without losing a true pair.
+Each set has a bitmap of parities: a shingle flips one bit, so two sets differ in at
+least as many shingles as their bitmaps differ in bits.  And all common shingles but
+the shared first ones lie behind the first ones of one of the two.  Pairs that meet by
+a shared passage only fall to the first bound in the join itself.  All that are left
+are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BROADCAST_PAIRS = 200_000
 DENSE = 32
 #: Bits in which the fingerprints of nearly all texts of a similarity of 0.8 differ at most (about ten are expected).
 NEAR_BITS = 17
+#: Columns of the parity bitmap, 64 bits each.
+PARITY = ("p0", "p1", "p2", "p3")
 #: Hashes of sets that a task keeps while it verifies.
 CACHE_HASHES = 3_000_000
 MIX = 0x9E3779B97F4A7C15
@@ -75,6 +79,13 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The bitmap of a set of hashes: for each value of their low bits, whether the number of hashes is odd."""
+    width = 64 * len(PARITY)
+    odd = np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two shingle sets; two empty ones are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -99,9 +110,9 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, threshold: float, shingle: int, bits) -> DataFrame:
-    """``doc_id, text_hash, key`` (of the shingle set), ``n``, ``fp`` (``bits`` of its hashes) and ``prefix`` of each row, no shuffle."""
+    """``doc_id, text_hash, key`` (of the shingle set), ``n``, ``fp`` (``bits`` of its hashes), ``prefix`` and the parity bitmap of each row, no shuffle."""
     often, counts = _frequent(docs, shingle)
-    schema = StructType([docs.select("doc_id").schema[0], StructField("text_hash", LongType()), StructField("key", LongType()), StructField("n", IntegerType()), StructField("fp", LongType()), StructField("prefix", ArrayType(LongType()))])
+    schema = StructType([docs.select("doc_id").schema[0], StructField("text_hash", LongType()), StructField("key", LongType()), StructField("n", IntegerType()), StructField("fp", LongType()), StructField("prefix", ArrayType(LongType())), *(StructField(c, LongType()) for c in PARITY)])
 
     def prefix(s: np.ndarray) -> np.ndarray:
         take = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1 if len(s) else 0
@@ -122,7 +133,8 @@ def described(docs: DataFrame, threshold: float, shingle: int, bits) -> DataFram
                 first = [prefix(s) for s in sets]
                 ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 flat = np.concatenate(first or [np.zeros(0, np.int64)])
-                yield {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "key": key.view(np.int64), "n": [len(s) for s in sets], "fp": fp.view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+                bitmaps = np.stack([parities(s) for s in sets]) if sets else np.zeros((0, len(PARITY)), np.int64)
+                yield dict(zip(PARITY, bitmaps.T, strict=True)) | {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "key": key.view(np.int64), "n": [len(s) for s in sets], "fp": fp.view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
         WORDS.clear()  # the worker stays for later tasks
 
     return map_batches(docs, run, schema)
@@ -157,8 +169,8 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
 
 def with_roots(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``h, key, n, fp, root, size`` of the lists whose texts are not yet of one class; without roots each text is its own."""
-    known = nodes.select("key", "n", "fp")
+    """``h, key, n, fp, root, size`` and the bitmaps of the lists whose texts are not yet of one class; without roots each text is its own."""
+    known = nodes.select("key", "n", "fp", *PARITY)
     known = known.withColumn("root", F.col("key")) if roots is None else known.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rows = lists.join(known, "key")
     mixed = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a <> b").select("h", "size")
@@ -198,10 +210,12 @@ def possible_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     that is nearly of one class costs little.
     """
     rows = with_major(rows)
-    a, b = (rows.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "root", "minor"))) for s in "uv")
+    a, b = (rows.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "root", "minor", *PARITY))) for s in "uv")
     once = ~F.col("minor_v") | (F.col("key_u") < F.col("key_v"))
     close = F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold - 1e-9
-    met = a.filter("minor_u").join(b, "h").filter((F.col("root_u") != F.col("root_v")) & once & close)
+    apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in PARITY), F.lit(0))
+    alike = apart <= (F.col("n_u") + F.col("n_v")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    met = a.filter("minor_u").join(b, "h").filter((F.col("root_u") != F.col("root_v")) & once & close & alike)
     u, v = F.least("key_u", "key_v").alias("u"), F.greatest("key_u", "key_v").alias("v")
     sizes = F.struct(F.least("n_u", "n_v").alias("lo"), F.greatest("n_u", "n_v").alias("hi"))
     met = met.groupBy(u, v).agg(F.count("*").alias("shared"), F.any_value(sizes).alias("n"))

@@ -268,7 +268,7 @@ def similar_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), own.alias("text_hash"))
     marked = stage(shingle_dedup.described(docs, threshold, shingle, fingerprint_of_hashes), "shingles")
     one = F.struct("doc_id", "text_hash")
-    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(one).alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(one).alias("one"), *(F.first(c).alias(c) for c in ("n", "fp", *shingle_dedup.PARITY))), "nodes")
     lists = stage(shingle_dedup.shared_lists(marked.select(F.explode("prefix").alias("h"), "key")), "lists")
     by_fp = stage(nodes.groupBy("fp").agg(F.min("key").alias("rep")), "fingerprints")
     ends = [by_fp.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "uv"]

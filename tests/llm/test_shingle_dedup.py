@@ -116,3 +116,14 @@ def test_crowded_tries_are_split_again_and_again(spark):
     near = np.bitwise_count(fps[i] ^ fps[j]) <= 3
     want.link(i[near], j[near])
     assert (got.label == want.label).all()
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    for share in (0.0, 0.5, 0.9, 1.0):
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < share], rng.integers(0, 2**63, 200).astype(np.uint64)]))
+        x, y = (shingle_dedup.parities(s).view(np.uint64) for s in (base, other))
+        differ = int(np.bitwise_count(x ^ y).sum())
+        assert differ <= len(np.setxor1d(base, other)) and (differ > 60 or share > 0.5)
+    assert not shingle_dedup.parities(base[:0]).any()
