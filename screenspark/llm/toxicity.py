@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from screenspark.llm.batches import map_batches, slices
+from screenspark.llm.batches import map_batches, return_memory, slices
 from screenspark.llm.sampling import fitted, held_out, labelled_sample
 
 WIDTH, STEP = 32, 16
@@ -34,22 +34,38 @@ EDGES = " \t\r\n.,;:!?\"'()[]{}<>*_-"
 CACHE_WORDS = 120_000
 
 
-def word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Word codes of all texts in order, where each text's words stop, and the distinct words (lower case, no edge marks)."""
     texts = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
     raw = lists.flatten().dictionary_encode()
     words = pc.utf8_trim(raw.dictionary, EDGES).dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False)[raw.indices.to_numpy(zero_copy_only=False)] if len(raw) else np.zeros(0, np.int64)
-    names = words.dictionary.to_pylist()
-    real = np.array([bool(w) for w in names], bool)[codes] if len(names) else np.zeros(0, bool)
+    names = words.dictionary
+    real = pc.not_equal(pc.binary_length(names), 0).to_numpy(zero_copy_only=False)[codes] if len(names) else np.zeros(0, bool)
     stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-    return codes[real], np.append(0, np.cumsum(real))[stops], names
-
-
-def features_of_words(words: list[str], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`word_features` of many words, in chunks."""
-    parts = [word_features(words[a : a + chunk]) for a in range(0, max(1, len(words)), chunk)]
+    return codes[real].astype(np.int32), np.append(0, np.cumsum(real))[stops], names
+
+
+def all_word_lists(texts: pa.Array, limit: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """:func:`word_lists` of many texts, of about ``limit`` bytes at a time."""
+    parts = [word_lists(b.column(0)) for b in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", limit)]
+    if len(parts) < 2:
+        return parts[0] if parts else word_lists(texts)
+    every = pa.concat_arrays([names for *_, names in parts]).dictionary_encode()
+    place = every.indices.to_numpy()
+    starts = np.cumsum([0, *(len(names) for *_, names in parts)])
+    codes = np.concatenate([place[starts[i] + c] for i, (c, *_) in enumerate(parts)])
+    ends = np.cumsum([0, *(len(c) for c, *_ in parts)])
+    return codes, np.concatenate([stops + ends[i] for i, (_, stops, _) in enumerate(parts)]), every.dictionary
+
+
+def features_of_words(words: pa.Array, chunk: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_features` of many words, in chunks, as small numbers."""
+    parts = []
+    for a in range(0, max(1, len(words)), chunk):
+        rows, gram, n = word_features(words.slice(a, chunk).to_pylist())
+        parts.append((rows.astype(np.uint16), gram.astype(np.uint16), n.astype(np.int32)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -190,11 +206,11 @@ def log_odds(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
 def feature_odds(codes: np.ndarray, stops: np.ndarray, rows: np.ndarray, gram: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of each hashed word and n-gram, counted once a document; one document at a time."""
     word, part = np.zeros((2, WORD_ROWS)), np.zeros((2, GRAM_ROWS))
-    first = np.cumsum(n) - n
+    first = np.cumsum(n, dtype=np.int64) - n
     for k, (a, b) in enumerate(zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True)):
         own = np.unique(codes[a:b])
         word[int(y[k]), np.unique(rows[own])] += 1
-        reps = n[own]
+        reps = n[own].astype(np.int64)
         at = np.arange(int(reps.sum())) + np.repeat(first[own] - (np.cumsum(reps) - reps), reps)
         part[int(y[k]), np.unique(gram[at])] += 1
     share = float(y.mean())
@@ -204,17 +220,18 @@ def feature_odds(codes: np.ndarray, stops: np.ndarray, rows: np.ndarray, gram: n
 def train_net(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 5) -> GatedNet:
     """A network for texts with labels 0 and 1, both present."""
     net, rng = GatedNet(seed), np.random.default_rng(seed + 1)
-    codes, stops, words = word_lists(pa.array(texts, pa.string()))
+    codes, stops, words = all_word_lists(pa.array(texts, pa.string()))
     rows, gram, n = features_of_words(words)
-    gram = gram.astype(np.int32)
+    pad = len(words)
+    del words
+    return_memory()
     start, length, text = window_index(stops)
     y = labels.astype(np.float64)
     # First values: one coordinate of each vector is what the feature alone says.
-    first = np.cumsum(n) - n
+    first = np.cumsum(n, dtype=np.int64) - n
     net.p["word"][:, 0], net.p["gram"][:, 0] = feature_odds(codes, stops, rows, gram, n, y)
     net.p["word"][:, 1:] = rng.normal(0, 0.05, (WORD_ROWS, DIM - 1))
     net.p["gram"][:, 1:] = rng.normal(0, 0.05, (GRAM_ROWS, DIM - 1))
-    pad = len(words)
 
     def index(w: np.ndarray) -> np.ndarray:
         place = np.arange(WIDTH)
@@ -222,8 +239,10 @@ def train_net(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int
         return np.where(inside, codes[np.minimum(start[w][:, None] + place, len(codes) - 1)], pad) if len(codes) else np.full((len(w), WIDTH), pad)
 
     everything = np.arange(len(start))
-    plain = net.inputs(rows, gram, n)
-    value = np.append(plain[:, 0] + plain[:, DIM], 0.0)
+    value = np.zeros(pad + 1, np.float32)
+    for a in range(0, pad, 10_000):
+        part = net.inputs(*some_words(np.arange(a, min(pad, a + 10_000)), rows, gram, n, first))
+        value[a : a + len(part)] = part[:, 0] + part[:, DIM]
     score = np.concatenate([np.sort(value[index(everything[a : a + 8192])], axis=1)[:, -4:].sum(axis=1) for a in range(0, len(start), 8192)])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -247,9 +266,8 @@ def train_net(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int
                 used, local = np.unique(idx, return_inverse=True)
                 used = used[used != pad]
                 local = np.where(idx == pad, len(used), local.reshape(idx.shape))
-                reps = n[used]
-                spot = np.arange(int(reps.sum())) + np.repeat(first[used] - (np.cumsum(reps) - reps), reps)
-                x = net.inputs(rows[used], gram[spot], reps)
+                word, part, reps = some_words(used, rows, gram, n, first)
+                x = net.inputs(word, part, reps)
                 logit, saved = net.forward(net.table(x), local, keep=True)
                 d = ((sigmoid(logit) - target[b]) * weight[b] / len(b)).astype(np.float32)
                 g, gates = net.backward(saved, d)
@@ -267,11 +285,17 @@ def train_net(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int
                     m[k] = 0.9 * m[k] + 0.1 * gk
                     v2[k] = 0.99 * v2[k] + 0.01 * gk**2
                     net.p[k] = (net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-                _sparse(net.p["word"], v2["word"], rows[used], dx[:-1, :DIM], rate)
+                _sparse(net.p["word"], v2["word"], word, dx[:-1, :DIM], rate)
                 each = np.repeat(dx[:-1, DIM:] / np.maximum(1, reps)[:, None], reps, axis=0)
-                _sparse(net.p["gram"], v2["gram"], gram[spot], each, rate)
-        table = net.table(net.inputs(rows, gram, n))
-        score = np.concatenate([net.forward(table, index(everything[a : a + 4096])) for a in range(0, len(start), 4096)])
+                _sparse(net.p["gram"], v2["gram"], part, each, rate)
+        score = []
+        for a in range(0, len(start), 2048):  # with the table of the words of so many windows only
+            idx = index(everything[a : a + 2048])
+            used, local = np.unique(idx, return_inverse=True)
+            used = used[used != pad]
+            local = np.where(idx == pad, len(used), local.reshape(idx.shape))
+            score.append(net.forward(net.table(net.inputs(*some_words(used, rows, gram, n, first))), local))
+        score = np.concatenate(score)
     # The output is set so that the worst windows of texts, not single windows, meet the labels at 0.5.
     worst = np.full(len(stops), -np.inf)
     np.maximum.at(worst, text, score)
@@ -285,6 +309,13 @@ def train_net(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int
     return net
 
 
+def some_words(used: np.ndarray, rows: np.ndarray, gram: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of chosen words, as :func:`word_features` gives them."""
+    reps = n[used].astype(np.int64)
+    spot = np.arange(int(reps.sum())) + np.repeat(first[used] - (np.cumsum(reps) - reps), reps)
+    return rows[used], gram[spot], reps
+
+
 def _sparse(values: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """An Adagrad step on some rows."""
     at, place = np.unique(rows, return_inverse=True)
@@ -325,7 +356,7 @@ class Scorer:
     def score(self, texts: pa.Array, block: int = 1024) -> np.ndarray:
         """Probability of label 1 of each text, from its worst window."""
         codes, stops, words = word_lists(texts)
-        codes = self._places(words)[codes] if len(codes) else codes
+        codes = self._places(words.to_pylist())[codes] if len(codes) else codes
         start, length, text = window_index(stops)
         worst = np.full(len(stops), -np.inf)
         place = np.arange(WIDTH)
