@@ -13,11 +13,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows of text are regrouped so that about this many characters are worked on at once.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 3_000_000
+#: Rows of an Arrow batch where the session does not say: such rows are whole texts, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: StructType) -> DataFrame:
-    """``df.mapInArrow`` for an ``fn`` that yields dicts of columns, cast to ``schema``."""
+    """``df.mapInArrow`` for an ``fn`` that yields dicts of columns, cast to ``schema``.
+
+    A session without a number of rows for Arrow batches gets BATCH_ROWS.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
