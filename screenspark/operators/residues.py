@@ -32,33 +32,40 @@ def match_residues(keys: DataFrame, residues: DataFrame, max_offset: int = 1) ->
     a neighbour in the same chain (lower first; with the insertion code, then
     without).  Returns ``structure, key, matched_key, mode, warning``.
 
-    Every residue is listed under all that it can be looked up by, with the number of
-    residues listed there; every wanted key asks for all of its rules at once, so one
-    join answers them all.
+    Residues are listed under each chain and number that can ask for them, with the
+    insertion codes there, and under each number in any chain, with its few codes and
+    how many residues have them; a wanted key passes once through each of these joins.
     """
-    by = lambda chain, number, code: {"key": F.concat_ws(":", chain, number, code), "number": F.concat_ws(":", chain, number), "any_code": F.concat_ws(":", number, code), "any": number.cast("string"), "chain": chain}
-    listed = lambda c: by(F.col(f"{c}.chain"), F.col(f"{c}.resseq"), F.col(f"{c}.icode"))
-    r = residues.select("structure", F.col("key").alias("matched_key"), residue_struct("key").alias("r")).distinct()
-    r = r.select("structure", "matched_key", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.when((F.lit(k) == "chain") | F.col("r.resseq").isNotNull(), v).alias("lookup")) for k, v in listed("r").items()))).alias("x"))
-    index = r.select("structure", "matched_key", "x.*").groupBy("structure", "kind", "lookup").agg(F.count("*").alias("_n"), F.min("matched_key").alias("matched_key"))
-
-    rules = [("exact", "key", 0, False), ("chain_number", "number", 0, False), ("any_chain_icode", "any_code", 0, True), ("any_chain", "any", 0, True)]
-    rules += [(f"offset_{sign:+d}", kind, sign, False) for step in range(1, max_offset + 1) for sign in (-step, step) for kind in ("key", "number")]
-    w = keys.select("structure", "key", residue_struct("key").alias("w")).distinct()
-
-    def ask(level: int, mode: str, kind: str, shift: int, loose: bool) -> Column:
-        number = F.col("w.resseq") + shift
-        lookup = F.when((F.lit(kind) == "chain") | number.isNotNull(), by(F.col("w.chain"), number, F.col("w.icode"))[kind])
-        return F.struct(F.lit(level).alias("level"), F.lit(mode).alias("mode"), F.lit(kind).alias("kind"), lookup.alias("lookup"), F.lit(loose).alias("loose"))
-
-    asked = [ask(i, *rule) for i, rule in enumerate(rules)] + [ask(len(rules), "chain", "chain", 0, False)]
-    asked = w.select("structure", "key", (F.col("w.chain") == "").alias("blank"), F.explode(F.array(*asked)).alias("x")).select("structure", "key", "blank", "x.*")
-    met = asked.join(index, ["structure", "kind", "lookup"], "left")
-    good = (F.col("kind") != "chain") & F.col("_n").isNotNull() & ((F.col("kind") == "key") | (F.col("_n") == 1))
-    best = lambda only: F.min(F.when(good & only, F.struct("level", "matched_key", "mode")))
-    known = F.bool_or((F.col("kind") == "chain") & F.col("_n").isNotNull() & ~F.col("blank"))
-    g = met.groupBy("structure", "key").agg(best(~F.col("loose")).alias("_own"), best(F.lit(True)).alias("_any"), known.alias("_known"))
-    g = g.select("structure", "key", F.when(F.col("_known"), F.col("_own")).otherwise(F.col("_any")).alias("_b"))
+    r = residues.select("structure", F.col("key").alias("k")).distinct().select("structure", "k", residue_struct("k").alias("r")).select("structure", "k", "r.*")
+    chains = r.select("structure", "chain").distinct().withColumn("_in", F.lit(True))
+    numbered = r.filter(F.col("resseq").isNotNull())
+    near = F.explode(F.sequence(F.lit(-max_offset), F.lit(max_offset)))
+    spread = numbered.select("structure", "chain", "icode", "k", near.alias("shift"), "resseq")
+    own = spread.groupBy("structure", "chain", (F.col("resseq") - F.col("shift")).alias("resseq")).agg(F.collect_list(F.struct("shift", "icode", "k")).alias("_own"))
+    coded = numbered.groupBy("structure", "resseq", "icode").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+    loose = coded.groupBy("structure", "resseq").agg(F.collect_list(F.struct("icode", "n", "k")).alias("_loose"))
+
+    least = lambda rows: F.array_min(F.transform(rows, lambda x: x["k"]))
+    named = lambda mode, key: F.when(key.isNotNull(), F.struct(key.alias("matched_key"), F.lit(mode).alias("mode")))
+
+    def of_chain(shift: int) -> tuple[Column, Column]:
+        """The residue with the insertion code, and the only residue of the number."""
+        rows = F.filter("_own", lambda x: x["shift"] == shift)
+        return least(F.filter(rows, lambda x: x["icode"] == F.col("icode"))), F.when(F.size(rows) == 1, least(rows))
+
+    w = keys.select("structure", "key").distinct().select("structure", "key", residue_struct("key").alias("w")).select("structure", "key", "w.*")
+    exact, number = of_chain(0)
+    before = F.coalesce(named("exact", exact), named("chain_number", number))
+    offsets = [named(f"offset_{sign:+d}", key) for step in range(1, max_offset + 1) for sign in (-step, step) for key in of_chain(sign)]
+    after = F.coalesce(*offsets) if offsets else before
+    d = w.join(own, ["structure", "chain", "resseq"], "left").select("structure", "key", "chain", "resseq", "icode", before.alias("_before"), after.alias("_after"))
+    d = d.join(chains, ["structure", "chain"], "left")
+    d = d.withColumn("_number", F.when((F.col("chain") == "") | F.col("_in").isNull(), F.col("resseq")))  # only keys without a chain of their own ask in any chain
+    loose = loose.withColumnRenamed("resseq", "_number")
+    same = F.filter("_loose", lambda x: (x["icode"] == F.col("icode")) & (x["n"] == 1))
+    only = F.filter("_loose", lambda x: x["n"] == 1)
+    anywhere = F.coalesce(named("any_chain_icode", least(same)), named("any_chain", F.when(F.size("_loose") == 1, least(only))))
+    g = d.join(loose, ["structure", "_number"], "left").select("structure", "key", F.coalesce("_before", anywhere, "_after").alias("_b"))
     out = g.select("structure", "key", "_b.matched_key", F.coalesce("_b.mode", F.lit("unmatched")).alias("mode"))
     return out.withColumn("warning", F.col("mode") != "exact")
 
