@@ -1,6 +1,8 @@
 """Work of shared steps: what is computed once, and what is not multiplied."""
 
-from screenspark.operators import residues
+from pyspark.sql import functions as F
+
+from screenspark.operators import residues, scoring
 
 
 def test_wanted_keys_are_not_multiplied(spark):
@@ -12,3 +14,17 @@ def test_wanted_keys_are_not_multiplied(spark):
     assert len(got) == 72
     assert got["A:1"] == ("A:1", "exact") and got["A:1:X"] == ("A:1", "chain_number") and got["A:2:X"] == ("A:1", "offset_-1") and got["A:4:X"] == ("A:3:X", "offset_-1")
     assert got["Z:5"] == ("B:5", "any_chain_icode") and got["Z:7"] == ("B:7:X", "any_chain") and got["Z:9"] == (None, "unmatched") and got[":3:X"] == ("A:3:X", "any_chain_icode")
+
+
+def test_rows_behind_the_ok_rows_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame([("c", "v", str(i), i / 10, "ok") for i in range(10)], "candidate string, variant string, item string, site_hit_fraction double, status string").mapInArrow(look, "candidate string, variant string, item string, site_hit_fraction double, status string")
+    scored = scoring.rule_score(scoring.keep_ok(d))
+    assert scored.agg(F.count("rule_score")).first()[0] == 10
+    assert seen.value == 10
