@@ -77,9 +77,9 @@ def extract_energy(lines: DataFrame) -> DataFrame:
 
 
 def last_float(lines: DataFrame) -> DataFrame:
-    """The last number in each file."""
-    d = lines.select("file", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(f"({FLOAT})"), F.lit(1))).alias("p", "v"))
-    return d.groupBy("file").agg(F.max_by("v", F.struct("line_no", "p")).try_cast("double").alias("value"))
+    """The last number in each file: that of its last line with a digit, the only line that is searched."""
+    last = lines.filter(F.col("line").rlike("[0-9]")).groupBy("file").agg(F.max_by("line", "line_no").alias("line"))
+    return last.select("file", F.element_at(F.regexp_extract_all("line", F.lit(f"({FLOAT})"), F.lit(1)), -1).try_cast("double").alias("value"))
 
 
 def score_lines(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import os
 
-from screenspark.operators import model, search
+from screenspark.operators import search
 from screenspark.sources import structures as s
 
 
@@ -19,3 +19,14 @@ def test_equal_rows_meet_trials_once(spark, monkeypatch):
     got = {r.trial: r for r in search.weight_trials(d, {"a": 1, "b": -1}, [(0, 0.5, 0.5), (1, 1.0, 0.0)], "y").collect()}
     assert met == [22] and (got[0].n_pos, got[0].n_neg) == (150, 150)
     assert got[1].auc == 0.5
+
+
+def test_line_files_are_written_without_a_commit_of_folders(spark):
+    from screenspark.plans.queries_readers import file_of, written
+
+    rows = [("a", 2, "x 7"), ("a", 1, "y 1.5 -2.5e1"), ("b", 1, None), ("b", 2, "no number"), ("c", 5, "z .5 t"), ("c", 9, "-")]
+    path = written(spark.createDataFrame(rows, "file string, line_no int, line string"), "volume").removeprefix("file://")
+    assert sorted(os.listdir(path)) == ["file=a", "file=b", "file=c"]
+    back = s.read_lines(spark, path).withColumn("file", file_of())
+    assert sorted((r.file, r.line) for r in back.collect()) == sorted([(f, t or "") for f, _, t in rows] + [(f, "") for f in "abc"])
+    assert {r.file: r.value for r in s.last_float(back).collect()} == {"a": 7.0, "c": 0.5}
