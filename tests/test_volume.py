@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from screenspark.operators import search
 from screenspark.sources import structures as s
 
@@ -30,3 +32,16 @@ def test_line_files_are_written_without_a_commit_of_folders(spark):
     back = s.read_lines(spark, path).withColumn("file", file_of())
     assert sorted((r.file, r.line) for r in back.collect()) == sorted([(f, t or "") for f, _, t in rows] + [(f, "") for f in "abc"])
     assert {r.file: r.value for r in s.last_float(back).collect()} == {"a": 7.0, "c": 0.5}
+
+
+def test_occupancy_sql_takes_the_points_that_the_operator_takes(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from screenspark.plans import registry
+
+    rows = [(5 * i, 9 if i % 50 == 0 else i % 2, [((i * k) % 997) / 997 - 0.5 for k in (37, 101, 211)]) for i in range(1, 1300)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in registry.QUERIES["ge11_site_occupancy"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got[0][1] == 4096
+    assert got == con.execute(registry.SQL["ge11_site_occupancy"]).fetchall()
