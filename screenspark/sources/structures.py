@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from screenspark.functions.columns import flags
 from screenspark.operators.residues import residue_struct
@@ -26,9 +27,58 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return d
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, size`` of all files under a folder but empty ones, which Spark does not list; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
+def opened(root: str) -> tuple:
+    """The store of a folder, the folder's path in it, and what stands before such paths; for use in tasks."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    return store, base.rstrip("/"), root.rstrip("/").removesuffix(base.rstrip("/")) or "file://"
+
+
+def hidden(name: str) -> bool:
+    """Names that Spark's own listing leaves out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def list_files(spark: SparkSession, root: str, spread: int = 3) -> DataFrame:
+    """``path, size`` of all files under a folder but hidden and empty ones; contents are not read.
+
+    Tasks list the folders, through ``pyarrow.fs``: the first ``spread`` levels are dealt
+    out again after each, so neither the driver nor one task holds the tree.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base, before = opened(root)
+        for b in batches:
+            for path, size in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), strict=True):
+                if size is not None:  # a file of a level above
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([size], pa.int64())})
+                    continue
+                top = path.removeprefix(before)
+                found = [i for i in store.get_file_info(fs.FileSelector(top, recursive=deep)) if not any(map(hidden, i.path[len(top) :].split("/"))) and (i.size or i.type == fs.FileType.Directory and not deep)]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([before + i.path for i in found], pa.string()), "size": pa.array([i.size for i in found], pa.int64())})
+
+    _, base, before = opened(root)
+    d = spark.createDataFrame([(before + base, None)], "path string, size long")
+    for _ in range(spread):
+        d = d.mapInArrow(lambda batches: run(batches, False), "path string, size long").repartition(F.col("path"))
+    return d.mapInArrow(lambda batches: run(batches, True), "path string, size long")
+
+
+def read_whole(files: DataFrame, path: str, root: str) -> DataFrame:
+    """``files`` with the text of the file that each row's ``path`` names as ``value``, read by tasks; no listing goes through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, before = opened(root)
+        for b in batches:
+            for i, name in enumerate(b.column(path).to_pylist()):
+                with store.open_input_stream(name.removeprefix(before)) as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield b.slice(i, 1).append_column("value", pa.array([text], pa.string()))
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("value", StringType())]))
 
 
 def file_manifest(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
@@ -116,7 +166,7 @@ def record() -> Column:
     return F.rtrim(F.substring("line", 1, 6))
 
 
-def atom_columns(lines: DataFrame, hetero: bool = True, hydrogens: bool = False) -> DataFrame:
+def atom_columns(lines: DataFrame, hetero: bool = True, hydrogens: bool = False, *keep: str) -> DataFrame:
     """Atoms of lines (file, line_no, line) of one model each."""
     d = lines.withColumn("record", record()).filter(F.col("record").isin("ATOM", "HETATM") if hetero else F.col("record") == "ATOM")
     cut = lambda a, n: F.trim(F.substring("line", a, n))
@@ -124,7 +174,7 @@ def atom_columns(lines: DataFrame, hetero: bool = True, hydrogens: bool = False)
     d = d.select(
         F.col("file").alias("structure"), "line_no", "record", cut(7, 5).try_cast("int").alias("serial"), name.alias("atom_name"), F.trim(F.substring("line", 17, 1)).alias("altloc"), cut(18, 3).alias("resname"), F.trim(F.substring("line", 22, 1)).alias("chain"),
         cut(23, 4).try_cast("int").alias("resseq"), F.trim(F.substring("line", 27, 1)).alias("icode"), *(cut(a, 8).try_cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))), cut(55, 6).try_cast("double").alias("occupancy"), cut(61, 6).try_cast("double").alias("bfactor"),
-        F.upper(F.coalesce(F.nullif(cut(77, 2), F.lit("")), F.regexp_extract(name, r"([A-Za-z])", 1))).alias("element"),
+        F.upper(F.coalesce(F.nullif(cut(77, 2), F.lit("")), F.regexp_extract(name, r"([A-Za-z])", 1))).alias("element"), *keep,
     )
     d = d.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & ~F.col("resname").isin(*WATER))
     return d if hydrogens else d.filter(~F.col("element").isin("H", "D"))
@@ -137,8 +187,13 @@ def read_atoms(spark: SparkSession, path: str, hetero: bool = True, hydrogens: b
     no order among files.  Columns that are not asked for are not cut out.
     """
     texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("file"), "value")
+    return atom_columns(first_model(texts), hetero, hydrogens)
+
+
+def first_model(texts: DataFrame, *keep: Column) -> DataFrame:
+    """``file, line_no, line`` of whole texts (file, value) up to the end of their first model."""
     first = F.substring_index(F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")), "\nENDMDL", 1)
-    return atom_columns(texts.select("file", F.posexplode(F.split(F.substring(first, 2, 2**31 - 1), "\n")).alias("line_no", "line")), hetero, hydrogens)
+    return texts.select(*keep, "file", F.posexplode(F.split(F.substring(first, 2, 2**31 - 1), "\n")).alias("line_no", "line"))
 
 
 def read_tree(spark: SparkSession, root: str, target: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -146,12 +201,12 @@ def read_tree(spark: SparkSession, root: str, target: str | None = None) -> tupl
     return scan_result_tree(list_files(spark, root), root, target)
 
 
-def read_tree_atoms(spark: SparkSession, root: str, target: str | None = None, **settings) -> DataFrame:
+def read_tree_atoms(spark: SparkSession, root: str, target: str | None = None, hetero: bool = True, hydrogens: bool = False) -> DataFrame:
     """Items of a result tree with the atoms of their structures: the tree's keys and ``status`` beside the atom columns."""
     items, _ = read_tree(spark, root, target)
-    items = items.select("candidate", "variant", "item", "status", bare("pdb_path").alias("_path"))
-    atoms = read_atoms(spark, root, **settings)
-    return atoms.withColumn("_path", bare("structure")).join(items, "_path").drop("_path")
+    texts = read_whole(items.select("candidate", "variant", "item", "status", F.col("pdb_path").alias("file")), "file", root)
+    keys = F.struct("candidate", "variant", "item", "status").alias("_keys")
+    return atom_columns(first_model(texts, keys), hetero, hydrogens, "_keys").select("*", "_keys.*").drop("_keys")
 
 
 def write_files(files: DataFrame, root: str) -> int:

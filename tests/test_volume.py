@@ -45,3 +45,13 @@ def test_occupancy_sql_takes_the_points_that_the_operator_takes(spark, tmp_path)
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got[0][1] == 4096
     assert got == con.execute(registry.SQL["ge11_site_occupancy"]).fetchall()
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    root = f"file://{tmp_path}/run"
+    names = ["c1/t_1/p1/p1.pdb", "c1/t_1/p1/e.txt", "c1/t_1/p1/_tmp/x/p.pdb", "c1/.git/p2/p2.pdb", "c1/t_1/p3/deep/er/than/a/tree.txt", "c=_2/t_1/p4/P4.PDB", "top.txt"]
+    s.write_files(spark.createDataFrame([(n, "ATOM") for n in names] + [("c1/t_1/p1/void.txt", None)], "path string, content string"), root)
+    d = s.list_files(spark, root)
+    assert sorted((r.path.removeprefix(f"{root}/"), r.size) for r in d.collect()) == sorted((names[i], 4) for i in (0, 1, 4, 5, 6))
+    for e in (*s.read_tree(spark, root, "t"), s.read_tree_atoms(spark, root, "t")):
+        assert "FileScan" not in e._jdf.queryExecution().executedPlan().toString()
