@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from screenspark.operators import search
 from screenspark.sources import structures as s
@@ -55,3 +56,15 @@ def test_trees_are_listed_by_tasks(spark, tmp_path):
     assert sorted((r.path.removeprefix(f"{root}/"), r.size) for r in d.collect()) == sorted((names[i], 4) for i in (0, 1, 4, 5, 6))
     for e in (*s.read_tree(spark, root, "t"), s.read_tree_atoms(spark, root, "t")):
         assert "FileScan" not in e._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranked_items_of_a_candidate_are_staged_together(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no data folder")
+    from screenspark.plans import views
+
+    d = views.ranked_items(spark, folder, "label")
+    assert d.columns == [*views.RANKED, "label"]
+    assert d.count() == views.items(spark, folder).count()
+    assert d.select("candidate", F.input_file_name().alias("file")).distinct().count() == d.select("candidate").distinct().count()
