@@ -68,3 +68,15 @@ def test_ranked_items_of_a_candidate_are_staged_together(spark):
     assert d.columns == [*views.RANKED, "label"]
     assert d.count() == views.items(spark, folder).count()
     assert d.select("candidate", F.input_file_name().alias("file")).distinct().count() == d.select("candidate").distinct().count()
+
+
+def test_soft_targets_stage_only_what_is_trained_on(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no data folder")
+    from screenspark.plans import queries_model as q
+
+    seen, stage = [], q.stage
+    monkeypatch.setattr(q, "stage", lambda d, tag: seen.append(d.columns) or stage(d, tag))
+    assert q.ml4_soft_targets(spark, folder).count() > 0
+    assert seen == [["item", *q.COLS, "pseudo_score"]]
