@@ -4,9 +4,12 @@ Method: forward Viterbi scores of the lattice are exact heuristics for an A-star
 search that goes backward from its end, so the first N complete paths that it pops
 are the N best.  A text is cut before each run of word marks, which no piece
 spans after other characters, and between characters that no piece has next to each
-other; the lattices of these parts are independent, so each distinct part is
-searched once, many of one length side by side in numpy, and the N best of a text
-follow from those of its parts.
+other; the lattices of these parts are independent, so the N best of a text follow
+from those of its parts.  The forward pass keeps the two best scores of each node, so
+it gives the best path of each distinct part and what the second loses; it runs over
+the nodes and junctions of all new parts side by side in numpy.  Only the N words of a
+text that lose least can have other paths among its N best, so only these are
+searched backward.
 
 The vocabulary is one of merges: its scores are ranks of merges, and summed alone
 they favour fragments.  So the nodes of the lattice are pieces at their places, and a
@@ -43,6 +46,9 @@ UNKNOWN_MARGIN = 10.0
 UNUSED = -1e8
 CACHE_PARTS = 300_000
 CACHE_JUNCTIONS = 2_000_000
+CACHE_ALL = 100_000
+#: Parts whose best paths are found side by side.
+SIDE = 20_000
 #: Cost of a junction that the merges would not leave.
 BREAK = 1e12
 #: Cells of the lattices searched side by side, and the most characters of such a part.
@@ -135,8 +141,10 @@ class PieceLattice:
         self.hash_scores, self.hash_ids = np.array([v[0] for v in values], np.float64)[order], np.array([v[1] for v in values], np.int64)[order]
         names = list(self.pieces)
         self._learn_merges(raw, [names[i] for i in order])
+        self._learn_prefixes(names)
         self._clear()
         self._clear_parts()
+        self._clear_all()
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -174,6 +182,18 @@ class PieceLattice:
                 i = rows[some]
                 self.whole[i], self.depth_rank[i], self.left[i], self.right[i] = True, self.rank[i], l[some], r[some]
 
+    def _learn_prefixes(self, names: list[str]) -> None:
+        """Hashes of all beginnings of pieces, and the place of the piece that each is (-1: none)."""
+        found: set[int] = set()
+        for p in names:
+            h = 0
+            for c in p:
+                h = (h * HASH + ord(c) + 1) & (2**64 - 1)
+                found.add(h)
+        self.prefixes = np.sort(np.fromiter(found, np.uint64, len(found)))
+        at, hit = self._found(self.prefixes)
+        self.prefix_place = np.where(hit, at, -1)
+
     def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return at, self.hashes[at] == h
@@ -209,28 +229,38 @@ class PieceLattice:
     def breaks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Cost of each junction of two places; what is found is kept."""
         key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-        keys, back = np.unique(key, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.seen, keys), max(0, len(self.seen) - 1))
-        known = self.seen[at] == keys if len(self.seen) else np.zeros(len(keys), bool)
-        cost = np.zeros(len(keys))
-        cost[known] = self.seen_cost[at[known]]
-        new = keys[~known]
-        cost[~known] = np.where(self.kept_apart((new >> np.uint64(32)).astype(np.int64), (new & np.uint64(0xFFFFFFFF)).astype(np.int64)), 0.0, BREAK)
-        if len(self.seen) + len(new) > CACHE_JUNCTIONS:
-            self.seen, self.seen_cost = np.zeros(0, np.uint64), np.zeros(0)
-        if len(new):
+        if not len(key):
+            return np.zeros(0)
+        at = np.minimum(np.searchsorted(self.seen, key), max(0, len(self.seen) - 1))
+        known = self.seen[at] == key if len(self.seen) else np.zeros(len(key), bool)
+        cost = self.seen_cost[at] if len(self.seen) else np.zeros(len(key))
+        if not known.all():
+            new, back = np.unique(key[~known], return_inverse=True)
+            found = np.where(self.kept_apart((new >> np.uint64(32)).astype(np.int64), (new & np.uint64(0xFFFFFFFF)).astype(np.int64)), 0.0, BREAK)
+            cost[~known] = found[back]
+            if len(self.seen) + len(new) > CACHE_JUNCTIONS:
+                self.seen, self.seen_cost = np.zeros(0, np.uint64), np.zeros(0)
             at = np.searchsorted(self.seen, new)
-            self.seen, self.seen_cost = np.insert(self.seen, at, new), np.insert(self.seen_cost, at, cost[~known])
-        return cost[back]
+            self.seen, self.seen_cost = np.insert(self.seen, at, new), np.insert(self.seen_cost, at, found)
+        return cost
 
     def _clear(self) -> None:
+        """Forget the best paths of units."""
         self.index: dict[str, int] = {}
-        self.unit = Paths(self.n)
+        self.unit = Paths(1)
 
     def _clear_parts(self) -> None:
+        """Forget the best paths of parts, and the junctions."""
+        self.best_index: dict[str, int] = {}
+        self.best = Paths(1)
+        self.seen, self.seen_cost = np.zeros(0, np.uint64), np.zeros(0)
+
+    def _clear_all(self) -> None:
+        """Forget the N best paths of units and parts."""
+        self.all_index: dict[str, int] = {}
+        self.all = Paths(self.n)
         self.part_index: dict[str, int] = {}
         self.part = Paths(self.n)
-        self.seen, self.seen_cost = np.zeros(0, np.uint64), np.zeros(0)
 
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a part, best first; equal scores in the order in which they are reached."""
@@ -271,8 +301,111 @@ class PieceLattice:
                 heapq.heappush(heap, (-(best[i] + after), made, i, after, (ids, path)))
         return out
 
+    def best_many(self, parts: list[str]) -> None:
+        """The best paths of new parts, and what their second best lose."""
+        long = [p for p in parts if len(p) > LONGEST_ROW]
+        rows = [p for p in parts if len(p) <= LONGEST_ROW]
+        for at in range(0, len(rows), SIDE):
+            some = rows[at : at + SIDE]
+            odd, score, second, flat, length = self._best_rows(some)
+            long += [p for p, o in zip(some, odd.tolist(), strict=True) if o]
+            plain = [p for p, o in zip(some, odd.tolist(), strict=True) if not o]
+            self._keep_best(plain, flat, length, score, score - second)
+        for p in long:  # very long ones, those with characters without a piece, and ties
+            paths = self.search(p, 2) if len(p) else [(0.0, ())]
+            lost = paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
+            self._keep_best([p], np.array(paths[0][1], np.int64), np.array([len(paths[0][1])]), np.array([paths[0][0]]), np.array([lost]))
+
+    def _keep_best(self, parts: list[str], flat: np.ndarray, length: np.ndarray, score: np.ndarray, lost: np.ndarray) -> None:
+        base = len(self.best_index)
+        self.best_index.update(zip(parts, range(base, base + len(parts)), strict=True))
+        self.best.add(flat, length[:, None], score, lost[:, None])
+
+    def _best_rows(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward pass over the nodes of many parts at once, with the two best scores of each node.
+
+        Returns which parts are left out (a character without a piece, or two best paths
+        of one score), and of the others the best and the second score (-inf: none), the
+        ids of the best paths, flat, and their lengths.
+        """
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        stop = np.cumsum(n)
+        part = np.repeat(np.arange(len(parts)), n)
+        # Pieces by their beginnings; a place is followed as long as some piece goes on so.
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        begins, ends, places = [], [], []
+        single = np.zeros(len(codes), bool)
+        for k in range(1, self.longest + 1):
+            h = h * np.uint64(HASH) + codes[at + k - 1]
+            i = np.minimum(np.searchsorted(self.prefixes, h), len(self.prefixes) - 1)
+            some = self.prefixes[i] == h
+            at, h, i = at[some], h[some], self.prefix_place[i[some]]
+            hit = i >= 0
+            begins.append(at[hit])
+            ends.append(at[hit] + k)
+            places.append(i[hit])
+            if k == 1:
+                single[at[hit]] = True
+            some = at + k < stop[part[at]]
+            at, h = at[some], h[some]
+            if not len(at):
+                break
+        odd = np.zeros(len(parts), bool)
+        odd[part[~single]] = True
+        begin, end, place = np.concatenate(begins), np.concatenate(ends), np.concatenate(places)
+        some = ~odd[part[begin]]
+        begin, end, place = begin[some], end[some], place[some]
+        order = np.argsort(end, kind="stable")
+        begin, end, place = begin[order], end[order], place[order]
+        score = self.hash_scores[place] - np.where(self.whole[place], 0.0, BREAK)
+        own = part[begin]
+        start = (stop - n)[own]
+        # Junctions, by their second piece.
+        count = np.bincount(end, minlength=len(codes) + 1)
+        before = np.where(begin > start, count[begin], 0)
+        second_of = np.repeat(np.arange(len(begin)), before)
+        first_of = _ranges((np.cumsum(count) - count)[begin], before)
+        cost = self.breaks(place[first_of], place[second_of])
+        # The ends of parts are nodes, too: their junctions cost nothing.
+        last = np.flatnonzero(end == stop[own])
+        live = np.flatnonzero(~odd)
+        first_of, second_of = np.append(first_of, last), np.append(second_of, len(begin) + np.searchsorted(live, own[last]))
+        cost = np.append(cost, np.zeros(len(last)))
+        level = np.append(end - start, np.full(len(live), LONGEST_ROW + 1)).astype(np.uint8)
+        one, two = np.append(np.where(begin > start, -np.inf, score), np.full(len(live), -np.inf)), np.full(len(begin) + len(live), -np.inf)
+        own_score = np.append(score, np.zeros(len(live)))
+        link = np.full(len(one), -1)
+        step = level[second_of]
+        order = np.argsort(step, kind="stable")
+        first_of, second_of, cost = first_of[order], second_of[order], cost[order]
+        cuts = np.searchsorted(step[order], np.arange(LONGEST_ROW + 3))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            i, j, c = first_of[a:b], second_of[a:b], cost[a:b]
+            head = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+            x, y = one[i] - c, two[i] - c
+            top = np.maximum.reduceat(x, head)
+            is_top = np.flatnonzero(x == np.repeat(top, np.diff(np.append(head, len(j)))))
+            is_top = is_top[np.append(True, j[is_top[1:]] != j[is_top[:-1]])]
+            x[is_top] = y[is_top]
+            node = j[head]
+            one[node], two[node], link[node] = own_score[node] + top, own_score[node] + np.maximum.reduceat(x, head), i[is_top]
+        goal = np.arange(len(begin), len(one))
+        tie = one[goal] == two[goal]
+        odd[live[tie]] = True
+        goal = goal[~tie]
+        on_path, now = np.zeros(len(begin), bool), link[goal]
+        while len(now):
+            on_path[now] = True
+            now = link[now]
+            now = now[now >= 0]
+        on_path = np.flatnonzero(on_path)
+        return odd, one[goal], two[goal], self.hash_ids[place[on_path]], np.bincount(own[on_path], minlength=len(parts))[~odd]
+
     def search_many(self, parts: list[str]) -> None:
-        """Search new parts and keep what is found; those of one length go side by side."""
+        """N-best search of new parts, which are kept; those of one length go side by side."""
         by_length: dict[int, list[str]] = {}
         for p in parts:
             by_length.setdefault(len(p), []).append(p)
@@ -381,13 +514,13 @@ class PieceLattice:
         if pc.any(pc.match_substring(texts, "\x00")).as_py():  # the cut sign itself is in a text
             return pa.array([_UNIT.findall(t) or [""] for t in whole.to_pylist()], pa.list_(pa.large_string()))
         # A cut sign goes before each run of marks that follows another character.
-        cut = pc.replace_substring_regex(whole, rf"([^{MARK}])({MARK})", "\\1\x00\\2")
-        return pc.split_pattern(cut, "\x00")
+        cut = pc.replace_substring(whole, MARK, f"\x00{MARK}")
+        for _ in range(2):  # joins runs again: first pairs, then the pairs with each other
+            cut = pc.replace_substring(cut, f"{MARK}\x00{MARK}", MARK + MARK)
+        return pc.split_pattern(pc.utf8_ltrim(cut, "\x00"), "\x00")
 
-    def _learn(self, units: list[str]) -> None:
-        """Put units together from their parts and keep them."""
-        if not units:
-            return
+    def _parts(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct parts of units, the place among them of each part, unit after unit, and how many parts each unit has."""
         text = "".join(units)
         n = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -404,19 +537,40 @@ class PieceLattice:
         if (n == 0).any():  # only the empty text has an empty unit
             parts, place = parts + [""], len(parts)
         words = pa.array(parts, pa.large_string()).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.part_index]
-        if self.part_index and len(self.part_index) + len(new) > CACHE_PARTS:
+        at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if (n == 0).any():
+            order = np.insert(np.arange(len(parts) - 1), np.searchsorted(ends[:-1], starts[n == 0]), place)
+            at, count = at[order], np.where(n == 0, 1, count)
+        return words.dictionary.to_numpy(zero_copy_only=False).tolist(), at, count
+
+    def _learn(self, units: list[str]) -> None:
+        """Put the best paths of units together from those of their parts and keep them."""
+        if not units:
+            return
+        distinct, at, count = self._parts(units)
+        new = [p for p in distinct if p not in self.best_index]
+        if self.best_index and len(self.best_index) + len(new) > CACHE_PARTS:
             self._clear_parts()
             new = distinct
+        self.best_many(new)
+        at = np.fromiter(map(self.best_index.__getitem__, distinct), np.int64, len(distinct))[at]
+        p, first = self.best, np.cumsum(count) - count
+        length = p.length[at, 0]
+        base = len(self.index)
+        self.index.update(zip(units, range(base, base + len(units)), strict=True))
+        self.unit.add(p.flat[_ranges(p.start[at, 0], length)], np.add.reduceat(length, first)[:, None], np.add.reduceat(p.score[at], first), np.minimum.reduceat(p.loss[at], first))
+
+    def _learn_all(self, units: list[str]) -> None:
+        """Put the N best paths of units together from those of their parts and keep them."""
+        if not units:
+            return
+        distinct, at, count = self._parts(units)
+        new = [p for p in distinct if p not in self.part_index]
         self.search_many([p for p in new if p])
         if "" in new:
             self.part_index[""] = len(self.part_index)
             self.part.add(np.zeros(0, np.int64), np.zeros((1, self.n), np.int64), np.zeros(1), np.array([[0.0] + [np.inf] * (self.n - 1)]))
-        at = np.fromiter(map(self.part_index.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy(zero_copy_only=False)]
-        if (n == 0).any():
-            order = np.insert(np.arange(len(parts) - 1), np.searchsorted(ends[:-1], starts[n == 0]), place)
-            at, count = at[order], np.where(n == 0, 1, count)
+        at = np.fromiter(map(self.part_index.__getitem__, distinct), np.int64, len(distinct))[at]
         p = self.part
         first = np.cumsum(count) - count
         length, loss = np.zeros((len(units), self.n), np.int64), np.full((len(units), self.n), np.inf)
@@ -454,15 +608,15 @@ class PieceLattice:
         if len(two):
             flat[_ranges(begin[two], total[two])] = of_two
         flat[_ranges(begin[more], total[more])] = np.concatenate(pieces or [np.zeros(0, np.int64)])
-        base = len(self.index)
-        self.index.update(zip(units, range(base, base + len(units)), strict=True))
-        self.unit.add(flat, length, np.add.reduceat(p.score[at], first), loss)
+        base = len(self.all_index)
+        self.all_index.update(zip(units, range(base, base + len(units)), strict=True))
+        self.all.add(flat, length, np.add.reduceat(p.score[at], first), loss)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, np.ndarray]]]]:
         """Ids of the best segmentations, where each text's ids stop, and each text's N best (score, ids)."""
         lists = self.units(texts)
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [u for u in distinct if u not in self.index]
         if self.index and len(self.index) + len(new) > CACHE_UNITS:
             self._clear()
@@ -476,24 +630,37 @@ class PieceLattice:
         flat = u.flat[_ranges(u.start[at, 0], n)].astype(np.uint32)
         begins = np.append(0, stop)
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-        score, second = u.score[at], u.loss[at, 1] if self.n > 1 else np.full(len(at), np.inf)
+        score, second = u.score[at], u.loss[at, 0]
+        bounds = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True))
+        chosen = [np.arange(a, b) if b - a <= self.n else np.sort(a + np.argpartition(second[a:b], self.n - 1)[: self.n]) for a, b in bounds]
+        full = self._all_rows(words.indices.to_numpy(zero_copy_only=False), distinct, chosen) if self.n > 1 else {}
         out = []
-        for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        for (a, b), some in zip(bounds, chosen, strict=True):
             ids, best = flat[begins[a] : begins[b]], float(score[a:b].sum())
-            some = np.arange(a, b)
-            if b - a > self.n:
-                some = np.sort(a + np.argpartition(second[a:b], self.n - 1)[: self.n])
             found = [(best, ids)]
-            for lost, how in least_sums(u.loss[at[some]].tolist(), self.n)[1:] if self.n > 1 else ():
+            rows = [full[w] for w in some.tolist()] if self.n > 1 else []
+            for lost, how in least_sums(self.all.loss[rows].tolist(), self.n)[1:] if self.n > 1 else ():
                 cut, parts = begins[a], []
                 for i, k in how:
                     w = some[i]
-                    parts += [flat[cut : begins[w]], u.ids(at[w], k).astype(np.uint32)]
+                    parts += [flat[cut : begins[w]], self.all.ids(rows[i], k).astype(np.uint32)]
                     cut = begins[w + 1]
                 found.append((best - lost, np.concatenate([*parts, flat[cut : begins[b]]])))
             out.append(found)
         return flat, begins[ends], out
 
+    def _all_rows(self, word_of: np.ndarray, distinct: list[str], chosen: list[np.ndarray]) -> dict[int, int]:
+        """The row of N best paths of each chosen place."""
+        places = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        units = [distinct[w] for w in word_of[places].tolist()]
+        wanted = list(dict.fromkeys(units))
+        new = [x for x in wanted if x not in self.all_index]
+        if len(self.all_index) + len(new) > CACHE_ALL or len(self.part_index) > CACHE_ALL:
+            self._clear_all()
+            new = wanted
+        self._learn_all(new)
+        return dict(zip(places.tolist(), map(self.all_index.__getitem__, units), strict=True))
+
     def segment(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text."""
         units = self.units(pa.array([text or ""]))[0].as_py()

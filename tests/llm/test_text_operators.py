@@ -1,5 +1,6 @@
 """Operators on documents: nulls, empty and very long texts, repeated rows, empty tables, clashing columns."""
 
+import hashlib
 import os
 import zlib
 
@@ -248,3 +249,19 @@ def test_training_and_windows_by_brute_force():
     alone = [np.frombuffer(data[s : s + 256].ljust(256, b"\0"), np.uint8) for s in range(0, len(data) - 3, 253)]
     assert (windows == np.array(alone)).all()
     assert model.probabilities(windows).mean(axis=0) == pytest.approx(np.mean([model.probabilities(w[None])[0] for w in alone], axis=0), abs=1e-6)
+
+
+def test_nbest_searches_backward_only_where_a_text_can_differ():
+    """Of a junk text only the words that lose least are searched for other paths; the result is that of a search of all words."""
+    model = piece_nbest.PieceLattice("piece_bpe_32k.model", 4)
+    texts = [" ".join(hashlib.md5(f"{t}.{i}".encode()).hexdigest()[: 4 + i % 9] for i in range(300)) + "  \u0001 x" for t in range(3)]
+    _, _, nbest = model.encode(pa.array([*texts, "", None, "   "]))
+    assert len(model.part_index) < len(model.best_index) / 4
+    whole = piece_nbest.PieceLattice("piece_bpe_32k.model", 4)
+    for text, found in zip([*texts, "", "", "   "], nbest, strict=True):
+        units = whole.units(pa.array([text]))[0].as_py()
+        losses = [[s for s, _ in paths] + [-np.inf] * (4 - len(paths)) for paths in (whole.search(u, 4) if u else [(0.0, ())] for u in units)]
+        least = piece_nbest.least_sums([[row[0] - s for s in row] for row in losses], 4)
+        assert [s for s, _ in found] == [sum(row[0] for row in losses) - lost for lost, _ in least]
+        assert found[0][1].tolist() == whole.model.encode(text)
+        assert len({tuple(ids.tolist()) for _, ids in found}) == len(found)
