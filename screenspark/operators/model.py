@@ -8,9 +8,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenspark.functions.columns import clip
 from screenspark.operators import metrics, network, scoring
 from screenspark.operators.quantiles import exact_quantiles
-from screenspark.plans.staging import stage
+from screenspark.plans.staging import stage, staged
 
 #: Sign and weight of each feature of the pseudo label.
 PSEUDO_FEATURES = {
@@ -79,6 +80,33 @@ def predict(model, prepared: DataFrame, cols: list[str]) -> DataFrame:
     return d.select(*keep)
 
 
+def fold_quantiles(d: DataFrame, sides: list[tuple[bool, list[str]]], probs: list[float], n: int) -> list[list[dict[str, list[float | None]]]]:
+    """Quantiles of the training (True) or test rows of every fold, of all folds and sides in the same passes."""
+    names, values = {}, []
+    for i, (training, cols) in enumerate(sides):
+        for fold in range(n):
+            rows = F.col("fold") != fold if training else F.col("fold") == fold
+            for j, c in enumerate(cols):
+                names[i, fold, c] = f"q{i}_{fold}_{j}"
+                values.append(F.when(rows, F.col(c)).alias(names[i, fold, c]))
+    found = exact_quantiles(d.select(*values), list(names.values()), probs)
+    return [[{c: found[names[i, fold, c]] for c in cols} for fold in range(n)] for i, (_, cols) in enumerate(sides)]
+
+
+def fit_folds(d: DataFrame, cols: list[str], n: int) -> list[DataFrame]:
+    """:func:`fit_prep` of the training rows of every fold, in the same passes."""
+    (medians,) = fold_quantiles(d, [(True, cols)], [0.5], n)
+    filled, parts = [{c: m[c][0] if m[c][0] is not None else 0.0 for c in cols} for m in medians], []
+    for fold, med in enumerate(filled):
+        parts += [F.when(F.col("fold") != fold, F.coalesce(F.col(c), F.lit(med[c]))).alias(f"{fold}_{j}") for j, c in enumerate(cols)]
+    row = metrics.zscore_fit(d.select(*parts), [f"{fold}_{j}" for fold in range(n) for j in range(len(cols))], sample=True).first()
+    out = []
+    for fold, med in enumerate(filled):
+        fitted = [F.lit(row[f"{x}_{fold}_{j}"]).cast("double").alias(f"{x}_{c}") for x in "md" for j, c in enumerate(cols)]
+        out.append(d.sparkSession.range(1).select(*fitted, *(F.lit(med[c]).alias(f"md_{c}") for c in cols)))
+    return out
+
+
 def cross_validate(items: DataFrame, cols: list[str], label: str = "label", n: int = 3, seed: int = 7, fit_on: str = "test", k: int = 3) -> DataFrame:
     """Metrics of every fold of a grouped cross-validation, of items and of candidates.
 
@@ -86,23 +114,38 @@ def cross_validate(items: DataFrame, cols: list[str], label: str = "label", n: i
     model's Brier score.  Candidates: both scores are rolled up to candidates (the ``k``
     top items of a variant), whose AUC is taken against labels from the fold's items.
     The rule's scaling is fitted on the test rows, as it is in use, or on the training
-    rows (``fit_on`` train).  The driver loops over the folds; rows stay in Spark.
+    rows (``fit_on`` train).  The driver loops over the folds to train only; preparation,
+    bounds, scores, roll-ups and metrics of all folds take the same passes, as a
+    candidate is a test row of one fold.
     """
-    folds = metrics.group_folds(items, n, seed, label=label)
-    d = stage(items.join(folds, "candidate"), "folds")
-    out = None
-    for fold in range(n):
-        tr, te = d.filter(F.col("fold") != fold), d.filter(F.col("fold") == fold)
-        fitted = stage(fit_prep(tr, cols), "prep")
-        model = train(apply_prep(tr, fitted, cols), cols, label)
-        p = stage(scoring.rule_score(predict(model, apply_prep(te, fitted, cols), cols), fit_on=tr if fit_on == "train" else None), "scored")
-        row = metrics.auc(p, label, "pred_prob").select(F.lit(fold).alias("fold"), "n_pos", "n_neg", F.col("auc").alias("model_auc")).join(metrics.auc(p, label, "rule_score").select(F.col("auc").alias("rule_auc"))).join(metrics.brier(p, label, "pred_prob"))
-        truth = metrics.derive_labels(p, label=label).select("candidate", F.col("label").alias("truth"))
-        for name, score in (("model", "pred_prob"), ("rule", "rule_score")):
-            ranked = scoring.rollup_candidates(scoring.rollup_variants(p, k, score)).join(truth, "candidate")
-            of = metrics.auc(ranked, "truth", "final_score")
-            row = row.join(of.select(F.col("auc").alias(f"candidate_{name}_auc"), *([(F.col("n_pos") + F.col("n_neg")).alias("n_candidates")] if name == "model" else [])))
-        out = row if out is None else out.unionByName(row)
+    items = staged(items, "items")
+    d = stage(items.join(metrics.group_folds(items, n, seed, label=label), "candidate"), "folds")
+    rule = [c for c in scoring.RULE_FEATURES if c in d.columns]
+    geo = [c for c in scoring.GEOMETRY_WEIGHTS if c in d.columns]
+    rule_bounds, geo_bounds = fold_quantiles(d, [(True, rule), (False, geo)], [0.01, 0.99], n) if fit_on == "train" else 2 * fold_quantiles(d, [(False, list(dict.fromkeys([*rule, *geo])))], [0.01, 0.99], n)
+    p = None
+    for fold, fitted in enumerate(fit_folds(d, cols, n)):
+        model = train(apply_prep(d.filter(F.col("fold") != fold), fitted, cols), cols, label)
+        part = predict(model, apply_prep(d.filter(F.col("fold") == fold), fitted, cols), cols).select(*d.columns, "pred_prob")
+        part = part.select("*", *(scoring.scaled(c, *rule_bounds[fold][c]).alias(f"_s_{c}") for c in rule), *(scoring.scaled(c, *geo_bounds[fold][c]).alias(f"s_{c}") for c in geo))
+        part = part.withColumn("_raw", scoring.rule_mean(scoring.RULE_FEATURES, rule, "_s_")).drop(*(f"_s_{c}" for c in rule))
+        p = part if p is None else p.unionByName(part)
+    p = stage(p, "scored")
+    medians = [0.5] * n
+    if not p.filter(F.col("_raw").isNull()).isEmpty():
+        medians = [0.5 if q["_raw"][0] is None else q["_raw"][0] for q in fold_quantiles(p, [(False, ["_raw"])], [0.5], n)[0]]
+    p = p.withColumn("rule_score", clip(F.coalesce("_raw", F.element_at(F.array(*map(F.lit, medians)), F.col("fold") + 1)), 0, 1)).drop("_raw")
+    by = ["fold"]
+    out = metrics.auc(p, label, "pred_prob", by).select("fold", "n_pos", "n_neg", F.col("auc").alias("model_auc")).join(metrics.auc(p, label, "rule_score", by).select("fold", F.col("auc").alias("rule_auc")), "fold").join(metrics.brier(p, label, "pred_prob", by), "fold")
+    means = stage(p.groupBy("candidate", "fold").agg(F.avg(label).alias("mean_label"), F.max(label).alias("max_label")), "means")
+    truth = None
+    for fold in range(n):  # tables of candidate size
+        part = metrics.labels_of_means(means.filter(F.col("fold") == fold).drop("fold")).select("candidate", F.col("label").alias("truth"), F.lit(fold).alias("fold"))
+        truth = part if truth is None else truth.unionByName(part)
+    for name, score in (("model", "pred_prob"), ("rule", "rule_score")):
+        ranked = scoring.rollup_candidates(scoring.rollup_variants(p, k, score, is_scaled=True)).join(truth, "candidate")
+        of = metrics.auc(ranked, "truth", "final_score", by)
+        out = out.join(of.select("fold", F.col("auc").alias(f"candidate_{name}_auc"), *([(F.col("n_pos") + F.col("n_neg")).alias("n_candidates")] if name == "model" else [])), "fold", "left")
     return out.withColumn("delta", F.col("model_auc") - F.col("rule_auc")).withColumn("candidate_delta", F.col("candidate_model_auc") - F.col("candidate_rule_auc"))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from screenspark.operators import metrics, model
@@ -129,3 +130,25 @@ def test_perceptron_ranks_and_predicts(spark):
     prepared = model.apply_prep(d, model.fit_prep(d, cols), cols)
     p = model.predict(model.train(prepared, cols, kind="perceptron"), prepared, cols)
     assert p.columns == [*prepared.columns, "pred_prob"] and metrics.auc(p, "label", "pred_prob").collect()[0].auc > 0.95
+
+
+def test_folds_share_their_passes(spark, monkeypatch):
+    """Quantiles of the rows take the same passes for any number of folds, and are those of each fold by itself."""
+    from screenspark.operators import model, quantiles
+    from screenspark.plans import views
+
+    asked = []
+
+    def counted(df, cols, *more):
+        asked.append(cols)
+        return quantiles.exact_quantiles(df, cols, *more)
+
+    d = views.items(spark, "/root/testdata/sf0.001").selectExpr("*", "cast(candidate % 2 as int) AS fold").select("fold", "mouth_occlusion", "site_distance").localCheckpoint()
+    cols = ["mouth_occlusion", "site_distance"]
+    monkeypatch.setattr(model, "exact_quantiles", counted)
+    fitted = [row.first() for row in model.fit_folds(d, cols, 2)]
+    assert len(asked) == 1
+    monkeypatch.undo()
+    for fold in range(2):
+        assert fitted[fold].asDict() == pytest.approx(model.fit_prep(d.filter(f"fold <> {fold}"), cols).first().asDict(), rel=1e-12)
+        assert model.fold_quantiles(d, [(False, cols)], [0.01, 0.99], 2)[0][fold] == quantiles.exact_quantiles(d.filter(f"fold = {fold}"), cols, [0.01, 0.99])
