@@ -1,8 +1,13 @@
 """Work of shared steps: what is computed once, and what is not multiplied."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from screenspark.operators import residues, scoring
+from screenspark.operators import consensus, residues, scoring
+from screenspark.plans import registry, views
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_wanted_keys_are_not_multiplied(spark):
@@ -28,3 +33,22 @@ def test_rows_behind_the_ok_rows_are_computed_once(spark):
     scored = scoring.rule_score(scoring.keep_ok(d))
     assert scored.agg(F.count("rule_score")).first()[0] == 10
     assert seen.value == 10
+
+
+def test_near_ties_are_counted_along_the_order(spark):
+    scores = [0.50 + 0.013 * (i % 41) for i in range(200)] + [None, None]
+    d = spark.createDataFrame(list(enumerate(scores)), "candidate long, consensus_score double")
+    out = consensus.near_ties(d, "consensus_score", 0.03)
+    frames = re.findall(r"RangeFrame, ([^,]+),", out._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and all(f.startswith("unboundedpreceding") for f in frames)
+    units = [None if s is None else round(s * 1e9) for s in scores]
+    want = {i: 0 if u is None else sum(w is not None and abs(w - u) <= 30_000_000 for w in units) - 1 for i, u in enumerate(units)}
+    assert {r.candidate: r.near_ties for r in out.collect()} == want
+
+
+def test_cards_read_their_items_once(spark, monkeypatch):
+    made = []
+    items = views.items
+    monkeypatch.setattr(views, "items", lambda *a, **k: made.append(1) or items(*a, **k))
+    assert registry.QUERIES["fl8_candidate_cards"](spark, FOLDER).count() > 0
+    assert len(made) == 1
